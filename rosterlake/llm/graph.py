@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import remove, table
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -20,10 +20,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Alternates two steps until the edges stay the same: every node points its
     larger neighbours, then its smaller ones, at the smallest node it knows.
     Both keep components whole and the number of rounds grows with the logarithm
-    of the longest path.  Each round is checkpointed.
+    of the longest path.  Each round is written to the shared folder and read again;
+    only the last one's table stays there.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    e = cut(e)
+    e, held = table(e, "edges")
     seen = _mark(e)
     while seen[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -32,7 +33,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = large.join(least, "u")
         e = pairs.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        e = cut(e.select("e.u", "e.v").where("u > v").distinct())
+        e, path = table(e.select("e.u", "e.v").where("u > v").distinct(), "edges")
+        remove(e.sparkSession, held)
+        held = path
         now = _mark(e)
         if now == seen:
             break

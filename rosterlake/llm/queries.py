@@ -116,7 +116,8 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, search=simhash.Search(bits=64, radius=2))
-    return found.select("doc_id", F.lower(F.hex(F.reverse(F.col("fp")))).alias("fingerprint"), "component_id")
+    digits = F.lower(F.hex("fp"))  # the lowest byte first
+    return found.select("doc_id", F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(8))]).alias("fingerprint"), "component_id")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
