@@ -19,17 +19,18 @@ def _inner_date(date: Column) -> Column:
     return F.when(date.startswith("{"), F.get_json_object(date, "$.date")).otherwise(date)
 
 
-def parse_nih(projects: DataFrame) -> DataFrame:
+def parse_nih(projects: DataFrame, *carried: str) -> DataFrame:
+    """Grant rows of project payloads; columns named in ``carried`` stay beside them."""
     amount = F.coalesce(F.nullif("award_amount", F.lit(0.0)), F.col("award_amount_per_year"))
     pi = F.coalesce(F.get("principal_investigators", F.lit(0))["full_name"], F.lit(""))
     key = F.coalesce("applied_serial_num", "project_num", F.lit(""))
-    return projects.select(F.lit("nih").alias("source"), key.alias("grant_id"), F.coalesce("project_title", F.lit("")).alias("title"), pi.alias("pi_name"), amount.alias("amount"), _day(F.col("project_start_date")).alias("start_date"), _day(F.col("project_end_date")).alias("end_date"))
+    return projects.select(*carried, F.lit("nih").alias("source"), key.alias("grant_id"), F.coalesce("project_title", F.lit("")).alias("title"), pi.alias("pi_name"), amount.alias("amount"), _day(F.col("project_start_date")).alias("start_date"), _day(F.col("project_end_date")).alias("end_date"))
 
 
-def parse_nsf(awards: DataFrame) -> DataFrame:
+def parse_nsf(awards: DataFrame, *carried: str) -> DataFrame:
     amount = F.coalesce(F.nullif("fundsObligatedAmt", F.lit(0.0)), F.col("funds"))
     pi = F.trim(F.concat(F.coalesce("piFirstName", F.lit("")), F.lit(" "), F.coalesce("piLastName", F.lit(""))))
-    return awards.select(F.lit("nsf").alias("source"), F.coalesce("id", F.lit("")).alias("grant_id"), F.coalesce("title", F.lit("")).alias("title"), pi.alias("pi_name"), amount.alias("amount"), _day(_inner_date(F.col("startDate"))).alias("start_date"), _day(_inner_date(F.col("expDate"))).alias("end_date"))
+    return awards.select(*carried, F.lit("nsf").alias("source"), F.coalesce("id", F.lit("")).alias("grant_id"), F.coalesce("title", F.lit("")).alias("title"), pi.alias("pi_name"), amount.alias("amount"), _day(_inner_date(F.col("startDate"))).alias("start_date"), _day(_inner_date(F.col("expDate"))).alias("end_date"))
 
 
 def grants(nih: DataFrame, nsf: DataFrame) -> DataFrame:
