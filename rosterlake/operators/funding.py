@@ -55,4 +55,4 @@ def upsert_grants(old: DataFrame, new: DataFrame) -> DataFrame:
     last = new.groupBy(key).agg(F.max_by(F.struct(*[c for c in new.columns if c not in (*key, "seq")]), "seq").alias("n")).select(*key, "n.*")
     kept = old.select(*key, F.col("professor_id").alias("owner"))
     changed = last.join(kept, key, "left").withColumn("professor_id", F.coalesce("owner", "professor_id")).drop("owner")
-    return old.join(last.select(key), key, "left_anti").unionByName(changed.select(old.columns))
+    return old.join(last.select(key), key, "left_anti").select(old.columns).unionByName(changed.select(old.columns))

@@ -95,15 +95,15 @@ scored AS (SELECT query_id, ready.*, round(0.65 * coalesce(semantic, 0) + 0.2 *
   FROM ready, asked LEFT JOIN cosines ON qk = 'q' || query_id AND wk = 'w' || work_id),
 kept AS (SELECT query_id, professor_id, scored.* EXCLUDE (query_id), row_number() OVER (PARTITION BY query_id, professor_id, title_key ORDER BY preprint, work_score DESC, length(scored.title) DESC, work_id) AS nth
   FROM scored JOIN links USING (work_id) JOIN people USING (professor_id) WHERE verification_status = 'verified' AND duplicate_of IS NULL),
-ranked AS (SELECT * EXCLUDE (nth), row_number() OVER (PARTITION BY query_id, professor_id ORDER BY work_score DESC, work_id) AS place FROM kept WHERE nth = 1)"""
+ranked AS (SELECT * EXCLUDE (nth), CAST(row_number() OVER (PARTITION BY query_id, professor_id ORDER BY work_score DESC, work_id) AS INT) AS place FROM kept WHERE nth = 1)"""
 
 
-ONE_QUERY = f"SELECT 0 AS query_id, {sql_normal_query(chr(39) + QUERY + chr(39))} AS q"
+ONE_QUERY = f"SELECT CAST(0 AS BIGINT) AS query_id, {sql_normal_query(chr(39) + QUERY + chr(39))} AS q"
 MANY_QUERIES = f"SELECT item_id AS query_id, {sql_normal_query('text')} AS q FROM benchmark"
 HITS = """, sums AS (SELECT query_id, professor_id, count(*) AS total_work_count,
   round(sum(CASE place WHEN 1 THEN 1.0 WHEN 2 THEN 0.6 WHEN 3 THEN 0.35 WHEN 4 THEN 0.2 WHEN 5 THEN 0.1 ELSE 0 END * work_score), 4) AS score FROM ranked GROUP BY ALL),
 hits AS (SELECT query_id, professor_id, p.name AS professor_name, u.name AS university_name, score, total_work_count,
-  row_number() OVER (PARTITION BY query_id ORDER BY score DESC, professor_id) AS rank
+  CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, professor_id) AS INT) AS rank
   FROM sums JOIN people p USING (professor_id) JOIN universities u USING (university_id))"""
 
 
@@ -190,7 +190,7 @@ def keyword_overlap(spark, d):
     return _overlap(spark, d, scoring.keyword_overlap)
 
 
-@query(f"SELECT doc_id, round({sql_phrase(sql_tokens(chr(39) + 'thanedble the, anea' + chr(39)), sql_tokens('text'))}, 6) AS overlap FROM documents")
+@query(f"SELECT doc_id, CAST({sql_phrase(sql_tokens(chr(39) + 'thanedble the, anea' + chr(39)), sql_tokens('text'))} AS DOUBLE) AS overlap FROM documents")
 def phrase_overlap(spark, d):
     rows = view(spark, d, "documents")
     return rows.select("doc_id", scoring.phrase_overlap(text.search_tokens(F.lit("thanedble the, anea")), text.search_tokens(F.col("text"))).alias("overlap"))
@@ -297,8 +297,8 @@ def _pairs(spark, d):
     return pairs.select("a", "b", left.alias("l"), right.alias("r"))
 
 
-@query(f"""WITH n AS ({_NAMES}) SELECT x.name AS a, y.name AS b, CASE WHEN x.name = y.name THEN 1.0
-  WHEN substr(x.name, 1, 1) = substr(y.name, 1, 1) THEN 0.89 ELSE -1 END AS tier
+@query(f"""WITH n AS ({_NAMES}) SELECT x.name AS a, y.name AS b, CAST(CASE WHEN x.name = y.name THEN 1.0
+  WHEN substr(x.name, 1, 1) = substr(y.name, 1, 1) THEN 0.89 ELSE -1 END AS DOUBLE) AS tier
 FROM n x JOIN n y ON split_part(x.name, ' ', 2) = split_part(y.name, ' ', 2)""")
 def name_similarity_tiers(spark, d):
     return _pairs(spark, d).select("a", "b", F.coalesce(names.similarity_tiers(F.col("l"), F.col("r")), F.lit(-1.0)).alias("tier"))
@@ -369,7 +369,7 @@ s AS (SELECT s_suppkey AS professor_id, 'A' || c_custkey AS candidate_id, pos,
 """
 
 
-@query(_DECISION + "SELECT professor_id, candidate_id, pos, institution_score, topic_score, recency_score FROM s")
+@query(_DECISION + "SELECT professor_id, candidate_id, CAST(pos AS INT) AS pos, CAST(institution_score AS DOUBLE) AS institution_score, CAST(topic_score AS DOUBLE) AS topic_score, CAST(recency_score AS DOUBLE) AS recency_score FROM s")
 def match_candidates_ranked(spark, d):
     people, found = _candidates(spark, d)
     return resolve.score_candidates(people, found).select("professor_id", "candidate_id", "pos", "institution_score", "topic_score", "recency_score")
@@ -539,12 +539,12 @@ def distinct_departments(spark, d):
     return inspect.department_types(view(spark, d, "people"))
 
 
-@query(f"{cte('works', 'links')} SELECT * FROM (SELECT professor_id, work_id, publication_year, row_number() OVER (PARTITION BY professor_id ORDER BY publication_year DESC NULLS LAST, cited_by_count DESC NULLS LAST, work_id DESC) AS place FROM links JOIN works USING (work_id)) WHERE place <= 3")
+@query(f"{cte('works', 'links')} SELECT * FROM (SELECT professor_id, work_id, publication_year, CAST(row_number() OVER (PARTITION BY professor_id ORDER BY publication_year DESC NULLS LAST, cited_by_count DESC NULLS LAST, work_id DESC) AS INT) AS place FROM links JOIN works USING (work_id)) WHERE place <= 3")
 def recent_works_top3(spark, d):
     return inspect.recent_works(view(spark, d, "links"), view(spark, d, "works"), 3, by="citations").select("professor_id", "work_id", "publication_year", "place")
 
 
-@query(f"{cte('works', 'links')} SELECT * FROM (SELECT professor_id, work_id, title, row_number() OVER (PARTITION BY professor_id ORDER BY publication_year DESC NULLS LAST, work_id DESC) AS place FROM links JOIN works USING (work_id)) WHERE place <= 8")
+@query(f"{cte('works', 'links')} SELECT * FROM (SELECT professor_id, work_id, title, CAST(row_number() OVER (PARTITION BY professor_id ORDER BY publication_year DESC NULLS LAST, work_id DESC) AS INT) AS place FROM links JOIN works USING (work_id)) WHERE place <= 8")
 def person_detail_works(spark, d):
     return inspect.recent_works(view(spark, d, "links"), view(spark, d, "works"), 8).select("professor_id", "work_id", "title", "place")
 
@@ -678,14 +678,31 @@ def domain_allowlist(spark, d):
     return view(spark, d, "pages").select("page_id", F.lower(F.try_parse_url("url", F.lit("HOST"))).alias("host"), text.host_allowed(F.col("url"), domains).alias("allowed"))
 
 
-@query()
+def _site(spark, d):
+    """A roster page for each nation, with its suppliers, in one of three layouts."""
+    person = F.concat(F.lit("Ann "), F.col("s_name"))
+    link = F.concat(F.lit('<a class="faculty-name" href="/p/'), F.col("s_suppkey").cast("string"), F.lit('">'), person, F.lit("</a>"))
+    mail = F.concat(F.lit("S"), F.col("s_suppkey").cast("string"), F.lit("@Example.org"))
+    kind = F.col("s_nationkey") % 3
+    card = F.when(kind == 0, F.concat(F.lit('<div class="card faculty-card"><h3>'), link, F.lit('</h3><p class="faculty-card__job-title">Professor &amp;\n Chair</p>'), mail, F.lit("</div>")))
+    card = card.when(kind == 1, F.concat(F.lit('<div class="views-row"><h3>'), link, F.lit('</h3><p class="title"><b class="title">Professor &amp; Chair</b></p><div class="email"><a>'), mail, F.lit("</a></div></div>")))
+    card = card.otherwise(F.concat(F.lit('<div class="faculty-member">'), link, F.lit('<p class="position-title">Position title: Professor &amp; Chair'), F.lit("</p>"), mail, F.lit("</div>")))
+    pages = view(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("page_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", card.alias("card")))), lambda c: c["card"]), "").alias("cards"), F.count("*").alias("n"))
+    more = F.concat(F.lit('<a href="?page='), F.col("n").cast("string"), F.lit('#top">next</a><a href="/other?page=1">x</a><a href="?page='), F.col("n").cast("string"), F.lit('">again</a>'))
+    url = F.concat(F.lit("https://example.org/n/"), F.col("page_id").cast("string"))
+    hint = F.when(F.col("page_id") % 3 == 0, "mit_faculty_cards").when(F.col("page_id") % 3 == 1, "penn_people_rows").otherwise("wisc_faculty_cards")
+    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), url.alias("url"), F.concat(F.lit("<html><body>"), "cards", more).alias("html"), hint.alias("parser_hint"))
+
+
+@query("SELECT CAST(s_nationkey AS BIGINT) AS page_id, 'https://example.org/n/' || s_nationkey || '?page=' || count(*) AS url FROM supplier GROUP BY s_nationkey")
 def pagination_urls(spark, d):
-    return page_source.pagination(view(spark, d, "pages").select("page_id", "url", "html"))
+    return page_source.pagination(_site(spark, d)).select("page_id", "url")
 
 
-@query()
+@query("""SELECT CAST(s_nationkey AS BIGINT) AS page_id, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INT) AS position, 'Ann ' || s_name AS name,
+  lower('Ann ' || replace(s_name, '#', '')) AS normalized_name, 'Professor & Chair' AS title, lower('s' || s_suppkey || '@example.org') AS email, 'https://example.org/p/' || s_suppkey AS profile_url FROM supplier""")
 def roster_extract(spark, d):
-    return page_source.rosters(view(spark, d, "pages").select("page_id", "url", "html").withColumn("parser_hint", F.lit(None).cast("string")))
+    return page_source.rosters(_site(spark, d)).select("page_id", "position", "name", "normalized_name", "title", "email", "profile_url")
 
 
 @query()

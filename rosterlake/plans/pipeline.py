@@ -64,7 +64,7 @@ def _number(ctx: Context, name: str, rows: DataFrame, ident: str, order: list[st
 
 
 def load_seed(ctx: Context) -> dict:
-    items = seed.read_seed(ctx.spark, ctx.settings.app.seed_file, ctx.limit).cache()
+    items = seed.read_seed(ctx.spark, ctx.settings.app.seed_file, ctx.limit)
     found = seed.sources(items)
     wrong = seed.off_domain(found).take(1)
     if wrong:
@@ -105,7 +105,7 @@ def _scrape(f: fetch.Fetcher, row: dict):
 
 def scrape(ctx: Context) -> dict:
     todo = ctx.table("sources").where(F.col("status").isin("pending", "error"))
-    todo = works.resume(todo, "source_id", None, ctx.limit).cache()
+    todo = works.resume(todo, "source_id", None, ctx.limit).checkpoint()
     got = fetch.fetch_each(todo.repartition("university"), ctx.fetcher, _scrape, SCRAPED).checkpoint()
     errors = got.where("error IS NOT NULL").select("source_id", F.col("error").alias("message"))
     entries = got.where("error IS NULL").drop("error")

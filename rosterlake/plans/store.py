@@ -19,16 +19,16 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], keep: list[str] | Non
     """``old`` with the rows of ``new`` in place of, or beside, those of equal key;
     columns in ``keep`` stay as they were where the row was there before."""
     if not keep:
-        return old.join(new.select(key), key, "left_anti").unionByName(new.select(old.columns))
+        return old.join(new.select(key), key, "left_anti").select(old.columns).unionByName(new.select(old.columns))
     there = old.select(*key, *[F.col(c).alias(f"old_{c}") for c in keep], F.lit(True).alias("was_there"))
     changed = new.join(there, key, "left")
     for c in keep:
         changed = changed.withColumn(c, F.when(F.col("was_there"), F.col(f"old_{c}")).otherwise(F.col(c)))
-    return old.join(new.select(key), key, "left_anti").unionByName(changed.select(old.columns))
+    return old.join(new.select(key), key, "left_anti").select(old.columns).unionByName(changed.select(old.columns))
 
 
 def delete(old: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
-    return old.join(gone.select(key).distinct(), key, "left_anti")
+    return old.join(gone.select(key).distinct(), key, "left_anti").select(old.columns)
 
 
 def target_ids(new: DataFrame, old: DataFrame, ident: str, first: list[str], then: list[str]) -> DataFrame:
