@@ -11,6 +11,7 @@ ends a word).  Any other text goes to the library whole.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ MEMO_CHARS = 100
 #: Characters for which splitting here equals splitting by the library.
 _SPLITTABLE = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 #: The vocabulary's split pattern over lower-cased characters of that set.
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+_WORDS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-z0-9ß-öø-ÿ]+")
 
 
 def default_path() -> str:
@@ -70,12 +71,15 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.memo) > self.cap:
-            self.memo = {}
-        split = [self._split(t) for t in texts]
-        new = set().union(*(w for w in split if w)).difference(self.memo)
+            # words met first are the common ones: they stay
+            self.memo = dict(itertools.islice(self.memo.items(), self.cap // 2))
+        memo, split = self.memo, [self._split(t) for t in texts]
+        new: set[str] = set()
+        for words in split:
+            if words is not None and not all(map(memo.__contains__, words)):
+                new.update(w for w in words if w not in memo)
         long = {w for w in new if len(w) > MEMO_CHARS}
         self._learn(list(new - long))
-        memo = self.memo
         for text, words in zip(texts, split, strict=True):
             if words is None or long and not long.isdisjoint(words):
                 yield self._ids([text])[0].tobytes()
