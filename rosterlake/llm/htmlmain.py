@@ -156,7 +156,7 @@ def labelled_pages(n: int = 60, seed: int = 7) -> list[tuple[str, set[str]]]:
         body = f"<h1>{says('c', 2, 8)}</h1>" + "".join(f"<p>{says('c', 5, 80)}</p>" if rng.random() < 0.8 else f"<ul><li>{says('c', 3, 10)}</li><li>{says('c', 3, 10)}</li></ul>" for _ in range(rng.randint(2, 9)))
         wrap = rng.choice(["article", "main", "div", "section"])
         page = f"<html><head><title>{says('b', 2, 6)}</title></head><body>{head}{menu}{ad if i % 2 else ''}<{wrap}>{body}</{wrap}>{side}{form}{talk}{'' if i % 2 else ad}<footer>{says('b', 3, 15)}</footer></body></html>"
-        out.append((page, set(re.findall(r"\bc[aeioulnrst]+", page))))
+        out.append((page, set(re.findall(r"\bc[aeioulnrst]+", re.sub(r"<[^>]*>", " ", page)))))
     return out
 
 

@@ -44,6 +44,9 @@ class Model:
     slope: float
     intercept: float
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "compressors"}
+
     @functools.cached_property
     def compressors(self) -> tuple:
         return tuple(_compressor(d) for d in (self.good, self.bad))

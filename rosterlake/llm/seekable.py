@@ -163,7 +163,12 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
             return
         writer.close()
         sink.close()
-        store.move(own, final)
+        try:
+            store.move(own, final)
+        except OSError:  # where a move does not replace: an earlier run of this task has left the same file
+            if store.get_file_info(final).type != fs.FileType.File:
+                raise
+            store.delete_file(own)
         row = (f"{folder.rstrip('/')}/tokens-{part:06d}.zst", part, first, len(writer.docs), writer.n_ids, len(writer.frames), writer.n_bytes)
         yield pa.RecordBatch.from_arrays(
             [pa.array([v], t) for v, t in zip(row, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
