@@ -17,10 +17,9 @@ least, by candidate counts taken from the key counts of all nodes:
   partition must stay under ``miss``.
 
 Nodes that meet in a bucket are verified in full.  A bucket of over ``BUCKET``
-nodes is split without losing pairs: in an exact search its nodes meet again at
-the points that lie within half the radius of both; in a similarity search
-blocks of the bucket meet pairwise.  A bucket yields a spanning forest of its
-links, never all pairs.
+nodes is settled without losing pairs: in an exact search its nodes meet again at
+the points that lie within one bit of both; in a similarity search see
+``_crowded``.  A bucket yields a spanning forest of its links, never all pairs.
 
 Defined cases: null text is the empty text; texts without words share
 fingerprint zero and link like any other; fewer words than a shingle has make
@@ -39,7 +38,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, fresh, small_batches
@@ -47,6 +46,11 @@ from .graph import components
 
 #: Nodes of a bucket that are verified in one list.
 BUCKET = 256
+#: See ``_promising``; at 3.5 fewer than one in 2,000 pairs is lost in a bucket, and
+#: a pair meets in several.
+SKETCH_SIGMAS = 3.5
+#: Nodes of a crowd that all others are compared with first.
+LEADERS = 32
 #: Stands for a null doc_id in the graph.
 NO_ID = -(1 << 63)
 _LANES = np.uint64(0x0001000100010001)
@@ -223,6 +227,8 @@ class Plan:
 
 def plan(nodes: DataFrame, n: int, search: Search) -> Plan:
     words = search.bits // 64
+    if search.radius is not None and search.radius > 2:
+        raise ValueError("exact search is for a radius of up to 2 bits")
     if search.radius is not None:  # expected rows a node for each number of partitions
         each = {m: m + m * n / 2.0 ** (64 / m) if m > search.radius else ball(64 // m, search.radius // m) * m for m in range(1, search.radius + 2)}
     else:
@@ -262,13 +268,15 @@ def plan(nodes: DataFrame, n: int, search: Search) -> Plan:
 
 
 def keys(nodes: DataFrame, made: Plan) -> DataFrame:
-    """(part, key, node) under which nodes are filed and probed."""
+    """(part, key, node, sketch) under which nodes are filed and probed; ``sketch`` is
+    the first 64 bits of the fingerprint."""
     parts = made.parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node = batch.column(0)
             x = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(len(node), -1)
+            sketch = pa.array(np.ascontiguousarray(x[:, 0]).view(np.int64))
             for k, (positions, t) in enumerate(parts):
                 key = np.zeros(len(x), np.uint64)
                 for i, b in enumerate(positions):
@@ -276,9 +284,9 @@ def keys(nodes: DataFrame, made: Plan) -> DataFrame:
                 for r in range(t + 1):
                     for flips in itertools.combinations(range(len(positions)), r):
                         mask = np.uint64(sum(1 << i for i in flips))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), pa.array((key ^ mask).view(np.int64)), node], names=["part", "key", "node"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), pa.array((key ^ mask).view(np.int64)), node, sketch], names=["part", "key", "node", "sketch"])
 
-    return nodes.select("node", "fp").mapInArrow(run, "part int, key bigint, node bigint")
+    return nodes.select("node", "fp").mapInArrow(run, "part int, key bigint, node bigint, sketch bigint")
 
 
 def near(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, search: Search) -> np.ndarray:
@@ -304,32 +312,37 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _verify(lists: DataFrame, search: Search) -> DataFrame:
-    """Edges (a, b), a spanning forest of each list of (node, fp, shingles)."""
+def _pairs(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of positions within runs of the given sizes, some at a time."""
+    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else np.zeros(0, np.int64)
+    for size in np.unique(sizes):
+        i, j = np.triu_indices(int(size), 1)
+        at = begin[sizes == size]
+        per = max(1, 200_000 // max(1, len(i)))
+        for lo in range(0, len(at), per):
+            yield (at[lo : lo + per, None] + i).ravel(), (at[lo : lo + per, None] + j).ravel()
+
+
+def _links_of(lists: DataFrame, search: Search) -> DataFrame:
+    """Edges (a, b), a spanning forest of each list of (node, sketch) or of (node, fp,
+    shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             members = batch.column(0)
-            sizes = np.diff(members.offsets.to_numpy())
             flat = members.flatten()
             node = flat.field("node").to_numpy(zero_copy_only=False)
-            x = np.frombuffer(b"".join(flat.field("fp").to_pylist()), "<u8").reshape(len(node), -1)
-            n = flat.field("shingles").to_numpy(zero_copy_only=False).astype(np.float64)
-            begin = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else np.zeros(0, np.int64)
-            found_a, found_b = [], []
-            for size in np.unique(sizes):
-                i, j = np.triu_indices(int(size), 1)
-                at = begin[sizes == size]
-                per = max(1, 200_000 // max(1, len(i)))
-                for lo in range(0, len(at), per):
-                    a = (at[lo : lo + per, None] + i).ravel()
-                    b = (at[lo : lo + per, None] + j).ravel()
-                    ok = near(x[a], x[b], n[a], n[b], search)
-                    found_a.append(a[ok])
-                    found_b.append(b[ok])
-            if not found_a:
-                continue
-            root = forest(len(node), np.concatenate(found_a), np.concatenate(found_b))
+            if search.radius is not None:
+                x, n = flat.field("sketch").to_numpy(zero_copy_only=False).view(np.uint64)[:, None], np.zeros(len(node))
+            else:
+                x = np.frombuffer(b"".join(flat.field("fp").to_pylist()), "<u8").reshape(len(node), -1)
+                n = flat.field("shingles").to_numpy(zero_copy_only=False).astype(np.float64)
+            found = [np.zeros((2, 0), np.int64)]
+            for a, b in _pairs(np.diff(members.offsets.to_numpy())):
+                ok = near(x[a], x[b], n[a], n[b], search)
+                found.append(np.stack([a[ok], b[ok]]))
+            a, b = np.concatenate(found, axis=1)
+            root = forest(len(node), a, b)
             own = np.flatnonzero(root != np.arange(len(node)))
             if len(own):
                 yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[root[own]])], names=["a", "b"])
@@ -337,27 +350,96 @@ def _verify(lists: DataFrame, search: Search) -> DataFrame:
     return lists.select("members").mapInArrow(run, "a bigint, b bigint")
 
 
+def _promising(lists: DataFrame, search: Search) -> DataFrame:
+    """(part, key, node) of list members whose sketch is near that of another one:
+    within ``SKETCH_SIGMAS`` deviations of the bits that differ at the similarity
+    asked for, which nodes that share a bucket by chance hardly ever are."""
+    d = search.differ()
+    most = math.ceil(64 * d + SKETCH_SIGMAS * math.sqrt(64 * d * (1 - d)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members = batch.column(2)
+            sizes = np.diff(members.offsets.to_numpy())
+            flat = members.flatten()
+            x = flat.field("sketch").to_numpy(zero_copy_only=False).view(np.uint64)
+            keep = np.zeros(len(x), bool)
+            for a, b in _pairs(sizes):
+                ok = np.bitwise_count(x[a] ^ x[b]) <= most
+                keep[a[ok]] = keep[b[ok]] = True
+            row = pa.array(np.repeat(np.arange(len(sizes)), sizes)[keep])
+            if len(row):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), flat.field("node").filter(pa.array(keep))], names=["part", "key", "node"])
+
+    return lists.select("part", "key", "members").mapInArrow(run, "part int, key bigint, node bigint")
+
+
 def links(nodes: DataFrame, made: Plan, search: Search, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) between nodes (node, fp, shingles); their components are those
     of all links."""
-    filed = keys(nodes, made)
-    size = filed.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = filed.join(size, ["part", "key"]).join(nodes, "node")
-    member = F.collect_list(F.struct("node", "fp", "shingles")).alias("members")
-    few = _verify(met.where(F.col("n") <= bucket).groupBy("part", "key").agg(member), search)
-    many = met.where(F.col("n") > bucket)
-    if search.radius is not None and search.radius <= 2:
+    filed, spot = keys(nodes, made), ["part", "key"]
+    large = cut(filed.groupBy(spot).agg(F.count("*").alias("n"), F.min("node").alias("least")).where(F.col("n") > bucket))
+    filed = filed.join(large, spot, "left")
+    few, many = filed.where("n IS NULL"), filed.where("n IS NOT NULL")
+    few = few.groupBy(spot).agg(F.collect_list(F.struct("node", "sketch")).alias("members")).where(F.size("members") > 1)
+    if search.radius is not None:
         # nodes within 2 bits meet at a point within 1 bit of both; at most 65 nodes meet at one
-        points = _points(many.select("node", "fp").distinct())
+        points = _points(many.select("node", "sketch").distinct())
         stars = points.groupBy("point").agg(F.min("node").alias("a"), F.collect_list("node").alias("all")).where(F.size("all") > 1)
-        return few.unionByName(stars.select("a", F.explode("all").alias("b")).where("a != b"))
-    half = max(1, bucket // 2)
-    blocks = F.ceil(F.col("n") / half).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    dealt = many.withColumn("own", own).withColumn("other", other)
-    dealt = dealt.groupBy("part", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).agg(member)
-    return few.unionByName(_verify(dealt, search))
+        return _links_of(few, search).unionByName(stars.select("a", F.explode("all").alias("b")).where("a != b"))
+    # a node's buckets, one a partition at most, travel as a list until its fingerprint is there
+    spots = _promising(few, search).groupBy("node").agg(F.collect_list(F.struct(*spot)).alias("spots"))
+    near_by = spots.join(nodes, "node").select(F.explode("spots").alias("spot"), F.struct("node", "fp", "shingles").alias("m"))
+    near_by = near_by.groupBy("spot").agg(F.collect_list("m").alias("members"))
+    edges = _links_of(near_by, search)
+    return edges if large.isEmpty() else edges.unionByName(_crowded(many.select(F.col("node").alias("a"), F.col("least").alias("b")), nodes, search, bucket))
+
+
+def _crowded(met: DataFrame, nodes: DataFrame, search: Search, bucket: int) -> DataFrame:
+    """Edges among nodes that share large buckets, given as stars (a, b).
+
+    A large group of near copies fills a bucket in every partition.  Buckets with
+    nodes in common make a crowd, and a crowd is settled once: all its nodes are
+    compared with ``LEADERS`` of them, which joins a group of near copies to one
+    piece, and only nodes outside a crowd's largest piece are then compared with
+    all of it, block by block."""
+    crowd = components(met.unionByName(met.select(F.col("b").alias("a"), F.col("b"))))
+    crowd = crowd.unionByName(crowd.select(F.col("component").alias("node"), "component").distinct()).distinct().withColumnRenamed("component", "crowd")
+    crowd = cut(crowd.join(nodes, "node"))
+    member = F.struct("node", "fp", "shingles")
+    order = Window.partitionBy("crowd").orderBy(F.xxhash64("node"))
+    leaders = crowd.withColumn("at", F.row_number().over(order)).where(F.col("at") <= LEADERS).groupBy("crowd").agg(F.collect_list(member).alias("leaders"))
+    led = cut(_against(crowd.join(leaders, "crowd"), search))
+    pieces = crowd.join(components(led), "node", "left").withColumn("piece", F.coalesce("component", "node")).drop("component")
+    largest = pieces.groupBy("crowd", "piece").agg(F.count("*").alias("n")).groupBy("crowd").agg(F.max_by("piece", "n").alias("largest"), F.sum("n").alias("n"))
+    block = 4 * bucket
+    largest = largest.withColumn("cols", F.ceil(F.col("n") / block).cast("int"))
+    rest = cut(pieces.join(largest, "crowd").where("piece != largest"))
+    rows = rest.groupBy("crowd").agg(F.ceil(F.count("*") / block).cast("int").alias("rows"))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rest.join(rows, "crowd").select("crowd", own("rows").alias("row"), other("cols").alias("col"), member.alias("m"))
+    right = crowd.join(largest, "crowd").join(rows, "crowd").select("crowd", other("rows").alias("row"), own("cols").alias("col"), member.alias("m"))
+    blocks = left.unionByName(right).distinct().groupBy("crowd", "row", "col").agg(F.collect_list("m").alias("members"))
+    return led.unionByName(_links_of(blocks, search))
+
+
+def _against(rows: DataFrame, search: Search) -> DataFrame:
+    """Edges (a, b) of each node with those of its row's leaders that it links to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(3)
+            sizes = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten()
+            node, theirs = (c.to_numpy(zero_copy_only=False) for c in (batch.column(0), flat.field("node")))
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u8").reshape(-1, search.bits // 64) for c in (batch.column(1), flat.field("fp")))
+            n, m = (c.to_numpy(zero_copy_only=False).astype(np.float64) for c in (batch.column(2), flat.field("shingles")))
+            own = np.repeat(np.arange(len(node)), sizes)
+            ok = (node[own] != theirs) & near(x[own], y, n[own], m, search)
+            yield pa.RecordBatch.from_arrays([pa.array(node[own[ok]]), pa.array(theirs[ok])], names=["a", "b"])
+
+    return rows.select("node", "fp", "shingles", "leaders").mapInArrow(run, "a bigint, b bigint")
 
 
 def _points(nodes: DataFrame) -> DataFrame:
@@ -366,7 +448,7 @@ def _points(nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8")
+            x = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
             node = batch.column(0).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, 65)), pa.array((x[:, None] ^ flips).ravel().view(np.int64))], names=["node", "point"])
 
