@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,22 +42,51 @@ def hash_components(rows: DataFrame, key: str, text: str, dim: int) -> DataFrame
     return sums.where("value != 0")
 
 
+#: Words whose parts a worker remembers.
+MEMO_WORDS = 200_000
+_memo: dict[tuple[str, int], np.ndarray] = {}
+
+
+def _word(token: str, dim: int) -> np.ndarray:
+    """2 x 8: buckets and signs of a word."""
+    found = _memo.get((token, dim))
+    if found is None:
+        if len(_memo) > MEMO_WORDS:
+            _memo.clear()
+        d = hashlib.sha256(token.encode()).digest()
+        found = _memo[token, dim] = np.array([[int.from_bytes(d[k : k + 4], "big") % dim for k in range(0, 32, 4)], [1 - 2 * (d[k] % 2) for k in range(0, 32, 4)]])
+    return found
+
+
+def hash_embed_text(text: str, dim: int) -> np.ndarray:
+    """A text's unit vector, zero without words.  Sums are of whole numbers, so their
+    order does not matter."""
+    parts = [_word(t, dim) for t in text.lower().split()]
+    if not parts:
+        return np.zeros(dim)
+    bucket, sign = np.concatenate(parts, axis=1)
+    sums = np.bincount(bucket, weights=sign, minlength=dim)
+    norm = math.sqrt(float((sums * sums).sum()))
+    return sums / norm if norm else sums
+
+
 def hash_embed(rows: DataFrame, key: str, text: str, dim: int) -> DataFrame:
-    """(key, embedding): unit vectors; a text without words has the zero vector."""
-    parts = hash_components(rows, key, text, dim).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("parts"), F.sqrt(F.sum(F.col("value") * F.col("value")).cast("double")).alias("norm"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("parts", i), F.lit(0)) / F.coalesce("norm", F.lit(1.0)))
-    return rows.select(key).join(parts, key, "left").select(key, dense.alias("embedding"))
+    """(key, embedding): unit vectors; a text without words has the zero vector.  One
+    pass in Arrow batches; ``hash_components`` is the same sums by DataFrame functions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [hash_embed_text(t or "", dim) for t in batch.column(1).to_pylist()]
+            flat = pa.array(np.concatenate(x) if x else np.zeros(0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * dim), flat)], names=[key, "embedding"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, text).mapInArrow(run, f"`{key}` {kind}, embedding array<double>")
 
 
 def hash_embed_one(text: str, dim: int) -> list[float]:
     """The same for one text on the driver, such as a query."""
-    out = [0.0] * dim
-    for token in text.lower().split():
-        d = hashlib.sha256(token.encode()).digest()
-        for k in range(0, 32, 4):
-            out[int.from_bytes(d[k : k + 4], "big") % dim] += 1.0 if d[k] % 2 == 0 else -1.0
-    norm = math.sqrt(sum(x * x for x in out))
-    return [x / norm for x in out] if norm else out
+    return hash_embed_text(text, dim).tolist()
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -6,13 +6,18 @@ verification_status, duplicate_of), universities (university_id, name), links
 source_name), vectors (work_id, embedding).
 
 ``prepare_works`` does once what every query needs of a work: its tokens, title
-key and vector.  A query batch is then one plan: prepared works x queries (a
-small, broadcast side of checked size), people, two windows, top k.
+key and vector.  A query batch is then one plan: prepared works scored against the
+batch (which is small, of checked size and broadcast), people, two windows, top k.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text, vectors
@@ -56,27 +61,65 @@ def query_rows(queries: DataFrame, dim: int) -> DataFrame:
     return ready.join(vector, "query_id").select("query_id", text.search_tokens(F.col("q")).alias("query_tokens"), F.col("embedding").alias("query_vector"))
 
 
-def score_column(semantic: Column) -> Column:
-    q, title, abstract = F.col("query_tokens"), F.col("title_tokens"), F.col("abstract_tokens")
-    return scoring.work_score(semantic, scoring.keyword_overlap(q, title), scoring.keyword_overlap(q, abstract), scoring.phrase_overlap(q, title), scoring.phrase_overlap(q, abstract))
+@dataclass(frozen=True)
+class Asked:
+    """A query as each task needs it."""
+
+    query_id: int
+    terms: frozenset
+    phrase: str
+    vector: np.ndarray
 
 
 def score_works(prepared: DataFrame, ready: DataFrame) -> DataFrame:
-    """(query_id, work_id, work_score, ...) of every work for every query of a batch."""
-    held = ready.sparkSession.createDataFrame(ready.limit(QUERY_BATCH + 1).collect(), ready.schema)
-    if held.count() > QUERY_BATCH:
+    """(query_id, work_id, work_score) of every work for every query of a batch.  A
+    work's words become a set once, whatever the number of queries; cosines are one
+    matrix product a batch of works."""
+    rows = ready.limit(QUERY_BATCH + 1).collect()
+    if len(rows) > QUERY_BATCH:
         raise ValueError(f"a batch holds at most {QUERY_BATCH} queries; search in parts")
-    pairs = prepared.crossJoin(F.broadcast(held))
-    score = score_column(vectors.cosine(F.col("query_vector"), F.col("embedding")))
-    return pairs.withColumn("work_score", F.round(score, TIE_PLACES))
-
-
-def ranked_works(scored: DataFrame, people: DataFrame, links: DataFrame) -> DataFrame:
+    asked = []
+    for r in rows:
+        terms = [t for t in r["query_tokens"] if len(t) > 2]
+        v = np.array(r["query_vector"], np.float64)
+        size = float(np.sqrt((v * v).sum()))
+        asked.append(Asked(r["query_id"], frozenset(terms), " ".join(terms) if len(terms) > 1 else "", v / size if size else v))
+    shared = prepared.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for batch in batches:
+            if not held or not batch.num_rows:
+                continue
+            titles, abstracts, vectors_ = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            words = [(set(t), " ".join(t), set(a), " ".join(a)) for t, a in zip(titles, abstracts, strict=True)]
+            cosines = np.zeros((len(held), len(words)))
+            for n in {len(q.vector) for q in held}:
+                own, mine = [k for k, v in enumerate(vectors_) if len(v) == n], [k for k, q in enumerate(held) if len(q.vector) == n]
+                if own:
+                    x = np.array([vectors_[k] for k in own], np.float64)
+                    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+                    x = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+                    cosines[np.ix_(mine, own)] = np.stack([held[k].vector for k in mine]) @ x.T
+            for k, q in enumerate(held):
+                n, terms, phrase = len(q.terms) or 1, q.terms, q.phrase
+                lexical = [
+                    0.2 * len(terms & t) / n + 0.1 * len(terms & a) / n + 0.05 * (1.0 if phrase and phrase in tt else 0.5 if phrase and phrase in aa else 0.0)
+                    for t, tt, a, aa in words
+                ]
+                score = np.round(0.65 * cosines[k] + np.array(lexical), TIE_PLACES)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), q.query_id, np.int64)), batch.column(0), pa.array(score)], names=["query_id", "work_id", "work_score"])
+
+    return prepared.select(F.col("work_id").cast("bigint").alias("work_id"), "title_tokens", "abstract_tokens", "embedding").mapInArrow(run, "query_id bigint, work_id bigint, work_score double")
+
+
+def ranked_works(scored: DataFrame, prepared: DataFrame, people: DataFrame, links: DataFrame) -> DataFrame:
     """Works of each searchable person, one for each title, best first (``place``
     from 1).  Of one title a published version stays before a preprint, then the
     better score, the longer title, the smaller id."""
     who = searchable(people).select("professor_id")
-    theirs = links.select("professor_id", "work_id").distinct().join(who, "professor_id", "left_semi").join(scored, "work_id")
+    about = prepared.select("work_id", "title", "publication_year", "doi", "source_name", "title_key", "preprint")
+    theirs = links.select("professor_id", "work_id").distinct().join(who, "professor_id", "left_semi").join(about, "work_id").join(scored, "work_id")
     title = F.coalesce("title", F.lit(""))
     best = F.max_by(F.struct("work_id", "title", "publication_year", "doi", "source_name", "work_score"), F.struct(~F.col("preprint"), F.col("work_score"), F.char_length(title), -F.col("work_id")))
     one = theirs.groupBy("query_id", "professor_id", "title_key").agg(best.alias("w")).select("query_id", "professor_id", "w.*")
@@ -98,7 +141,7 @@ def rank_people(ranked: DataFrame, people: DataFrame, universities: DataFrame, r
 def search(tables: dict[str, DataFrame], queries: DataFrame, dim: int = 768, result_limit: int | None = 25, work_limit: int = 5) -> tuple[DataFrame, DataFrame]:
     """(hits, ranked works) of (query_id, query) rows."""
     prepared = tables["prepared"] if "prepared" in tables else prepare_works(tables["works"], tables["vectors"])
-    ranked = ranked_works(score_works(prepared, query_rows(queries, dim)), tables["people"], tables["links"])
+    ranked = ranked_works(score_works(prepared, query_rows(queries, dim)), prepared, tables["people"], tables["links"])
     return rank_people(ranked, tables["people"], tables["universities"], result_limit, work_limit), ranked
 
 

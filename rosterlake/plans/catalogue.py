@@ -139,7 +139,8 @@ def search_people_batch(spark, d):
 @query(sql_search(ONE_QUERY) + " SELECT query_id, work_id, round(work_score, 6) AS work_score, preprint FROM scored")
 def search_work_scores(spark, d):
     t = tables(spark, d)
-    scored = search.score_works(search.prepare_works(t["works"], t["vectors"]), search.query_rows(one_query(spark), DIM))
+    prepared = search.prepare_works(t["works"], t["vectors"])
+    scored = search.score_works(prepared, search.query_rows(one_query(spark), DIM)).join(prepared.select("work_id", "preprint"), "work_id")
     return scored.select("query_id", "work_id", F.round("work_score", 6).alias("work_score"), "preprint")
 
 

@@ -57,11 +57,23 @@ FROM {orders}""",
 }
 
 
+def fed(df: DataFrame, key: str) -> DataFrame:
+    """``df``, dealt out by ``key`` if its files are fewer than the session's cores: a
+    small table in one file would else be worked on by one task.  Many files need no
+    shuffle for that."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name == "documents":
+        return fed(spark.read.parquet(f"{sf_dir}/{name}.parquet"), "doc_id")
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = VIEWS[name]
-    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in re.findall(r"\{(\w+)\}", text)}
+    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in re.findall(r"(?<!\{)\{(\w+)\}", text)}
+    if name == "works":
+        used["documents"] = fed(used["documents"], "doc_id")
     return spark.sql(text, **used)
 
 

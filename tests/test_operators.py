@@ -74,6 +74,7 @@ def test_ties_go_to_the_smaller_id_and_facets_filter_after(spark, corpus):
 def test_batch_size_is_checked(spark, monkeypatch):
     monkeypatch.setattr(search, "QUERY_BATCH", 2)
     ready = spark.range(3).select(F.col("id").alias("query_id"), F.array(F.lit("a")).alias("query_tokens"), F.array(F.lit(1.0)).alias("query_vector"))
+
     with pytest.raises(ValueError):
         search.score_works(ready, ready)
 
