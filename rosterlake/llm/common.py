@@ -13,10 +13,6 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 512
 
 
-def session(df: DataFrame) -> SparkSession:
-    return df.sparkSession
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound the memory that one Arrow batch of texts can take."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -72,9 +68,3 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
-
-
-def spread(df: DataFrame, rows_per_task: int, column: str) -> DataFrame:
-    """Deal rows out evenly by a hash of ``column``; the number of tasks follows
-    the shuffle setting of the session."""
-    return df.repartition(F.xxhash64(column))
