@@ -16,7 +16,11 @@ least, by candidate counts taken from the key counts of all nodes:
   shingles.  The chance that a pair at the similarity asked for meets in no
   partition must stay under ``miss``.
 
-Nodes that meet in a bucket are verified in full.  A bucket of over ``BUCKET``
+Nodes that meet in a bucket are verified in full.  In a similarity search the
+fingerprints decide only pairs that they leave no doubt of; all other candidates are
+settled by the exact Jaccard similarity of their shingle sets (``_settled``).  Texts of
+few shingles, whose bits differ more often than the rule for many says, are searched a
+second time by thresholds of their own (``lanes``).  A bucket of over ``BUCKET``
 nodes is settled without losing pairs: in an exact search its nodes meet again at
 the points that lie within one bit of both; in a similarity search see
 ``_crowded``.  A bucket yields a spanning forest of its links, never all pairs.
@@ -30,10 +34,11 @@ way.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, small_batches
+from .common import cut, fresh, small_batches, table
 from .graph import components
 
 #: Nodes of a bucket that are verified in one list.
@@ -49,6 +54,11 @@ BUCKET = 256
 #: See ``_promising``; at 3.5 fewer than one in 2,000 pairs is lost in a bucket, and
 #: a pair meets in several.
 SKETCH_SIGMAS = 3.5
+#: Texts with fewer shingles than these have bounds of their own, see ``rules``.
+FEW = (9, 64)
+#: A pair is sure, or out of the question, this many deviations of the differing bits
+#: from where it could be otherwise: a chance of one in 30,000 a pair at the bound.
+SURE_SIGMAS = 4
 #: Nodes of a crowd that all others are compared with first.
 LEADERS = 32
 #: Stands for a null doc_id in the graph.
@@ -134,19 +144,78 @@ def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, distinct: bool
 @dataclass(frozen=True)
 class Search:
     """Within ``radius`` bits exactly, or (radius None) at a Jaccard similarity of
-    ``similarity``, missing a pair there with a chance under ``miss``."""
+    ``similarity``, missing a pair there with a chance under ``miss``.  ``share`` is the
+    share of differing bits to plan for, where it is not that of many shingles."""
 
     bits: int = 64
     radius: int | None = 2
     similarity: float = 0.8
     miss: float = 0.02
+    share: float | None = None
 
     def differ(self) -> float:
         """The share of bits that differ, on average, at ``similarity`` between
         documents of one size."""
+        if self.share is not None:
+            return self.share
         return math.acos(2 * self.similarity / (1 + self.similarity)) / math.pi
 
 
+def differing(na: int, nb: int, common: int) -> float:
+    """The chance that a bit differs between majorities of ``na`` and of ``nb`` hashes
+    that have ``common`` ones in common; a tie is no majority."""
+    k = np.arange(common + 1)
+    both = np.array([math.comb(common, i) / 2**common for i in k])
+
+    def on(n: int) -> np.ndarray:
+        own, need = n - common, n // 2 + 1 - k
+        tail = np.cumsum([math.comb(own, i) / 2**own for i in range(own, -1, -1)])[::-1]
+        return np.where(need <= 0, 1.0, np.where(need > own, 0.0, tail[np.clip(need, 0, own)]))
+
+    a, b = on(na), on(nb)
+    return float((both * (a * (1 - b) + b * (1 - a))).sum())
+
+
+def least_common(n, similarity: float):
+    """The common shingles that sets of ``n`` together need."""
+    return np.ceil(similarity * n / (1 + similarity) - 1e-9)
+
+
+@dataclass(frozen=True)
+class Rules:
+    """Pairs of at most ``sure`` differing bits link.  ``shares`` are the largest shares
+    of bits that differ at the similarity asked for, of texts with under ``FEW[0]``,
+    under ``FEW[1]`` and more shingles; ``most`` the bits beyond which a pair is out."""
+
+    sure: int
+    shares: tuple[float, ...]
+    most: tuple[int, ...]
+
+
+@functools.cache
+def rules(bits: int, similarity: float) -> Rules:
+    """From the exact chances for few shingles.  The bias of majorities falls with the
+    count, so those at ``FEW[1]`` bound all larger ones."""
+    top, low = [0.0] * (len(FEW) + 1), math.acos(math.sqrt(similarity)) / math.pi
+    for na in range(1, FEW[-1] + 9):
+        at = sum(na >= f for f in FEW)
+        for nb in range(na, math.floor(na / similarity + 1e-9) + 2):
+            common = int(least_common(na + nb, similarity))
+            if common <= na:
+                top[at] = max(top[at], differing(na, nb, common))
+            if 0 < common <= na + 1:
+                low = min(low, differing(na, nb, common - 1))
+    wide = lambda d: SURE_SIGMAS * math.sqrt(bits * d * (1 - d))
+    return Rules(math.floor(bits * low - wide(low)), tuple(top), tuple(math.ceil(bits * d + wide(d)) for d in top))
+
+
+def lanes(search: Search) -> list[tuple[int | None, Search]]:
+    """The searches that find all pairs: (the most shingles of a node or None, search)."""
+    shares = rules(search.bits, search.similarity).shares
+    few = [(math.floor((f - 1) / search.similarity + 1e-9), replace(search, share=d)) for f, d in zip(FEW, shares, strict=False)]
+    return [(None, search), *few[::-1]]
+
+
 def ball(bits: int, t: int) -> int:
     return sum(math.comb(bits, i) for i in range(t + 1))
 
@@ -289,13 +358,17 @@ def keys(nodes: DataFrame, made: Plan) -> DataFrame:
     return nodes.select("node", "fp").mapInArrow(run, "part int, key bigint, node bigint, sketch bigint")
 
 
-def near(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, search: Search) -> np.ndarray:
-    """Whether pairs of fingerprints link."""
+def near(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, search: Search) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of fingerprints: whether they link, and whether only their shingles can
+    tell."""
     apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
     if search.radius is not None:
-        return apart <= search.radius
-    common = np.cos(np.pi * apart / search.bits) * np.sqrt(na * nb)
-    return common >= search.similarity * (na + nb - common)
+        return apart <= search.radius, np.zeros(len(apart), bool)
+    made = rules(search.bits, search.similarity)
+    least = np.minimum(na, nb)
+    able = least_common(na + nb, search.similarity) <= least
+    sure = able & (apart <= made.sure)
+    return sure, able & ~sure & (apart <= np.array(made.most)[np.searchsorted(FEW, least, side="right")])
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -323,9 +396,16 @@ def _pairs(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield (at[lo : lo + per, None] + i).ravel(), (at[lo : lo + per, None] + j).ravel()
 
 
+EDGES = "a bigint, b bigint, sure boolean"
+
+
+def _edges(a: np.ndarray, b: np.ndarray, sure: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), sure))], names=["a", "b", "sure"])
+
+
 def _links_of(lists: DataFrame, search: Search) -> DataFrame:
-    """Edges (a, b), a spanning forest of each list of (node, sketch) or of (node, fp,
-    shingles)."""
+    """Edges (a, b, sure) of each list of (node, sketch) or of (node, fp, shingles): a
+    spanning forest of the sure links, and all doubtful pairs of different trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -337,17 +417,21 @@ def _links_of(lists: DataFrame, search: Search) -> DataFrame:
             else:
                 x = np.frombuffer(b"".join(flat.field("fp").to_pylist()), "<u8").reshape(len(node), -1)
                 n = flat.field("shingles").to_numpy(zero_copy_only=False).astype(np.float64)
-            found = [np.zeros((2, 0), np.int64)]
+            found, open_ = [np.zeros((2, 0), np.int64)], [np.zeros((2, 0), np.int64)]
             for a, b in _pairs(np.diff(members.offsets.to_numpy())):
-                ok = near(x[a], x[b], n[a], n[b], search)
+                ok, maybe = near(x[a], x[b], n[a], n[b], search)
                 found.append(np.stack([a[ok], b[ok]]))
-            a, b = np.concatenate(found, axis=1)
-            root = forest(len(node), a, b)
+                open_.append(np.stack([a[maybe], b[maybe]]))
+            root = forest(len(node), *np.concatenate(found, axis=1))
             own = np.flatnonzero(root != np.arange(len(node)))
             if len(own):
-                yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[root[own]])], names=["a", "b"])
+                yield _edges(node[own], node[root[own]], True)
+            a, b = np.concatenate(open_, axis=1)
+            apart = root[a] != root[b]
+            if apart.any():
+                yield _edges(node[a[apart]], node[b[apart]], False)
 
-    return lists.select("members").mapInArrow(run, "a bigint, b bigint")
+    return lists.select("members").mapInArrow(run, EDGES)
 
 
 def _promising(lists: DataFrame, search: Search) -> DataFrame:
@@ -375,8 +459,8 @@ def _promising(lists: DataFrame, search: Search) -> DataFrame:
 
 
 def links(nodes: DataFrame, made: Plan, search: Search, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) between nodes (node, fp, shingles); their components are those
-    of all links."""
+    """Edges (a, b, sure) between nodes (node, fp, shingles); the components of the sure
+    ones and of those doubtful ones that turn out to link are those of all links."""
     filed, spot = keys(nodes, made), ["part", "key"]
     large = cut(filed.groupBy(spot).agg(F.count("*").alias("n"), F.min("node").alias("least")).where(F.col("n") > bucket))
     filed = filed.join(large, spot, "left")
@@ -386,7 +470,7 @@ def links(nodes: DataFrame, made: Plan, search: Search, bucket: int = BUCKET) ->
         # nodes within 2 bits meet at a point within 1 bit of both; at most 65 nodes meet at one
         points = _points(many.select("node", "sketch").distinct())
         stars = points.groupBy("point").agg(F.min("node").alias("a"), F.collect_list("node").alias("all")).where(F.size("all") > 1)
-        return _links_of(few, search).unionByName(stars.select("a", F.explode("all").alias("b")).where("a != b"))
+        return _links_of(few, search).unionByName(stars.select("a", F.explode("all").alias("b"), F.lit(True).alias("sure")).where("a != b"))
     # a node's buckets, one a partition at most, travel as a list until its fingerprint is there
     spots = _promising(few, search).groupBy("node").agg(F.collect_list(F.struct(*spot)).alias("spots"))
     near_by = spots.join(nodes, "node").select(F.explode("spots").alias("spot"), F.struct("node", "fp", "shingles").alias("m"))
@@ -396,7 +480,7 @@ def links(nodes: DataFrame, made: Plan, search: Search, bucket: int = BUCKET) ->
 
 
 def _crowded(met: DataFrame, nodes: DataFrame, search: Search, bucket: int) -> DataFrame:
-    """Edges among nodes that share large buckets, given as stars (a, b).
+    """Edges (a, b, sure) among nodes that share large buckets, given as stars (a, b).
 
     A large group of near copies fills a bucket in every partition.  Buckets with
     nodes in common make a crowd, and a crowd is settled once: all its nodes are
@@ -410,7 +494,7 @@ def _crowded(met: DataFrame, nodes: DataFrame, search: Search, bucket: int) -> D
     order = Window.partitionBy("crowd").orderBy(F.xxhash64("node"))
     leaders = crowd.withColumn("at", F.row_number().over(order)).where(F.col("at") <= LEADERS).groupBy("crowd").agg(F.collect_list(member).alias("leaders"))
     led = cut(_against(crowd.join(leaders, "crowd"), search))
-    pieces = crowd.join(components(led), "node", "left").withColumn("piece", F.coalesce("component", "node")).drop("component")
+    pieces = crowd.join(components(led.where("sure")), "node", "left").withColumn("piece", F.coalesce("component", "node")).drop("component")
     largest = pieces.groupBy("crowd", "piece").agg(F.count("*").alias("n")).groupBy("crowd").agg(F.max_by("piece", "n").alias("largest"), F.sum("n").alias("n"))
     block = 4 * bucket
     largest = largest.withColumn("cols", F.ceil(F.col("n") / block).cast("int"))
@@ -425,7 +509,8 @@ def _crowded(met: DataFrame, nodes: DataFrame, search: Search, bucket: int) -> D
 
 
 def _against(rows: DataFrame, search: Search) -> DataFrame:
-    """Edges (a, b) of each node with those of its row's leaders that it links to."""
+    """Edges (a, b, sure) of each node with those of its row's leaders that it links to
+    or may link to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -436,10 +521,11 @@ def _against(rows: DataFrame, search: Search) -> DataFrame:
             x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u8").reshape(-1, search.bits // 64) for c in (batch.column(1), flat.field("fp")))
             n, m = (c.to_numpy(zero_copy_only=False).astype(np.float64) for c in (batch.column(2), flat.field("shingles")))
             own = np.repeat(np.arange(len(node)), sizes)
-            ok = (node[own] != theirs) & near(x[own], y, n[own], m, search)
-            yield pa.RecordBatch.from_arrays([pa.array(node[own[ok]]), pa.array(theirs[ok])], names=["a", "b"])
+            for ok, sure in zip(near(x[own], y, n[own], m, search), (True, False), strict=True):
+                ok &= node[own] != theirs
+                yield _edges(node[own[ok]], theirs[ok], sure)
 
-    return rows.select("node", "fp", "shingles", "leaders").mapInArrow(run, "a bigint, b bigint")
+    return rows.select("node", "fp", "shingles", "leaders").mapInArrow(run, EDGES)
 
 
 def _points(nodes: DataFrame) -> DataFrame:
@@ -455,18 +541,65 @@ def _points(nodes: DataFrame) -> DataFrame:
     return nodes.mapInArrow(run, "node bigint, point bigint")
 
 
+def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(node, hashes): the different shingles of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t or "", words)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    return docs.select("node", "text").mapInArrow(run, "node bigint, hashes array<bigint>")
+
+
+def _settled(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose shingle sets have the similarity.  Only texts of a pair
+    are read into sets."""
+    asked, _ = table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("node"), "text")
+    sets, _ = table(_shingle_sets(texts.join(asked, "node", "left_semi"), words), "sets")
+    left, right = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"{c}_hashes")) for c in ("a", "b"))
+    common = F.size(F.array_intersect("a_hashes", "b_hashes"))
+    joint = F.size("a_hashes") + F.size("b_hashes") - F.col("common")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", common.alias("common"), "a_hashes", "b_hashes")
+    return both.where(F.col("common") + 1e-9 >= similarity * joint).select("a", "b")
+
+
+def _components(edges: DataFrame, docs: DataFrame, words: int, search: Search) -> DataFrame:
+    """(node, component) by the sure edges and by those doubtful ones between their
+    components that link on their shingles."""
+    edges = cut(edges)
+    found = components(edges.where("sure"))
+    pairs = edges.where("NOT sure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for c in ("a", "b"):
+        pairs = pairs.join(found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")), c, "left")
+    pairs, _ = table(pairs.where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b"), "doubtful")
+    if pairs.isEmpty():
+        return found
+    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_settled(pairs, docs, words, search.similarity)))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, search: Search | None = None, distinct: bool = False) -> DataFrame:
     """(doc_id, fp, shingles, component_id) of each document; a component is named
     by its smallest doc_id."""
     search = search or Search()
-    marks = cut(fingerprints(docs, words, search.bits, distinct))
+    marks = cut(fingerprints(docs, words, search.bits, distinct or search.radius is None))
     nodes = marks.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("node"), F.max("shingles").alias("shingles"))
     nodes = cut(nodes)
     n = nodes.count()
     if not n:
         return marks.withColumn("component_id", F.col("doc_id"))
-    edges = links(nodes, plan(nodes, n, search), search)
-    found = components(edges)
+    if search.radius is not None:
+        found = components(links(nodes, plan(nodes, n, search), search))
+    else:
+        edges = None
+        for most, lane in lanes(search):
+            own = nodes if most is None else nodes.where(F.col("shingles") <= most)
+            count = n if most is None else own.count()
+            if count > 1 or most is None:
+                more = links(own, plan(own, count, lane), lane)
+                edges = more if edges is None else edges.unionByName(more)
+        found = _components(edges, docs, words, search)
     named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     out = marks.join(named, "fp")
     return out.select("doc_id", "fp", "shingles", F.when(F.col("component_id") != NO_ID, F.col("component_id")).alias("component_id"))
