@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from rosterlake.llm import simhash
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -61,3 +62,12 @@ def test_texts_of_few_shingles_link_by_their_shingles(spark):
     want, _ = kept_by_brute_force(texts)
     assert not want - kept  # nothing is dropped that has no link
     assert len(kept - want) <= 3  # a pair at 0.8 itself may meet in no bucket: under 2 % of the linked
+
+
+def test_pipeline_stage_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "/root/testdata/sf0.01").collect()}
+    want, linked = kept_by_brute_force(texts)
+    assert linked and not want - kept  # nothing is dropped that exact components keep
+    assert len(kept - want) <= 0.02 * len(linked)  # the chance that a pair at 0.8 meets in no bucket
