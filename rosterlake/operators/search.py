@@ -6,23 +6,31 @@ verification_status, duplicate_of), universities (university_id, name), links
 source_name), vectors (work_id, embedding).
 
 ``prepare_works`` does once what every query needs of a work: its tokens, title
-key and vector.  A query batch is then one plan: prepared works scored against the
-batch (which is small, of checked size and broadcast), people, two windows, top k.
+key and vector; ``search`` writes that once, as it is read twice.  A query batch is then
+one plan: prepared works scored against the batch (which is of bounded size and
+broadcast), people, two windows, top k.  Larger batches are searched in parts.
+
+Scoring: the JVM reduces a work's words to the query terms among them.  Python gets these
+and the vector, and scores a batch of works by three matrix products: works by terms, for
+titles and abstracts, and works by dimensions.  A phrase is looked for only in works that
+have all its terms.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text, vectors
+from ..scratch import cut
 
-#: Query rows that are broadcast to every work; larger batches go in parts.
+#: Query rows that are broadcast to every work at once.
 QUERY_BATCH = 1000
 #: Scores that agree to this many places are ties; the last bits of a cosine depend
 #: on the order of a sum.
@@ -63,54 +71,97 @@ def query_rows(queries: DataFrame, dim: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Asked:
-    """A query as each task needs it."""
-
-    query_id: int
-    terms: frozenset
-    phrase: str
-    vector: np.ndarray
+    """A part of a query batch as each task needs it: ids, which terms a query has, how
+    many, the phrase (or "") and the unit vector, grouped by the vectors' length."""
+
+    ids: np.ndarray
+    place: dict[str, int]
+    terms: np.ndarray  # queries x terms, 0 or 1
+    phrases: list[str]
+    vectors: dict[int, tuple[np.ndarray, np.ndarray]]  # length: queries, rows
+
+    @classmethod
+    def of(cls, rows: list[Row]) -> Asked:
+        terms = [[t for t in r["query_tokens"] if len(t) > 2] for r in rows]
+        place = {t: i for i, t in enumerate(dict.fromkeys(itertools.chain(*terms)))}
+        has = np.zeros((len(rows), len(place)), np.float32)
+        for i, own in enumerate(terms):
+            has[i, [place[t] for t in own]] = 1
+        by: dict[int, list[int]] = {}
+        for i, r in enumerate(rows):
+            by.setdefault(len(r["query_vector"]), []).append(i)
+        unit = {n: (np.array(own), _unit(np.array([rows[i]["query_vector"] for i in own], np.float64))) for n, own in by.items()}
+        return cls(np.array([r["query_id"] for r in rows], np.int64), place, has, [" ".join(t) if len(t) > 1 else "" for t in terms], unit)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+
+def _incidence(lists: pa.ListArray, place: dict[str, int]) -> np.ndarray:
+    """Works x terms, 1 where a work has the term."""
+    out = np.zeros((len(lists), len(place)), np.float32)
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    out[row, [place[t] for t in lists.flatten().to_pylist()]] = 1
+    return out
+
+
+def _cosines(column: pa.ListArray, asked: Asked) -> np.ndarray:
+    """Queries x works; 0 where the lengths differ."""
+    out = np.zeros((len(asked.ids), len(column)))
+    sizes = np.diff(column.offsets.to_numpy())
+    for n, (queries, rows) in asked.vectors.items():
+        own = np.flatnonzero(sizes == n)
+        if len(own) and n:
+            x = column.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), n)
+            out[np.ix_(queries, own)] = rows @ _unit(x).T
+    return out
 
 
 def score_works(prepared: DataFrame, ready: DataFrame) -> DataFrame:
-    """(query_id, work_id, work_score) of every work for every query of a batch.  A
-    work's words become a set once, whatever the number of queries; cosines are one
-    matrix product a batch of works."""
-    rows = ready.limit(QUERY_BATCH + 1).collect()
-    if len(rows) > QUERY_BATCH:
-        raise ValueError(f"a batch holds at most {QUERY_BATCH} queries; search in parts")
-    asked = []
-    for r in rows:
-        terms = [t for t in r["query_tokens"] if len(t) > 2]
-        v = np.array(r["query_vector"], np.float64)
-        size = float(np.sqrt((v * v).sum()))
-        asked.append(Asked(r["query_id"], frozenset(terms), " ".join(terms) if len(terms) > 1 else "", v / size if size else v))
+    """(query_id, work_id, work_score) of every work for every query."""
+    rows, out = cut(ready).orderBy("query_id").toLocalIterator(), None
+    while part := list(itertools.islice(rows, QUERY_BATCH)):
+        scored = _score_part(prepared, part)
+        out = scored if out is None else out.unionByName(scored)
+    return out if out is not None else prepared.sparkSession.createDataFrame([], SCORED)
+
+
+SCORED = "query_id bigint, work_id bigint, work_score double"
+
+
+def _score_part(prepared: DataFrame, rows: list[Row]) -> DataFrame:
+    asked = Asked.of(rows)
     shared = prepared.sparkSession.sparkContext.broadcast(asked)
+    known = F.array(*[F.lit(t) for t in asked.place]) if asked.place else F.array().cast("array<string>")
+    hits = {c: F.array_intersect(f"{c}_tokens", known).alias(c) for c in ("title", "abstract")}
+    # a phrase has two terms at least
+    whole = lambda c: F.when(F.size(c) > 1, F.array_join(f"{c}_tokens", " ")).alias(f"{c}_text")
+    found = prepared.select(F.col("work_id").cast("bigint").alias("work_id"), "embedding", *hits.values(), "title_tokens", "abstract_tokens")
+    found = found.select("work_id", "embedding", "title", "abstract", whole("title"), whole("abstract"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
+        q = shared.value
+        sizes = q.terms.sum(axis=1)
+        phrased = np.array([bool(p) for p in q.phrases])
         for batch in batches:
-            if not held or not batch.num_rows:
+            if not batch.num_rows:
                 continue
-            titles, abstracts, vectors_ = (batch.column(i).to_pylist() for i in (1, 2, 3))
-            words = [(set(t), " ".join(t), set(a), " ".join(a)) for t, a in zip(titles, abstracts, strict=True)]
-            cosines = np.zeros((len(held), len(words)))
-            for n in {len(q.vector) for q in held}:
-                own, mine = [k for k, v in enumerate(vectors_) if len(v) == n], [k for k, q in enumerate(held) if len(q.vector) == n]
-                if own:
-                    x = np.array([vectors_[k] for k in own], np.float64)
-                    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
-                    x = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
-                    cosines[np.ix_(mine, own)] = np.stack([held[k].vector for k in mine]) @ x.T
-            for k, q in enumerate(held):
-                n, terms, phrase = len(q.terms) or 1, q.terms, q.phrase
-                lexical = [
-                    0.2 * len(terms & t) / n + 0.1 * len(terms & a) / n + 0.05 * (1.0 if phrase and phrase in tt else 0.5 if phrase and phrase in aa else 0.0)
-                    for t, tt, a, aa in words
-                ]
-                score = np.round(0.65 * cosines[k] + np.array(lexical), TIE_PLACES)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), q.query_id, np.int64)), batch.column(0), pa.array(score)], names=["query_id", "work_id", "work_score"])
-
-    return prepared.select(F.col("work_id").cast("bigint").alias("work_id"), "title_tokens", "abstract_tokens", "embedding").mapInArrow(run, "query_id bigint, work_id bigint, work_score double")
+            score = 0.65 * _cosines(batch.column(1), q)
+            best = np.zeros(score.shape)
+            for k, (weight, part) in enumerate(((0.2, 1.0), (0.1, 0.5))):
+                common = (q.terms @ _incidence(batch.column(2 + k), q.place).T).astype(np.float64)
+                score += weight * common / np.maximum(sizes, 1)[:, None]
+                texts = batch.column(4 + k).to_pylist()
+                for i, j in np.argwhere((common == sizes[:, None]) & phrased[:, None]).tolist():
+                    if q.phrases[i] in texts[j]:
+                        best[i, j] = max(best[i, j], part)
+            score = np.round(score + 0.05 * best, TIE_PLACES)
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q.ids, n)), pa.array(np.tile(batch.column(0).to_numpy(), len(q.ids))), pa.array(score.ravel())], names=["query_id", "work_id", "work_score"])
+
+    return found.mapInArrow(run, SCORED)
 
 
 def ranked_works(scored: DataFrame, prepared: DataFrame, people: DataFrame, links: DataFrame) -> DataFrame:
@@ -140,7 +191,7 @@ def rank_people(ranked: DataFrame, people: DataFrame, universities: DataFrame, r
 
 def search(tables: dict[str, DataFrame], queries: DataFrame, dim: int = 768, result_limit: int | None = 25, work_limit: int = 5) -> tuple[DataFrame, DataFrame]:
     """(hits, ranked works) of (query_id, query) rows."""
-    prepared = tables["prepared"] if "prepared" in tables else prepare_works(tables["works"], tables["vectors"])
+    prepared = tables["prepared"] if "prepared" in tables else cut(prepare_works(tables["works"], tables["vectors"]))
     ranked = ranked_works(score_works(prepared, query_rows(queries, dim)), prepared, tables["people"], tables["links"])
     return rank_people(ranked, tables["people"], tables["universities"], result_limit, work_limit), ranked
 
