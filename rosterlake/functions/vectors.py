@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,10 +35,11 @@ def words(text: Column) -> Column:
 
 def hash_components(rows: DataFrame, key: str, text: str, dim: int) -> DataFrame:
     """(key, bucket, value): the whole-number components, before scaling, that are
-    not zero.  Every different word is hashed once, whatever the number of rows."""
+    not zero.  A row's different words are hashed where the row lies, so no word's rows
+    meet in one task."""
     bag = rows.select(key, F.explode(words(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
-    known = bag.select("token").distinct().select("token", F.explode(_parts(F.col("token"), dim)).alias("p")).groupBy("token", F.col("p.bucket").alias("bucket")).agg(F.sum("p.sign").alias("sign"))
-    sums = bag.join(known, "token").groupBy(key, "bucket").agg(F.sum(F.col("n") * F.col("sign")).alias("value"))
+    parts = bag.select(key, "n", F.explode(_parts(F.col("token"), dim)).alias("p"))
+    sums = parts.groupBy(key, F.col("p.bucket").alias("bucket")).agg(F.sum(F.col("n") * F.col("p.sign")).alias("value"))
     return sums.where("value != 0")
 
 
@@ -84,6 +85,35 @@ def hash_embed(rows: DataFrame, key: str, text: str, dim: int) -> DataFrame:
     return rows.select(key, text).mapInArrow(run, f"`{key}` {kind}, embedding array<double>")
 
 
+def by_ids(stored: DataFrame, ids: DataFrame | list[int]) -> DataFrame:
+    """Vectors of the works in a list or a table of work_id; of none for none."""
+    if isinstance(ids, list):
+        return stored.where(F.col("work_id").isin(ids)) if ids else stored.where(F.lit(False))
+    return stored.join(ids.select("work_id").distinct(), "work_id", "left_semi")
+
+
+def dense_embed(rows: DataFrame, key: str, text: str, make: Callable[[], Callable[[list[str]], np.ndarray]], dim: int) -> DataFrame:
+    """(key, embedding) by an encoder that the caller brings: ``make`` loads it, once a
+    task, and it turns a list of texts into rows of ``dim`` numbers, which are scaled to
+    unit length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            encode = encode or make()
+            x = np.asarray(encode([t or "" for t in batch.column(1).to_pylist()]), np.float64)
+            if x.shape != (batch.num_rows, dim):
+                raise ValueError(f"the encoder gave {x.shape} for {batch.num_rows} texts of {dim} dimensions")
+            size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+            x = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * dim), pa.array(x.ravel()))], names=[key, "embedding"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, text).mapInArrow(run, f"`{key}` {kind}, embedding array<double>")
+
+
 def hash_embed_one(text: str, dim: int) -> list[float]:
     """The same for one text on the driver, such as a query."""
     return hash_embed_text(text, dim).tolist()

@@ -75,10 +75,13 @@ def ratios(cohort: DataFrame, people: DataFrame, works: DataFrame, links: DataFr
         F.count_distinct(F.when(F.col("source_name") != "", F.col("source_name"))).alias("distinct_source_count"),
         share(F.size("overlap") > 0).alias("work_share"),
         F.first("terms").alias("terms"),
-        # the best few by id; a bounded state per person
-        F.slice(F.sort_array(F.collect_list(F.when(~F.col("hit") & (F.col("title") != ""), F.struct("work_id", "title")))), 1, SHOWN_TITLES).alias("off"),
     )
     sums = sums.where(F.col("total_works") >= min_works)
+    # the first few by id, taken before titles are gathered
+    first = Window.partitionBy("owner").orderBy("work_id")
+    off = theirs.where(~F.col("hit") & (F.col("title") != "")).select("owner", "work_id", "title").withColumn("at", F.row_number().over(first)).where(F.col("at") <= SHOWN_TITLES)
+    off = off.groupBy("owner").agg(F.sort_array(F.collect_list(F.struct("work_id", "title"))).alias("off"))
+    sums = sums.join(off, "owner", "left")
     order = Window.partitionBy("owner").orderBy(F.desc("n"), "term")
     seen = theirs.select("owner", F.explode("overlap").alias("term")).groupBy("owner", "term").agg(F.count("*").alias("n")).withColumn("at", F.row_number().over(order))
     seen = seen.groupBy("owner").agg(F.count("*").alias("covered"), F.sort_array(F.collect_list(F.when(F.col("at") <= SHOWN_TERMS, F.struct("at", "term")))).alias("shown"))
@@ -93,7 +96,7 @@ def ratios(cohort: DataFrame, people: DataFrame, works: DataFrame, links: DataFr
         "arxiv_share",
         "distinct_source_count",
         F.transform(F.coalesce("shown", F.array().cast("array<struct<at:int,term:string>>")), lambda t: t["term"]).alias("profile_terms"),
-        F.transform("off", lambda t: t["title"]).alias("sample_off_topic_titles"),
+        F.transform(F.coalesce("off", F.array().cast("array<struct<work_id:bigint,title:string>>")), lambda t: t["title"]).alias("sample_off_topic_titles"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NIH = "project_num string, applied_serial_num string, project_title string, award_amount double, award_amount_per_year double, project_start_date string, project_end_date string, principal_investigators array<struct<full_name:string>>"
@@ -48,6 +48,20 @@ def funding_summary(rows: DataFrame, today: str) -> DataFrame:
     return rows.groupBy("professor_id").agg(F.coalesce(F.sum("amount"), F.lit(0.0)).alias("total_funding"), F.count("*").alias("grants"), F.bool_or(is_active(F.col("end_date"), today)).alias("actively_funded"))
 
 
+def grants_by_end(rows: DataFrame, n: int | None = None) -> DataFrame:
+    """Grants of each person, the one that ends last first, those without an end last;
+    ``place`` counts from 1."""
+    order = Window.partitionBy("professor_id").orderBy(F.desc_nulls_last("end_date"), "source", "grant_id")
+    out = rows.withColumn("place", F.row_number().over(order))
+    return out if n is None else out.where(F.col("place") <= n)
+
+
+def to_look_up(people: DataFrame, universities: DataFrame) -> DataFrame:
+    """(professor_id, name, institution) of verified canonical people."""
+    ready = people.where((F.col("verification_status") == "verified") & F.col("duplicate_of").isNull())
+    return ready.join(universities.select("university_id", F.col("name").alias("institution")), "university_id").select("professor_id", "name", "institution")
+
+
 def upsert_grants(old: DataFrame, new: DataFrame) -> DataFrame:
     """Grants by (source, grant_id): new values, but the person a grant was first
     found for keeps it."""

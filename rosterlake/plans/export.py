@@ -18,7 +18,7 @@ def as_json(rows: DataFrame | list | dict) -> str:
 def write_shortlist(rows: DataFrame, path: str) -> None:
     """CSV with a header; values with a comma, quote or line break are quoted, quotes
     doubled; one file, as a shortlist is what a person picked by hand."""
-    rows.select(SHORTLIST).coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    rows.select(SHORTLIST).coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def search_address(base: str, **parameters) -> str:

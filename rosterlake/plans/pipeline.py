@@ -9,6 +9,7 @@ marked in progress (its process died) resumes after its checkpoint.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -19,6 +20,7 @@ from ..config import Settings
 from ..functions import names, text, vectors
 from ..operators import funding, identity, resolve, works
 from ..sources import fetch, pages, seed
+from ..scratch import shared_dir
 from .artifacts import Reporter
 from .store import Store, add_columns, latest, upsert, with_ids
 
@@ -45,6 +47,11 @@ class Context:
     today: str = ""
     reporter: Reporter | None = None
     notes: dict = field(default_factory=dict)
+    #: Encoders beside "hash": by backend, a function that loads one.
+    encoders: dict[str, Callable] = field(default_factory=dict)
+
+    def __post_init__(self):
+        shared_dir(self.spark)
 
     def table(self, name: str) -> DataFrame:
         columns = dict(c.strip().split(" ", 1) for c in TABLES[name].split(", "))
@@ -104,7 +111,7 @@ def _scrape(f: fetch.Fetcher, row: dict):
 
 
 def scrape(ctx: Context) -> dict:
-    todo = ctx.table("sources").where(F.col("status").isin("pending", "error"))
+    todo = seed.needs_scrape(ctx.table("sources"))
     todo = works.resume(todo, "source_id", None, ctx.limit).checkpoint()
     got = fetch.fetch_each(todo.repartition("university"), ctx.fetcher, _scrape, SCRAPED).checkpoint()
     errors = got.where("error IS NOT NULL").select("source_id", F.col("error").alias("message"))
@@ -124,9 +131,10 @@ def upsert_entries(ctx: Context, entries: DataFrame, todo: DataFrame) -> None:
 
     old = ctx.table("candidates")
     new = target_ids(entries, old, "candidate_id", ["source_id", "profile_url"], ["source_id", "normalized_name"])
-    new = new.withColumn("seq", F.coalesce("candidate_id", F.xxhash64("source_id", F.coalesce("profile_url", "normalized_name"))))
-    new = latest(new.withColumnRenamed("seq", "target"), ["target"], "position").drop("target")
-    where = todo.select("source_id", "university", F.col("department_type")).join(ctx.table("universities").select("university_id", F.col("name").alias("university")), "university").drop("university")
+    # an entry that updates a candidate is told by its id, a new one by source and link or name
+    told = {"target": F.col("candidate_id"), "target_source": F.when(F.col("candidate_id").isNull(), F.col("source_id")), "target_link": F.when(F.col("candidate_id").isNull(), F.coalesce("profile_url", "normalized_name"))}
+    new = latest(new.withColumns(told), list(told), "position").drop(*told)
+    where = seed.placed(todo.select("source_id", "university", F.col("department_type")), ctx.table("universities")).drop("university")
     rows = _number(ctx, "candidates", new.join(where, "source_id").select(old.columns), "candidate_id", ["source_id", "normalized_name", "profile_url"])
     ctx.put("candidates", upsert(old, rows, ["candidate_id"]))
 
@@ -136,19 +144,52 @@ def _mark_universities(ctx: Context, which: DataFrame, status: str) -> None:
     ctx.put("universities", rows.withColumn("status", F.when(F.col("hit"), status).otherwise(F.col("status"))).drop("hit"))
 
 
-def verify(ctx: Context) -> dict:
-    old = ctx.table("people")
-    found = works.resume(ctx.table("candidates"), "candidate_id", None, ctx.limit)
+def verified(candidates: DataFrame, old: DataFrame) -> DataFrame:
+    """Rows of people for candidates, judged by title.  A person known before keeps its id
+    and marks, but for a duplicate's mark that only verified people bear."""
     t = text.classify_title(F.col("title"))
     known = old.select("candidate_id", "professor_id", "duplicate_of", "duplicate_reason")
-    rows = found.join(known, "candidate_id", "left").withColumn("title_normalized", t["normalized_title"]).withColumn("verification_status", t["status"])
+    rows = candidates.join(known, "candidate_id", "left").withColumn("title_normalized", t["normalized_title"]).withColumn("verification_status", t["status"])
     stale = (F.col("verification_status") != "verified") & F.col("duplicate_reason").eqNullSafe(identity.SAME_NAME)
-    rows = rows.withColumn("duplicate_of", F.when(~stale, F.col("duplicate_of"))).withColumn("duplicate_reason", F.when(~stale, F.col("duplicate_reason")))
-    rows = _number(ctx, "people", rows.select(old.columns), "professor_id", ["candidate_id"])
+    return rows.withColumns({c: F.when(~stale, F.col(c)) for c in ("duplicate_of", "duplicate_reason")})
+
+
+def verify(ctx: Context) -> dict:
+    old = ctx.table("people")
+    found = works.resume(ctx.table("candidates"), "candidate_id", None, ctx.limit)
+    rows = _number(ctx, "people", verified(found, old).select(old.columns), "professor_id", ["candidate_id"])
     n = ctx.put("people", identity.same_name(upsert(old, rows, ["candidate_id"])))
     return {"candidates_processed": n, "verified_professors": ctx.table("people").where("verification_status = 'verified'").count()}
 
 
+#: Rows that are fetched, and kept, at once, for each core.
+JOURNAL_ROWS = 200
+
+
+def _fetched(ctx: Context, stage: str, todo: DataFrame, key: str, read: Callable, schema: str) -> DataFrame:
+    """What ``read`` yields for each row of ``todo``, which has ``key`` once.  Answers are
+    kept in the store's journal part by part, so a run that resumes asks only for what is
+    missing; ``run`` clears the journal when the stage is completed."""
+    journal = f"{ctx.store.path}/journal/{stage}"
+    names = [c.strip().split()[0] for c in schema.split(",")]
+
+    def marked(f, row):
+        found = list(read(f, row))
+        yield from found or [{key: row[key]}]
+        # a row without an answer is asked for once all the same
+
+    def kept(paths: list[str]) -> DataFrame:
+        return ctx.spark.read.schema(schema).parquet(*paths) if paths else ctx.spark.createDataFrame([], schema)
+
+    left = todo.join(kept(ctx.store.folders(journal)).select(key).distinct(), key, "left_anti").checkpoint()
+    parts = -(-left.count() // (JOURNAL_ROWS * ctx.spark.sparkContext.defaultParallelism))
+    for k in range(parts):
+        some = left.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k)
+        fetch.fetch_each(some, ctx.fetcher, marked, schema).write.parquet(f"{journal}/{uuid.uuid4().hex}")
+    out = kept(ctx.store.folders(journal))
+    return out.join(todo.select(key), key, "left_semi").where(F.col(names[-1]).isNotNull())
+
+
 def match(ctx: Context) -> dict:
     s, base = ctx.settings, ctx.settings.authors.base_url
     people, matches = identity.reset_author_duplicates(ctx.table("people"), ctx.table("matches"))
@@ -167,7 +208,7 @@ def match(ctx: Context) -> dict:
             yield {"professor_id": row["professor_id"], "variant": v, "pos": p, "payload": json.dumps(author)}
 
     asked = todo.select("professor_id", names.name_variants(F.col("name")).alias("variants"))
-    got = fetch.fetch_each(asked, ctx.fetcher, read, "professor_id bigint, variant int, pos int, payload string").checkpoint()
+    got = _fetched(ctx, "match", asked, "professor_id", read, "professor_id bigint, variant int, pos int, payload string")
     found = resolve.merge_candidates(got.select("professor_id", "variant", "pos", F.from_json("payload", resolve.CANDIDATE).alias("candidate")), most)
     decided = resolve.decide(todo, resolve.score_candidates(todo, found), s.matching.threshold, s.matching.ambiguity_margin)
     matches = upsert(matches, decided.select(matches.columns), ["professor_id"]).checkpoint()
@@ -188,7 +229,7 @@ def ingest_works(ctx: Context) -> dict:
         for k, work in enumerate(fetch.author_works(f, base, row["author_id"], start, per_page, most)):
             yield {"professor_id": row["professor_id"], "author_id": row["author_id"], "seq": row["professor_id"] * 100_000 + k, "payload": json.dumps(work)}
 
-    got = fetch.fetch_each(todo, ctx.fetcher, read, "professor_id bigint, author_id string, seq bigint, payload string").checkpoint()
+    got = _fetched(ctx, "works", todo, "professor_id", read, "professor_id bigint, author_id string, seq bigint, payload string")
     payloads = got.select("professor_id", "author_id", "seq", F.from_json("payload", works.WORK).alias("w")).select("professor_id", "author_id", "seq", "w.*").where("id IS NOT NULL")
     seen = save_works(ctx, payloads)
     _mark_universities(ctx, todo.join(ctx.table("universities").select("university_id", "name"), "university_id").select("name"), "completed")
@@ -209,20 +250,19 @@ def save_works(ctx: Context, payloads: DataFrame) -> int:
 
 def embed(ctx: Context) -> dict:
     e, old = ctx.settings.embeddings, ctx.table("vectors")
-    if e.backend != "hash":
-        raise ValueError(f"no embedding backend {e.backend}; plug one in by writing the vectors table")
+    if e.backend != "hash" and e.backend not in ctx.encoders:
+        raise ValueError(f"no embedding backend {e.backend}; there are {', '.join(['hash', *ctx.encoders])}")
     todo = works.resume(works.needs_embedding(ctx.table("works"), old, e.backend, e.dimension), "work_id", None, ctx.limit)
     body = todo.select("work_id", vectors.embedding_text(F.col("title"), F.col("abstract")).alias("body")).checkpoint()
-    new = vectors.hash_embed(body, "work_id", "body", e.dimension).select("work_id", F.lit(e.dimension).alias("dimension"), "embedding", F.lit(e.backend).alias("backend"))
+    made = vectors.hash_embed(body, "work_id", "body", e.dimension) if e.backend == "hash" else vectors.dense_embed(body, "work_id", "body", ctx.encoders[e.backend], e.dimension)
+    new = made.select("work_id", F.lit(e.dimension).alias("dimension"), "embedding", F.lit(e.backend).alias("backend"))
     ctx.put("vectors", upsert(old, new, ["work_id"]))
     return {"works_embedded": body.count()}
 
 
 def fund(ctx: Context) -> dict:
     c = ctx.settings.funding
-    ready = ctx.table("people").where((F.col("verification_status") == "verified") & F.col("duplicate_of").isNull())
-    places = ctx.table("universities").select("university_id", F.col("name").alias("institution"))
-    todo = works.resume(ready.join(places, "university_id").select("professor_id", "name", "institution"), "professor_id", None, ctx.limit)
+    todo = works.resume(funding.to_look_up(ctx.table("people"), ctx.table("universities")), "professor_id", None, ctx.limit)
     nih_url, nsf_url, per_page, most = c.nih_base_url, c.nsf_base_url, c.per_page, c.max_pages
 
     def read(f, row):
@@ -230,7 +270,7 @@ def fund(ctx: Context) -> dict:
             for k, item in enumerate(found):
                 yield {"professor_id": row["professor_id"], "source": source, "seq": k, "payload": json.dumps(item)}
 
-    got = fetch.fetch_each(todo, ctx.fetcher, read, "professor_id bigint, source string, seq int, payload string").checkpoint()
+    got = _fetched(ctx, "fund", todo, "professor_id", read, "professor_id bigint, source string, seq int, payload string")
     part = lambda source, schema: got.where(F.col("source") == source).select("professor_id", "seq", F.from_json("payload", schema).alias("p"))
     rows = None
     for source, schema, parse in (("nih", funding.NIH, funding.parse_nih), ("nsf", funding.NSF, funding.parse_nsf)):
@@ -272,6 +312,7 @@ def run(ctx: Context, from_stage: str | None = None, through_stage: str | None =
             if ctx.reporter:
                 ctx.reporter.failed(name, e)
             raise StageFailed(name, done, e) from e
+        ctx.store.remove(f"{ctx.store.path}/journal/{name}")
         ctx.store.put_state(name, status="completed", processed_items=next(iter(outcome.values()), None))
         if ctx.reporter:
             ctx.reporter.completed(name, outcome)

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..scratch import cut
+
 
 def latest(rows: DataFrame, key: list[str], seq: str) -> DataFrame:
     """One row a key, the one of greatest ``seq``; without that column."""
@@ -44,7 +46,7 @@ def with_ids(new: DataFrame, old: DataFrame, ident: str, order: list[str]) -> Da
     repeated run gives the same ones.  Ranges are numbered apart and then added up:
     no task sorts the whole table."""
     (top,) = old.agg(F.coalesce(F.max(ident), F.lit(0))).first()
-    held = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).checkpoint() if new.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else new.withColumn("part", F.lit(0))
+    held = cut(new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = held.groupBy("part").count().withColumn("ahead", F.coalesce(F.sum("count").over(ahead), F.lit(0))).drop("count")
     place = F.row_number().over(Window.partitionBy("part").orderBy(*order))
@@ -90,6 +92,17 @@ class Store:
         if not self._fs.createNewFile(self._path(f"{self.path}/{name}/pointers/{number:010d}-{folder}")):
             raise FileExistsError(f"another writer has changed {name}")
 
+    def folders(self, where: str) -> list[str]:
+        """Finished outputs below a folder, in order of name."""
+        root = self._path(where)
+        found = [s.getPath() for s in self._fs.listStatus(root) if s.isDirectory()] if self._fs.exists(root) else []
+        return sorted(p.toString() for p in found if self._fs.exists(self._path(f"{p.toString()}/_SUCCESS")))
+
+    def remove(self, where: str) -> None:
+        if self.read_only:
+            raise PermissionError("the store was opened for reading")
+        self._fs.delete(self._path(where), True)
+
     # a small table of states, on the driver
 
     def get_state(self, stage: str) -> dict:

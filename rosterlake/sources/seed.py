@@ -44,6 +44,16 @@ def sources(seed: DataFrame) -> DataFrame:
     return rows.select(F.col("name").alias("university"), "domain", "d.department_type", "d.roster_url", "d.parser_hint")
 
 
+def needs_scrape(sources: DataFrame) -> DataFrame:
+    """Sources that have not been read, or failed when they were."""
+    return sources.where(F.col("status").isin("pending", "error"))
+
+
+def placed(sources: DataFrame, universities: DataFrame) -> DataFrame:
+    """Sources with their university's id; those of an unknown university leave."""
+    return sources.join(universities.select("university_id", F.col("name").alias("university")), "university")
+
+
 def off_domain(rows: DataFrame) -> DataFrame:
     """Roster pages outside their university's domain; a load refuses these."""
     return rows.where(~host_allowed(F.col("roster_url"), F.array("domain")))

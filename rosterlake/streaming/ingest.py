@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.works import WORK
 from ..plans.pipeline import Context, save_works
+from ..scratch import cut
 
 
 def payload_stream(ctx: Context, folder: str, files_per_batch: int = 100) -> DataFrame:
@@ -24,7 +25,7 @@ def ingest(ctx: Context, folder: str, checkpoint: str, available_now: bool = Tru
     """Upsert what is there (or, with ``available_now`` off, all that comes)."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        held = rows.where(F.col("id").isNotNull()).checkpoint()
+        held = cut(rows.where(F.col("id").isNotNull()))
         if not held.isEmpty():
             save_works(ctx, held)
 
