@@ -15,6 +15,7 @@ from ..functions import names, scoring, text, vectors
 from ..operators import audit, evaluate, funding, identity, inspect, resolve, search, works
 from ..operators.audit import AUDIT_WORDS
 from ..sources import pages as page_source
+from ..sources import seed
 from . import store
 from .views import cte, view
 
@@ -159,12 +160,12 @@ def search_facets_after_limit(spark, d):
     return search.facets(_search(spark, d)[0], view(spark, d, "people"), department_type="physics")
 
 
-@query(f"""{cte("works")}, k AS (SELECT work_id, array_to_string({sql_tokens("regexp_replace(title, '<[^>]+>', ' ', 'g')")}, ' ') AS k, title,
-  source_name LIKE 'arXiv%' OR doi IS NOT NULL AS preprint FROM works WHERE title NOT LIKE '%&%'),
+@query(f"""{cte("works")}, k AS (SELECT work_id, array_to_string({sql_tokens("regexp_replace(replace(title, '&amp;', '&'), '<[^>]+>', ' ', 'g')")}, ' ') AS k, title,
+  source_name LIKE 'arXiv%' OR doi IS NOT NULL AS preprint FROM works),
 r AS (SELECT k AS title_key, work_id, row_number() OVER (PARTITION BY k ORDER BY preprint, length(title) DESC, work_id) AS nth, count(*) OVER (PARTITION BY k) AS copies FROM k WHERE k <> '')
 SELECT title_key, work_id, copies FROM r WHERE nth = 1""")
 def title_dedupe_published_over_preprint(spark, d):
-    rows = view(spark, d, "works").where(~F.col("title").contains("&")).withColumn("title_key", text.title_key(F.col("title"))).where("title_key != ''")
+    rows = view(spark, d, "works").withColumn("title_key", text.title_key(F.col("title"))).where("title_key != ''")
     order = F.struct(~text.is_preprint(F.col("source_name"), F.col("doi")), F.char_length("title"), -F.col("work_id"))
     return rows.groupBy("title_key").agg(F.max_by("work_id", order).alias("work_id"), F.count("*").alias("copies"))
 
@@ -213,17 +214,22 @@ q AS (SELECT e FROM v WHERE vec_id = 0)
 SELECT v.vec_id, round(list_cosine_similarity(v.e, q.e), 6) AS cosine FROM v, q ORDER BY cosine DESC, vec_id LIMIT 20""")
 def cosine_topk(spark, d):
     rows = view(spark, d, "embeddings")
-    (first,) = rows.where("vec_id = 0").select("embedding").take(1)
-    score = F.round(vectors.cosine_to(list(first[0]))(F.col("embedding")), 6).alias("cosine")
+    score = F.round(vectors.cosine_to(_vector(rows, 0))(F.col("embedding")), 6).alias("cosine")
     return rows.select("vec_id", score).orderBy(F.desc("cosine"), "vec_id").limit(20)
 
 
+def _vector(rows: DataFrame, vec_id: int) -> list[float]:
+    """A stored vector as a query; the empty one, which is like nothing, if it is missing."""
+    found = rows.where(F.col("vec_id") == vec_id).select("embedding").take(1)
+    return list(found[0][0]) if found else []
+
+
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), q AS (SELECT e FROM v WHERE vec_id = 1)
 SELECT v.vec_id, round(list_cosine_similarity(v.e, q.e), 6) AS cosine FROM v, q""")
 def cosine_native(spark, d):
     rows = view(spark, d, "embeddings").select("vec_id", "embedding")
-    one = rows.where("vec_id = 1").select(F.col("embedding").alias("q"))
-    return rows.crossJoin(F.broadcast(one)).select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("q")), 6).alias("cosine"))
+    q = F.array(*[F.lit(float(x)) for x in _vector(rows, 1)]).cast("array<double>")
+    return rows.select("vec_id", F.round(vectors.cosine(F.col("embedding"), q), 6).alias("cosine"))
 
 
 @query("""SELECT l_orderkey, round(sum(CASE nth WHEN 1 THEN 1.0 WHEN 2 THEN 0.6 WHEN 3 THEN 0.35 ELSE 0 END * l_quantity), 4) AS score
@@ -269,9 +275,9 @@ def normalize_name_ascii(spark, d):
     return view(spark, d, "part").select("p_partkey", text.ascii_name(both).alias("raw"), text.normalize_name(both).alias("normal"))
 
 
-@query("SELECT doc_id, lower(regexp_replace(strip_accents(substr(text, 1, 80)), '[^A-Za-z0-9\\s-]', '', 'g')) AS name FROM documents WHERE lang = 'fr'")
+@query("SELECT doc_id, lower(regexp_replace(strip_accents(text), '[^A-Za-z0-9\\s-]', '', 'g')) AS name FROM documents")
 def normalize_name_accents(spark, d):
-    return view(spark, d, "documents").where("lang = 'fr'").select("doc_id", text.ascii_name(text.strip_accents(F.substring("text", 1, 80))).alias("name"))
+    return view(spark, d, "documents").select("doc_id", text.ascii_name(text.strip_accents(F.col("text"))).alias("name"))
 
 
 _PERSON = "CASE p_size % 4 WHEN 0 THEN 'Dr. ' || p_name WHEN 1 THEN 'Prof. ' || p_name || ' Jr.' WHEN 2 THEN p_name || ' (they/them)' ELSE 'Professor Dr ' || p_name || ' Q. III' END"
@@ -288,19 +294,22 @@ def name_variants(spark, d):
     return view(spark, d, "part").select("p_partkey", joined(names.name_variants(F.expr(_PERSON))).alias("variants"))
 
 
-_NAMES = "SELECT DISTINCT p_name AS name FROM part"
+# a part's two words as first and last name, with one of four middle names
+_MIDDLE = "CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN 'b' WHEN 2 THEN 'bea' ELSE 'carl' END"
+_FULL = f"trim(split_part(p_name, ' ', 1) || ' ' || {_MIDDLE}) || ' ' || split_part(p_name, ' ', 2)"
+_NAMES = f"SELECT DISTINCT {_FULL} AS name, split_part(p_name, ' ', 1) AS f, {_MIDDLE} AS m, split_part(p_name, ' ', 2) AS l FROM part"
 
 
 def _pairs(spark, d):
-    n = view(spark, d, "part").select(F.col("p_name").alias("a")).distinct()
+    n = view(spark, d, "part").select(F.expr(_FULL).alias("a")).distinct()
     left, right = names.name_tokens(F.col("a")), names.name_tokens(F.col("b"))
     pairs = n.withColumn("last", F.substring_index("a", " ", -1)).join(n.select(F.col("a").alias("b"), F.substring_index("a", " ", -1).alias("last")), "last")
     return pairs.select("a", "b", left.alias("l"), right.alias("r"))
 
 
-@query(f"""WITH n AS ({_NAMES}) SELECT x.name AS a, y.name AS b, CAST(CASE WHEN x.name = y.name THEN 1.0
-  WHEN substr(x.name, 1, 1) = substr(y.name, 1, 1) THEN 0.89 ELSE -1 END AS DOUBLE) AS tier
-FROM n x JOIN n y ON split_part(x.name, ' ', 2) = split_part(y.name, ' ', 2)""")
+@query(f"""WITH n AS ({_NAMES}) SELECT x.name AS a, y.name AS b, CAST(CASE WHEN x.name = y.name THEN 1.0 WHEN left(x.f, 1) <> left(y.f, 1) THEN -1
+  WHEN x.m <> '' AND y.m <> '' AND x.m <> y.m AND least(x.m, y.m) || greatest(x.m, y.m) <> 'bbea' THEN 0.84
+  WHEN x.f = y.f THEN 0.97 ELSE 0.89 END AS DOUBLE) AS tier FROM n x JOIN n y ON x.l = y.l""")
 def name_similarity_tiers(spark, d):
     return _pairs(spark, d).select("a", "b", F.coalesce(names.similarity_tiers(F.col("l"), F.col("r")), F.lit(-1.0)).alias("tier"))
 
@@ -345,41 +354,48 @@ def sync_duplicates(spark, d):
 
 
 def _candidates(spark, d):
-    """Customers of a supplier's nation, the first five by key, as author records."""
-    people = view(spark, d, "supplier").select(F.col("s_suppkey").alias("professor_id"), F.col("s_nationkey").alias("nation"), F.concat(F.lit("Ann "), F.col("s_name")).alias("name"), F.expr("CASE s_suppkey % 4 WHEN 0 THEN 'physics' WHEN 1 THEN 'applied_physics' WHEN 2 THEN 'astronomy' ELSE 'materials_science' END").alias("department_type"), F.concat(F.lit("I"), F.col("s_nationkey").cast("string")).alias("institution_id"))
-    order = Window.partitionBy("c_nationkey").orderBy("c_custkey")
-    firsts = view(spark, d, "customer").withColumn("variant", F.row_number().over(order)).where("variant <= 6")
-    c = firsts.select(F.col("c_nationkey").alias("nation"), F.lit(0).alias("variant"), F.col("variant").alias("pos"), F.struct(
-        F.concat(F.lit("A"), F.col("c_custkey").cast("string")).alias("id"),
-        F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("Ann Supplier#"), F.lpad((F.col("c_custkey") % 100).cast("string"), 9, "0"))).otherwise(F.concat(F.lit("A. Supplier#"), F.lpad((F.col("c_custkey") % 100).cast("string"), 9, "0"))).alias("display_name"),
-        F.array(F.struct(F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("I"), F.col("c_nationkey").cast("string"))).alias("id"))).alias("last_known_institutions"),
-        F.array(F.struct(F.when(F.col("c_mktsegment") == "MACHINERY", "Quantum materials").otherwise("Cosmology").alias("display_name"))).alias("x_concepts"),
-        F.array(F.struct(F.lit(2020).alias("year"), F.lit(3).alias("works_count")), F.struct((F.lit(2019) + (F.col("c_custkey") % 8).cast("int")).alias("year"), F.when(F.col("c_custkey") % 5 > 0, 2).otherwise(0).alias("works_count"))).alias("counts_by_year"),
+    """People, and author records that searches by each one's spellings found."""
+    people = view(spark, d, "supplier").select(F.col("s_suppkey").alias("professor_id"), F.concat(F.lit("Ann Bea "), F.col("s_name")).alias("name"), F.expr("CASE s_suppkey % 4 WHEN 0 THEN 'physics' WHEN 1 THEN 'applied_physics' WHEN 2 THEN 'astronomy' ELSE 'materials_science' END").alias("department_type"), F.concat(F.lit("I"), F.col("s_nationkey").cast("string")).alias("institution_id"))
+    found = view(spark, d, "author_records").select("professor_id", "variant", "pos", F.struct(
+        F.col("author_id").alias("id"),
+        "display_name",
+        F.array(F.struct(F.col("institution").alias("id"))).alias("last_known_institutions"),
+        F.array(F.struct(F.col("topic").alias("display_name"))).alias("x_concepts"),
+        F.array(F.struct(F.lit(2020).alias("year"), F.lit(3).alias("works_count")), F.struct("year", "works_count")).alias("counts_by_year"),
     ).alias("candidate"))
-    found = people.select("professor_id", "nation").join(c, "nation").drop("nation")
     return people, resolve.merge_candidates(found)
 
 
-_DECISION = """WITH c AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS pos FROM customer),
-s AS (SELECT s_suppkey AS professor_id, 'A' || c_custkey AS candidate_id, pos,
-  CASE WHEN right(s_name, 9) = lpad(CAST(c_custkey % 100 AS VARCHAR), 9, '0') THEN CASE WHEN c_custkey % 3 = 0 THEN 1.0 ELSE 0.89 END END AS name_score,
-  CASE WHEN c_custkey % 2 = 0 THEN 1.0 ELSE 0.0 END AS institution_score,
-  CASE WHEN s_suppkey % 4 = 2 THEN CASE WHEN c_mktsegment <> 'MACHINERY' THEN 1.0 ELSE 0.0 END ELSE CASE WHEN c_mktsegment = 'MACHINERY' THEN 1.0 ELSE 0.0 END END AS topic_score,
-  CASE WHEN c_custkey % 5 = 0 OR c_custkey % 8 < 2 THEN 0.1 WHEN c_custkey % 8 < 4 THEN 0.4 WHEN c_custkey % 8 < 6 THEN 0.7 ELSE 1.0 END AS recency_score
-  FROM supplier JOIN c ON s_nationkey = c_nationkey WHERE pos <= 5)
+# of names whose last words differ "zzz qq" shares nothing with the other but a space
+_DECISION = f"""{cte("author_records")},
+once AS (SELECT *, row_number() OVER (PARTITION BY professor_id, author_id ORDER BY variant, pos) AS nth FROM author_records),
+merged AS (SELECT *, CAST(row_number() OVER (PARTITION BY professor_id ORDER BY variant, pos) AS INT) AS place FROM once WHERE nth = 1),
+s AS (SELECT m.professor_id, m.author_id AS candidate_id, display_name AS candidate_display_name, place AS pos,
+  round(CASE kind WHEN 0 THEN 1.0 WHEN 1 THEN 0.89 WHEN 2 THEN 0.84 WHEN 3 THEN 0.97 ELSE 2.0 / (length(s_name) + 7 + 6) END, 4) AS name_score,
+  CASE kind WHEN 0 THEN 1.0 WHEN 1 THEN 0.89 WHEN 2 THEN 0.84 WHEN 3 THEN 0.97 ELSE 2.0 / (length(s_name) + 7 + 6) END AS exact_name,
+  CASE WHEN institution = 'I' || s_nationkey THEN 1.0 ELSE 0.0 END AS institution_score,
+  CASE WHEN (s_suppkey % 4 = 2) = (topic = 'Cosmology') THEN 1.0 ELSE 0.0 END AS topic_score,
+  CASE WHEN works_count = 0 OR year < 2021 THEN 0.1 WHEN year < 2023 THEN 0.4 WHEN year < 2025 THEN 0.7 ELSE 1.0 END AS recency_score
+  FROM merged m JOIN supplier ON s_suppkey = professor_id WHERE place <= 5),
+scored AS (SELECT *, round(0.55 * exact_name + 0.25 * institution_score + 0.1 * topic_score + 0.1 * recency_score, 4) AS score FROM s),
+best AS (SELECT *, row_number() OVER w AS nth, lead(score, 1, 0.0) OVER w AS runner FROM scored WINDOW w AS (PARTITION BY professor_id ORDER BY score DESC, pos))
 """
 
 
-@query(_DECISION + "SELECT professor_id, candidate_id, CAST(pos AS INT) AS pos, CAST(institution_score AS DOUBLE) AS institution_score, CAST(topic_score AS DOUBLE) AS topic_score, CAST(recency_score AS DOUBLE) AS recency_score FROM s")
+@query(_DECISION + "SELECT professor_id, candidate_id, candidate_display_name, pos, CAST(name_score AS DOUBLE) AS name_score, CAST(institution_score AS DOUBLE) AS institution_score, CAST(topic_score AS DOUBLE) AS topic_score, CAST(recency_score AS DOUBLE) AS recency_score, CAST(score AS DOUBLE) AS score FROM scored")
 def match_candidates_ranked(spark, d):
     people, found = _candidates(spark, d)
-    return resolve.score_candidates(people, found).select("professor_id", "candidate_id", "pos", "institution_score", "topic_score", "recency_score")
+    return resolve.score_candidates(people, found).select("professor_id", "candidate_id", "candidate_display_name", "pos", "name_score", "institution_score", "topic_score", "recency_score", "score")
 
 
-@query()
+@query(_DECISION + """SELECT s_suppkey AS professor_id, coalesce(CAST(score AS DOUBLE), 0.0) AS match_score, coalesce(CAST(runner AS DOUBLE), 0.0) AS runner_up_score,
+  CASE WHEN coalesce(score, 0) < 0.82 THEN 'unmatched' WHEN score - runner <= 0.05 THEN 'ambiguous' ELSE 'matched' END AS match_status,
+  CASE WHEN score >= 0.82 AND score - runner > 0.05 THEN candidate_id END AS author_id,
+  candidate_id AS selected_id, candidate_display_name AS selected_name FROM supplier LEFT JOIN best ON professor_id = s_suppkey AND nth = 1""")
 def match_decision(spark, d):
     people, found = _candidates(spark, d)
-    return resolve.decide(people, resolve.score_candidates(people, found)).select("professor_id", "match_status", "match_score", "author_id", "runner_up_score")
+    evidence = lambda path, name: F.get_json_object("evidence", f"$.selected.{path}").alias(name)
+    return resolve.decide(people, resolve.score_candidates(people, found)).select("professor_id", "match_status", "match_score", "author_id", "runner_up_score", evidence("candidate_id", "selected_id"), evidence("candidate_display_name", "selected_name"))
 
 
 @query("""WITH s AS (SELECT s_suppkey AS professor_id, round(CAST(1000 + (s_suppkey * 7919 + k * 104729) % 9000 AS DOUBLE) / 10000, 4) AS score, k AS pos
@@ -401,9 +417,9 @@ def match_thresholds(spark, d):
 # -- works
 
 
-@query("SELECT doc_id, trim(regexp_replace(substr(text, 1, 2000), '\\s+', ' ', 'g')) AS abstract FROM documents WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''")
+@query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS abstract FROM documents WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''")
 def abstract_reconstruct(spark, d):
-    rows = view(spark, d, "documents").select("doc_id", F.posexplode(F.split(text.normalize_whitespace(F.substring("text", 1, 2000)), " ")).alias("pos", "word")).where("word != ''")
+    rows = view(spark, d, "documents").select("doc_id", F.posexplode(F.split(text.normalize_whitespace(F.col("text")), " ")).alias("pos", "word")).where("word != ''")
     index = rows.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("index"))
     return index.select("doc_id", works.reconstruct_abstract(F.col("index")).alias("abstract"))
 
@@ -423,14 +439,16 @@ def topics_names(spark, d):
     return view(spark, d, "works").select("work_id", works.topic_names(F.col("topics_json")).alias("names"))
 
 
-@query(f"{cte('people', 'matches', 'links')} SELECT professor_id, author_id FROM people JOIN matches USING (professor_id) WHERE match_status IN ('matched', 'manual_override') AND verification_status = 'verified' AND duplicate_of IS NULL AND professor_id NOT IN (SELECT professor_id FROM links WHERE work_id % 40 = 0)")
+# whole tables; a third of the stored rows are moved to ids that nobody has
+@query(f"{cte('people', 'matches', 'links')} SELECT professor_id, author_id FROM people JOIN matches USING (professor_id) WHERE match_status IN ('matched', 'manual_override') AND verification_status = 'verified' AND duplicate_of IS NULL AND professor_id NOT IN (SELECT CASE WHEN professor_id % 3 = 0 THEN -professor_id - 1 ELSE professor_id END FROM links)")
 def needs_works(spark, d):
-    return works.needs_works(view(spark, d, "people"), view(spark, d, "matches"), view(spark, d, "links").where("work_id % 40 = 0")).select("professor_id", "author_id")
+    stored = view(spark, d, "links").withColumn("professor_id", F.expr("CASE WHEN professor_id % 3 = 0 THEN -professor_id - 1 ELSE professor_id END"))
+    return works.needs_works(view(spark, d, "people"), view(spark, d, "matches"), stored).select("professor_id", "author_id")
 
 
-@query(f"{cte('works')} SELECT work_id FROM works LEFT JOIN orders ON o_orderkey = work_id AND o_orderkey % 3 > 0 WHERE o_orderkey IS NULL OR o_orderstatus <> 'F' OR o_orderkey % 5 = 0")
+@query(f"{cte('works')} SELECT work_id FROM works LEFT JOIN (SELECT CASE WHEN o_orderkey % 3 = 0 THEN -o_orderkey ELSE o_orderkey END AS k, o_orderstatus, o_orderkey FROM orders) o ON k = work_id WHERE k IS NULL OR o_orderstatus <> 'F' OR o_orderkey % 5 = 0")
 def needs_embedding(spark, d):
-    stored = view(spark, d, "orders").where("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("work_id"), F.col("o_orderstatus").alias("backend"), F.expr("CASE WHEN o_orderkey % 5 = 0 THEN 32 ELSE 64 END").alias("dimension"))
+    stored = view(spark, d, "orders").select(F.expr("CASE WHEN o_orderkey % 3 = 0 THEN -o_orderkey ELSE o_orderkey END").alias("work_id"), F.col("o_orderstatus").alias("backend"), F.expr("CASE WHEN o_orderkey % 5 = 0 THEN 32 ELSE 64 END").alias("dimension"))
     return works.needs_embedding(view(spark, d, "works"), stored, "F", 64).select("work_id")
 
 
@@ -441,7 +459,8 @@ def needs_matching(spark, d):
 
 @query("SELECT event_id, user_id FROM events WHERE event_type IN ('error', 'signup')")
 def needs_scrape(spark, d):
-    return view(spark, d, "events").where(F.col("event_type").isin("error", "signup")).select("event_id", "user_id")
+    status = F.expr("CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'pending' ELSE 'scraped' END")
+    return seed.needs_scrape(view(spark, d, "events").withColumn("status", status)).select("event_id", "user_id")
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_id > 700 ORDER BY event_id LIMIT 250")
@@ -641,11 +660,11 @@ def evaluation_summary(spark, d):
 # -- changes
 
 
-@query("""WITH new AS (SELECT o_custkey AS c_custkey, arg_max(o_orderstatus, o_orderkey) AS status FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1)
+@query("""WITH new AS (SELECT o_custkey AS c_custkey, arg_max(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY 1)
 SELECT c_custkey, c_name, coalesce(status, 'old') AS status FROM customer LEFT JOIN new USING (c_custkey)""")
 def upsert_latest_wins(spark, d):
     old = view(spark, d, "customer").select("c_custkey", "c_name", F.lit("old").alias("status"))
-    new = view(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("c_custkey"), F.lit(None).cast("string").alias("c_name"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("seq"))
+    new = view(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.lit(None).cast("string").alias("c_name"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("seq"))
     new = new.join(old.select("c_custkey"), "c_custkey", "left_semi")
     return store.upsert(old, store.latest(new, ["c_custkey"], "seq"), ["c_custkey"], keep=["c_name"])
 
@@ -656,17 +675,14 @@ def resolve_delete_links(spark, d):
     return store.delete(view(spark, d, "links"), gone, ["professor_id"])
 
 
-@query("""WITH new AS (SELECT l_orderkey % 40 AS source_id, 'u' || (l_partkey % 300) AS url, 'n' || (l_partkey % 70) AS nm, l_linenumber, l_orderkey FROM lineitem),
-entries AS (SELECT source_id, url, nm FROM (SELECT *, row_number() OVER (PARTITION BY source_id, url ORDER BY nm) AS r FROM (SELECT DISTINCT source_id, url, nm FROM new WHERE source_id < 10)) WHERE r = 1),
-old AS (SELECT p_partkey AS id, p_partkey % 10 AS source_id, 'u' || p_partkey AS url, 'n' || (p_partkey % 70) AS nm FROM part WHERE p_partkey < 200),
-byurl AS (SELECT e.source_id, e.url, min(o.id) AS id FROM entries e JOIN old o ON o.source_id = e.source_id AND o.url = e.url GROUP BY ALL),
-rest AS (SELECT e.* FROM entries e LEFT JOIN byurl b USING (source_id, url) WHERE b.id IS NULL),
-byname AS (SELECT r.source_id, r.url, min(o.id) AS id FROM rest r JOIN old o ON o.source_id = r.source_id AND o.nm = r.nm GROUP BY ALL)
-SELECT e.source_id, e.url, e.nm, coalesce(b.id, n.id) AS id FROM entries e LEFT JOIN byurl b USING (source_id, url) LEFT JOIN byname n USING (source_id, url)""")
+@query("""WITH entries AS (SELECT l_orderkey % 40 AS source_id, 'u' || l_partkey AS url, min('n' || (l_suppkey % 70)) AS nm FROM lineitem GROUP BY ALL),
+old AS (SELECT p_partkey AS id, p_partkey % 40 AS source_id, 'u' || p_partkey AS url, 'n' || (p_partkey % 70) AS nm FROM part),
+byurl AS (SELECT source_id, url, min(id) AS id FROM old GROUP BY ALL), byname AS (SELECT source_id, nm, min(id) AS id FROM old GROUP BY ALL)
+SELECT e.source_id, e.url, e.nm, coalesce(b.id, n.id) AS id FROM entries e LEFT JOIN byurl b USING (source_id, url) LEFT JOIN byname n ON n.source_id = e.source_id AND n.nm = e.nm""")
 def upsert_two_keys(spark, d):
-    new = view(spark, d, "lineitem").select((F.col("l_orderkey") % 40).alias("source_id"), F.concat(F.lit("u"), (F.col("l_partkey") % 300).cast("string")).alias("url"), F.concat(F.lit("n"), (F.col("l_partkey") % 70).cast("string")).alias("nm")).where("source_id < 10")
+    new = view(spark, d, "lineitem").select((F.col("l_orderkey") % 40).alias("source_id"), F.concat(F.lit("u"), F.col("l_partkey").cast("string")).alias("url"), F.concat(F.lit("n"), (F.col("l_suppkey") % 70).cast("string")).alias("nm"))
     entries = new.groupBy("source_id", "url").agg(F.min("nm").alias("nm"))
-    old = view(spark, d, "part").where("p_partkey < 200").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 10).alias("source_id"), F.concat(F.lit("u"), F.col("p_partkey").cast("string")).alias("url"), F.concat(F.lit("n"), (F.col("p_partkey") % 70).cast("string")).alias("nm"))
+    old = view(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 40).alias("source_id"), F.concat(F.lit("u"), F.col("p_partkey").cast("string")).alias("url"), F.concat(F.lit("n"), (F.col("p_partkey") % 70).cast("string")).alias("nm"))
     return store.target_ids(entries, old, "id", ["source_id", "url"], ["source_id", "nm"]).select("source_id", "url", "nm", "id")
 
 
@@ -709,3 +725,6 @@ def roster_extract(spark, d):
 @query()
 def profile_details(spark, d):
     return page_source.profiles(view(spark, d, "pages").select("page_id", "url", "html"))
+
+
+from . import catalogue_sources  # noqa: E402, F401  registers its queries

@@ -31,7 +31,7 @@ SELECT s_suppkey AS professor_id,
   CAST(s_suppkey % 50 AS DOUBLE) / 50 AS match_score, CAST('' AS VARCHAR(20)) AS evidence
 FROM {supplier} WHERE s_suppkey % 17 > 0""",
     "works": """
-SELECT doc_id AS work_id, substr(split_part(coalesce(text, ''), '\n', 1), 1, 200) AS title,
+SELECT doc_id AS work_id, split_part(coalesce(text, ''), '\n', 1) AS title,
   substr(coalesce(text, ''), length(split_part(coalesce(text, ''), '\n', 1)) + 2) AS abstract,
   CASE WHEN doc_id % 9 > 0 THEN CAST(2000 + doc_id % 26 AS INT) END AS publication_year, n_chars AS cited_by_count,
   CASE WHEN doc_id % 7 = 0 THEN '10.48550/arXiv.' || CAST(doc_id AS VARCHAR(20)) END AS doi,
@@ -49,6 +49,16 @@ SELECT p_partkey AS professor_id, CAST(p_partkey % 5 AS INT) AS university_id, p
   CASE WHEN p_size = 7 THEN p_partkey + 1 END AS duplicate_of,
   CASE WHEN p_size = 7 THEN 'same_university_name' END AS duplicate_reason
 FROM {part}""",
+    # authors that a search by each of two spellings of a person's name found; the kind tells
+    # how the record's name differs
+    "author_records": """
+SELECT c_custkey % n AS professor_id, v.variant, CAST(floor(c_custkey / n) AS INT) AS pos, 'A' || CAST(c_custkey AS VARCHAR(20)) AS author_id, CAST((c_custkey + floor(c_custkey / n)) % 5 AS INT) AS kind,
+  CASE CAST((c_custkey + floor(c_custkey / n)) % 5 AS INT) WHEN 0 THEN 'Ann Bea ' || s_name WHEN 1 THEN 'A. B. ' || s_name WHEN 2 THEN 'Ann Clara ' || s_name WHEN 3 THEN 'Prof. Ann ' || s_name ELSE 'Zzz Qq' END AS display_name,
+  CASE WHEN c_custkey % 2 = 0 THEN 'I' || CAST(s_nationkey AS VARCHAR(20)) END AS institution,
+  CASE WHEN c_mktsegment = 'MACHINERY' THEN 'Quantum materials' ELSE 'Cosmology' END AS topic,
+  CAST(2019 + c_custkey % 8 AS INT) AS year, CASE WHEN c_custkey % 5 > 0 THEN 2 ELSE 0 END AS works_count
+FROM {customer} CROSS JOIN (SELECT count(*) AS n FROM {supplier}) s JOIN {supplier} p ON s_suppkey = c_custkey % n CROSS JOIN (SELECT 0 AS variant UNION ALL SELECT 1) v
+WHERE v.variant = 0 OR c_custkey % 3 > 0""",
     "grants": """
 SELECT o_orderkey AS grant_row, o_custkey AS professor_id, 'order' AS source, CAST(o_orderkey AS VARCHAR(20)) AS grant_id,
   CASE WHEN o_orderkey % 9 > 0 THEN o_totalprice END AS amount,

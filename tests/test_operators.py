@@ -71,12 +71,37 @@ def test_ties_go_to_the_smaller_id_and_facets_filter_after(spark, corpus):
     assert search.facets(hits, t["people"], department_type="physics").count() == 0
 
 
-def test_batch_size_is_checked(spark, monkeypatch):
+def test_a_large_batch_goes_in_parts(spark, corpus, monkeypatch):
+    t = corpus([person(i) for i in range(1, 5)], [work(i, f"Topic {'abcd'[i - 1]}x words", "some words here") for i in range(1, 5)], [(i, i) for i in range(1, 5)])
+    asked = spark.createDataFrame([(k, q) for k, q in enumerate(["topic ax", "bx words", "words here", "", "dx"])], "query_id bigint, query string")
+    whole = sorted(map(tuple, search.search(t, asked, 64)[0].collect()))
     monkeypatch.setattr(search, "QUERY_BATCH", 2)
-    ready = spark.range(3).select(F.col("id").alias("query_id"), F.array(F.lit("a")).alias("query_tokens"), F.array(F.lit(1.0)).alias("query_vector"))
-
-    with pytest.raises(ValueError):
-        search.score_works(ready, ready)
+    assert sorted(map(tuple, search.search(t, asked, 64)[0].collect())) == whole and len({r[0] for r in whole}) == 5
+    assert search.search(t, asked.where("query_id > 9"), 64)[0].count() == 0
+
+
+def test_scores_equal_the_columns_of_one_work(spark, corpus):
+    """The matrix form against the functions of one work and one query."""
+    from rosterlake.functions import scoring, text
+
+    t = corpus([person(1)], [work(1, "Quantum noise in detectors", "noise of quantum detectors and noise"), work(2, "", None), work(3, "the noise", "quantum noise again")], [(1, i) for i in (1, 2, 3)])
+    prepared = search.prepare_works(t["works"], t["vectors"]).withColumn("embedding", F.when(F.col("work_id") == 3, F.array(F.lit(1.0))).otherwise(F.col("embedding")))
+    ready = search.query_rows(spark.createDataFrame([(0, "quantum noise"), (1, "noise"), (2, "of"), (3, "noise quantum noise")], "query_id bigint, query string"), 64)
+    got = {(r["query_id"], r["work_id"]): r["work_score"] for r in search.score_works(prepared, ready).collect()}
+    q, w = F.col("query_tokens"), [F.col("title_tokens"), F.col("abstract_tokens")]
+    one = scoring.work_score(vectors.cosine(F.col("embedding"), F.col("query_vector")), *[scoring.keyword_overlap(q, x) for x in w], *[scoring.phrase_overlap(q, x) for x in w])
+    want = {(r["query_id"], r["work_id"]): r["s"] for r in prepared.crossJoin(ready).select("query_id", "work_id", one.alias("s")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_vectors_of_a_list_and_of_an_encoder(spark):
+    stored = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "work_id bigint, embedding array<double>")
+    assert [r[0] for r in vectors.by_ids(stored, [2, 9]).collect()] == [2] and vectors.by_ids(stored, []).count() == 0
+    rows = spark.createDataFrame([(1, "abc"), (2, None)], "work_id bigint, text string")
+    out = {r[0]: r[1] for r in vectors.dense_embed(rows, "work_id", "text", lambda: lambda texts: [[3.0 * len(t), 4.0 * len(t)] for t in texts], 2).collect()}
+    assert out[1] == pytest.approx([0.6, 0.8]) and out[2] == [0.0, 0.0]
+    with pytest.raises(Exception, match="the encoder gave"):
+        vectors.dense_embed(rows, "work_id", "text", lambda: lambda texts: [[1.0] for _ in texts], 2).collect()
 
 
 # -- identity

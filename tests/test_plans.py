@@ -155,6 +155,74 @@ def test_key_pool_and_limits():
         fetch.Http("x", domains={"b.edu"}).get("https://evil.example")
 
 
+def test_requests_that_fail_are_made_again(monkeypatch):
+    import io
+    import urllib.error
+
+    slept, asked = [], []
+    monkeypatch.setattr(fetch.time, "sleep", slept.append)
+
+    def answering(*found):
+        left = list(found)
+
+        def once(self, request):
+            asked.append(request.full_url)
+            x = left.pop(0) if len(left) > 1 else left[0]
+            if isinstance(x, Exception):
+                raise x
+            return x
+
+        monkeypatch.setattr(fetch.Http, "_once", once)
+
+    refused = lambda after=None: urllib.error.HTTPError("u", 429, "", {"retry-after": after} if after else {}, io.BytesIO())
+    answering(refused("3"), urllib.error.URLError("down"), (200, "u", "body"))
+    assert fetch.Http("x", interval=0).get("https://a/b", {"q": 1}) == (200, "u", "body") and slept == [3.0, 1.0]
+    answering(refused())
+    with pytest.raises(urllib.error.HTTPError):
+        fetch.Http("x", interval=0).get("https://a/b")
+    answering(urllib.error.HTTPError("u", 404, "", {}, io.BytesIO()))
+    assert fetch.Http("x", interval=0).get("https://a/b")[0] == 404
+    asked.clear(), slept.clear()
+    answering(refused("9"), (200, "u", "by another key"))
+    assert fetch.Http("x", interval=0, keys=["k1", "k2"]).get("https://a/b")[2] == "by another key"
+    assert asked == ["https://a/b?api_key=k1", "https://a/b?api_key=k2"] and not slept  # the refused key rests
+
+
+class Endless:
+    def get(self, url, params=None, body=None):
+        return 200, url, "x"
+
+
+def test_a_crawl_without_end_is_an_error():
+    follow = lambda page, url: [f"https://a?page={int(url.split('=')[1]) + 1}"]
+    with pytest.raises(OSError, match="more than 5 pages"):
+        list(fetch.crawl(Endless(), "https://a?page=0", follow, most=5))
+
+
+def test_fetched_answers_outlive_a_crash(ctx, spark):
+    todo = spark.range(6).select(F.col("id").alias("professor_id"))
+    asked = spark.sparkContext.accumulator(0)
+    schema = "professor_id bigint, payload string"
+
+    def read(f, row, fail):
+        if fail and row["professor_id"] == 4:
+            raise OSError("the line went dead")
+        asked.add(1)
+        if row["professor_id"] % 2:
+            yield {"professor_id": row["professor_id"], "payload": "p"}
+
+    pipeline.JOURNAL_ROWS, kept = 1, pipeline.JOURNAL_ROWS
+    try:
+        with pytest.raises(Exception, match="the line went dead"):
+            pipeline._fetched(ctx, "match", todo.where("professor_id < 6"), "professor_id", lambda f, r: read(f, r, True), schema).collect()
+    finally:
+        pipeline.JOURNAL_ROWS = kept
+    before = {r[0] for p in ctx.store.folders(f"{ctx.store.path}/journal/match") for r in spark.read.parquet(p).collect()}
+    asked.value = 0
+    out = pipeline._fetched(ctx, "match", todo, "professor_id", lambda f, r: read(f, r, False), schema).collect()
+    assert sorted(r["professor_id"] for r in out) == [1, 3, 5] and asked.value == 6 - len(before) and 4 not in before
+
+
 def test_paging_stops():
     page = lambda n, count: json.dumps({"results": [{"id": str(k)} for k in range(n)], "meta": {"count": count}})
     f = fetch.Recorded({"https://a/works": page(2, 3)})
