@@ -6,6 +6,11 @@ length squared).  *Vector best fit*: pieces go longest first to the open
 sequence that the score over the residual capacities prefers among those that
 all three constraints admit.
 
+By default a sequence may hold as many pieces as tokens and the attention cost of one
+full piece, so the tokens bind first: a piece has a token at least, and a sum of squares
+is at most the square of the sum.  Fewer pieces or less attention, where a trainer
+bounds them, bind before the tokens and cost sequences.
+
 What a sequence can still take depends only on the lengths in it, so the plan is
 made for counts, not rows: the corpus is reduced to a histogram of piece lengths
 (at most ``max_tokens`` rows, whatever the corpus) and sequences with equal
@@ -16,8 +21,9 @@ windows over (length, salt), so a length shared by most rows is dealt over many
 tasks.
 
 Defined cases: null text is the empty text; documents repeated in the input are
-packed as often as they occur; an empty table gives no rows; extra columns are
-carried along.  Null lengths count as zero.
+packed as often as they occur, rows equal in id and piece in the order of a hash of
+their other columns; an empty table gives no rows; extra columns are carried along.
+Null lengths count as zero.
 """
 
 from __future__ import annotations
@@ -44,11 +50,11 @@ class Capacity:
     """What a sequence holds: tokens, pieces, sum of squared piece lengths."""
 
     tokens: int = 2048
-    pieces: int = 512
+    pieces: int | None = None  # None: as many as tokens
     attention: int | None = None  # None: tokens squared, all that one full piece needs
 
     def vector(self) -> np.ndarray:
-        return np.array([self.tokens, self.pieces, self.attention or self.tokens**2], dtype=np.float64)
+        return np.array([self.tokens, self.pieces or self.tokens, self.attention or self.tokens**2], dtype=np.float64)
 
 
 def encode_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, max_tokens: int = 2048) -> DataFrame:
@@ -145,7 +151,10 @@ def pack(pieces: DataFrame, capacity: Capacity | None = None, score: str = "dot"
     capacity = capacity or Capacity()
     pieces = pieces.drop("sequence_id", "offset")
     salt, ahead, rank = (fresh(pieces, c) for c in ("salt", "ahead", "rank"))
-    order = [c for c in ("doc_id", "piece") if c in pieces.columns] or [c for c in pieces.columns if c != "length"]
+    named = [c for c in ("doc_id", "piece") if c in pieces.columns]
+    others = [F.col(f"`{f.name}`") for f in pieces.schema if f.name not in (*named, "length") and "map<" not in f.dataType.simpleString()]
+    # rows that tie on all of these are equal: a window that runs again places them alike
+    order = [*named, F.xxhash64(*others)] if others else named or ["length"]
     rows = cut(pieces.withColumn("length", F.coalesce(F.col("length"), F.lit(0)).cast("bigint")))
     counts = rows.groupBy("length").count().collect()
     if not counts:

@@ -43,6 +43,24 @@ def test_plan_is_near_the_lower_bound():
     assert plan.n_sequences <= 1.01 * -(-int((lengths * counts).sum()) // 2048) + 1
 
 
+def test_short_pieces_reach_the_lower_bound():
+    lengths, counts = np.unique(np.random.default_rng(6).integers(1, 4, 200_000), return_counts=True)
+    histogram = dict(zip(lengths.tolist(), counts.tolist(), strict=True))
+    least = -(-int((lengths * counts).sum()) // 2048)
+    assert packing.best_fit_plan(histogram, packing.Capacity()).n_sequences == least
+    assert packing.best_fit_plan({2: 2000}, packing.Capacity()).n_sequences == 2
+    few = packing.best_fit_plan(histogram, packing.Capacity(pieces=512))
+    assert few.n_sequences == -(-200_000 // 512)
+
+
+def test_attention_binds_where_it_is_bounded():
+    # four of 512 tokens fill a sequence; two of them are all that this attention allows
+    assert packing.best_fit_plan({512: 40}, packing.Capacity()).n_sequences == 10
+    assert packing.best_fit_plan({512: 40}, packing.Capacity(attention=2 * 512**2)).n_sequences == 20
+    # short pieces still fill the tokens that the attention of long ones leaves
+    assert packing.best_fit_plan({512: 40, 16: 20 * 64}, packing.Capacity(attention=2 * 512**2 + 64 * 16**2)).n_sequences == 20
+
+
 def test_a_piece_beyond_a_capacity_is_refused():
     with pytest.raises(ValueError):
         packing.best_fit_plan({5: 1}, packing.Capacity(10, 5, attention=20))
@@ -93,5 +111,10 @@ def test_query(spark, sf):
         own = out[out.doc_id == i].sort_values("piece")
         assert own.ids_crc32.tolist() == [zlib.crc32(ids[a : a + 2048].tobytes()) for a in range(0, len(ids), 2048)]
     assert out.sequence_id.nunique() <= -(-int(out.length.sum()) // 2048) + 2
-    full = out.groupby("sequence_id").length.sum()
-    assert full.max() <= 2048
+    # every sequence is gapless from 0 over the whole table, every document whole
+    placed = out.sort_values(["sequence_id", "offset"])
+    assert (placed.offset == placed.groupby("sequence_id").length.cumsum() - placed.length).all()
+    assert placed.groupby("sequence_id").length.sum().max() <= 2048
+    cut = out.sort_values(["doc_id", "piece"])
+    assert (cut.start == cut.groupby("doc_id").length.cumsum() - cut.length).all() and (cut.piece == cut.groupby("doc_id").cumcount()).all()
+    assert (cut.length[cut.piece < cut.groupby("doc_id").piece.transform("max")] == 2048).all()
