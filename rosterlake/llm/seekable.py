@@ -41,6 +41,8 @@ from .common import small_batches
 
 SKIPPABLE, SEEKABLE, VERSION = 0x184D2A5E, 0x8F92EAB1, 1
 FRAME_IDS = 65_536
+#: Tasks for each core that files are read by, where there are as many files.
+READERS = 16
 FRAME = np.dtype([("bytes", "<u4"), ("ids", "<u4"), ("crc", "<u4"), ("docs", "<u4")])
 DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("ids", "<u4")])
 FOOTER = struct.Struct("<IIIBI")
@@ -115,15 +117,20 @@ class Reader:
         or of all; frames without a wanted document stay compressed."""
         places = np.arange(len(self.docs)) if wanted is None else np.unique(np.fromiter(wanted, np.int64))
         frame_of = np.searchsorted(self.first, places, side="right") - 1
-        for k in np.unique(frame_of):
-            raw, lo = self.frame(int(k)), int(self.first[k])
+        frames, begin = np.unique(frame_of, return_index=True)
+        for k, a, b in zip(frames.tolist(), begin.tolist(), [*begin[1:].tolist(), len(places)], strict=True):
+            raw, lo = self.frame(k), int(self.first[k])
             ends = np.cumsum(self.docs["ids"][lo : int(self.first[k + 1])], dtype=np.int64) * 4
-            for place in places[frame_of == k].tolist():
+            for place in places[a:b].tolist():
                 end, n = int(ends[place - lo]), 4 * int(self.docs[place]["ids"])
                 yield place, None if self.docs[place]["null"] else int(self.docs[place]["doc_id"]), raw[end - n : end]
 
     def find(self, doc_id: int) -> list[int]:
-        return np.flatnonzero((self.docs["doc_id"] == doc_id) & (self.docs["null"] == 0)).tolist()
+        """Places of a document, by binary search: documents ascend after those of null
+        doc_id."""
+        lo = int(np.searchsorted(1 - self.docs["null"], 1))
+        a, b = np.searchsorted(self.docs["doc_id"][lo:], [doc_id, doc_id + 1])
+        return list(range(lo + int(a), lo + int(b)))
 
 
 def open_file(uri: str) -> tuple[object, int]:
@@ -189,12 +196,14 @@ def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
 def read_tokens(spark: SparkSession, folder: str, wanted: DataFrame | None = None) -> DataFrame:
     """Documents of the files: doc_id, file, part, place, n_tokens, start, ids.
 
-    ``wanted`` (file, place) restricts reading to those documents' frames.  One
-    task reads one file at a time and holds one frame."""
+    ``wanted`` (file, place) restricts reading to those documents' frames.  Files are
+    dealt out evenly, up to ``READERS`` a core in all; a task reads one at a time and
+    holds one frame."""
     files = read_manifest(spark, folder)
+    tasks = max(1, min(files.count(), READERS * spark.sparkContext.defaultParallelism))
     todo = files.select("file", "part", "ids_ahead")
     todo = todo.join(wanted.groupBy("file").agg(F.collect_set("place").alias("places")), "file") if wanted is not None else todo.withColumn("places", F.lit(None).cast("array<bigint>"))
-    todo = todo.repartition(F.col("file"))
+    todo = todo.repartition(tasks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

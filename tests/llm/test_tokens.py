@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rosterlake.llm import bpe, queries, seekable, tokens
@@ -75,7 +76,7 @@ def write(docs, frame_ids=8):
     return sink.getvalue(), w
 
 
-DOCS = [(1, [5, 6]), (2, []), (2, [7] * 20), (None, [1]), (9, [2, 3, 4])]
+DOCS = [(None, [1]), (1, [5, 6]), (2, []), (2, [7] * 20), (9, [2, 3, 4])]
 
 
 def test_round_trip_and_single_documents():
@@ -88,7 +89,7 @@ def test_round_trip_and_single_documents():
     r.frame = lambda k: opened.append(k) or whole(k)
     assert [np.frombuffer(i, "<u4").tolist() for _, _, i in r.read(r.find(9))] == [[2, 3, 4]]
     assert opened == [2]
-    assert r.find(2) == [1, 2]
+    assert r.find(2) == [2, 3] and r.find(1) == [1] and r.find(0) == r.find(5) == r.find(10) == []
 
 
 def test_ordinary_decoder_passes_over_the_table():
@@ -129,6 +130,14 @@ def test_files_over_a_table(spark, tmp_path):
     assert not [p for p in tmp_path.glob("out/*.zst.*")]  # no unfinished file is left
 
 
+def test_files_are_read_by_as_many_tasks(spark, tmp_path):
+    folder = f"file://{tmp_path}/many"
+    rows = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    seekable.write_tokens(rows, folder, partitions=6)
+    read = seekable.read_tokens(spark, folder)
+    assert read.select(F.spark_partition_id()).distinct().count() == 6 and read.count() == 600
+
+
 def test_empty_table(spark, tmp_path):
     folder = f"file://{tmp_path}/none"
     seekable.write_tokens(spark.createDataFrame([], SCHEMA), folder)
