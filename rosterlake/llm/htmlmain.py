@@ -1,34 +1,42 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
-A page is read as a sequence of tokens: words score above zero, tags below, by
-weights learnt from labelled pages.  A tag's weight depends on its name, on
-whether it opens or closes and on telling words in its class, id or role; a
-word's on the innermost telling element around it (link text in a menu counts
-less than text in a paragraph).  A linear scan finds the contiguous region of
-greatest sum.  Within it, elements that cannot hold article text (scripts,
-styles, forms, menus, adverts, notices, comments of readers) are left out.
-
-The labelled pages are made by ``labelled_pages`` from a few layouts with random
-words, so weights come from a fit over known answers and not from a list; they
-are fitted once a process.
+A page is read as a sequence of tokens: words score above zero, tags below.  The weights
+are learnt from labelled pages, by logistic regression on what stands around a word: the
+names of the elements that it is in and the words of their class, id and role.
+
+* A word scores the log odds that a word in its place is content, ``FAINT`` at least.
+* A tag costs ``TAG`` and, as far as its own name and class speak against content, more.
+
+A linear scan finds the contiguous region of greatest sum.  It is widened to the element
+around it if that adds few words, or if the element's own weight speaks for content: a
+last short paragraph belongs to the rest.  Inside the region the same scores decide on
+parts: an element that holds a block of text and sums up to less than zero (a menu, an
+advert, comments of readers within the article) is left out.  No name decides alone; what
+can be no text by the rules of HTML (scripts, styles, hidden elements, controls) is never
+read.
+
+The labelled pages are made by ``labelled_pages`` with random words in many layouts, so
+the label of each word is known; weights are fitted once a process, on the driver.
 
 Text: character references decoded, white space within a block made one space,
 trimmed, blocks joined by a line feed in page order.  Nothing else is dropped.
 
 Defined cases: a null or empty page gives the empty text; a page without markup
-is one block of content; unclosed and stray tags are taken as they come; rows may
-repeat; an empty table gives no rows; other columns are left out.
+is one block of content; unclosed and stray tags are taken as they come; a page with
+markup whose best region holds no word that is likelier content than not gives the empty
+text; rows may repeat; an empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
 
 import functools
 import html
-import math
 import random
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,12 +49,12 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup.
 RAW = frozenset("script style textarea title noscript iframe template xmp svg".split())
-#: Elements that hold no article text, wherever they stand.
-OUTSIDE = frozenset("head nav header footer aside form button select dialog menu object canvas audio video".split()) | RAW
-#: Words in a class, id or role that mark such elements.
-MARKS = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer form header login masthead menu modal nav navbar navigation newsletter notice pager pagination paywall popup promo promoted promotion recommended related replies reply respond rss search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
-#: Words that mark the content itself and outweigh the above on one element.
-CONTENT = frozenset("article articlebody body content entry main post story text".split())
+#: Elements that HTML does not show as text.
+UNSEEN = frozenset("head select object canvas audio video".split()) | RAW
+#: Least score of a word, cost of a tag, and the most that a word or a tag counts.
+FAINT, TAG, MOST, MOST_TAG = 0.01, 0.1, 4.0, 12.0
+#: Share of a region's words that widening it may add.
+FEW = 0.2
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -56,26 +64,30 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"""([A-Za-z_:][-A-Za-z0-9_:.]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PART = re.compile(r"[a-z]+")
 #: HTML's white space and the no-break space.
-_SPACE = re.compile(r"[ \t\n\r\f\v ]+")
+_SPACE = re.compile("[ \t\n\r\f\v\xa0]+")
 
 
 def attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape((m[2] or "").strip("\"'")) for m in _ATTR.finditer(source)} if source.strip(" /") else {}
 
 
-def aside(name: str, attrs: dict[str, str]) -> bool:
-    """Whether an element, by name and attributes, holds no article text."""
-    if name in OUTSIDE:
+def unseen(name: str, attrs: dict[str, str]) -> bool:
+    """Whether HTML shows nothing of an element."""
+    if name in UNSEEN:
         return True
-    if not attrs or name in ("body", "html", "article", "main"):
-        return False
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")):
-        return True
-    parts = set()
+    return bool(attrs) and ("hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")) is not None)
+
+
+@functools.lru_cache(50_000)
+def features(name: str, source: str) -> tuple[str, ...]:
+    """What an element tells of the words in it: its name, and the words of its class, id
+    and role, a plural like its singular."""
+    attrs = attributes(source)
+    found = {f"<{name}"}
     for k in ("class", "id", "role", "itemprop"):
         value = re.sub(r"([a-z])([A-Z])", r"\1 \2", attrs.get(k, ""))
-        parts.update(_PART.findall(value.lower()))
-    return bool(parts & MARKS) and not parts & CONTENT
+        found.update(w[:-1] if len(w) > 3 and w.endswith("s") and not w.endswith("ss") else w for w in _PART.findall(value.lower()))
+    return tuple(sorted(found))
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -102,87 +114,203 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             yield "close", name, ""
 
 
-def pieces(page: str) -> tuple[list[tuple[str, str, bool, int]], list[tuple[int, int, str]]]:
-    """(feature, text, inside an element without article text, block number) of
-    each tag and text of a page, and the elements as (first piece, last piece
-    exclusive, name)."""
-    out: list[tuple[str, str, bool, int]] = []
-    elements: list[tuple[int, int, str]] = []
-    stack: list[tuple[str, bool, int]] = []
-    outside = links = block = 0
+@dataclass
+class Piece:
+    """A tag, or a text with its block; ``score`` is what the scan adds up, ``odds`` the log
+    odds that a word here is content, ``words`` their number."""
+
+    name: str
+    text: str
+    block: int
+    score: float = 0.0
+    odds: float = 0.0
+    words: int = 0
+    around: tuple[str, ...] = ()
+
+
+def count_words(text: str) -> int:
+    """Words, or for scripts that write without spaces a dozen letters each."""
+    return max(len(text.split()), len(text.strip()) // 12)
+
+
+def pieces(page: str, w: dict[str, float] | None) -> tuple[list[Piece], list[tuple[int, int, str, float]]]:
+    """The pieces of a page that HTML shows, scored by ``w`` (without: with the features
+    around each text), and its elements as (first piece, last piece exclusive, name, own
+    weight)."""
+    out: list[Piece] = []
+    elements: list[tuple[int, int, str, float]] = []
+    stack: list[tuple[str, bool, int, tuple[str, ...], float]] = []
+    held: dict[str, int] = {}
+    hidden = block = 0
+    odds = w.get("", 0.0) if w else 0.0
+
+    def leave(at: int) -> tuple[str, float]:
+        nonlocal hidden, odds
+        name, bad, first, own, weight = stack.pop()
+        elements.append((first, at, name, weight))
+        hidden -= bad
+        for f in own:
+            held[f] -= 1
+            if not held[f] and w:
+                odds -= w.get(f, 0.0)
+        return name, weight
+
     for kind, value, source in tokens(page):
         if kind == "text":
-            feature = "word:aside" if outside else "word:link" if links else "word"
-            out.append((feature, value, outside > 0, block))
+            if not hidden and (n := count_words(value)):
+                around = () if w else tuple(f for f, k in held.items() if k)
+                out.append(Piece("", value, block, n * max(FAINT, min(MOST, odds)), odds, n, around))
+            elif not hidden:
+                out.append(Piece("", value, block))
             continue
         block += value in BLOCKS
+        cost = 0.0
         if kind == "open":
-            bad = aside(value, attributes(source))
-            out.append((f"<{value}{'!' if bad else ''}", "", outside > 0 or bad, block))
+            own = features(value, source)
+            weight = sum([w.get(f, 0.0) for f in own]) if w else 0.0
+            cost = min(MOST_TAG, TAG + max(0.0, -weight))
+            if not hidden:
+                out.append(Piece(f"<{value}", "", block, -cost))
             if value not in VOID:
-                stack.append((value, bad, len(out) - 1))
-                outside += bad
-                links += value == "a"
-        else:
-            if any(n == value for n, _, _ in stack):
-                while stack:
-                    n, bad, first = stack.pop()
-                    elements.append((first, len(out) + 1, n))
-                    outside -= bad
-                    links -= n == "a"
-                    if n == value:
-                        break
-            out.append((f"</{value}", "", outside > 0, block))
-    elements += [(first, len(out), n) for n, _, first in stack]
-    return out, elements
+                bad = unseen(value, attributes(source)) if source or value in UNSEEN else False
+                stack.append((value, bad, max(0, len(out) - 1), own, weight))
+                hidden += bad
+                for f in own:
+                    held[f] = held.get(f, 0) + 1
+                    if held[f] == 1 and w:
+                        odds += w.get(f, 0.0)
+        elif any(n == value for n, *_ in stack):
+            while True:
+                name, weight = leave(len(out) + 1)
+                if name == value:
+                    break
+            if not hidden:
+                out.append(Piece(f"</{value}", "", block, -min(MOST_TAG, TAG + max(0.0, -weight))))
+    while stack:
+        leave(len(out))
+    return out, [(a, min(b, len(out)), n, x) for a, b, n, x in elements]
 
 
 # -- weights
 
+# What the labelled pages are made of: words of classes for parts that are no content, and
+# for the content itself.
+NOISE = {
+    "menu": ("nav ul div section", "menu nav navbar navigation breadcrumb pager pagination toolbar tab skip topbar masthead"),
+    "head": ("header div section", "header masthead banner brand logo site topbar"),
+    "foot": ("footer div section", "footer copyright legal colophon credits imprint bottom"),
+    "side": ("aside div section td", "sidebar side rail widget aside related recommended popular trending latest teaser promo more"),
+    "advert": ("div aside section ins", "ad ads advert advertisement advertising sponsor sponsored promoted promotion banner partner affiliate"),
+    "notice": ("div section aside dialog", "cookie consent notice gdpr alert popup modal paywall privacy overlay toast"),
+    "form": ("form div section", "form newsletter subscribe search login signup register contact field label"),
+    "talk": ("div section ol ul aside", "comment comments commentlist reply replies respond response disqus discussion feedback reader thread reaction"),
+    "share": ("div ul section p", "share sharing social follow like tweet print tool action"),
+    "meta": ("div p ul footer", "byline meta tag author date category posted permalink"),
+}
+#: Names that sections of an article bear as well as other parts do.
+EITHER = "intro summary chapter note search result label field tool action contact author date category tag legal credits privacy"
+CONTENT = ("article main div section td", "article content entry post story text body main page prose copy")
+PLAIN = "site page post entry story main top box block inner wrap container col row item list body content js".split()
+
+
+def _names(rng: random.Random, own: str, plain: float) -> str:
+    """A class attribute of some of the words, or none."""
+    if rng.random() < plain:
+        return ""
+    words = [rng.choice(own.split())] + [rng.choice(PLAIN)] * (rng.random() < 0.4)
+    rng.shuffle(words)
+    extra = " " + rng.choice(PLAIN) if rng.random() < 0.2 else ""
+    return f' {rng.choice(["class", "class", "id"])}="{rng.choice("-_ ").join(words)}{extra}"'
+
 
-def labelled_pages(n: int = 60, seed: int = 7) -> list[tuple[str, set[str]]]:
+def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[str, set[str]]]:
     """Pages with their content words.  Content words begin with "c", all others
     with "b", so the label of each word is known."""
     rng = random.Random(seed)
     says = lambda letter, lo, hi: " ".join(letter + "".join(rng.choices("aeioulnrst", k=rng.randint(1, 8))) for _ in range(rng.randint(lo, hi)))
+    link = lambda letter, lo=1, hi=4: f'<a href="/{rng.randint(1, 99)}">{says(letter, lo, hi)}</a>'
+
+    def noise(kind: str) -> str:
+        tags, own = NOISE[kind]
+        tag = rng.choice(tags.split())
+        telling = tag in ("nav", "header", "footer", "aside", "form", "dialog", "ins")
+        inner = {
+            "menu": lambda: "".join(f"<li>{link('b')}</li>" for _ in range(rng.randint(3, 12))),
+            "head": lambda: rng.choice([f"<h2>{says('b', 1, 4)}</h2>", f"<p>{says('b', 2, 8)}</p>", link("b")]),
+            "foot": lambda: rng.choice([says("b", 3, 20), f"<p>{says('b', 3, 40)}</p>{link('b')} {link('b')}"]),
+            "side": lambda: rng.choice(["".join(f"<li>{link('b', 2, 8)}</li>" for _ in range(rng.randint(2, 6))), f"<h3>{says('b', 1, 3)}</h3><p>{says('b', 3, 30)}</p>", f"<h4>{link('b', 2, 7)}</h4>" * 3]),
+            "advert": lambda: rng.choice([says("b", 3, 15), f"<p>{says('b', 3, 25)}</p>", link("b", 2, 8)]),
+            "notice": lambda: f"<p>{says('b', 4, 40)}</p><button>{says('b', 1, 2)}</button>",
+            "form": lambda: f"<label>{says('b', 1, 4)}</label><input name=q><p>{says('b', 2, 12)}</p><button>{says('b', 1, 2)}</button>",
+            "talk": lambda: "".join(f'<{e}{_names(rng, own, 0.5)}><b>{says("b", 1, 2)}</b><p>{says("b", 3, 60)}</p></{e}>' for e in rng.choices(["div", "li", "article"], k=rng.randint(1, 5))),
+            "share": lambda: "".join(link("b", 1, 2) for _ in range(rng.randint(2, 5))),
+            "meta": lambda: rng.choice([says("b", 2, 8), f"{says('b', 1, 3)} {link('b')} {link('b')}"]),
+        }[kind]()
+        if tag in ("ul", "ol") and "<li" not in inner:
+            inner = f"<li>{inner}</li>"
+        return f"<{tag}{_names(rng, own, 0.4 if telling else 0.0)}>{inner}</{tag}>"
+
+    def section() -> str:
+        tag = rng.choice(["section", "section", "div"])
+        return f"<{tag}{_names(rng, CONTENT[1] if rng.random() < 0.3 else EITHER, 0.2)}>" + "".join(f"<p>{says('c', 8, 120)}</p>" for _ in range(rng.randint(1, 4))) + f"</{tag}>"
+
+    def text_block() -> str:
+        kind = rng.random()
+        if kind < 0.66:
+            some = says("c", 3, 80)
+            return f"<p>{some} {link('c')} {says('c', 1, 20)}</p>" if rng.random() < 0.25 else f"<p><b>{some}</b></p>" if rng.random() < 0.1 else f"<p>{some}</p>"
+        if kind < 0.76:
+            return f"<{(e := rng.choice(['ul', 'ol']))}>" + "".join(f"<li>{says('c', 2, 14)}</li>" if rng.random() < 0.8 else f"<li>{link('c')} {says('c', 1, 9)}</li>" for _ in range(rng.randint(2, 5))) + f"</{e}>"
+        if kind < 0.86:
+            return section()
+        return rng.choice([f"<h2>{says('c', 1, 6)}</h2>", f"<blockquote><p>{says('c', 4, 30)}</p></blockquote>", f"<pre>{says('c', 3, 20)}</pre>", f"<table><tr><td>{says('c', 1, 3)}</td><td>{says('c', 1, 3)}</td></tr></table>", f"<figure><figcaption>{says('c', 3, 12)}</figcaption></figure>", section()])
+
     out = []
-    for i in range(n):
-        menu = "<nav><ul>" + "".join(f'<li><a href="/{k}">{says("b", 1, 3)}</a></li>' for k in range(rng.randint(3, 12))) + "</ul></nav>"
-        head = rng.choice(["", f"<header><h2>{says('b', 1, 4)}</h2></header>", f'<div class="cookie-notice">{says("b", 4, 20)}</div>'])
-        side = rng.choice(["", f"<aside>{says('b', 3, 30)}</aside>", f'<div id="sidebar"><ul><li><a href="#">{says("b", 2, 6)}</a></li></ul></div>'])
-        form = rng.choice(["", f"<form><label>{says('b', 1, 3)}</label><input name=q><button>{says('b', 1, 2)}</button></form>"])
-        talk = rng.choice(["", '<div class="comments">' + "".join(f"<p>{says('b', 3, 25)}</p>" for _ in range(rng.randint(1, 4))) + "</div>"])
-        ad = f'<div class="ad">{says("b", 3, 12)}</div>'
-        body = f"<h1>{says('c', 2, 8)}</h1>" + "".join(f"<p>{says('c', 5, 80)}</p>" if rng.random() < 0.8 else f"<ul><li>{says('c', 3, 10)}</li><li>{says('c', 3, 10)}</li></ul>" for _ in range(rng.randint(2, 9)))
-        wrap = rng.choice(["article", "main", "div", "section"])
-        page = f"<html><head><title>{says('b', 2, 6)}</title></head><body>{head}{menu}{ad if i % 2 else ''}<{wrap}>{body}</{wrap}>{side}{form}{talk}{'' if i % 2 else ad}<footer>{says('b', 3, 15)}</footer></body></html>"
+    for _ in range(n):
+        title = f"<h1>{says('c', 2, 8)}</h1>"
+        if rng.random() < 0.25:
+            title = f"<header{_names(rng, CONTENT[1] + ' header', 0.6)}>{title}{rng.choice(['', f'<p>{says("c", 3, 20)}</p>'])}</header>"
+        parts = [title] + [text_block() for _ in range(rng.randint(1, 12))]
+        for kind in rng.sample(["advert", "share", "side", "talk", "notice", "form", "meta", "foot"], rng.choice([0, 0, 1, 2])):
+            parts.insert(rng.randint(1, len(parts)), noise(kind))
+        body = "".join(parts)
+        if rng.random() < 0.08:  # a fragment
+            page = rng.choice([says("c", 1, 60), "".join(text_block() for _ in range(rng.randint(1, 4)))])
+        else:
+            wrap = rng.choice(CONTENT[0].split())
+            body = body if rng.random() < 0.1 else f"<{wrap}{_names(rng, CONTENT[1], 0.4)}>{body}</{wrap}>"
+            if rng.random() < 0.3:
+                body = f"<div{_names(rng, ' '.join(PLAIN), 0.4)}>{body}{noise('side') if rng.random() < 0.5 else ''}</div>"
+            before = "".join(noise(k) for k in rng.sample(["head", "menu", "notice", "advert", "form", "share"], rng.randint(1, 4)))
+            after = "".join(noise(k) for k in rng.sample(["side", "foot", "talk", "form", "advert", "menu"], rng.randint(1, 4)))
+            page = f"<html><head><title>{says('b', 2, 6)}</title></head><body{_names(rng, 'home single page ' + ' '.join(PLAIN), 0.7)}>{before}{body}{after}</body></html>"
         out.append((page, set(re.findall(r"\bc[aeioulnrst]+", re.sub(r"<[^>]*>", " ", page)))))
     return out
 
 
-def fit_weights(pages: list[tuple[str, set[str]]]) -> dict[str, float]:
-    """Log odds of a feature's words (or, for tags, of the nearest words on either
-    side) being content, clipped; words are kept above zero and tags below."""
-    seen: dict[str, list[float]] = {}
+def fit_weights(pages: list[tuple[str, set[str]]], ridge: float = 1.0, rounds: int = 12) -> dict[str, float]:
+    """Weight of each feature, and of "" for every word, by logistic regression; a text
+    counts as often as the square root of its words, so that long ones do not decide all."""
+    rows, labels, counts = [], [], []
     for page, content in pages:
-        found, _ = pieces(page)
-        labels = [[w in content for w in text.split()] for _, text, _, _ in found]
-        flat = [None if not x else sum(x) / len(x) for x in labels]
-        back, ahead, last = [0.0] * len(flat), [0.0] * len(flat), 0.0
-        for i, v in enumerate(flat):
-            last = v if v is not None else last
-            back[i] = last
-        last = 0.0
-        for i in range(len(flat) - 1, -1, -1):
-            last = flat[i] if flat[i] is not None else last
-            ahead[i] = last
-        for (feature, _, _, _), own, a, b in zip(found, labels, back, ahead, strict=True):
-            seen.setdefault(feature, []).extend([float(v) for v in own] if feature.startswith("word") else [(a + b) / 2])
-    out = {}
-    for feature, values in seen.items():
-        odds = math.log((sum(values) + 1) / (len(values) - sum(values) + 1))
-        out[feature] = min(4.0, max(0.02, odds)) if feature.startswith("word") else min(-0.1, max(-8.0, odds - 1.0))
-    return out
+        for p in pieces(page, None)[0]:
+            if p.words:
+                words = p.text.split()
+                rows.append(p.around)
+                labels.append(sum(x in content for x in words) / len(words))
+                counts.append(len(words) ** 0.5)
+    names = sorted({f for r in rows for f in r})
+    place = {f: i + 1 for i, f in enumerate(names)}
+    x = np.zeros((len(rows), len(names) + 1))
+    x[:, 0] = 1
+    for i, r in enumerate(rows):
+        x[i, [place[f] for f in r]] = 1
+    y, c, b = np.array(labels), np.array(counts), np.zeros(x.shape[1])
+    for _ in range(rounds):  # Newton steps
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        slope = x.T @ (c * (p - y)) + ridge * b
+        b -= np.linalg.solve((x * (c * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(b)), slope)
+    return {"": float(b[0])} | {f: float(v) for f, v in zip(names, b[1:], strict=True)}
 
 
 @functools.cache
@@ -190,18 +318,15 @@ def weights() -> dict[str, float]:
     return fit_weights(labelled_pages())
 
 
-UNKNOWN_TAG = -1.0
+# -- the scan
 
 
-def region(found: list[tuple[str, str, bool, int]], w: dict[str, float]) -> tuple[int, int]:
+def region(scores: list[float]) -> tuple[int, int]:
     """First and last piece (exclusive) of the greatest sum; of equal sums the
     first and longest."""
     best, span, total, start = 0.0, (0, 0), 0.0, 0
-    for i, (feature, text, _, _) in enumerate(found):
-        if feature.startswith("word"):
-            total += w.get(feature, 0.02) * len(text.split())
-        else:
-            total += w.get(feature, w.get(feature.rstrip("!"), UNKNOWN_TAG) * (4 if feature.endswith("!") else 1))
+    for i, s in enumerate(scores):
+        total += s
         if total <= 0:
             total, start = 0.0, i + 1
         elif total >= best:
@@ -209,32 +334,51 @@ def region(found: list[tuple[str, str, bool, int]], w: dict[str, float]) -> tupl
     return span
 
 
-def widened(found: list, elements: list, span: tuple[int, int]) -> tuple[int, int]:
-    """The smallest element around the region, where it is an article by name or
-    would add few words: a last short paragraph belongs to the rest."""
+def left_out(found: list[Piece], elements: list[tuple[int, int, str, float]], core: int) -> list[bool]:
+    """Which pieces are in an element of blocks that sums up to less than zero; those around
+    the core of the region stay."""
+    sums = [0.0]
+    for p in found:
+        sums.append(sums[-1] + p.score)
+    out = [False] * len(found)
+    for a, b, name, _ in elements:
+        if name in BLOCKS and not a <= core < b and sums[b] - sums[a] < 0:
+            out[a:b] = [True] * (b - a)
+    return out
+
+
+def widened(found: list[Piece], elements: list[tuple[int, int, str, float]], span: tuple[int, int], gone: list[bool]) -> tuple[int, int]:
+    """The smallest element around the region, where its own weight speaks for content or
+    it would add few words."""
     lo, hi = span
     around = [e for e in elements if e[0] <= lo and e[1] >= hi]
-    if lo == hi or not around:
+    if not around:
         return span
-    first, last, name = min(around, key=lambda e: e[1] - e[0])
-    words = lambda a, b: sum(len(t.split()) for _, t, outside, _ in found[a:b] if t and not outside)
+    first, last, _, weight = min(around, key=lambda e: e[1] - e[0])
+    words = lambda a, b: sum(p.words for p, out in zip(found[a:b], gone[a:b], strict=True) if not out)
     inside = words(lo, hi)
-    return (first, last) if name in ("article", "main") or words(first, last) - inside <= 0.2 * inside else span
+    return (first, last) if weight > 0.5 or words(first, last) - inside <= FEW * inside else span
 
 
-def main_text(page: str | None, w: dict[str, float] | None = None) -> str:
+def main_text(page: str | None, w: dict[str, float] | None = None, scan: bool = True) -> str:
+    """``scan`` off takes the whole page as region, which shows what the scan is for."""
     if not page:
         return ""
-    found, elements = pieces(page)
-    lo, hi = widened(found, elements, region(found, w or weights()))
+    found, elements = pieces(page, w or weights())
+    lo, hi = region([p.score for p in found])
+    core = max(range(lo, hi), key=lambda i: found[i].score, default=-1)
+    if core < 0 or found[core].odds <= 0:
+        return ""
+    gone = left_out(found, elements, core)
+    lo, hi = widened(found, elements, (lo, hi), gone) if scan else (0, len(found))
     blocks: dict[int, list[str]] = {}
-    for feature, text, outside, block in found[lo:hi]:
-        if outside:
+    for p, out in zip(found[lo:hi], gone[lo:hi], strict=True):
+        if out:
             continue
-        if text:
-            blocks.setdefault(block, []).append(html.unescape(text))
-        elif feature == "<br":
-            blocks.setdefault(block, []).append(" ")
+        if p.text:
+            blocks.setdefault(p.block, []).append(html.unescape(p.text))
+        elif p.name == "<br":
+            blocks.setdefault(p.block, []).append(" ")
     lines = (_SPACE.sub(" ", "".join(parts)).strip(" ") for parts in blocks.values())
     return "\n".join(line for line in lines if line)
 
@@ -242,10 +386,11 @@ def main_text(page: str | None, w: dict[str, float] | None = None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of each page."""
     small_batches(pages.sparkSession)
+    w = weights()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h) for h in batch.column(2).to_pylist()]
+            texts = [main_text(h, w) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, EXTRACTED)
