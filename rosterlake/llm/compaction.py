@@ -3,11 +3,13 @@
 A store is a folder of immutable Parquet shards and of manifests, one a version,
 each naming all live shards.  ``append`` writes an arrival as small shards.
 ``compact`` sorts live shards into tiers by size (tier i holds sizes within a
-factor of ``fanout``); a tier of at least ``fanout`` shards below the target size
-is rewritten as files of about the target size (one file, if it holds less).
-``vacuum`` deletes what no kept version names.
+factor of ``fanout``); of a tier of at least ``fanout`` shards below the target size
+as many as make ``MERGE`` bytes are rewritten at once, as files of about the target size
+(one file, if they hold less).  ``vacuum`` deletes what no kept version names.
 
-A version is committed by renaming a finished file to its number, which fails if
+A manifest is a list of schemas and of pages, files of up to ``PAGE`` shards each; a
+version writes pages only for shards that are new or whose page has lost one, so what an
+append writes does not grow with the store.  A version is committed by renaming a finished file to its number, which fails if
 that number exists, so of two writers one retries on the other's version.  Data
 written by a job that is lost is named by no version.  All data moves by
 DataFrame jobs; a manifest holds one line a shard.
@@ -23,13 +25,16 @@ from __future__ import annotations
 import json
 import math
 import uuid
-from dataclasses import asdict, dataclass
+from collections import Counter
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 TARGET, FANOUT = 128 << 20, 4
+#: Bytes that one merge rewrites, and shards of a manifest's page.
+MERGE, PAGE = 64 * TARGET, 10_000
 
 
 @dataclass(frozen=True)
@@ -38,6 +43,7 @@ class Shard:
     bytes: int
     rows: int
     schema: str
+    page: str = ""  # where the manifest has it; none for a new shard
 
 
 class Conflict(Exception):
@@ -71,20 +77,38 @@ class ShardStore:
             if not found:
                 return 0, [], None
             version = found[-1]
-        stream = self._fs.open(self._path(f"{self.path}/manifest/v{version:010d}.json"))
+        body = self._read(f"v{version:010d}.json")
+        live = [Shard(path, size, rows, body["schemas"][kind], page) for page in body["pages"] for path, size, rows, kind in self._read(page)]
+        return version, live, body["schema"]
+
+    def _read(self, name: str):
+        stream = self._fs.open(self._path(f"{self.path}/manifest/{name}"))
         try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        body = json.loads(text)
-        return version, [Shard(**s) for s in body["shards"]], body["schema"]
+
+    def _put(self, name: str, body) -> object:
+        path = self._path(f"{self.path}/manifest/{name}")
+        stream = self._fs.create(path, False)
+        stream.write(bytearray(json.dumps(body).encode()))
+        stream.close()
+        return path
 
     def _commit(self, parent: int, shards: list[Shard], schema: str | None, what: str) -> int:
         version = parent + 1
-        own = self._path(f"{self.path}/manifest/.{uuid.uuid4().hex}")
-        stream = self._fs.create(own, False)
-        stream.write(bytearray(json.dumps({"version": version, "parent": parent, "what": what, "schema": schema, "shards": [asdict(s) for s in shards]}).encode()))
-        stream.close()
+        before = self._read(f"v{parent:010d}.json") if parent else {"schemas": [], "sizes": []}
+        sizes = dict(zip(before.get("pages", []), before["sizes"], strict=True))
+        schemas = list(dict.fromkeys([*before["schemas"], *(s.schema for s in shards)]))
+        kind = {k: i for i, k in enumerate(schemas)}
+        there = Counter(s.page for s in shards)
+        pages = {p: n for p, n in sizes.items() if there[p] == n}
+        rest = [s for s in shards if s.page not in pages]
+        for at in range(0, len(rest), PAGE):
+            name = f"p{uuid.uuid4().hex}.json"
+            self._put(name, [(s.path, s.bytes, s.rows, kind[s.schema]) for s in rest[at : at + PAGE]])
+            pages[name] = len(rest[at : at + PAGE])
+        own = self._put(f".{uuid.uuid4().hex}", {"version": version, "parent": parent, "what": what, "schema": schema, "schemas": schemas, "pages": list(pages), "sizes": list(pages.values())})
         none = self.spark._sc._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
             self._context.rename(own, self._path(f"{self.path}/manifest/v{version:010d}.json"), none)
@@ -126,6 +150,16 @@ class ShardStore:
                 by.setdefault(int(math.log(max(s.bytes, 1), self.fanout)), []).append(s)
         return [g for _, g in sorted(by.items()) if len(g) >= self.fanout]
 
+    def share(self, group: list[Shard]) -> list[Shard]:
+        """The first shards of a tier that make ``MERGE`` bytes, ``fanout`` at least."""
+        taken, weight = [], 0
+        for s in group:
+            if weight >= MERGE and len(taken) >= self.fanout:
+                break
+            taken.append(s)
+            weight += s.bytes
+        return taken
+
     def compact(self) -> int:
         """Merge until no tier is full; each merge is a version.  Returns the last."""
         while True:
@@ -133,7 +167,7 @@ class ShardStore:
             groups = self.tiers(live)
             if not groups:
                 return version
-            group = groups[0]
+            group = self.share(groups[0])
             files = max(1, round(sum(s.bytes for s in group) / self.target))
             merged = self._write(self._frame(group, schema).coalesce(files))
             gone = {s.path for s in group}
@@ -164,6 +198,10 @@ class ShardStore:
                     self._fs.delete(p, False)
         for v in versions[:-keep]:
             self._fs.delete(self._path(f"{self.path}/manifest/v{v:010d}.json"), False)
+        pages = {p for v in versions[-keep:] for p in self._read(f"v{v:010d}.json")["pages"]}
+        for path, _ in self._list("manifest"):
+            if path.rsplit("/", 1)[1].startswith("p") and path.rsplit("/", 1)[1] not in pages:
+                self._fs.delete(self._path(path), False)
         return count
 
     def _frame(self, shards: list[Shard], schema: str | None) -> DataFrame:

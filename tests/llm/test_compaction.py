@@ -83,3 +83,23 @@ def test_query_runs_without_python(spark, sf):
     out = queries.op3_sharding(spark, sf)
     assert not re.search("Python|Arrow|Pandas", out._jdf.queryExecution().executedPlan().toString())
     assert out.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_a_version_writes_only_pages_that_change(spark, store, monkeypatch):
+    monkeypatch.setattr(compaction, "PAGE", 4)
+    pages = lambda: {p for p, _ in store._list("manifest") if "/p" in p.rsplit("/manifest", 1)[1]}
+    for k in range(3):
+        before = pages()
+        store.append(arrival(spark, 100 * k, 50))
+        assert len(pages() - before) == 1  # two shards, whatever was there
+    assert len(store._read("v0000000003.json")["schemas"]) == 1
+    held = content(store.read())
+    store.compact()
+    store.vacuum()
+    assert content(store.read()) == held and len(pages()) == len(store._read(f"v{store.versions()[-1]:010d}.json")["pages"])
+
+
+def test_a_merge_is_bounded(store, monkeypatch):
+    monkeypatch.setattr(compaction, "MERGE", 1000)
+    group = [compaction.Shard(str(i), 300, 1, "") for i in range(9)]
+    assert len(store.share(group)) == 4 and len(store.share([compaction.Shard(str(i), 5000, 1, "") for i in range(9)])) == 3
