@@ -40,6 +40,16 @@ MEMO_WORDS, MEMO_CHARS = 600_000, 100
 #: Symbols merged in one flat array at most, but for one longer word.
 FLAT_SYMBOLS = 1 << 20
 
+# Letters of Unicode 16, which the library's splitter knows and Python's
+# unicodedata does not, in ranges; capitals of Unicode 16 and 17, which its lower-casing
+# knows, by their distance to the small letter.
+LATER_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA),
+    (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+LATER_CAPITALS = [(0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B)]
+
 ENCODED = "doc_id bigint, n_tokens bigint, ids binary, decoded string"
 
 
@@ -51,6 +61,15 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(free)) for b in range(256)]
 
 
+@functools.cache
+def later_letters() -> tuple[frozenset[str], dict[str, str]]:
+    """The later letters that this Python does not know, and the small letter of each
+    later capital."""
+    known = lambda c: unicodedata.category(c) != "Cn"
+    letters = frozenset(chr(i) for lo, hi in LATER_LETTERS for i in range(lo, hi + 1) if not known(chr(i)))
+    return letters, {chr(i): chr(i + by) for lo, hi, by in LATER_CAPITALS for i in range(lo, hi + 1) if not known(chr(i))}
+
+
 class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -92,9 +111,10 @@ class Vocabulary:
                 if part in self.special:
                     out.append(self.special[part])
                 elif part:
-                    part = "".join([c.lower() for c in unicodedata.normalize("NFC", part)])
-                    # code points that are newer than the library's tables are no letters there
-                    seen = "".join(["\ue000" if unicodedata.category(c) == "Cn" else c for c in part])
+                    letters, small = later_letters()
+                    part = "".join([small.get(c) or c.lower() for c in unicodedata.normalize("NFC", part)])
+                    # what no table had when the library was made is no letter there
+                    seen = "".join(["a" if c in letters else "\ue000" if unicodedata.category(c) == "Cn" else c for c in part])
                     out += [part[m.start() : m.end()] for m in self.pattern.finditer(seen)]
             return out
         return tokens._WORDS.findall(text.lower())

@@ -34,6 +34,14 @@ def test_both_encoders_equal_the_library(texts):
     assert [np.frombuffer(o, "<u4").tolist() for o in bpe.vocabulary(tokens.default_path()).encode(texts)] == want
 
 
+def test_letters_of_all_unicode_versions_equal_the_library():
+    """Letters that are newer than Python's tables, their neighbours, and one in 97 of all."""
+    near = {c + k for lo, hi, *_ in [*bpe.LATER_LETTERS, *bpe.LATER_CAPITALS] for c in range(lo, hi + 1) for k in (-2, -1, 0, 1, 2)}
+    texts = [f"a{chr(c)}b {chr(c)}" for c in sorted(near | set(range(0, 0x110000, 97))) if not 0xD800 <= c < 0xE000]
+    got = bpe.Vocabulary(tokens.default_path()).encode(texts)
+    assert [np.frombuffer(i, "<u4").tolist() for i in got] == [ids_of(t) for t in texts]
+
+
 def test_bpe_on_odd_texts_and_decoding():
     v = bpe.Vocabulary(tokens.default_path())
     for text, ids in zip(ODD, v.encode(ODD), strict=True):
@@ -56,7 +64,9 @@ def test_bpe_query(spark, sf):
     out = queries.op6_bpe(spark, sf).toPandas().set_index("doc_id")
     import hashlib
 
-    for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect():
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert len(rows) == len(out)
+    for r in rows:
         ids = ids_of(r["text"] or "")
         own = out.loc[r["doc_id"]]
         assert own.n_tokens == len(ids)
