@@ -15,13 +15,13 @@ from . import config
 from .operators import audit, evaluate, inspect, outreach, resolve, search
 from .plans import artifacts, export, pipeline
 from .plans.store import Store, delete
+from .scratch import shared_dir
 from .sources.fetch import Http
 
 
 def session(name: str = "rosterlake") -> SparkSession:
     spark = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").getOrCreate()
-    if not spark.sparkContext.getConf().contains("spark.checkpoint.dir"):
-        spark.sparkContext.setCheckpointDir(os.path.abspath(".rosterlake-checkpoints"))
+    shared_dir(spark)
     return spark
 
 
