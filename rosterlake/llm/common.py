@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import cut, shared_dir  # noqa: F401  ``cut`` is for the operators
+
 #: Rows of an Arrow batch handed to Python.  Texts can reach hundreds of KB, so
 #: a batch is kept to a few MB of usual text and tens of MB of the longest.
 BATCH_ROWS = 512
@@ -19,33 +20,11 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as ``spark.checkpoint.dir`` names it.
-
-    Only where the session names none (tests, local mode) a temporary folder
-    becomes the checkpoint folder.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if jvm_dir.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rosterlake-"))
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return jvm_dir.get().rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/rosterlake-{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably and cut its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` written below the shared folder and read again, and where."""
     path = scratch(df.sparkSession, name)
@@ -58,6 +37,54 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Scope:
+    """Tables written on the way to a result; ``close`` removes them, once what was
+    made of them is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = table(df, name)
+        self.paths.append(path)
+        return out
+
+    def close(self) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+        self.paths = []
+
+
+#: Rows of keys, some 100 bytes each, that may be broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def small(keys: DataFrame) -> DataFrame:
+    """A written table of keys, to be broadcast if it is counted to be small enough."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
+
+
+#: A key is hot if more than one in so many rows has it, so fewer keys than this are hot,
+#: and if it has more rows than a task could mind.
+HOT, HOT_ROWS = 4096, 1000
+
+
+def hot_keys(counts: DataFrame, key: str, total: int) -> list:
+    """The hot keys of a table (key, n): fewer than HOT, so they may go to the driver."""
+    return [r[0] for r in counts.where((F.col("n") * HOT > total) & (F.col("n") > HOT_ROWS)).select(key).collect()]
+
+
+def looked_up(rows: DataFrame, values: DataFrame, key: str, hot: list) -> DataFrame:
+    """``rows`` with the columns of ``values``, which has one row a key, null where it
+    has none.  Values of the ``hot`` keys are broadcast, so no task receives all rows of
+    a hot key; the rest is shuffled."""
+    if not hot:
+        return rows.join(values, key, "left")
+    is_hot = F.col(key).isin(hot)
+    own = rows.where(is_hot).join(F.broadcast(values.where(is_hot)), key, "left")
+    return own.unionByName(rows.where(~is_hot).join(values, key, "left"))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

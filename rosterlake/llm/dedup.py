@@ -3,10 +3,10 @@
 Texts are equal when identical without the white space ``[\\x20\\x09-\\x0D]``;
 groups are told by the SHA-256 of what is left.  A Misra-Gries summary (the
 ``approx_top_k`` sketch, which never misses a digest that holds more than one in
-``TRACKED / 2`` rows) names the frequent digests.  Their winners are verified by
-an exact aggregation and broadcast, at most ``HEAVY`` rows, so rows of frequent
-digests are settled where they lie; all other rows are shuffled by digest, where
-no group can be large.
+``TRACKED / 2`` rows) names the frequent digests, all that it tracks.  Their winners
+are verified by an exact aggregation and broadcast, at most ``TRACKED`` rows, so rows
+of frequent digests are settled where they lie; all other rows are shuffled by digest,
+where no group holds more than one in ``TRACKED / 2`` rows.
 
 Of a group the row with the most code points in its text stays, then the
 smallest doc_id (null last), then one of the rows that share both.
@@ -21,10 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import cut, fresh, small
 
-#: Frequent digests taken from the summary, and counters it keeps.
-HEAVY, TRACKED = 500, 4096
+#: Digests that the summary counts and names as frequent.
+TRACKED = 4096
 
 
 def normalised(text: Column) -> Column:
@@ -54,8 +54,8 @@ def winners(found: DataFrame) -> DataFrame:
 
 
 def frequent(found: DataFrame) -> DataFrame:
-    """Winners of the frequent digests, at most HEAVY rows."""
-    top = found.agg(F.expr(f"approx_top_k(digest, {HEAVY}, {TRACKED})").alias("top"))
+    """Winners of the frequent digests, at most TRACKED rows."""
+    top = found.agg(F.expr(f"approx_top_k(digest, {TRACKED}, {TRACKED})").alias("top"))
     top = top.select(F.explode("top").alias("t")).where("t.count > 1").select(F.col("t.item").alias("digest"))
     return cut(winners(found.join(F.broadcast(top), "digest", "left_semi")))
 
@@ -72,18 +72,30 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, unchanged."""
+    """The rows of ``docs`` that stay, unchanged.
+
+    Rows leave by tables of keys (digest, doc_id): those that lost to another doc_id, and
+    of keys that repeat all rows but one.  Tables of checked size are broadcast; beyond it
+    texts are shuffled, once for each table."""
     found = marks(docs)
     top = frequent(found)
-    dg, kd, kid, hit, rn = (fresh(docs, c) for c in ("digest", "keep_digest", "keep_id", "frequent_digest", "rank"))
-    own = F.col(fresh(docs, "digest"))
-    rows = docs.withColumn(dg, digest(F.col("text")))
-    # rows of frequent digests that do not win leave before the shuffle
+    dg, none, key, kid, hit, one = (fresh(docs, c) for c in ("digest", "no_id", "id_key", "keep_id", "frequent_digest", "row"))
+    own, spot = F.col("doc_id").cast("bigint"), [dg, none, key]
+    rows = docs.withColumns({dg: digest(F.col("text")), none: own.isNull(), key: F.coalesce(own, F.lit(0))})
+    # rows of frequent digests that do not win leave where they lie
     settled = top.select(F.col("digest").alias(hit), F.col("keep_id").alias(kid))
-    rows = rows.join(F.broadcast(settled), own == F.col(hit), "left")
-    rows = rows.where(F.col(hit).isNull() | F.col("doc_id").cast("bigint").eqNullSafe(F.col(kid))).drop(hit, kid)
+    rows = rows.join(F.broadcast(settled), F.col(dg) == F.col(hit), "left")
+    rows = rows.where(F.col(hit).isNull() | own.eqNullSafe(F.col(kid))).drop(hit, kid)
+
+    def keys(marked: DataFrame) -> DataFrame:
+        return marked.select(F.col("digest").alias(dg), F.col("doc_id").isNull().alias(none), F.coalesce("doc_id", F.lit(0)).alias(key))
+
     rest = found.join(F.broadcast(top.select("digest")), "digest", "left_anti")
-    best = winners(rest).unionByName(top).select(F.col("digest").alias(kd), F.col("keep_id").alias(kid))
-    rows = rows.join(best, (own == F.col(kd)) & F.col("doc_id").cast("bigint").eqNullSafe(F.col(kid)))
-    same = Window.partitionBy(kd, kid).orderBy(F.lit(0))
-    return rows.withColumn(rn, F.row_number().over(same)).where(F.col(rn) == 1).select(docs.columns)
+    lost = rest.join(winners(rest), "digest").where(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    rows = rows.join(small(cut(keys(lost).distinct())), spot, "left_anti")
+    again = cut(keys(found).groupBy(spot).count().where("count > 1").select(spot))
+    if again.isEmpty():
+        return rows.select(docs.columns)
+    best = F.max_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.char_length(F.coalesce("text", F.lit("")))).alias(one)
+    repeated = rows.join(small(again), spot, "left_semi").groupBy(spot).agg(best).select(f"{one}.*")
+    return rows.join(small(again), spot, "left_anti").select(docs.columns).unionByName(repeated)
