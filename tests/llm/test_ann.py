@@ -49,7 +49,7 @@ def test_few_rows_and_none(spark):
     one = spark.createDataFrame([(0, [1.0, 2.0], None, None)], VECTORS)
     assert ann.nearest(one, one).count() == 0
     two = spark.createDataFrame([(0, [1.0, 2.0], None, None), (1, [-1.0, 0.5], None, None)], VECTORS)
-    assert by_query(ann.nearest(two, two, k=20, index=ann.Index(mass=0.9999))) == {0: [(1, 0.0)], 1: [(0, 0.0)]}
+    assert by_query(ann.nearest(two, two, k=20)) == {0: [(1, 0.0)], 1: [(0, 0.0)]}
     none = one.where("vec_id > 5")
     assert ann.nearest(none, none).count() == 0
 
@@ -64,12 +64,13 @@ def test_a_common_vector_is_indexed_once(spark):
 
 def test_perturbations_come_by_chance_and_add_up():
     place = np.array([0.1, 0.9, 0.5])
-    moves = ann.perturbations(place, 0.6, 0.9, 10_000)
+    (moves,) = ann.perturbations(place[None], 0.6, 0.9)
     cdf = lambda x: 0.5 * (1 + math.erf(x / math.sqrt(2)))
     chance = lambda m: math.prod(cdf((s + 1 - x) / 0.6) - cdf((s - x) / 0.6) for x, s in zip(place, m, strict=True))
-    values = [chance(m) for m in moves]
-    assert len(set(moves)) == len(moves) and values == sorted(values, reverse=True)
+    values = [chance(m) for m in moves.tolist()]
+    assert len({tuple(m) for m in moves.tolist()}) == len(moves) and values == sorted(values, reverse=True)
     assert 0.9 <= sum(values) < 0.9 + values[-1]
+    assert len(ann.perturbations(np.full((1, 2), 0.5), 0.6, 2.0)[0]) == 9  # all there are
 
 
 def test_norms_become_distances(spark):
@@ -81,3 +82,56 @@ def test_norms_become_distances(spark):
     want = brute(dict(enumerate(x)), list(got), 10)
     hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
     assert hits >= 0.9 * 10 * len(want)
+
+
+def met(spark, x, queries, monkeypatch, k=20):
+    """Results, and the share of all pairs of a query and a vector that were compared."""
+    compared, meet = [], ann.meet
+
+    def counting(placed, probes):
+        left, right = meet(placed, probes)
+        per = left.groupBy("block").count().join(right.groupBy("block").agg({"*": "count"}), "block")
+        compared.append(per.selectExpr("sum(`count` * `count(1)`)").first()[0] or 0)
+        return left, right
+
+    monkeypatch.setattr(ann, "meet", counting)
+    df = spark.createDataFrame([(i, v.tolist(), None, None) for i, v in enumerate(x)], VECTORS)
+    got = by_query(ann.nearest(df, df.where(F.col("vec_id").isin(queries)), k=k))
+    return got, sum(compared) / len(queries) / len(x)
+
+
+def recall(x, got, k=20):
+    want = brute(dict(enumerate(x)), list(got), k)
+    return sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) / k / len(want)
+
+
+def test_a_vector_of_great_norm_flattens_nothing(spark, monkeypatch):
+    x = np.random.default_rng(1).normal(size=(400, 16))
+    x[7] *= 1000
+    queries = list(range(0, 400, 20))
+    got, _ = met(spark, x, queries, monkeypatch)
+    assert set(got) == set(queries) and all(len(v) == 20 for v in got.values()) and recall(x, got) >= 0.9
+
+
+def test_a_cluster_and_vectors_far_from_everything(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = np.vstack([np.ones(16) + 0.01 * rng.normal(size=(100, 16)), 3 * rng.normal(size=(300, 16))])
+    queries = list(range(0, 400, 20))
+    got, _ = met(spark, x, queries, monkeypatch)
+    assert set(got) == set(queries) and all(len(v) == 20 for v in got.values()) and recall(x, got) >= 0.9
+
+
+def test_clustered_vectors_meet_few(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(100, 24))
+    x = (centres[:, None, :] + 0.1 * rng.normal(size=(100, 40, 24))).reshape(-1, 24)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got, share = met(spark, x, list(range(0, 4000, 40)), monkeypatch)
+    assert all(len(v) == 20 for v in got.values()) and recall(x, got) >= 0.9
+    assert share < 0.3, share
+
+
+def test_repeated_ids_count_once_whatever_the_order(spark):
+    rows = [(0, [1.0, 0.0], "n", 1), (1, [0.5, 0.5], "n", 1), (1, [0.0, 2.0], "n", 1), (2, [0.3, 0.1], "n", 1)]
+    one, other = (by_query(ann.nearest(df, df, k=3)) for df in (spark.createDataFrame(rows, VECTORS), spark.createDataFrame(rows[::-1], VECTORS)))
+    assert one == other and all(len(v) == 2 for v in one.values())
