@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rosterlake.llm import dedup, graph, queries, simhash
+from rosterlake.llm import common, dedup, graph, queries, simhash
+from rosterlake.llm.common import Scope
 
 DOCS = "doc_id bigint, text string, digest string, keep_id int, fp binary"
 ROWS = [(3, "a b", "x", 1, None), (1, "ab", "x", 1, None), (2, "a  b", None, None, None), (7, None, None, None, None), (8, " \t\x0b", None, None, None), (9, "", None, None, None), (4, "a b", None, None, None), (4, "a b", None, None, None), (None, "z", None, None, None), (5, "z" , None, None, None), (6, "long " * 40_000, None, None, None)]
@@ -45,7 +46,7 @@ def test_frequent_digests_take_the_map_side_path(spark):
     docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), (F.col("id") % 4000).cast("string"))).alias("text"))
     found = dedup.marks(docs)
     top = dedup.frequent(found).collect()
-    assert max(r["group_size"] for r in top) == 3000 and len(top) <= dedup.HEAVY
+    assert max(r["group_size"] for r in top) == 3000 and len(top) <= dedup.TRACKED
     assert dedup.keep_one(docs).count() == docs.select("text").distinct().count()
 
 
@@ -119,7 +120,7 @@ def test_linking_within_two_bits_loses_nothing(spark, bucket):
     search = simhash.Search()
     made = simhash.plan(nodes, len(fps), search)
     assert sum(t + 1 for _, t in made.parts) == search.radius + 1
-    found = {r["node"]: r["component"] for r in graph.components(simhash.links(nodes, made, search, bucket)).collect()}
+    found = {r["node"]: r["component"] for r in graph.components(simhash.links(nodes, made, search, Scope(spark), bucket)).collect()}
     want = components_of(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2])
     assert [found.get(i, i) for i in range(len(fps))] == want
 
@@ -141,10 +142,14 @@ def test_correlated_bits_share_a_group():
     assert any({0, 7, 14, 21, 28, 35, 42, 49} <= set(g) for g in groups)
 
 
-@pytest.mark.parametrize("bucket", [2, 256])
-def test_near_copies_by_similarity(spark, bucket, monkeypatch):
+def with_buckets(monkeypatch, bucket, block):
     links = simhash.links
-    monkeypatch.setattr(simhash, "links", lambda n, p, s: links(n, p, s, bucket))
+    monkeypatch.setattr(simhash, "links", lambda n, p, s, scope: links(n, p, s, scope, bucket, block))
+
+
+@pytest.mark.parametrize(("bucket", "block"), [(2, 3), (256, 1024)])
+def test_near_copies_by_similarity(spark, bucket, block, monkeypatch):
+    with_buckets(monkeypatch, bucket, block)
     rng = np.random.default_rng(4)
     word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
     docs, k = [], 0
@@ -164,6 +169,35 @@ def test_near_copies_by_similarity(spark, bucket, monkeypatch):
     assert kept == {i for i, _ in docs if i % 100 in (0, 60)}
 
 
+def test_one_rule_for_all_bucket_sizes(spark, monkeypatch):
+    """Copies of one text at all similarities: most pairs are about the threshold."""
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(3000)]
+    base = rng.choice(words, 120)
+    docs = []
+    for i in range(160):
+        copy = base.copy()
+        for at in rng.choice(120, rng.integers(0, 9), replace=False):
+            copy[at] = rng.choice(words)
+        docs.append((i, " ".join(copy), None, None, None))
+    df = spark.createDataFrame(docs, DOCS)
+    search = simhash.Search(bits=1024, radius=None)
+    of = lambda: {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, 5, search).collect()}
+    whole = of()
+    with monkeypatch.context() as m:
+        with_buckets(m, 2, 8)
+        assert of() == whole
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    text = " ".join(f"t{i}" for i in range(80))
+    other = " ".join(f"u{i}" for i in range(80))
+    rows = [(3, text), (5, other), (5, text + " more"), (None, other + " end"), (None, "alone and without an id of its own"), (9, other), (9, other)]
+    df = spark.createDataFrame([(i, t, "d", None, None) for i, t in rows], DOCS)
+    kept = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(df).collect()), key=str)
+    assert kept == sorted([(3, text), (5, other), (None, "alone and without an id of its own")], key=str)
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [(i, t, None, None, None) for i, t in enumerate(TEXTS)] + [(None, "some text of its own", None, None, None), (4, "one two", None, None, None)]
     out = simhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
@@ -173,6 +207,24 @@ def test_near_duplicates_odd_rows(spark):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+def test_hot_keys_are_looked_up_like_others(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate("aaaaabbc")], "k string, i int")
+    values = spark.createDataFrame([("a", 1), ("b", 2), ("z", 9)], "k string, v int")
+    hot = common.hot_keys(rows.groupBy("k").agg(F.count("*").alias("n")), "k", 8)
+    assert hot == ["a"]
+    out = {r["i"]: r["v"] for r in common.looked_up(rows, values, "k", hot).collect()}
+    assert out == {0: 1, 1: 1, 2: 1, 3: 1, 4: 1, 5: 2, 6: 2, 7: None}
+
+
+def test_components_of_a_star(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HOT_ROWS", 10)
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    star = spark.range(1, 300).select(F.lit(0).alias("a"), F.col("id").alias("b")).unionByName(spark.range(300, 400).select((F.col("id") - 100).alias("a"), F.col("id").alias("b")))
+    found = {r["node"]: r["component"] for r in graph.components(star).collect()}
+    assert found == {i: 0 for i in range(1, 400)}
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(1, 400).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).unionByName(spark.createDataFrame([(1000, 1001), (1001, 1000), (5, 5)], "a bigint, b bigint"))
     found = {r["node"]: r["component"] for r in graph.components(edges).collect()}
@@ -183,8 +235,7 @@ def test_components_of_a_long_path(spark):
 def test_simhash_query(spark, sf):
     out = queries.op9_simhash(spark, sf).toPandas().set_index("doc_id")
     docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
-    fps = [naive_fingerprint(d["text"], 3) for d in docs[:60]]
-    assert [out.fingerprint[d["doc_id"]] for d in docs[:60]] == [f"{f:016x}" for f in fps]
+    assert [out.fingerprint[d["doc_id"]] for d in docs] == [f"{naive_fingerprint(d['text'], 3):016x}" for d in docs]
     whole = [int(out.fingerprint[d["doc_id"]], 16) for d in docs]
     want = components_of(len(docs), [(i, j) for i in range(len(docs)) for j in range(i) if (whole[i] ^ whole[j]).bit_count() <= 2])
     assert [out.component_id[d["doc_id"]] for d in docs] == [docs[w]["doc_id"] for w in want]
