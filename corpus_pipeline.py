@@ -44,11 +44,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage's result is written and read again."""
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = common.scratch(spark, "pipeline")
-    for k, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}"
+    """The last stage's rows; each stage's result is written and read again, and removed
+    once the next one's is written."""
+    rows, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
+        path = common.scratch(spark, name.replace(" ", "-"))
         stage(spark, rows, sf_dir).write.parquet(path)
         rows = spark.read.parquet(path)
+        if before:
+            common.remove(spark, before)
+        before = path
     return rows
