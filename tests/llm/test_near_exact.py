@@ -71,3 +71,32 @@ def test_pipeline_stage_against_brute_force(spark):
     want, linked = kept_by_brute_force(texts)
     assert linked and not want - kept  # nothing is dropped that exact components keep
     assert len(kept - want) <= 0.02 * len(linked)  # the chance that a pair at 0.8 meets in no bucket
+
+
+def test_recall_by_band_of_similarity(spark):
+    """Over sf0.1: pairs just above the threshold share a component, too."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    by_text = {}
+    for r in docs.collect():
+        by_text.setdefault(r["text"] or "", r["doc_id"])
+    sets = {i: shingles(t) for t, i in by_text.items()}
+    by = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            by[x].append(i)
+    shared = defaultdict(int)
+    for v in by.values():
+        if len(v) < 400:
+            for k, i in enumerate(v):
+                for j in v[:k]:
+                    shared[j, i] += 1
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, 5, simhash.Search(bits=1024, radius=None)).collect()}
+    bands = defaultdict(lambda: [0, 0])
+    for (i, j), n in shared.items():
+        similarity = n / (len(sets[i]) + len(sets[j]) - n)
+        if similarity >= 0.8 - 1e-9:
+            band = bands[min(0.95, int(similarity * 20 + 1e-9) / 20)]
+            band[0] += found[i] == found[j]
+            band[1] += 1
+    print({k: tuple(v) for k, v in sorted(bands.items())})
+    assert bands and all(hit >= 0.9 * n for hit, n in bands.values())
