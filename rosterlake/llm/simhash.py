@@ -59,8 +59,9 @@ from pyspark.sql import functions as F
 from .common import Scope, fresh, hot_keys, looked_up, small, small_batches, table
 from .graph import components
 
-#: Nodes of a bucket that are verified in one list, and in one block of a larger bucket.
-BUCKET, BLOCK = 1024, 2048
+#: Nodes of a bucket that are verified in one list, and on each side of a block of a larger
+#: bucket; pairs that a task has in hand at once.
+BUCKET, BLOCK, PAIRS = 1024, 1024, 100_000
 #: Words of a fingerprint that travel with a key.
 SKETCH_WORDS = 2
 #: Sketches of a pair that links differ by at most so many deviations more than those of
@@ -459,18 +460,19 @@ def _pairs(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of positions within runs of the given sizes, some at a time."""
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else np.zeros(0, np.int64)
     for size in np.unique(sizes):
-        i, j = np.triu_indices(int(size), 1)
+        i, j = (x.astype(np.int32) for x in np.triu_indices(int(size), 1))
         at = begin[sizes == size]
-        per = max(1, 200_000 // max(1, len(i)))
+        per = max(1, PAIRS // max(1, len(i)))
         for lo in range(0, len(at), per):
-            yield (at[lo : lo + per, None] + i).ravel(), (at[lo : lo + per, None] + j).ravel()
+            for k in range(0, len(i), PAIRS):  # of a large run some pairs at a time
+                yield (at[lo : lo + per, None] + i[k : k + PAIRS]).ravel(), (at[lo : lo + per, None] + j[k : k + PAIRS]).ravel()
 
 
 def _across(sizes: np.ndarray, left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of the positions marked left with the others, within runs, some at a time."""
     for lo, hi in itertools.pairwise(np.concatenate([[0], np.cumsum(sizes)]).tolist()):
         i, j = lo + np.flatnonzero(left[lo:hi]), lo + np.flatnonzero(~left[lo:hi])
-        per = max(1, 200_000 // max(1, len(j)))
+        per = max(1, PAIRS // max(1, len(j)))
         for k in range(0, len(i) if len(j) else 0, per):
             own = i[k : k + per]
             yield np.repeat(own, len(j)), np.tile(j, len(own))
@@ -499,6 +501,16 @@ SPOT = ["bucket", "row", "col"]
 FOUND = "kind int, a bigint, b bigint, bucket bigint, row int, col int, left boolean"
 
 
+def _in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of lists (*SPOT, members) cut so that the lists of one have some PAIRS pairs,
+    or are one list."""
+    for batch in batches:
+        sizes = np.diff(batch.column(3).offsets.to_numpy()).astype(np.int64)
+        part = np.cumsum(sizes * sizes) // (2 * PAIRS)
+        for lo, hi in itertools.pairwise([*np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist(), len(sizes)] if len(sizes) else []):
+            yield batch.slice(lo, hi - lo)
+
+
 def _found(kind: int, a: np.ndarray, b: np.ndarray | None = None, *spot: pa.Array) -> pa.RecordBatch:
     n, types = len(a), (pa.int64(), pa.int32(), pa.int32(), pa.bool_())
     spots = spot or [pa.nulls(n, t) for t in types]
@@ -510,7 +522,7 @@ def _links_of(lists: DataFrame, made: Plan, search: Search) -> DataFrame:
     of the sure links, and what is open between different trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _in_parts(batches):
             members = batch.column(3)
             flat = members.flatten()
             node = flat.field("node").to_numpy(zero_copy_only=False)
@@ -521,7 +533,9 @@ def _links_of(lists: DataFrame, made: Plan, search: Search) -> DataFrame:
             for a, b in _candidates(members, batch.column(1)):
                 ok, maybe = near(x[a], x[b], n[a], n[b], search)
                 found.append(np.stack([a[ok], b[ok]]))
-                open_.append(np.stack([a[maybe], b[maybe]]))
+                a, b = a[maybe], b[maybe]
+                here = at_home(x[a], x[b], bucket[a], made)
+                open_.append(np.stack([a[here], b[here]]))
             root = forest(len(node), *np.concatenate(found, axis=1))
             own = np.flatnonzero(root != np.arange(len(node)))
             if len(own):
@@ -529,8 +543,6 @@ def _links_of(lists: DataFrame, made: Plan, search: Search) -> DataFrame:
             a, b = np.concatenate(open_, axis=1)
             other = root[a] != root[b]
             a, b = a[other], b[other]
-            here = at_home(x[a], x[b], bucket[a], made)
-            a, b = a[here], b[here]
             long = np.maximum(n[a], n[b]) > LONG
             if long.any():
                 yield _found(PAIR, node[a[long]], node[b[long]])
@@ -566,7 +578,7 @@ def _promising(lists: DataFrame, search: Search) -> DataFrame:
     words, most = search.sketch()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _in_parts(batches):
             members = batch.column(3)
             flat = members.flatten()
             x = np.stack([flat.field(f"s{w}").to_numpy(zero_copy_only=False) for w in range(words)], axis=1).view(np.uint64)
@@ -713,7 +725,7 @@ def _settled(lists: DataFrame, made: Plan, search: Search) -> DataFrame:
     that link and connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _in_parts(batches):
             members = batch.column(3)
             flat = members.flatten()
             node = flat.field("node").to_numpy(zero_copy_only=False)
