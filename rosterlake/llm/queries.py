@@ -1,4 +1,4 @@
-"""The ten queries of this subpackage, each over its whole table, and their SQL."""
+"""The queries of this subpackage, each over its whole table, and their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, common, compaction, dedup, htmlmain, packing, quality, seekable, simhash
+from . import ann, bpe, chat, common, compaction, dedup, htmlmain, importance, packing, quality, seekable, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -134,8 +134,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~quality.may_learn(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_best_fit_packing, op2_token_files, op3_sharding, op4_chat_formatting, op5_nearest_neighbours, op6_bpe, op7_exact_dedup, op8_html_extraction, op9_simhash, op10_quality)
+    found = (op1_best_fit_packing, op2_token_files, op3_sharding, op4_chat_formatting, op5_nearest_neighbours, op6_bpe, op7_exact_dedup, op8_html_extraction, op9_simhash, op10_quality, op11_importance_resampling)
     return {f.__name__: f for f in found}
 
 
