@@ -116,6 +116,8 @@ class Reader:
         """(place in the file, doc_id, ids) of the documents at the given places,
         or of all; frames without a wanted document stay compressed."""
         places = np.arange(len(self.docs)) if wanted is None else np.unique(np.fromiter(wanted, np.int64))
+        if not len(places):
+            return
         frame_of = np.searchsorted(self.first, places, side="right") - 1
         frames, begin = np.unique(frame_of, return_index=True)
         for k, a, b in zip(frames.tolist(), begin.tolist(), [*begin[1:].tolist(), len(places)], strict=True):
