@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, common, compaction, dedup, htmlmain, importance, negatives, packing, quality, seekable, simhash
+from . import ann, bpe, chat, common, compaction, dedup, htmlmain, importance, negatives, packing, quality, seekable, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -164,8 +164,13 @@ SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 """
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.without_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_best_fit_packing, op2_token_files, op3_sharding, op4_chat_formatting, op5_nearest_neighbours, op6_bpe, op7_exact_dedup, op8_html_extraction, op9_simhash, op10_quality, op11_importance_resampling, op12_hard_negatives)
+    found = (op1_best_fit_packing, op2_token_files, op3_sharding, op4_chat_formatting, op5_nearest_neighbours, op6_bpe, op7_exact_dedup, op8_html_extraction, op9_simhash, op10_quality, op11_importance_resampling, op12_hard_negatives, op13_substring_dedup)
     return {f.__name__: f for f in found}
 
 
