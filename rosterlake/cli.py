@@ -14,9 +14,9 @@ from pyspark.sql import SparkSession
 from . import config
 from .operators import audit, evaluate, inspect, outreach, resolve, search
 from .plans import artifacts, export, pipeline
-from .plans.store import Store, delete
+from .plans.store import Store
 from .scratch import shared_dir
-from .sources.fetch import Http
+from .sources.fetch import HttpMaker
 
 
 def session(name: str = "rosterlake") -> SparkSession:
@@ -27,7 +27,7 @@ def session(name: str = "rosterlake") -> SparkSession:
 
 def context(spark: SparkSession, settings: config.Settings, read_only: bool = False) -> pipeline.Context:
     h, a = settings.http, settings.authors
-    make = lambda: Http(h.user_agent, h.timeout_seconds, max(h.request_delay_seconds, 1.0) if a.api_keys or a.api_key else h.request_delay_seconds, [a.api_key, *a.api_keys])
+    make = HttpMaker(h.user_agent, h.timeout_seconds, max(h.request_delay_seconds, 1.0) if a.api_keys or a.api_key else h.request_delay_seconds, (a.api_key, *a.api_keys))
     return pipeline.Context(spark, Store(spark, settings.app.store_dir, read_only), settings, make, today=date.today().isoformat())
 
 
@@ -116,7 +116,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         one = inspect.resolve_one(t["people"], a.id, a.name)
         ctx.put("matches", resolve.apply_decision(t["matches"], one, a.status, a.author_id, a.reason))
         if a.status not in ("matched", "manual_override"):
-            ctx.put("links", delete(t["links"], ctx.spark.createDataFrame([(one,)], "professor_id bigint"), ["professor_id"]))
+            key = pipeline.KEYS["links"]
+            ctx.store.merge("links", None, key, gone=t["links"].where(f"professor_id = {one}").select(key))
         print(export.as_json({"professor_id": one, "match_status": a.status}))
     elif a.command == "audit":
         print(export.as_json(audit.audit_publications(t["people"], t["universities"], t["matches"], t["works"], t["links"], a.min_works, a.limit)))

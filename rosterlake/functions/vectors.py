@@ -114,6 +114,15 @@ def dense_embed(rows: DataFrame, key: str, text: str, make: Callable[[], Callabl
     return rows.select(key, text).mapInArrow(run, f"`{key}` {kind}, embedding array<double>")
 
 
+def embed(rows: DataFrame, key: str, text: str, backend: str, dim: int, encoders: dict[str, Callable] | None = None) -> DataFrame:
+    """(key, embedding) by the named backend: "hash", or one of the caller's encoders."""
+    if backend == "hash":
+        return hash_embed(rows, key, text, dim)
+    if backend not in (encoders or {}):
+        raise ValueError(f"no embedding backend {backend}; there are {', '.join(['hash', *(encoders or {})])}")
+    return dense_embed(rows, key, text, encoders[backend], dim)
+
+
 def hash_embed_one(text: str, dim: int) -> list[float]:
     """The same for one text on the driver, such as a query."""
     return hash_embed_text(text, dim).tolist()

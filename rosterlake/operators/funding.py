@@ -62,11 +62,16 @@ def to_look_up(people: DataFrame, universities: DataFrame) -> DataFrame:
     return ready.join(universities.select("university_id", F.col("name").alias("institution")), "university_id").select("professor_id", "name", "institution")
 
 
+def last_grants(new: DataFrame) -> DataFrame:
+    """One row a grant, the last found."""
+    key = ["source", "grant_id"]
+    return new.groupBy(key).agg(F.max_by(F.struct(*[c for c in new.columns if c not in (*key, "seq")]), "seq").alias("n")).select(*key, "n.*")
+
+
 def upsert_grants(old: DataFrame, new: DataFrame) -> DataFrame:
     """Grants by (source, grant_id): new values, but the person a grant was first
     found for keeps it."""
-    key = ["source", "grant_id"]
-    last = new.groupBy(key).agg(F.max_by(F.struct(*[c for c in new.columns if c not in (*key, "seq")]), "seq").alias("n")).select(*key, "n.*")
+    key, last = ["source", "grant_id"], last_grants(new)
     kept = old.select(*key, F.col("professor_id").alias("owner"))
     changed = last.join(kept, key, "left").withColumn("professor_id", F.coalesce("owner", "professor_id")).drop("owner")
     return old.join(last.select(key), key, "left_anti").select(old.columns).unionByName(changed.select(old.columns))

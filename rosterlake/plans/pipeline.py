@@ -22,7 +22,7 @@ from ..operators import funding, identity, resolve, works
 from ..sources import fetch, pages, seed
 from ..scratch import shared_dir
 from .artifacts import Reporter
-from .store import Store, add_columns, latest, upsert, with_ids
+from .store import Conflict, Store, add_columns, latest, upsert, with_ids
 
 TABLES = {
     "universities": "university_id bigint, name string, short_name string, qs_rank_2026 int, qs_score double, domain string, openalex_id string, ror_id string, state string, status string",
@@ -36,13 +36,15 @@ TABLES = {
     "grants": "professor_id bigint, source string, grant_id string, title string, pi_name string, amount double, start_date string, end_date string",
 }
 
+KEYS = {"universities": ["university_id"], "sources": ["source_id"], "candidates": ["candidate_id"], "people": ["professor_id"], "matches": ["professor_id"], "works": ["external_id"], "links": ["professor_id", "work_id"], "vectors": ["work_id"], "grants": ["source", "grant_id"]}
+
 
 @dataclass
 class Context:
     spark: SparkSession
     store: Store
     settings: Settings
-    fetcher: Callable[[], fetch.Fetcher] | None = None
+    fetcher: Callable[..., fetch.Fetcher] | None = None
     limit: int | None = None
     today: str = ""
     reporter: Reporter | None = None
@@ -53,14 +55,32 @@ class Context:
     def __post_init__(self):
         shared_dir(self.spark)
 
+    @property
+    def shares(self) -> int:
+        """Tasks that may ask the author service at once."""
+        return self.fetcher.shares if isinstance(self.fetcher, fetch.HttpMaker) else 1
+
     def table(self, name: str) -> DataFrame:
         columns = dict(c.strip().split(" ", 1) for c in TABLES[name].split(", "))
         return add_columns(self.store.read(name, TABLES[name]), columns).select(*columns)
 
     def put(self, name: str, rows: DataFrame) -> int:
-        columns = dict(c.strip().split(" ", 1) for c in TABLES[name].split(", "))
-        self.store.write(name, rows.select(*[F.col(c).cast(t).alias(c) for c, t in columns.items()]))
-        return self.store.read(name).count()
+        """Replace a table; returns its rows, counted by the write."""
+        return self.store.write(name, _typed(name, rows))
+
+    def merge(self, name: str, rows: DataFrame, keep: list[str] | None = None) -> int:
+        """Put rows in place of, or beside, those of equal key; returns how many, counted
+        by the write."""
+        return self.store.merge(name, _typed(name, rows), KEYS[name], keep)
+
+    def count(self, name: str) -> int:
+        n = self.store.rows(name)
+        return self.table(name).count() if n is None else n
+
+
+def _typed(name: str, rows: DataFrame) -> DataFrame:
+    columns = dict(c.strip().split(" ", 1) for c in TABLES[name].split(", "))
+    return rows.select(*[F.col(c).cast(t).alias(c) for c, t in columns.items()])
 
 
 def _number(ctx: Context, name: str, rows: DataFrame, ident: str, order: list[str]) -> DataFrame:
@@ -91,8 +111,9 @@ SCRAPED = "source_id bigint, error string, " + pages.ENTRY.replace("page_id bigi
 
 def _scrape(f: fetch.Fetcher, row: dict):
     """Entries of a source's pages, with what profile pages add; an error gives one
-    row that says so."""
+    row that says so.  No host outside the university's domain is asked."""
     hint = row["parser_hint"]
+    f = fetch.Within(f, {row["domain"]}) if row["domain"] else f
     follow = (lambda page, url: []) if hint in pages.SINGLE_PAGE else pages.further_pages
     try:
         found = [e for _, url, page in fetch.crawl(f, row["roster_url"], follow) for e in pages.roster_entries(page, url, hint)]
@@ -113,16 +134,20 @@ def _scrape(f: fetch.Fetcher, row: dict):
 def scrape(ctx: Context) -> dict:
     todo = seed.needs_scrape(ctx.table("sources"))
     todo = works.resume(todo, "source_id", None, ctx.limit).checkpoint()
-    got = fetch.fetch_each(todo.repartition("university"), ctx.fetcher, _scrape, SCRAPED).checkpoint()
+    domains = ctx.table("universities").select(F.col("name").alias("university"), "domain")
+    asked = todo.select("source_id", "university", "roster_url", "parser_hint").join(domains, "university", "left")
+    read = lambda f, row: ({"source_id": row["source_id"], "payload": json.dumps(e)} for e in _scrape(f, row))
+    found = _fetched(ctx, "scrape", asked, "source_id", read, "source_id bigint, payload string", by="university")
+    got = found.select("source_id", F.from_json("payload", SCRAPED.replace("source_id bigint, ", "")).alias("e")).select("source_id", "e.*").checkpoint()
     errors = got.where("error IS NOT NULL").select("source_id", F.col("error").alias("message"))
     entries = got.where("error IS NULL").drop("error")
     upsert_entries(ctx, entries, todo)
     state = todo.select("source_id").join(errors, "source_id", "left").withColumnRenamed("message", "m")
     state = state.select("source_id", F.when(F.col("m").isNull(), "scraped").otherwise("error").alias("s"), "m")
-    rows = ctx.table("sources").join(state, "source_id", "left")
-    ctx.put("sources", rows.withColumns({"error_message": F.when(F.col("s").isNull(), F.col("error_message")).otherwise(F.col("m")), "status": F.coalesce("s", "status")}).drop("s", "m"))
+    rows = ctx.table("sources").join(state, "source_id")
+    ctx.merge("sources", rows.withColumns({"error_message": F.col("m"), "status": F.col("s")}))
     _mark_universities(ctx, todo.join(state.where("s = 'scraped'"), "source_id").select(F.col("university").alias("name")), "faculty_scraped")
-    return {"sources_processed": todo.count(), "candidates": ctx.table("candidates").count()}
+    return {"sources_processed": todo.count(), "candidates": ctx.count("candidates")}
 
 
 def upsert_entries(ctx: Context, entries: DataFrame, todo: DataFrame) -> None:
@@ -136,12 +161,12 @@ def upsert_entries(ctx: Context, entries: DataFrame, todo: DataFrame) -> None:
     new = latest(new.withColumns(told), list(told), "position").drop(*told)
     where = seed.placed(todo.select("source_id", "university", F.col("department_type")), ctx.table("universities")).drop("university")
     rows = _number(ctx, "candidates", new.join(where, "source_id").select(old.columns), "candidate_id", ["source_id", "normalized_name", "profile_url"])
-    ctx.put("candidates", upsert(old, rows, ["candidate_id"]))
+    ctx.merge("candidates", rows)
 
 
 def _mark_universities(ctx: Context, which: DataFrame, status: str) -> None:
-    rows = ctx.table("universities").join(which.distinct().withColumn("hit", F.lit(True)), "name", "left")
-    ctx.put("universities", rows.withColumn("status", F.when(F.col("hit"), status).otherwise(F.col("status"))).drop("hit"))
+    rows = ctx.table("universities").join(which.distinct(), "name", "left_semi")
+    ctx.merge("universities", rows.withColumn("status", F.lit(status)))
 
 
 def verified(candidates: DataFrame, old: DataFrame) -> DataFrame:
@@ -162,14 +187,16 @@ def verify(ctx: Context) -> dict:
     return {"candidates_processed": n, "verified_professors": ctx.table("people").where("verification_status = 'verified'").count()}
 
 
-#: Rows that are fetched, and kept, at once, for each core.
-JOURNAL_ROWS = 200
+#: Rows that are fetched, and kept, at once, for each task that asks; works that are
+#: embedded, and committed, at once.
+JOURNAL_ROWS, EMBED_ROWS = 200, 1_000_000
 
 
-def _fetched(ctx: Context, stage: str, todo: DataFrame, key: str, read: Callable, schema: str) -> DataFrame:
+def _fetched(ctx: Context, stage: str, todo: DataFrame, key: str, read: Callable, schema: str, shares: int = 1, by: str | None = None) -> DataFrame:
     """What ``read`` yields for each row of ``todo``, which has ``key`` once.  Answers are
     kept in the store's journal part by part, so a run that resumes asks only for what is
-    missing; ``run`` clears the journal when the stage is completed."""
+    missing; ``run`` clears the journal when the stage is completed.  Tasks ask by host, if
+    ``by`` tells it, or as many as a service's limit has ``shares``."""
     journal = f"{ctx.store.path}/journal/{stage}"
     names = [c.strip().split()[0] for c in schema.split(",")]
 
@@ -182,10 +209,11 @@ def _fetched(ctx: Context, stage: str, todo: DataFrame, key: str, read: Callable
         return ctx.spark.read.schema(schema).parquet(*paths) if paths else ctx.spark.createDataFrame([], schema)
 
     left = todo.join(kept(ctx.store.folders(journal)).select(key).distinct(), key, "left_anti").checkpoint()
-    parts = -(-left.count() // (JOURNAL_ROWS * ctx.spark.sparkContext.defaultParallelism))
+    parts = -(-left.count() // (JOURNAL_ROWS * (ctx.spark.sparkContext.defaultParallelism if by else shares)))
     for k in range(parts):
         some = left.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k)
-        fetch.fetch_each(some, ctx.fetcher, marked, schema).write.parquet(f"{journal}/{uuid.uuid4().hex}")
+        fetched = fetch.fetch_each(some.repartition(by), ctx.fetcher, marked, schema) if by else fetch.fetch_each(some, ctx.fetcher, marked, schema, shares)
+        fetched.write.parquet(f"{journal}/{uuid.uuid4().hex}")
     out = kept(ctx.store.folders(journal))
     return out.join(todo.select(key), key, "left_semi").where(F.col(names[-1]).isNotNull())
 
@@ -208,7 +236,7 @@ def match(ctx: Context) -> dict:
             yield {"professor_id": row["professor_id"], "variant": v, "pos": p, "payload": json.dumps(author)}
 
     asked = todo.select("professor_id", names.name_variants(F.col("name")).alias("variants"))
-    got = _fetched(ctx, "match", asked, "professor_id", read, "professor_id bigint, variant int, pos int, payload string")
+    got = _fetched(ctx, "match", asked, "professor_id", read, "professor_id bigint, variant int, pos int, payload string", ctx.shares)
     found = resolve.merge_candidates(got.select("professor_id", "variant", "pos", F.from_json("payload", resolve.CANDIDATE).alias("candidate")), most)
     decided = resolve.decide(todo, resolve.score_candidates(todo, found), s.matching.threshold, s.matching.ambiguity_margin)
     matches = upsert(matches, decided.select(matches.columns), ["professor_id"]).checkpoint()
@@ -229,7 +257,7 @@ def ingest_works(ctx: Context) -> dict:
         for k, work in enumerate(fetch.author_works(f, base, row["author_id"], start, per_page, most)):
             yield {"professor_id": row["professor_id"], "author_id": row["author_id"], "seq": row["professor_id"] * 100_000 + k, "payload": json.dumps(work)}
 
-    got = _fetched(ctx, "works", todo, "professor_id", read, "professor_id bigint, author_id string, seq bigint, payload string")
+    got = _fetched(ctx, "works", todo, "professor_id", read, "professor_id bigint, author_id string, seq bigint, payload string", ctx.shares)
     payloads = got.select("professor_id", "author_id", "seq", F.from_json("payload", works.WORK).alias("w")).select("professor_id", "author_id", "seq", "w.*").where("id IS NOT NULL")
     seen = save_works(ctx, payloads)
     _mark_universities(ctx, todo.join(ctx.table("universities").select("university_id", "name"), "university_id").select("name"), "completed")
@@ -240,11 +268,10 @@ def save_works(ctx: Context, payloads: DataFrame) -> int:
     """Upsert works by their id and links by (person, work) from payload rows."""
     old = ctx.table("works")
     new = works.parse_works(payloads.drop("professor_id", "author_id")).join(old.select("external_id", "work_id"), "external_id", "left")
-    ctx.put("works", upsert(old, _number(ctx, "works", new.select(old.columns), "work_id", ["external_id"]), ["external_id"]))
+    ctx.merge("works", _number(ctx, "works", new.select(old.columns), "work_id", ["external_id"]))
     ids = ctx.table("works").select("external_id", "work_id")
     links = works.author_links(payloads).join(ids, "external_id").drop("external_id")
-    before = ctx.table("links")
-    ctx.put("links", upsert(before, links.select(before.columns), ["professor_id", "work_id"]))
+    ctx.merge("links", links)
     return payloads.count()
 
 
@@ -254,10 +281,12 @@ def embed(ctx: Context) -> dict:
         raise ValueError(f"no embedding backend {e.backend}; there are {', '.join(['hash', *ctx.encoders])}")
     todo = works.resume(works.needs_embedding(ctx.table("works"), old, e.backend, e.dimension), "work_id", None, ctx.limit)
     body = todo.select("work_id", vectors.embedding_text(F.col("title"), F.col("abstract")).alias("body")).checkpoint()
-    made = vectors.hash_embed(body, "work_id", "body", e.dimension) if e.backend == "hash" else vectors.dense_embed(body, "work_id", "body", ctx.encoders[e.backend], e.dimension)
-    new = made.select("work_id", F.lit(e.dimension).alias("dimension"), "embedding", F.lit(e.backend).alias("backend"))
-    ctx.put("vectors", upsert(old, new, ["work_id"]))
-    return {"works_embedded": body.count()}
+    parts, done = -(-body.count() // EMBED_ROWS), 0
+    for k in range(parts):  # each is committed; a run that resumes finds only what is missing
+        some = body.where(F.pmod(F.xxhash64("work_id"), F.lit(parts)) == k)
+        made = vectors.embed(some, "work_id", "body", e.backend, e.dimension, ctx.encoders)
+        done += ctx.merge("vectors", made.select("work_id", F.lit(e.dimension).alias("dimension"), "embedding", F.lit(e.backend).alias("backend")))
+    return {"works_embedded": done}
 
 
 def fund(ctx: Context) -> dict:
@@ -277,9 +306,8 @@ def fund(ctx: Context) -> dict:
         flat = part(source, schema).select(F.struct("professor_id", "seq").alias("seq"), "professor_id", "p.*")
         parsed = parse(flat, "professor_id", "seq")
         rows = parsed if rows is None else rows.unionByName(parsed)
-    old = ctx.table("grants")
-    n = ctx.put("grants", funding.upsert_grants(old, rows.where("grant_id != ''")))
-    return {"professors_processed": todo.count(), "grants": n}
+    ctx.merge("grants", funding.last_grants(rows.where("grant_id != ''")), keep=["professor_id"])
+    return {"professors_processed": todo.count(), "grants": ctx.count("grants")}
 
 
 STAGES: list[tuple[str, Callable[[Context], dict]]] = [("load", load_seed), ("scrape", scrape), ("verify", verify), ("match", match), ("works", ingest_works), ("embed", embed), ("fund", fund)]
@@ -291,6 +319,23 @@ class StageFailed(RuntimeError):
         self.stage, self.done = stage, done
 
 
+#: Runs of a stage whose tables another writer keeps changing; versions of a table that stay.
+TRIES, VERSIONS = 5, 3
+
+
+def _staged(ctx: Context, stage: Callable[[Context], dict]) -> dict:
+    """A stage's outcome; it runs again on the newer tables if another writer has changed
+    one that it replaces.  Answers that it has fetched are in its journal."""
+    for left in reversed(range(TRIES)):
+        ctx.store.begin()
+        try:
+            return stage(ctx)
+        except Conflict:
+            if not left:
+                raise
+    raise AssertionError
+
+
 def run(ctx: Context, from_stage: str | None = None, through_stage: str | None = None) -> list[tuple[str, dict]]:
     """Run the stages in order, from and through the named ones."""
     order = [name for name, _ in STAGES]
@@ -306,13 +351,15 @@ def run(ctx: Context, from_stage: str | None = None, through_stage: str | None =
         if ctx.reporter:
             ctx.reporter.started(name)
         try:
-            outcome = stage(ctx)
+            outcome = _staged(ctx, stage)
         except Exception as e:
             ctx.store.put_state(name, status="failed")
             if ctx.reporter:
                 ctx.reporter.failed(name, e)
             raise StageFailed(name, done, e) from e
         ctx.store.remove(f"{ctx.store.path}/journal/{name}")
+        for table in TABLES:
+            ctx.store.expire(table, VERSIONS)
         ctx.store.put_state(name, status="completed", processed_items=next(iter(outcome.values()), None))
         if ctx.reporter:
             ctx.reporter.completed(name, outcome)

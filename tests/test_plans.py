@@ -1,7 +1,9 @@
 import json
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from rosterlake import cli, config
@@ -119,6 +121,136 @@ def test_store_snapshots(spark, tmp_path):
             f()
 
 
+def bytes_of(path, folder):
+    return sum(f.stat().st_size for f in (path / "data" / folder).rglob("*.parquet"))
+
+
+def test_an_upsert_writes_what_it_changes(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/s")
+    body = lambda df, x: df.select("id", F.sha2(F.concat("id", F.lit(x)).cast("string"), 256).alias("body"), F.lit(x).alias("mark"))
+    assert s.write("t", body(spark.range(50_000), "old"), key=["id"]) == 50_000
+    base = s.version("t").base
+    changed = body(spark.range(50_000).where("id % 100 = 7").unionByName(spark.range(50_000, 50_010)), "new")
+    assert s.merge("t", changed, ["id"]) == 510
+    v = s.version("t")
+    assert v.base == base and len(v.deltas) == 1
+    assert bytes_of(tmp_path / "s/t", v.deltas[0].folder) < 0.05 * bytes_of(tmp_path / "s/t", base.folder)
+    assert s.read("t").groupBy("mark").count().collect() in ([("old", 49_500), ("new", 510)], [("new", 510), ("old", 49_500)])
+    # again, keeping a column, and with rows that go
+    assert s.merge("t", body(spark.range(5, 9), "newer"), ["id"], keep=["mark"], gone=spark.range(3)) == 7
+    got = {r["id"]: r for r in s.read("t").where("id < 10").collect()}
+    assert sorted(got) == list(range(3, 10)) and {k: r["mark"] for k, r in got.items()} == {k: "new" if k == 7 else "old" for k in got}
+    assert [r["mark"] for r in s.read("t", number=1).where("id < 3").collect()] == ["old"] * 3
+    before = sorted(map(tuple, s.read("t").collect()))
+    s.compact("t")
+    v = s.version("t")
+    assert not v.deltas and v.base.buckets and sorted(map(tuple, s.read("t").collect())) == before and s.rows("t") == len(before) == v.base.rows
+    assert s.expire("t", 1, 0) == 3 and s.versions("t") == [v.number] and sorted(map(tuple, s.read("t").collect())) == before
+
+
+def test_a_lookup_reads_what_it_needs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "BUCKET_ROWS", 1000)
+    s = store.Store(spark, f"file://{tmp_path}/s")
+    s.write("t", spark.range(8000).withColumn("x", F.col("id") * 2))
+    s.merge("t", spark.range(9000, 13_000).withColumn("x", F.lit(-1)), ["id"])  # so many that a new base is made
+    assert s.version("t").base.buckets == 12 and not s.version("t").deltas
+    s.merge("t", spark.createDataFrame([(5, 99)], "id bigint, x bigint"), ["id"])
+    keys = spark.createDataFrame([(5,), (6,), (8500,)], "id int")
+    found = s.get("t", keys)
+    assert sorted(map(tuple, found.collect())) == [(5, 99), (6, 12)]
+    plan = found._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(_bucket" in plan or "_bucket#" in plan.split("PartitionFilters")[1][:200]
+    assert "PushedFilters: [In(id" in plan
+    assert s.get("t", keys.limit(0)).count() == 0
+    monkeypatch.setattr(store, "LOOKUP_KEYS", 2)
+    assert sorted(map(tuple, s.get("t", keys).collect())) == [(5, 99), (6, 12)]
+
+
+def test_null_keys_and_new_columns(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/s")
+    s.merge("t", spark.createDataFrame([(1, "a"), (None, "b")], "k int, x string"), ["k"])
+    s.merge("t", spark.createDataFrame([(None, "c", 1.5), (2, "d", None)], "k int, x string, y double"), ["k"])
+    assert sorted(map(tuple, s.read("t").collect()), key=str) == [(1, "a", None), (2, "d", None), (None, "c", 1.5)]
+    assert s.merge("t", s.read("t").where("k = 77"), ["k"]) == 0 and s.merge("none", None, ["k"], gone=spark.range(1)) == 0
+    s.write("e", spark.range(0), key=["id"])
+    s.compact("e")
+    assert s.read("e").count() == 0
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    where = f"file://{tmp_path}/s"
+    one, two = store.Store(spark, where), store.Store(spark, where)
+    one.write("t", spark.range(20))
+    assert one.read("t").count() == two.read("t").count() == 20
+    one.write("t", one.read("t").unionByName(spark.range(100, 110)))
+    with pytest.raises(store.Conflict):
+        two.write("t", two.read("t").unionByName(spark.range(200, 210)))
+    assert two.update("t", lambda t: t.unionByName(spark.range(200, 210))) == 40
+    # many at once, by both ways
+    writers = [store.Store(spark, where) for _ in range(6)]
+
+    def change(k):
+        rows = spark.range(1000 + 10 * k, 1000 + 10 * k + 10)
+        return writers[k].merge("t", rows, ["id"]) if k % 2 else writers[k].update("t", lambda t: t.unionByName(rows))
+
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(change, range(6)))
+    assert sorted(r[0] for r in one.read("t").collect()) == [*range(20), *range(100, 110), *range(200, 210), *range(1000, 1060)]
+    assert one.versions("t") == list(range(1, len(one.versions("t")) + 1))
+
+
+def test_a_stage_runs_again_after_a_conflict(ctx, spark):
+    pipeline.run(ctx, through_stage="scrape")
+    other = store.Store(spark, ctx.store.path)
+    tries = []
+
+    def stage(ctx):
+        rows = ctx.table("candidates")
+        tries.append(rows.count())
+        if len(tries) == 1:
+            other.merge("candidates", other.read("candidates").limit(1).withColumn("candidate_id", F.lit(99)), ["candidate_id"])
+        ctx.put("candidates", rows.withColumn("title", F.lit("seen")))
+        return {}
+
+    pipeline._staged(ctx, stage)
+    assert tries == [3, 4] and ctx.table("candidates").where("title = 'seen'").count() == 4
+
+
+def test_links_to_other_hosts_are_not_asked(spark, ctx):
+    answers = world().answers | {"https://elsewhere.example.com/ann": "<p>ann@elsewhere.example.com</p>"}
+    answers[ROSTER] = '<ul><li><a href="https://elsewhere.example.com/ann">Ann Lee</a> Professor of noise</li></ul>'
+    asked = fetch.Recorded(answers)
+    row = {"source_id": 1, "roster_url": ROSTER, "parser_hint": None, "domain": "example.edu"}
+    found = list(pipeline._scrape(asked, row))
+    assert [r["name"] for r in found] == ["Ann Lee"] and not any("elsewhere" in u for u in asked.asked)
+    assert "outside" in list(pipeline._scrape(asked, row | {"roster_url": "https://elsewhere.example.com/ann"}))[0]["error"]
+    moved = fetch.Within(Moved(), {"example.edu"})
+    with pytest.raises(ValueError):
+        moved.get("https://example.edu/")
+
+
+class Moved:
+    def get(self, url, params=None, body=None):
+        return 200, "https://elsewhere.example.com/", ""
+
+
+def test_tasks_share_the_keys(spark):
+    """Two keys: two tasks ask, each with its own key, whatever the rows' partitions."""
+    maker = fetch.HttpMaker("test", keys=("", "a", "b", "a"))
+    assert maker.shares == 2 and [maker(k, 2).pool.take() for k in range(2)] == ["a", "b"] and fetch.HttpMaker("test").shares == 1
+    read = lambda f, row: [{"id": row["id"], "key": f.pool.take(), "task": TaskContext.get().partitionId()}]
+    got = fetch.fetch_each(spark.range(64, numPartitions=4), maker, read, "id bigint, key string, task int", maker.shares).collect()
+    assert len(got) == 64 and {(r["task"], r["key"]) for r in got} == {(0, "a"), (1, "b")}
+    assert len({r["task"] for r in fetch.fetch_each(spark.range(64, numPartitions=4), fetch.HttpMaker("test"), read, "id bigint, key string, task int", 1).collect()}) == 1
+
+
+def test_embedding_commits_in_parts(ctx, monkeypatch):
+    pipeline.run(ctx, through_stage="works")
+    monkeypatch.setattr(pipeline, "EMBED_ROWS", 1)
+    assert dict(pipeline.run(ctx, "embed", "embed"))["embed"]["works_embedded"] == 3
+    assert ctx.store.versions("vectors")[-1] >= 2 and ctx.table("vectors").count() == 3
+
+
 def test_ids_follow_the_old_ones(spark):
     old = spark.createDataFrame([(7, "z")], "id bigint, k string")
     new = spark.createDataFrame([(c,) for c in "dacb"], "k string").repartition(3)
