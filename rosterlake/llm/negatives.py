@@ -12,7 +12,9 @@ them has to look (its reach).  By the triangle inequality a vector at distance d
 pivot of its cell can serve a group only if ``nearest - reach <= d <= farthest + reach``;
 to such groups, and no others, it is copied.  What a group gets is dealt out in blocks of
 ``ROWS`` vectors, each joined with the group's anchors by one matrix product; a task gives
-only the best few of each anchor, and these are merged.
+only the best few of each anchor, and these are merged.  Where vectors lie so far from each other
+that cells spare little, so that groups by cell would be sent more copies than groups of
+``ANCHORS`` anchors of all cells, these are formed instead.
 
 Three joins: each anchor with the cell at home, which tells how far the k-th positive is
 at most; with the other cells up to that reach; and with the vectors of other labels down
@@ -184,33 +186,48 @@ def bounds(anchors: DataFrame, space: Space) -> Bounds:
 
 
 def join(vectors: DataFrame, anchors: DataFrame, groups: int, space: Space, rank, schema: str, at_home: bool | None, same: bool, scope: Scope) -> DataFrame | None:
-    """What ``rank(vectors, anchors)`` finds over all blocks of all groups."""
+    """What ``rank(vectors, anchors)`` finds over all blocks of all groups: with the vectors
+    at home, or the others, of which it may find some at home again."""
     out = None
     for lo in range(0, groups, AT_ONCE):
         some = anchors.where(F.col("group").between(lo, lo + AT_ONCE - 1)) if groups > AT_ONCE else anchors
-        found = _join(vectors, some, bounds(some, space), space, rank, schema, at_home, same)
+        found = _join(vectors, some, space, rank, schema, at_home, same)
         if found is not None:
             found = scope.table(found, "found")
             out = found if out is None else out.unionByName(found)
     return out
 
 
-def _join(vectors: DataFrame, anchors: DataFrame, edge: Bounds, space: Space, rank, schema: str, at_home: bool | None, same: bool) -> DataFrame | None:
-    spark = vectors.sparkSession
-    shared = spark.sparkContext.broadcast(edge)
+def copies(vectors: DataFrame, edge: Bounds, at_home: bool | None, same: bool, slack: float) -> np.ndarray:
+    """How many vectors may serve each group."""
+    shared = vectors.sparkSession.sparkContext.broadcast(edge)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b, total = shared.value, np.zeros(len(edge.group), np.int64)
+        b = shared.value
+        total = np.zeros(len(b.group), np.int64)
         for batch in batches:
             cell, dist, label = (c.to_numpy() for c in batch.columns)
-            total += [int(b.served(k, cell, dist, label, at_home, same, space.slack).sum()) for k in range(len(total))]
+            total += [int(b.served(k, cell, dist, label, at_home, same, slack).sum()) for k in range(len(total))]
         own = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], names=["k", "n"])
 
-    sizes = {r["k"]: r["n"] for r in vectors.select("cell", "dist", "label").mapInArrow(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect()}
-    blocks = np.array([-(-sizes.get(k, 0) // ROWS) for k in range(len(edge.group))], np.int64)
+    sizes = {r["k"]: r["n"] for r in vectors.select("cell", "dist", "label").mapInArrow(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect()}  # AT_ONCE at most
+    return np.array([sizes.get(k, 0) for k in range(len(edge.group))], np.int64)
+
+
+def _join(vectors: DataFrame, anchors: DataFrame, space: Space, rank, schema: str, at_home: bool | None, same: bool) -> DataFrame | None:
+    edge = bounds(anchors, space)
+    sizes = copies(vectors, edge, at_home, same, space.slack)
+    if not at_home:
+        large = -(-anchors.count() // ANCHORS)
+        if sizes.sum() > large * vectors.count():
+            anchors = anchors.withColumns({"group": F.pmod(F.xxhash64("vec_id"), F.lit(large)).cast("int"), "home": F.lit(-1)})
+            edge = bounds(anchors, space)
+            sizes = copies(vectors, edge, at_home, same, space.slack)
+    blocks = -(-sizes // ROWS)
     if not blocks.any():
         return None
+    shared = vectors.sparkSession.sparkContext.broadcast(edge)
 
     def copied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = shared.value
@@ -225,7 +242,8 @@ def _join(vectors: DataFrame, anchors: DataFrame, edge: Bounds, space: Space, ra
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), b.group[k], np.int32)), pa.array(block), *(batch.column(c).take(take) for c in (0, 1, 2))], names=["group", "block", "vec_id", "label", "vector"])
 
     left = vectors.select("vec_id", "label", "vector", "cell", "dist").mapInArrow(copied, "group int, block int, vec_id bigint, label bigint, vector binary")
-    many = F.get(F.lit(blocks.tolist()).cast("array<int>"), F.col("group") - int(edge.group[0]))
+    held = dict(zip(edge.group.tolist(), blocks.tolist(), strict=True))
+    many = F.get(F.lit([held.get(g, 0) for g in range(int(edge.group[0]), int(edge.group[-1]) + 1)]).cast("array<int>"), F.col("group") - int(edge.group[0]))
     right = anchors.where(many > 0).withColumn("block", F.explode(F.sequence(F.lit(0), many - 1)))
     return left.groupBy("group", "block").cogroup(right.groupBy("group", "block")).applyInArrow(rank, schema)
 
@@ -289,7 +307,7 @@ def mine(rows: DataFrame, is_anchor: Column, positives: int = 5, negatives: int
         return pa.table({c: pa.array(np.concatenate(held)) for c, held in zip(("anchor_id", "vec_id", "score"), out, strict=True)})
 
     def top(found: DataFrame | None) -> DataFrame:
-        found = spark.createDataFrame([], PAIR) if found is None else found
+        found = spark.createDataFrame([], PAIR) if found is None else found.distinct()
         return found.withColumn("at", F.row_number().over(best)).where(F.col("at") <= positives)
 
     square = F.aggregate(F.col("x"), F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double") * x.cast("double"))

@@ -71,6 +71,20 @@ def test_cells_spare_comparisons(spark):
     assert served < 0.35 * len(anchors) * len(vectors)
 
 
+@pytest.mark.parametrize("spread", [0.05, 3.0])
+def test_groups_by_cell_or_of_all_cells(spark, monkeypatch, spread):
+    """Tight clusters are grouped by cell, where cells spare nothing anchors of all cells are."""
+    formed = []
+    plain_copies = negatives.copies
+    monkeypatch.setattr(negatives, "copies", lambda *a: formed.append(int(plain_copies(*a).sum())) or plain_copies(*a))
+    rng = np.random.default_rng(2)
+    centres = 4 * rng.normal(size=(8, 12))
+    rows = [(k, int(rng.integers(3)), (centres[k % 8] + spread * rng.normal(size=12)).tolist()) for k in range(400)]
+    assert got(negatives.mine(frame(spark, rows), F.col("vec_id") % 7 == 0)) == plain(rows, lambda i: i % 7 == 0)
+    assert (len(formed) == 3) == (spread < 1) and (len(formed) > 3) == (spread > 1)
+    assert formed[-1] <= 400
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = clusters(120, 4, 3) + [(None, 1, [1.0] * 4), (500, None, [1.0] * 4), (600, 1, None), (700, 2, [nan, 1.0, 1.0, 1.0]), (800, 2, [inf, 1.0, 1.0, 1.0]), (900, 3, [None, 1.0, 1.0, 1.0]), (1000, 1, [0.0] * 4), (1100, 77, [2.0, 1.0, 0.0, 1.0])]
