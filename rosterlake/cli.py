@@ -40,7 +40,7 @@ def doctor(settings: config.Settings) -> list[dict]:
     checks = [(f"module {m}", importlib.util.find_spec(m) is not None, "install it") for m in ("pyspark", "pyarrow", "pandas", "numpy")]
     store = Path(settings.app.store_dir.removeprefix("file:"))
     near = next((p for p in (store, *store.parents) if p.exists()), Path("."))
-    checks += [("store folder can be written", os.access(near, os.W_OK), f"check {near}"), ("seed file", Path(settings.app.seed_file).exists(), "set app.seed_file"), ("embedding backend", settings.embeddings.backend == "hash", "use hash or write the vectors table"), ("author source", bool(settings.authors.base_url), "set authors.base_url")]
+    checks += [("store folder can be written", os.access(near, os.W_OK), f"check {near}"), ("seed file", Path(settings.app.seed_file).exists(), "set app.seed_file"), ("embedding backend", settings.embeddings.backend == "hash" or importlib.util.find_spec(settings.embeddings.backend.partition(":")[0]) is not None, "use hash or module:function"), ("author source", bool(settings.authors.base_url), "set authors.base_url")]
     return [{"name": n, "status": "ok" if ok else "fail", **({} if ok else {"hint": hint})} for n, ok, hint in checks]
 
 
@@ -53,7 +53,8 @@ def run_pipeline(ctx: pipeline.Context, from_stage: str | None, through_stage: s
 
 
 def _search(ctx: pipeline.Context, rows, limit, works: int):
-    return search.search(tables(ctx), rows, ctx.settings.embeddings.dimension, limit, works)
+    e = ctx.settings.embeddings
+    return search.search(pipeline.search_tables(ctx), rows, e.dimension, limit, works, e.backend, ctx.encoders)
 
 
 def parser() -> argparse.ArgumentParser:

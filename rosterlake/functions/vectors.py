@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import importlib
 import math
 from collections.abc import Callable, Iterator
 
@@ -114,13 +115,19 @@ def dense_embed(rows: DataFrame, key: str, text: str, make: Callable[[], Callabl
     return rows.select(key, text).mapInArrow(run, f"`{key}` {kind}, embedding array<double>")
 
 
+def encoder(backend: str, encoders: dict[str, Callable] | None = None) -> Callable:
+    """What loads an encoder: one of the caller's by name, or ``module:function``."""
+    if backend in (encoders or {}):
+        return encoders[backend]
+    module, colon, name = backend.partition(":")
+    if not colon:
+        raise ValueError(f"no embedding backend {backend}; there are {', '.join(['hash', *(encoders or {})])} and module:function")
+    return getattr(importlib.import_module(module), name)
+
+
 def embed(rows: DataFrame, key: str, text: str, backend: str, dim: int, encoders: dict[str, Callable] | None = None) -> DataFrame:
-    """(key, embedding) by the named backend: "hash", or one of the caller's encoders."""
-    if backend == "hash":
-        return hash_embed(rows, key, text, dim)
-    if backend not in (encoders or {}):
-        raise ValueError(f"no embedding backend {backend}; there are {', '.join(['hash', *(encoders or {})])}")
-    return dense_embed(rows, key, text, encoders[backend], dim)
+    """(key, embedding) by the named backend: "hash", or an ``encoder``."""
+    return hash_embed(rows, key, text, dim) if backend == "hash" else dense_embed(rows, key, text, encoder(backend, encoders), dim)
 
 
 def hash_embed_one(text: str, dim: int) -> list[float]:

@@ -6,9 +6,10 @@ verification_status, duplicate_of), universities (university_id, name), links
 source_name), vectors (work_id, embedding).
 
 ``prepare_works`` does once what every query needs of a work: its tokens, title
-key and vector; ``search`` writes that once, as it is read twice.  A query batch is then
-one plan: prepared works scored against the batch (which is of bounded size and
-broadcast), people, two windows, top k.  Larger batches are searched in parts.
+key and vector; ``search`` writes that once, as it is read twice, or is given it.  A query
+batch is then one plan: prepared works scored against the batch (which is of bounded size
+and broadcast), people, two windows, top k.  Larger batches are searched in parts.  With an
+index (``searchindex``) only works of people who may be among the best are scored.
 
 Scoring: the JVM reduces a work's words to the query terms among them.  Python gets these
 and the vector, and scores a batch of works by three matrix products: works by terms, for
@@ -19,7 +20,7 @@ have all its terms.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text, vectors
 from ..scratch import cut
+from . import searchindex
 
 #: Query rows that are broadcast to every work at once.
 QUERY_BATCH = 1000
@@ -62,10 +64,11 @@ def prepare_works(works: DataFrame, embeddings: DataFrame) -> DataFrame:
     )
 
 
-def query_rows(queries: DataFrame, dim: int) -> DataFrame:
-    """(query_id, query) with the normalised text, its tokens and its vector."""
+def query_rows(queries: DataFrame, dim: int, backend: str = "hash", encoders: dict[str, Callable] | None = None) -> DataFrame:
+    """(query_id, query) with the normalised text, its tokens and its vector, by the
+    backend that made the works' vectors."""
     ready = queries.select("query_id", text.normalize_query(F.col("query")).alias("q"))
-    vector = vectors.hash_embed(ready, "query_id", "q", dim)
+    vector = vectors.embed(ready, "query_id", "q", backend, dim, encoders)
     return ready.join(vector, "query_id").select("query_id", text.search_tokens(F.col("q")).alias("query_tokens"), F.col("embedding").alias("query_vector"))
 
 
@@ -120,7 +123,8 @@ def _cosines(column: pa.ListArray, asked: Asked) -> np.ndarray:
 
 
 def score_works(prepared: DataFrame, ready: DataFrame) -> DataFrame:
-    """(query_id, work_id, work_score) of every work for every query."""
+    """(query_id, work_id, work_score) of every work for every query; where ``prepared``
+    has a column ``asked_by`` of query ids, for these."""
     rows, out = cut(ready).orderBy("query_id").toLocalIterator(), None
     while part := list(itertools.islice(rows, QUERY_BATCH)):
         scored = _score_part(prepared, part)
@@ -136,10 +140,13 @@ def _score_part(prepared: DataFrame, rows: list[Row]) -> DataFrame:
     shared = prepared.sparkSession.sparkContext.broadcast(asked)
     known = F.array(*[F.lit(t) for t in asked.place]) if asked.place else F.array().cast("array<string>")
     hits = {c: F.array_intersect(f"{c}_tokens", known).alias(c) for c in ("title", "abstract")}
-    # a phrase has two terms at least
-    whole = lambda c: F.when(F.size(c) > 1, F.array_join(f"{c}_tokens", " ")).alias(f"{c}_text")
-    found = prepared.select(F.col("work_id").cast("bigint").alias("work_id"), "embedding", *hits.values(), "title_tokens", "abstract_tokens")
-    found = found.select("work_id", "embedding", "title", "abstract", whole("title"), whole("abstract"))
+    # a phrase has two terms at least, which may be one twice
+    whole = lambda c: F.when(F.size(c) > int(all(len(set(p.split())) > 1 for p in asked.phrases if p)), F.array_join(f"{c}_tokens", " ")).alias(f"{c}_text")
+    found = prepared.select(F.col("work_id").cast("bigint").alias("work_id"), "embedding", *hits.values(), "title_tokens", "abstract_tokens", *(["asked_by"] if "asked_by" in prepared.columns else []))
+    some = "asked_by" in prepared.columns
+    if some:
+        found = found.withColumn("asked_by", F.array_intersect("asked_by", F.lit([int(i) for i in asked.ids]).cast("array<bigint>"))).where(F.size("asked_by") > 0)
+    found = found.select("work_id", "embedding", "title", "abstract", whole("title"), whole("abstract"), *(["asked_by"] if some else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
@@ -159,18 +166,27 @@ def _score_part(prepared: DataFrame, rows: list[Row]) -> DataFrame:
                         best[i, j] = max(best[i, j], part)
             score = np.round(score + 0.05 * best, TIE_PLACES)
             n = batch.num_rows
+            if some:
+                lists = batch.column(6)
+                j = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+                ids = lists.flatten().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(0).take(pa.array(j)), pa.array(score[np.searchsorted(q.ids, ids), j])], names=["query_id", "work_id", "work_score"])
+                continue
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q.ids, n)), pa.array(np.tile(batch.column(0).to_numpy(), len(q.ids))), pa.array(score.ravel())], names=["query_id", "work_id", "work_score"])
 
     return found.mapInArrow(run, SCORED)
 
 
-def ranked_works(scored: DataFrame, prepared: DataFrame, people: DataFrame, links: DataFrame) -> DataFrame:
+def ranked_works(scored: DataFrame, prepared: DataFrame, people: DataFrame, links: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
     """Works of each searchable person, one for each title, best first (``place``
     from 1).  Of one title a published version stays before a preprint, then the
-    better score, the longer title, the smaller id."""
+    better score, the longer title, the smaller id.  ``chosen``: only people and queries
+    in (query_id, professor_id)."""
     who = searchable(people).select("professor_id")
     about = prepared.select("work_id", "title", "publication_year", "doi", "source_name", "title_key", "preprint")
     theirs = links.select("professor_id", "work_id").distinct().join(who, "professor_id", "left_semi").join(about, "work_id").join(scored, "work_id")
+    if chosen is not None:
+        theirs = theirs.join(chosen, ["query_id", "professor_id"], "left_semi")
     title = F.coalesce("title", F.lit(""))
     best = F.max_by(F.struct("work_id", "title", "publication_year", "doi", "source_name", "work_score"), F.struct(~F.col("preprint"), F.col("work_score"), F.char_length(title), -F.col("work_id")))
     one = theirs.groupBy("query_id", "professor_id", "title_key").agg(best.alias("w")).select("query_id", "professor_id", "w.*")
@@ -189,11 +205,33 @@ def rank_people(ranked: DataFrame, people: DataFrame, universities: DataFrame, r
     return (out if result_limit is None else out.where(F.col("rank") <= result_limit)).select(*HIT, "rank")
 
 
-def search(tables: dict[str, DataFrame], queries: DataFrame, dim: int = 768, result_limit: int | None = 25, work_limit: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(hits, ranked works) of (query_id, query) rows."""
+def search(tables: dict[str, DataFrame], queries: DataFrame, dim: int = 768, result_limit: int | None = 25, work_limit: int = 5, backend: str = "hash", encoders: dict[str, Callable] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(hits, ranked works) of (query_id, query) rows.
+
+    Where ``tables`` has ``prepared`` and ``profiles``, which ``index`` makes, and there is a
+    limit, only works of people who may be among the best are scored, and the ranked works
+    are of these people."""
+    if "backend" in tables["vectors"].columns:
+        tables = tables | {"vectors": tables["vectors"].where(F.col("backend") == backend)}
     prepared = tables["prepared"] if "prepared" in tables else cut(prepare_works(tables["works"], tables["vectors"]))
-    ranked = ranked_works(score_works(prepared, query_rows(queries, dim)), prepared, tables["people"], tables["links"])
-    return rank_people(ranked, tables["people"], tables["universities"], result_limit, work_limit), ranked
+    ready, people, chosen = query_rows(queries, dim, backend, encoders), tables["people"], None
+    if "profiles" in tables and result_limit is not None:
+        ready = cut(ready)
+        who = searchable(people).join(tables["universities"].select("university_id"), "university_id", "left_semi")
+        chosen = cut(searchindex.candidates(tables["profiles"], who, ready, result_limit, work_limit))
+        asked = tables["links"].join(chosen, "professor_id").groupBy("work_id").agg(F.collect_set("query_id").alias("asked_by"))
+        scored = score_works(prepared.join(asked, "work_id"), ready)
+    else:
+        scored = score_works(prepared, ready)
+    ranked = ranked_works(scored, prepared, people, tables["links"], chosen)
+    return rank_people(ranked, people, tables["universities"], result_limit, work_limit), ranked
+
+
+def index(tables: dict[str, DataFrame], backend: str = "hash") -> tuple[DataFrame, DataFrame]:
+    """(prepared, profiles): what a search needs of works and of people's works."""
+    stored = tables["vectors"]
+    prepared = prepare_works(tables["works"], stored.where(F.col("backend") == backend) if "backend" in stored.columns else stored)
+    return prepared, searchindex.profiles(prepared, tables["links"])
 
 
 def work_window(ranked: DataFrame, offset: int = 0, limit: int | None = None) -> DataFrame:

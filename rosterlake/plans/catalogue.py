@@ -16,6 +16,7 @@ from ..operators import audit, evaluate, funding, identity, inspect, resolve, se
 from ..operators.audit import AUDIT_WORDS
 from ..sources import pages as page_source
 from ..sources import seed
+from ..scratch import cut
 from . import store
 from .views import cte, view
 
@@ -77,16 +78,25 @@ known AS (SELECT w, CAST(('0x' || {word})::BIGINT % {DIM} AS INT) AS bucket, CAS
 parts AS (SELECT k, bucket, CAST(sum(n * sign) AS BIGINT) AS value FROM bag JOIN known USING (w) GROUP BY ALL HAVING sum(n * sign) <> 0)"""
 
 
-def sql_search(queries: str) -> str:
+#: Cosines of hash embeddings, sparse.
+SQL_HASHED = f"""{sql_components("texts")},
+norms AS (SELECT k, sqrt(CAST(sum(value * value) AS DOUBLE)) AS norm FROM parts GROUP BY k),
+cosines AS (SELECT a.k AS qk, b.k AS wk, CAST(sum(a.value * b.value) AS DOUBLE) / (max(na.norm) * max(nb.norm)) AS semantic
+  FROM parts a JOIN parts b ON a.bucket = b.bucket AND a.k LIKE 'q%' AND b.k LIKE 'w%' JOIN norms na ON na.k = a.k JOIN norms nb ON nb.k = b.k GROUP BY 1, 2)"""
+#: Cosines of an encoder that counts some letters.
+LETTERS = "aeiounrst"
+SQL_LETTERS = f"""
+dense AS (SELECT k, [{", ".join(f"CAST(length(body) - length(replace(body, '{c}', '')) AS DOUBLE)" for c in LETTERS)}, 1.0] AS v FROM texts),
+cosines AS (SELECT a.k AS qk, b.k AS wk, list_cosine_similarity(a.v, b.v) AS semantic FROM dense a JOIN dense b ON a.k LIKE 'q%' AND b.k LIKE 'w%')"""
+
+
+def sql_search(queries: str, cosines: str = SQL_HASHED) -> str:
     """CTEs that end in ``ranked`` (query_id, professor_id, work_id, title_key,
     work_score, place) for ``queries`` (query_id, q)."""
     body = "trim(coalesce(title, '') || ' [SEP] ' || substr(coalesce(abstract, ''), 1, 1024))"
     key = sql_tokens("regexp_replace(replace(title, '&amp;', '&'), '<[^>]+>', ' ', 'g')")
     return f"""{cte("universities", "people", "works", "links")}, queries AS ({queries}),
-texts AS (SELECT 'w' || work_id AS k, {body} AS body FROM works UNION ALL SELECT 'q' || query_id, q FROM queries), {sql_components("texts")},
-norms AS (SELECT k, sqrt(CAST(sum(value * value) AS DOUBLE)) AS norm FROM parts GROUP BY k),
-cosines AS (SELECT a.k AS qk, b.k AS wk, CAST(sum(a.value * b.value) AS DOUBLE) / (max(na.norm) * max(nb.norm)) AS semantic
-  FROM parts a JOIN parts b ON a.bucket = b.bucket AND a.k LIKE 'q%' AND b.k LIKE 'w%' JOIN norms na ON na.k = a.k JOIN norms nb ON nb.k = b.k GROUP BY 1, 2),
+texts AS (SELECT 'w' || work_id AS k, {body} AS body FROM works UNION ALL SELECT 'q' || query_id, q FROM queries), {cosines},
 ready AS (SELECT work_id, title, publication_year, doi, source_name, {sql_tokens("title")} AS tt, {sql_tokens("abstract")} AS ta,
   CASE WHEN array_to_string({key}, ' ') <> '' THEN array_to_string({key}, ' ') ELSE CAST(work_id AS VARCHAR) END AS title_key,
   lower(coalesce(source_name, '')) LIKE '%arxiv%' OR lower(coalesce(doi, '')) LIKE '%10.48550/arxiv%' AS preprint FROM works),
@@ -137,6 +147,31 @@ def search_people_batch(spark, d):
     return _search(spark, d, batch=True)[0]
 
 
+def count_letters():
+    return lambda texts: [[*(t.count(c) for c in LETTERS), 1.0] for t in texts]
+
+
+@query(sql_search(MANY_QUERIES) + HITS + " SELECT * FROM hits WHERE rank <= 25")
+def search_people_indexed(spark, d):
+    """The batch, over an index."""
+    t = tables(spark, d)
+    t["prepared"], t["profiles"] = map(cut, search.index(t))
+    asked = view(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return search.search(t, asked, DIM)[0]
+
+
+@query(sql_search(MANY_QUERIES, SQL_LETTERS) + HITS + " SELECT * FROM hits WHERE rank <= 25")
+def search_dense_backend(spark, d):
+    """Works and queries embedded by one encoder, beside vectors of another backend."""
+    t = tables(spark, d)
+    body = t["works"].withColumn("body", vectors.embedding_text(F.col("title"), F.col("abstract")))
+    own = vectors.dense_embed(body, "work_id", "body", count_letters, len(LETTERS) + 1)
+    t["vectors"] = t["vectors"].withColumn("backend", F.lit("hash")).unionByName(own.withColumn("backend", F.lit("letters")))
+    t["prepared"], t["profiles"] = map(cut, search.index(t, "letters"))
+    asked = view(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return search.search(t, asked, len(LETTERS) + 1, backend="letters", encoders={"letters": count_letters})[0]
+
+
 @query(sql_search(ONE_QUERY) + " SELECT query_id, work_id, round(work_score, 6) AS work_score, preprint FROM scored")
 def search_work_scores(spark, d):
     t = tables(spark, d)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import names, text, vectors
-from ..operators import funding, identity, resolve, works
+from ..operators import funding, identity, resolve, search, searchindex, works
 from ..sources import fetch, pages, seed
 from ..scratch import shared_dir
 from .artifacts import Reporter
@@ -277,8 +277,8 @@ def save_works(ctx: Context, payloads: DataFrame) -> int:
 
 def embed(ctx: Context) -> dict:
     e, old = ctx.settings.embeddings, ctx.table("vectors")
-    if e.backend != "hash" and e.backend not in ctx.encoders:
-        raise ValueError(f"no embedding backend {e.backend}; there are {', '.join(['hash', *ctx.encoders])}")
+    if e.backend != "hash":
+        vectors.encoder(e.backend, ctx.encoders)
     todo = works.resume(works.needs_embedding(ctx.table("works"), old, e.backend, e.dimension), "work_id", None, ctx.limit)
     body = todo.select("work_id", vectors.embedding_text(F.col("title"), F.col("abstract")).alias("body")).checkpoint()
     parts, done = -(-body.count() // EMBED_ROWS), 0
@@ -286,9 +286,36 @@ def embed(ctx: Context) -> dict:
         some = body.where(F.pmod(F.xxhash64("work_id"), F.lit(parts)) == k)
         made = vectors.embed(some, "work_id", "body", e.backend, e.dimension, ctx.encoders)
         done += ctx.merge("vectors", made.select("work_id", F.lit(e.dimension).alias("dimension"), "embedding", F.lit(e.backend).alias("backend")))
+    index(ctx)
     return {"works_embedded": done}
 
 
+#: Tables that the search index is made of.
+INDEXED = ("works", "vectors", "links")
+
+
+def _made_of(ctx: Context) -> dict:
+    return {n: max(ctx.store.versions(n), default=0) for n in INDEXED} | {"backend": ctx.settings.embeddings.backend}
+
+
+def index(ctx: Context) -> None:
+    """Make the search index, if what it was made of has changed."""
+    now = _made_of(ctx)
+    if ctx.store.get_state("index")["checkpoint"] != now:
+        prepared, _ = search.index({n: ctx.table(n) for n in INDEXED}, now["backend"])
+        ctx.store.write("prepared", prepared)
+        ctx.store.write("profiles", searchindex.profiles(ctx.store.read("prepared"), ctx.table("links")))
+        ctx.store.put_state("index", status="completed", checkpoint=now)
+
+
+def search_tables(ctx: Context) -> dict[str, DataFrame]:
+    """All tables, and the search index if it is as new as what it was made of."""
+    out = {n: ctx.table(n) for n in TABLES}
+    if ctx.store.get_state("index")["checkpoint"] == _made_of(ctx):
+        out |= {n: ctx.store.read(n) for n in ("prepared", "profiles")}
+    return out
+
+
 def fund(ctx: Context) -> dict:
     c = ctx.settings.funding
     todo = works.resume(funding.to_look_up(ctx.table("people"), ctx.table("universities")), "professor_id", None, ctx.limit)
@@ -358,7 +385,7 @@ def run(ctx: Context, from_stage: str | None = None, through_stage: str | None =
                 ctx.reporter.failed(name, e)
             raise StageFailed(name, done, e) from e
         ctx.store.remove(f"{ctx.store.path}/journal/{name}")
-        for table in TABLES:
+        for table in (*TABLES, "prepared", "profiles"):
             ctx.store.expire(table, VERSIONS)
         ctx.store.put_state(name, status="completed", processed_items=next(iter(outcome.values()), None))
         if ctx.reporter:

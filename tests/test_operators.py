@@ -1,9 +1,10 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from rosterlake.operators import audit, evaluate, funding, identity, inspect, outreach, resolve, search, works
+from rosterlake.operators import audit, evaluate, funding, identity, inspect, outreach, resolve, search, searchindex, works
 from rosterlake.functions import vectors
 
 PEOPLE = "professor_id bigint, university_id bigint, name string, normalized_name string, department_type string, title string, profile_url string, profile_text string, source_snippet string, verification_status string, duplicate_of bigint, duplicate_reason string"
@@ -80,6 +81,82 @@ def test_a_large_batch_goes_in_parts(spark, corpus, monkeypatch):
     assert search.search(t, asked.where("query_id > 9"), 64)[0].count() == 0
 
 
+def library(corpus, people=150, per=8, seed=4, prolific=True):
+    """People with works of a few topics; titles repeat, as preprints and published."""
+    rng = random.Random(seed)
+    words = [f"{a}{b}" for a in ("quant", "noise", "plasma", "lattice", "orbit", "spin") for b in ("a", "ix", "or", "um", "ics")]
+    works_, links = [], []
+    for k in range(people * per // 2):
+        topic = rng.sample(words, 4)
+        title = " ".join(rng.choice(topic) for _ in range(3)) if k % 7 else f"Shared title {k % 3}"
+        works_.append(work(k, title, " ".join(rng.choice(topic + words) for _ in range(30)), source_name="arXiv" if k % 5 == 0 else "Journal"))
+        links += [(p, k) for p in rng.sample(range(people), 2)]
+    links += [(3, k) for k in range(0, len(works_), 3) if prolific]  # one of very many works
+    t = corpus([person(i, verification_status="verified" if i % 9 else "excluded", university_id=1 + i % 3) for i in range(people)], works_, links)
+    asked = [" ".join(rng.sample(words, n)) for n in (1, 2, 3, 4)] + ["shared title", "", "zzz unknown", "of a", works_[5][1]]
+    return t, list(enumerate(asked))
+
+
+@pytest.mark.parametrize("limit", [1, 10])
+def test_an_index_gives_the_same_hits(spark, corpus, monkeypatch, limit):
+    t, asked = library(corpus)
+    monkeypatch.setattr(searchindex, "ROW_WORKS", 40)
+    monkeypatch.setattr(searchindex, "QUERY_BATCH", 4)
+    monkeypatch.setattr(searchindex, "AT_ONCE", 300)
+    queries = spark.createDataFrame(asked, "query_id bigint, query string")
+    prepared, profiles = (df.cache() for df in search.index(t))
+    assert profiles.where("parts > 1").count() > 1
+    want, ranked = search.search(t, queries, 64, limit)
+    got, some = search.search(t | {"prepared": prepared, "profiles": profiles}, queries, 64, limit)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    best = want.select("query_id", "professor_id")
+    both = [sorted(map(str, r.join(best, ["query_id", "professor_id"], "left_semi").collect())) for r in (ranked, some)]
+    assert both[0] == both[1]
+
+
+def test_an_index_spares_scoring(spark, corpus):
+    """Works scored for a query: of people who may be among the best five, not of all."""
+    t, asked = library(corpus, 400, prolific=False)
+    asked = [a for a in asked if a[1] and "unknown" not in a[1] and "of a" not in a[1]]
+    ready = search.query_rows(spark.createDataFrame(asked, "query_id bigint, query string"), 64)
+    _, profiles = search.index(t)
+    found = searchindex.candidates(profiles, search.searchable(t["people"]), ready, 5)
+    scored = t["links"].join(found, "professor_id").select("query_id", "work_id").distinct().count()
+    linked = t["links"].select("work_id").distinct().count() * len(asked)
+    assert scored < 0.2 * linked, (scored, linked)
+
+
+def test_bounds_hold(spark, corpus):
+    t, asked = library(corpus, 30)
+    ready = search.query_rows(spark.createDataFrame(asked, "query_id bigint, query string"), 64)
+    prepared, profiles = search.index(t)
+    exact = {(r["query_id"], r["work_id"]): r["work_score"] for r in search.score_works(prepared, ready).collect()}
+    q = searchindex.Asked.of(ready.withColumn("hashes", F.transform("query_tokens", lambda x: F.xxhash64(x))).orderBy("query_id").collect())
+    terms = lambda c: F.transform(F.filter(F.array_distinct(c), lambda x: F.char_length(x) > 2), lambda x: F.xxhash64(x))
+    rows = prepared.select("work_id", terms("title_tokens").alias("a"), terms("abstract_tokens").alias("b")).join(searchindex.sketches(prepared), "work_id").toArrow().combine_chunks()
+    one = lambda c: rows.column(c).combine_chunks() if rows.num_rows else rows.column(c)
+    low, high = searchindex.work_bounds(one("a"), one("b"), one("code"), one("step").to_numpy(), one("off").to_numpy(), q)
+    for j, w in enumerate(rows.column("work_id").to_pylist()):
+        for i, query in enumerate(q.ids.tolist()):
+            assert low[i, j] - 1e-9 <= exact[query, w] <= high[i, j] + 1e-9
+    assert (high - low).mean() < 0.06
+
+
+def test_an_encoder_embeds_the_query_too(spark, corpus):
+    """Stored vectors of an encoder: a hashed query would meet them by chance."""
+    make = lambda: lambda texts: [[float("noise" in x), float("plant" in x), 0.01] for x in texts]
+    t = corpus([person(1), person(2)], [work(1, "Plant roots"), work(2, "Colored noise spectra")], [(1, 1), (2, 2)])
+    body = t["works"].withColumn("body", F.lower("title"))
+    t["vectors"] = vectors.dense_embed(body, "work_id", "body", make, 3).withColumn("backend", F.lit("mine"))
+    hits = search.search(t, spark.createDataFrame([(0, "plants of noise xx")], "query_id bigint, query string").where("1 = 1"), 3, backend="mine", encoders={"mine": make})[0]
+    scores = {r["professor_id"]: r["score"] for r in hits.collect()}
+    assert scores[1] > 0.4 and scores[2] > 0.4
+    assert search.search(t, spark.createDataFrame([(0, "noise")], "query_id bigint, query string"), 3)[0].count() == 0  # none was made by hash
+    with pytest.raises(ValueError):
+        vectors.encoder("none")
+    assert vectors.encoder("math:sqrt")(4.0) == 2.0
+
+
 def test_scores_equal_the_columns_of_one_work(spark, corpus):
     """The matrix form against the functions of one work and one query."""
     from rosterlake.functions import scoring, text
