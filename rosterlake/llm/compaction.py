@@ -22,13 +22,14 @@ without shards reads as an empty table of the first arrival's columns.
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
+import urllib.parse
 import uuid
-from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -46,6 +47,11 @@ class Shard:
     page: str = ""  # where the manifest has it; none for a new shard
 
 
+def _name(path: str) -> str:
+    """A file by its last two folders and name; a write's names are its own."""
+    return "/".join(urllib.parse.unquote(path).rsplit("/", 3)[1:])
+
+
 class Conflict(Exception):
     """Another writer committed this version first."""
 
@@ -95,15 +101,18 @@ class ShardStore:
         stream.close()
         return path
 
-    def _commit(self, parent: int, shards: list[Shard], schema: str | None, what: str) -> int:
+    def _commit(self, parent: int, new: list[Shard], schema: str | None, what: str, live: list[Shard] = (), gone: set[str] = frozenset()) -> int:
+        """The version after ``parent``: its shards without those in ``gone``, and the new
+        ones.  ``live``, the parent's shards, is needed only where some go."""
         version = parent + 1
-        before = self._read(f"v{parent:010d}.json") if parent else {"schemas": [], "sizes": []}
-        sizes = dict(zip(before.get("pages", []), before["sizes"], strict=True))
-        schemas = list(dict.fromkeys([*before["schemas"], *(s.schema for s in shards)]))
+        before = self._read(f"v{parent:010d}.json") if parent else {"schema": None, "schemas": [], "pages": [], "sizes": []}
+        pages = dict(zip(before["pages"], before["sizes"], strict=True))
+        torn = {s.page for s in live if s.path in gone}
+        rest = [s for s in live if s.page in torn and s.path not in gone] + list(new)
+        pages = {p: n for p, n in pages.items() if p not in torn}
+        schema = before["schema"] or schema
+        schemas = list(dict.fromkeys([*before["schemas"], *(s.schema for s in rest)]))
         kind = {k: i for i, k in enumerate(schemas)}
-        there = Counter(s.page for s in shards)
-        pages = {p: n for p, n in sizes.items() if there[p] == n}
-        rest = [s for s in shards if s.page not in pages]
         for at in range(0, len(rest), PAGE):
             name = f"p{uuid.uuid4().hex}.json"
             self._put(name, [(s.path, s.bytes, s.rows, kind[s.schema]) for s in rest[at : at + PAGE]])
@@ -119,25 +128,45 @@ class ShardStore:
             raise
         return version
 
-    def _write(self, df: DataFrame) -> list[Shard]:
+    def _write(self, df: DataFrame, by: str | None = None) -> list[Shard]:
+        """Rows written as shards; ``by`` names a column of whole numbers that deals them into
+        folders, in that order, and is left out."""
         folder = f"data/{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
-        files = [(p, n) for p, n in self._list(folder) if p.endswith(".parquet")]
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(f"{self.path}/{folder}")
+        kept = df.drop(by) if by else df
+        parts = [f"{folder}/{s.getPath().getName()}" for s in self._fs.listStatus(self._path(f"{self.path}/{folder}")) if s.isDirectory()] if by else [folder]
+        parts.sort(key=lambda p: int(p.rsplit("=", 1)[1]) if by else 0)
+        files = [(p, n) for part in parts for p, n in self._list(part) if p.endswith(".parquet")]
         if not files:
             return []
-        counted = self.spark.read.schema(df.schema).parquet(f"{self.path}/{folder}").groupBy(F.col("_metadata.file_name").alias("file")).count().collect()
-        rows = {r["file"]: r["count"] for r in counted}
-        return [Shard(p, n, rows[p.rsplit("/", 1)[1]], df.schema.json()) for p, n in files if rows.get(p.rsplit("/", 1)[1])]
+        paths = F.col("_metadata.file_path")
+        counted = self.spark.read.schema(kept.schema).parquet(*[f"{self.path}/{p}" for p in parts]).groupBy(paths.alias("file")).count().collect()  # a row a file
+        rows = {_name(r["file"]): r["count"] for r in counted}
+        return [Shard(p, n, rows[_name(p)], kept.schema.json()) for p, n in files if rows.get(_name(p))]
 
     # -- operations
 
     def append(self, df: DataFrame) -> int:
         """Add an arrival; a task of ``df`` writes one shard."""
-        new = self._write(df)
+        return self._added(self._write(df), df.schema.json())
+
+    def append_each(self, df: DataFrame, arrival: Column) -> int:
+        """Add many arrivals, told by a whole number each, in that order: one pass over
+        ``df`` writes the shards of all, then each is a version."""
+        name = "_arrival"
+        while name in df.columns:
+            name = "_" + name
+        version, last = 0, self.versions()
+        for _, shards in itertools.groupby(self._write(df.withColumn(name, arrival), name), key=lambda s: s.path.rsplit("/", 2)[1]):
+            version = self._added(list(shards), df.schema.json())
+        return version or (last[-1] if last else self._added([], df.schema.json()))
+
+    def _added(self, new: list[Shard], schema: str) -> int:
         while True:
-            version, live, schema = self.shards()
+            version = max(self.versions(), default=0)
             try:
-                return self._commit(version, live + new, schema or df.schema.json(), "append")
+                return self._commit(version, new, schema, "append")
             except Conflict:
                 continue
 
@@ -176,7 +205,7 @@ class ShardStore:
                 if not gone <= {s.path for s in live}:
                     break  # another writer merged one of them: these files stay unnamed
                 try:
-                    self._commit(version, [s for s in live if s.path not in gone] + merged, schema, "compact")
+                    self._commit(version, merged, schema, "compact", live, gone)
                     break
                 except Conflict:
                     continue
@@ -188,7 +217,7 @@ class ShardStore:
         named = {s.path for v in versions[-keep:] for s in self.shards(v)[1]}
         root, count = self._path(f"{self.path}/data"), 0
         for folder in self._fs.listStatus(root) if self._fs.exists(root) else []:
-            files = [s.getPath() for s in self._fs.listStatus(folder.getPath()) if s.isFile()]
+            files = self._files(folder.getPath())
             stale = [p for p in files if p.toString() not in named and p.getName().endswith(".parquet")]
             count += len(stale)
             if not any(p.toString() in named for p in files):
@@ -204,6 +233,12 @@ class ShardStore:
                 self._fs.delete(self._path(path), False)
         return count
 
+    def _files(self, folder) -> list:
+        each, out = self._fs.listFiles(folder, True), []
+        while each.hasNext():
+            out.append(each.next().getPath())
+        return out
+
     def _frame(self, shards: list[Shard], schema: str | None) -> DataFrame:
         if not shards:
             return self.spark.createDataFrame([], StructType.fromJson(json.loads(schema)) if schema else StructType())

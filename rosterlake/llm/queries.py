@@ -34,8 +34,7 @@ ARRIVALS = 8
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = compaction.ShardStore(spark, common.scratch(spark, "shards"))
     rows = _table(spark, sf_dir, "documents")
-    for k in range(ARRIVALS):
-        store.append(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == k))
+    store.append_each(rows, F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)))
     store.compact()
     store.vacuum()
     text = F.coalesce("text", F.lit(""))
