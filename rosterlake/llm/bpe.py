@@ -5,7 +5,9 @@ are bytes and whose last symbol of a word carries an end mark.  ``encode_words``
 puts the symbols of many words in one flat array.  A round looks all adjacent
 pairs up by binary search in the sorted pair keys, takes the lowest rank of each
 word and merges it, until no word has a known pair left.  Words are remembered,
-so a round works on what the texts of a batch bring that is new.
+so a round works on what the texts of a batch bring that is new.  Rounds grow with the
+length of a word, so one of over ``LONG`` symbols has its pairs looked up in the same way
+and then merges them one by one from a queue, lowest rank and leftmost first.
 
 A pair merges at all its places in a word at once, left to right.  That equals
 merging one place at a time if no merge that uses a token ranks before the merge
@@ -20,6 +22,7 @@ gives no rows; other columns are left out.
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 import re
 import unicodedata
@@ -39,6 +42,8 @@ NONE = np.int64(1) << 62
 MEMO_WORDS, MEMO_CHARS = 600_000, 100
 #: Symbols merged in one flat array at most, but for one longer word.
 FLAT_SYMBOLS = 1 << 20
+#: Symbols of a word that is merged from a queue.
+LONG = 512
 
 # Letters of Unicode 16, which the library's splitter knows and Python's
 # unicodedata does not, in ranges; capitals of Unicode 16 and 17, which its lower-casing
@@ -128,6 +133,10 @@ class Vocabulary:
         weight = 0
         for word in words:
             raw = word.encode()
+            if len(raw) > LONG:
+                out += [*(self._merge(held) if held else []), self._merge_long(raw)]
+                held, weight = [], 0
+                continue
             if held and weight + len(raw) > FLAT_SYMBOLS:
                 out += self._merge(held)
                 held, weight = [], 0
@@ -183,6 +192,48 @@ class Vocabulary:
         cuts = (np.cumsum(np.bincount(word, minlength=len(words))) * 4).tolist()
         return [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
+    def _merge_long(self, word: bytes) -> bytes:
+        """The same for one long word, in time of n log n."""
+        flat = np.frombuffer(word, np.uint8)
+        start = np.append(self.inner[flat[:-1]], self.last[flat[-1]])
+        key = start[:-1] * self.size + start[1:]
+        pair = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        ranks = np.where(self.keys[pair] == key, self.ranks[pair], -1)
+        n, size, known = len(start), self.size, self.known
+        symbols, rank = start.tolist(), [*ranks.tolist(), -1]  # of the pair that begins there
+        after, before = [*range(1, n), -1], list(range(-1, n - 1))
+        at = np.flatnonzero(ranks >= 0)
+        queue = (ranks[at] * n + at).tolist()
+        heapq.heapify(queue)
+
+        def changed(i: int, j: int) -> None:
+            found = known.get(symbols[i] * size + symbols[j])
+            rank[i] = -1 if found is None else found[0]
+            if found is not None:
+                heapq.heappush(queue, found[0] * n + i)
+
+        while queue:
+            r, i = divmod(heapq.heappop(queue), n)
+            if rank[i] != r:
+                continue  # one of its symbols has gone into another
+            j = after[i]
+            k, h = after[j], before[i]
+            symbols[i] = known[symbols[i] * size + symbols[j]][1]
+            rank[i] = rank[j] = symbols[j] = -1
+            after[i] = k
+            if k >= 0:
+                before[k] = i
+                changed(i, k)
+            if h >= 0:
+                changed(h, i)
+        out = np.array(symbols, np.int64)
+        return out[out >= 0].astype("<u4").tobytes()
+
+    @functools.cached_property
+    def known(self) -> dict[int, tuple[int, int]]:
+        """Rank and made token of each pair."""
+        return dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist(), strict=True), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.memo) > MEMO_WORDS:

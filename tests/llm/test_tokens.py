@@ -1,4 +1,5 @@
 import io
+import time
 import zlib
 
 import numpy as np
@@ -51,6 +52,24 @@ def test_bpe_on_odd_texts_and_decoding():
     assert v.encode([]) == [] and v.decode(b"") == ""
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abeinst'h é世", min_size=1, max_size=80), st.integers(1, 40))
+def test_a_queue_gives_what_rounds_give(text, times):
+    v = bpe.vocabulary(tokens.default_path())
+    words = [w for w in v.words(text * times) if isinstance(w, str)]
+    assert [v._merge_long(w.encode()) for w in words] == v._merge([w.encode() for w in words]) if words else True
+
+
+def test_very_long_words_equal_the_library_and_take_little_time():
+    rng = np.random.default_rng(3)
+    v = bpe.Vocabulary(tokens.default_path())
+    began = time.process_time()
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "etaoinshrdlu", "ab"):
+        word = "".join(rng.choice(list(letters), 60_000))
+        assert np.frombuffer(v.encode([word])[0], "<u4").tolist() == ids_of(word)
+    assert time.process_time() - began < 20
+
+
 def test_one_merge_at_a_time_gives_the_same():
     v = bpe.Vocabulary(tokens.default_path())
     assert v.all_at_once
@@ -122,6 +141,9 @@ def test_damage_is_noticed():
 def test_empty_file():
     raw, _ = write([])
     assert list(seekable.Reader(io.BytesIO(raw), len(raw)).read()) == []
+    raw, _ = write([(4, [7, 8]), (6, [9])])
+    r = seekable.Reader(io.BytesIO(raw), len(raw))
+    assert list(r.read([])) == [] and list(r.read(r.find(5))) == [] and [k for _, k, _ in r.read(r.find(6))] == [6]
 
 
 SCHEMA = "doc_id bigint, text string, part int, place string"
