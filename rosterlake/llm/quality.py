@@ -8,9 +8,10 @@ dictionaries decide over the whole text.  A logistic curve, fitted on labelled
 rows that made no dictionary, turns the feature into a score.
 
 The fit takes a bounded sample: of each class at most ``SAMPLE`` labelled rows,
-those of smallest hash of doc_id, and of each at most ``WINDOW`` characters, those of a
-longer text in parts that are spread evenly over its whole length.  Scoring reads every
-text whole.
+those of smallest hash of doc_id (of rows that repeat one, that of smallest hash of the
+text), and of each at most ``WINDOW`` characters, those of a longer text in parts that are
+spread evenly over its whole length; with ``window=None`` it takes these texts whole.
+Scoring reads every text whole.
 
 Defined cases: null text is the empty text, whose feature is 0; without labels of
 both classes the score is the share of label 1 (0.5 without any); a label that is
@@ -102,8 +103,11 @@ def may_learn(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2
 
 
-def sampled(text: Column, window: int) -> Column:
-    """A text of at most ``window`` characters, or as many of it in even parts."""
+def sampled(text: Column, window: int | None) -> Column:
+    """A text of at most ``window`` characters, or as many of it in even parts; whole
+    without a window."""
+    if window is None:
+        return text
     size = min(PART, window)
     parts = max(1, window // size)
     step = (F.char_length(text) - size) / max(1, parts - 1)
@@ -111,13 +115,15 @@ def sampled(text: Column, window: int) -> Column:
     return F.when(F.char_length(text) <= window, text).otherwise(F.array_join(some, ""))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, window: int = WINDOW) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, window: int | None = WINDOW) -> Model:
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).where(may_learn(F.col("doc_id")))
     picked = [known.where(F.col("quality") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     picked = picked[0].unionByName(picked[1])
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
-    rows = texts.select("doc_id", "quality", sampled(F.col("text"), window).alias("text")).collect()
+    # a row an id, so 2 * sample rows at most; the texts that go are cut before they move
+    one = texts.select("doc_id", "quality", sampled(F.col("text"), window).alias("text"), F.xxhash64("text").alias("h"))
+    rows = one.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct("h", "text")).alias("text")).collect()
     by = {k: [r["text"] for r in sorted((r for r in rows if r["quality"] == k), key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["text"]))] for k in (0, 1)}
     total = len(by[0]) + len(by[1])
     if not by[0] or not by[1]:

@@ -194,6 +194,25 @@ def test_sample_is_bounded(spark):
     assert len(m.good) <= 5 * 100 + 5
 
 
+def test_a_repeated_id_counts_once(spark):
+    docs, labels = corpus(spark, 20)
+    again = docs.unionByName(docs.where("doc_id = 1000").crossJoin(spark.range(500)).drop("id").withColumn("text", F.concat("text", F.rand(1).cast("string"))))
+    taken = []
+    real = quality.build_dictionary
+    quality.build_dictionary = lambda texts, *a: taken.append(len(texts)) or real(texts, *a)
+    try:
+        quality.fit(again, labels)
+    finally:
+        quality.build_dictionary = real
+    assert sum(taken) <= 40
+
+
+def test_whole_texts_can_be_asked_for(spark):
+    docs, labels = corpus(spark)
+    long = docs.withColumn("text", F.repeat("text", 60))
+    assert quality.fit(long, labels, window=None) != quality.fit(long, labels)
+
+
 def test_the_model_never_sees_held_out_rows(spark):
     docs, labels = corpus(spark)
     swap = labels.withColumn("quality", F.when(quality.may_learn(F.col("doc_id")), F.col("quality")).otherwise(1 - F.col("quality")))
