@@ -11,9 +11,16 @@ A linear scan finds the contiguous region of greatest sum.  It is widened to the
 around it if that adds few words, or if the element's own weight speaks for content: a
 last short paragraph belongs to the rest.  Inside the region the same scores decide on
 parts: an element that holds a block of text and sums up to less than zero (a menu, an
-advert, comments of readers within the article) is left out.  No name decides alone; what
-can be no text by the rules of HTML (scripts, styles, hidden elements, controls) is never
-read.
+advert, comments of readers within the article) is left out.  What can be no text by the
+rules of HTML (scripts, styles, hidden elements, controls) is never read.
+
+A name tells something only of words that it sets apart from others.  So names of elements
+that hold almost all words of a page (``ALL``: the body, a wrapper, the one form of some
+sites) count for nothing.  If then no word is likelier content than not, names of elements
+that hold a large share count for nothing either (``SHARES``, one after another), and the
+best region is taken if it holds a sentence outside links.  Elements that can be no article
+(``APART``) keep their weight.  Nor do the names of elements around the best region's
+best words speak against the other words in them.
 
 The labelled pages are made by ``labelled_pages`` with random words in many layouts, so
 the label of each word is known; weights are fitted once a process, on the driver.
@@ -31,6 +38,7 @@ from __future__ import annotations
 
 import functools
 import html
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -55,10 +63,15 @@ UNSEEN = frozenset("head select object canvas audio video".split()) | RAW
 FAINT, TAG, MOST, MOST_TAG = 0.01, 0.1, 4.0, 12.0
 #: Share of a region's words that widening it may add.
 FEW = 0.2
+#: Shares of a page's words at which an element's names tell nothing: always, and where no
+#: content is found; the element names that tell something even then; words of a sentence.
+ALL, SHARES, SENTENCE = 0.98, (0.8, 0.5, 0.3), 6
+APART = frozenset("<nav <footer <aside <dialog <header <button <label <ins".split())
 
+# a tag that is not closed ends before the next one, so no part of a page is read twice
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/)?(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"']|[\"'](?=[^>]*>))*)(?:>|\Z)",
+    r"|<(?P<close>/)?(?P<name>[A-Za-z][A-Za-z0-9:-]*+)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^<>\"']|[\"'])*+)(?:>|\Z|(?=<))",
     re.S,
 )
 _ATTR = re.compile(r"""([A-Za-z_:][-A-Za-z0-9_:.]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -78,10 +91,13 @@ def unseen(name: str, attrs: dict[str, str]) -> bool:
     return bool(attrs) and ("hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")) is not None)
 
 
-@functools.lru_cache(50_000)
 def features(name: str, source: str) -> tuple[str, ...]:
     """What an element tells of the words in it: its name, and the words of its class, id
     and role, a plural like its singular."""
+    return _remembered(name, source) if len(source) < 400 else _features(name, source)
+
+
+def _features(name: str, source: str) -> tuple[str, ...]:
     attrs = attributes(source)
     found = {f"<{name}"}
     for k in ("class", "id", "role", "itemprop"):
@@ -90,6 +106,9 @@ def features(name: str, source: str) -> tuple[str, ...]:
     return tuple(sorted(found))
 
 
+_remembered = functools.lru_cache(50_000)(_features)
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name or text, attributes) with kind "open", "close" or "text"."""
     at = 0
@@ -109,7 +128,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             continue
         yield "open", name, m["attrs"] or ""
         if name in RAW and not (m["attrs"] or "").rstrip().endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}[^>]*>", re.I).search(page, at)
+            end = re.compile(rf"</{re.escape(name)}(?![a-z0-9])[^<>]*>?", re.I).search(page, at)
             at = end.end() if end else len(page)
             yield "close", name, ""
 
@@ -133,62 +152,124 @@ def count_words(text: str) -> int:
     return max(len(text.split()), len(text.strip()) // 12)
 
 
-def pieces(page: str, w: dict[str, float] | None) -> tuple[list[Piece], list[tuple[int, int, str, float]]]:
-    """The pieces of a page that HTML shows, scored by ``w`` (without: with the features
-    around each text), and its elements as (first piece, last piece exclusive, name, own
-    weight)."""
+@dataclass
+class Element:
+    """An element that HTML shows: its first piece and the last one (exclusive), what it
+    tells of its words, and the weight of that."""
+
+    name: str
+    first: int
+    last: int
+    own: tuple[str, ...]
+    weight: float = 0.0
+
+
+@dataclass
+class Page:
+    """The pieces of a page that HTML shows, its elements, and both in order: an element's
+    beginning (its number), its end (the number's complement), or a piece (None)."""
+
+    pieces: list[Piece]
+    elements: list[Element]
+    events: list[int | None]
+
+    def muted(self, share: float) -> set[int]:
+        """Elements that hold at least so much of the page's words."""
+        sums = [0]
+        for p in self.pieces:
+            sums.append(sums[-1] + p.words)
+        return {i for i, e in enumerate(self.elements) if sums[min(e.last, len(self.pieces))] - sums[e.first] >= share * sums[-1]}
+
+    def score(self, w: dict[str, float] | None, share: float = ALL, around: int = -1) -> None:
+        """Scores of pieces by the weights ``w``, without: the features around each text.
+        Names of elements that hold ``share`` of all words do not count, nor do those that
+        speak against content of elements with the piece ``around``."""
+        quiet, held, at = self.muted(share), {}, 0
+        quiet |= {i for i, e in enumerate(self.elements) if e.first <= around < e.last and e.weight < 0}
+        odds = w.get("", 0.0) if w else 0.0
+        for event in self.events:
+            if event is None:
+                p = self.pieces[at]
+                at += 1
+                p.odds, p.around = odds, () if w else tuple(f for f, k in held.items() if k)
+                p.score = p.words * max(FAINT, min(MOST, odds)) if p.words else 0.0
+                continue
+            i = event if event >= 0 else ~event
+            e, step = self.elements[i], 1 if event >= 0 else -1
+            for f in e.own:
+                if i in quiet and f not in APART:
+                    continue
+                before = held.get(f, 0)
+                held[f] = before + step
+                if w and (before == 0 or held[f] == 0):
+                    odds += step * w.get(f, 0.0)
+            if event >= 0:
+                e.weight = sum(w.get(f, 0.0) for f in e.own if i not in quiet or f in APART) if w else 0.0
+        for e in self.elements:
+            cost = -min(MOST_TAG, TAG + max(0.0, -e.weight))
+            for k in (e.first, e.last - 1):
+                if k < len(self.pieces) and self.pieces[k].name in (f"<{e.name}", f"</{e.name}"):
+                    self.pieces[k].score = cost
+        for p in self.pieces:
+            if p.name and not p.score:
+                p.score = -TAG
+
+
+def read(page: str) -> Page:
     out: list[Piece] = []
-    elements: list[tuple[int, int, str, float]] = []
-    stack: list[tuple[str, bool, int, tuple[str, ...], float]] = []
-    held: dict[str, int] = {}
+    elements: list[Element] = []
+    events: list[int | None] = []
+    stack: list[tuple[str, bool, int]] = []
+    open_names: dict[str, int] = {}
     hidden = block = 0
-    odds = w.get("", 0.0) if w else 0.0
 
-    def leave(at: int) -> tuple[str, float]:
-        nonlocal hidden, odds
-        name, bad, first, own, weight = stack.pop()
-        elements.append((first, at, name, weight))
+    def put(piece: Piece) -> None:
+        out.append(piece)
+        events.append(None)
+
+    def leave(closed: bool) -> str:
+        nonlocal hidden
+        name, bad, i = stack.pop()
+        open_names[name] -= 1
         hidden -= bad
-        for f in own:
-            held[f] -= 1
-            if not held[f] and w:
-                odds -= w.get(f, 0.0)
-        return name, weight
+        if closed and not hidden:
+            put(Piece(f"</{name}", "", block))
+        elements[i].last = len(out)
+        events.append(~i)
+        return name
 
     for kind, value, source in tokens(page):
         if kind == "text":
-            if not hidden and (n := count_words(value)):
-                around = () if w else tuple(f for f, k in held.items() if k)
-                out.append(Piece("", value, block, n * max(FAINT, min(MOST, odds)), odds, n, around))
-            elif not hidden:
-                out.append(Piece("", value, block))
+            if not hidden:
+                put(Piece("", value, block, words=count_words(value)))
             continue
         block += value in BLOCKS
-        cost = 0.0
         if kind == "open":
-            own = features(value, source)
-            weight = sum([w.get(f, 0.0) for f in own]) if w else 0.0
-            cost = min(MOST_TAG, TAG + max(0.0, -weight))
+            bad = unseen(value, attributes(source)) if source or value in UNSEEN else False
+            elements.append(Element(value, len(out), len(out), features(value, source)))
+            events.append(len(elements) - 1)
             if not hidden:
-                out.append(Piece(f"<{value}", "", block, -cost))
-            if value not in VOID:
-                bad = unseen(value, attributes(source)) if source or value in UNSEEN else False
-                stack.append((value, bad, max(0, len(out) - 1), own, weight))
+                put(Piece(f"<{value}", "", block))
+            if value in VOID:
+                elements[-1].last = len(out)
+                events.append(~(len(elements) - 1))
+            else:
+                stack.append((value, bad, len(elements) - 1))
+                open_names[value] = open_names.get(value, 0) + 1
                 hidden += bad
-                for f in own:
-                    held[f] = held.get(f, 0) + 1
-                    if held[f] == 1 and w:
-                        odds += w.get(f, 0.0)
-        elif any(n == value for n, *_ in stack):
-            while True:
-                name, weight = leave(len(out) + 1)
-                if name == value:
-                    break
-            if not hidden:
-                out.append(Piece(f"</{value}", "", block, -min(MOST_TAG, TAG + max(0.0, -weight))))
+        elif open_names.get(value):
+            while leave(stack[-1][0] == value) != value:
+                pass
     while stack:
-        leave(len(out))
-    return out, [(a, min(b, len(out)), n, x) for a, b, n, x in elements]
+        leave(False)
+    return Page(out, elements, events)
+
+
+def pieces(page: str, w: dict[str, float] | None) -> tuple[list[Piece], list[Element]]:
+    """The pieces and elements of a page, scored."""
+    found = read(page)
+    found.score(w)
+    return found.pieces, found.elements
 
 
 # -- weights
@@ -334,41 +415,70 @@ def region(scores: list[float]) -> tuple[int, int]:
     return span
 
 
-def left_out(found: list[Piece], elements: list[tuple[int, int, str, float]], core: int) -> list[bool]:
+def left_out(found: list[Piece], elements: list[Element], core: int) -> list[bool]:
     """Which pieces are in an element of blocks that sums up to less than zero; those around
     the core of the region stay."""
-    sums = [0.0]
+    sums, depth = [0.0], [0] * (len(found) + 1)
     for p in found:
         sums.append(sums[-1] + p.score)
-    out = [False] * len(found)
-    for a, b, name, _ in elements:
-        if name in BLOCKS and not a <= core < b and sums[b] - sums[a] < 0:
-            out[a:b] = [True] * (b - a)
-    return out
+    for e in elements:
+        if e.name in BLOCKS and not e.first <= core < e.last and sums[e.last] - sums[e.first] < 0:
+            depth[e.first] += 1
+            depth[e.last] -= 1
+    return [d > 0 for d in itertools.accumulate(depth[:-1])]
 
 
-def widened(found: list[Piece], elements: list[tuple[int, int, str, float]], span: tuple[int, int], gone: list[bool]) -> tuple[int, int]:
+def widened(found: list[Piece], elements: list[Element], span: tuple[int, int], gone: list[bool]) -> tuple[int, int]:
     """The smallest element around the region, where its own weight speaks for content or
     it would add few words."""
     lo, hi = span
-    around = [e for e in elements if e[0] <= lo and e[1] >= hi]
-    if not around:
+    e = min((e for e in elements if e.first <= lo and e.last >= hi), key=lambda e: e.last - e.first, default=None)
+    if e is None:
         return span
-    first, last, _, weight = min(around, key=lambda e: e[1] - e[0])
     words = lambda a, b: sum(p.words for p, out in zip(found[a:b], gone[a:b], strict=True) if not out)
     inside = words(lo, hi)
-    return (first, last) if weight > 0.5 or words(first, last) - inside <= FEW * inside else span
+    return (e.first, e.last) if e.weight > 0.5 or words(e.first, e.last) - inside <= FEW * inside else span
+
+
+def linked(page: Page) -> list[bool]:
+    """Which pieces stand in links."""
+    out, depth = [], 0
+    for event in page.events:
+        if event is None:
+            out.append(depth > 0)
+        elif page.elements[event if event >= 0 else ~event].name == "a":
+            depth += 1 if event >= 0 else -1
+    return out
+
+
+def core_of(page: Page, w: dict[str, float]) -> tuple[int, int, int]:
+    """The best region of a scored page and its best piece, -1 if no word is likelier content
+    than not."""
+    lo, hi = region([p.score for p in page.pieces])
+    core = max(range(lo, hi), key=lambda i: page.pieces[i].score, default=-1)
+    return lo, hi, core if core >= 0 and page.pieces[core].odds > 0 else -1
 
 
 def main_text(page: str | None, w: dict[str, float] | None = None, scan: bool = True) -> str:
     """``scan`` off takes the whole page as region, which shows what the scan is for."""
     if not page:
         return ""
-    found, elements = pieces(page, w or weights())
-    lo, hi = region([p.score for p in found])
-    core = max(range(lo, hi), key=lambda i: found[i].score, default=-1)
-    if core < 0 or found[core].odds <= 0:
+    w, whole, share = w or weights(), read(page), ALL
+    whole.score(w)
+    lo, hi, core = core_of(whole, w)
+    for less in SHARES:
+        if core >= 0:
+            break
+        whole.score(w, share := less)
+        lo, hi, core = core_of(whole, w)
+        if core >= 0 and (whole.pieces[core].words < SENTENCE or linked(whole)[core]):
+            core = -1
+    if core < 0:
         return ""
+    if any(e.first <= core < e.last and e.weight < 0 for e in whole.elements):
+        whole.score(w, share, core)
+        lo, hi, core = core_of(whole, w)
+    found, elements = whole.pieces, whole.elements
     gone = left_out(found, elements, core)
     lo, hi = widened(found, elements, (lo, hi), gone) if scan else (0, len(found))
     blocks: dict[int, list[str]] = {}

@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -44,7 +45,7 @@ def test_the_scan_finds_the_greatest_sum(scores):
 def test_words_score_above_zero_and_tags_below(parts):
     found, elements = htmlmain.pieces(" ".join(parts), htmlmain.weights())
     assert all(p.score > 0 if p.words else p.score < 0 if p.name else p.score == 0 for p in found)
-    assert all(0 <= a <= b <= len(found) for a, b, _, _ in elements)
+    assert all(0 <= e.first <= e.last <= len(found) for e in elements)
 
 
 ARTICLE = "<h1>The old mill</h1><p>The quiet river runs past the old mill and on to the village green where children play all day.</p><p>Nobody remembers who built it, and nobody asks any more.</p>"
@@ -80,6 +81,43 @@ def test_a_telling_name_alone_takes_no_text_away():
     assert htmlmain.main_text(page) == TEXT + "\n" + long.strip()
 
 
+ENTRY = f"<div class=entry>{ARTICLE}</div>"
+AROUND = "<nav><a href=/>Home</a> <a href=/n>News of the day</a></nav>{}<footer>Legal words of the site</footer>"
+
+
+@pytest.mark.parametrize("name", ["no-sidebar", "has-sidebar", "right-sidebar", "page-with-sidebar", "modal-open", "cookie-banner-active", "single single-post no-sidebar", "comments-open header-fixed"])
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='{n}'>{e}</body>",
+        "<body class='{n}'>{around}</body>",
+        "<body><div class='{n}'>{e}</div></body>",
+        "<body><div class='{n}'><main><article>{e}</article></main></div></body>",
+        "<body class='{n}'><div id=page class='site {n}'><div id=content class=site-content>{around}</div></div></body>",
+        "<body>{outer}</body>",
+    ],
+)
+def test_the_name_of_a_wrapper_takes_no_page_away(page, name):
+    text = page.format(n=name, e=ENTRY, around=AROUND.format(ENTRY), outer=AROUND.format(f"<div class='{name}'><article>{ENTRY}</article></div>"))
+    assert htmlmain.main_text(f"<html>{text}</html>") == TEXT
+
+
+def test_a_page_in_one_form_keeps_its_text():
+    assert htmlmain.main_text(f"<html><body><form id=form1 action=/x method=post>{AROUND.format(ENTRY)}<label>Your mail</label></form></body></html>") == TEXT
+
+
+def test_large_odd_pages_take_linear_time():
+    """Pages of a megabyte whose tags are unclosed, stray, nested or cut."""
+    n = 1 << 20
+    odd = ["<b>" * (n // 7) + "</p>" * (n // 7), "<a " * (n // 3) + '"', '<a "' * (n // 4) + "<", "<script></script" * (n // 16), "<div class=menu>x" * (n // 17), "<p title='x" * (n // 11), "<!--" * (n // 4), "</script " * (n // 9), "<a" + " b" * (n // 2), "<td><b>x</td>" * (n // 13), "&amp" * (n // 4)]
+    took = []
+    for page in odd:
+        began = time.process_time()
+        htmlmain.main_text(page)
+        took.append(time.process_time() - began)
+    assert max(took) < 12, took  # most take one or two seconds
+
+
 def test_a_page_without_content_is_empty():
     assert htmlmain.main_text("<html><body><nav><ul><li><a href=/>Home</a></li><li><a href=/b>Other things</a></li></ul></nav><footer>Legal</footer></body></html>") == ""
 
