@@ -10,9 +10,9 @@ looked for falls into the slot, until the chances add up to ``mass``.  Candidate
 tables are merged and ranked by exact inner products of the original vectors in double
 precision.
 
-Levels.  How far neighbours are is told by ``PILOTS`` queries, those of smallest hash,
-whose k-th neighbour among all vectors is found exactly in one pass.  The first level
-looks as far as three quarters of these need.  A query is done if it has k neighbours and
+Levels.  How far neighbours are is told by a few queries (one in 16, ``PILOTS`` at most),
+those of smallest hash, whose k-th neighbour among all vectors is found exactly in one
+pass.  The first level looks as far as these need.  A query is done if it has k neighbours and
 the k-th is no farther than its level looked, so a level passes on only what lies within;
 the others go on to a level that looks farther.  What the last level leaves, queries far from everything, is compared with all
 vectors, in blocks.  So each query gets k neighbours wherever there are as many vectors.
@@ -46,7 +46,8 @@ from pyspark.sql import functions as F
 
 from .common import Scope, small_batches
 
-PILOTS = 256
+#: Pilots at most and at least; else one in 16 queries.
+PILOTS, LEAST_PILOTS = 64, 8
 #: Ranges of norm: each spans a factor of 2 ** (1 / 4); the last takes all smaller norms.
 RANGES = 16
 ROWS, ASKED = 4096, 1024
@@ -59,10 +60,10 @@ class Index:
     """Tables, projections of a table, slot width over the distance looked for, and
     the share of neighbours at that distance that a table's probes should meet."""
 
-    tables: int = 2
-    projections: int | None = None  # None: a quarter of log2 of the vectors, 4 to 8
-    width: float = 1.75  # wide enough for neighbours to lie one slot off at most
-    mass: float = 0.75
+    tables: int = 1
+    projections: int = 8
+    width: float = 2.5  # wide enough for neighbours to lie one slot off at most
+    mass: float = 0.9
     seed: int = 17
 
 
@@ -175,21 +176,22 @@ def kth_products(vectors: DataFrame, pilots: np.ndarray, k: int) -> np.ndarray:
     return np.array([r[1] for r in sorted(top.groupBy("pilot").agg(F.min("product")).collect())])
 
 
-def levels(vectors: DataFrame, asked: DataFrame, n: int, k: int, index: Index) -> list[Level]:
-    """Three, looking as far as three quarters of the pilots need, as all of them do, and
-    half as far again."""
+def levels(vectors: DataFrame, asked: DataFrame, k: int, index: Index) -> list[Level]:
+    """Two, looking as far as all pilots need, by their spread, and half as far again."""
     norms = {r["range"]: r["norm"] for r in vectors.groupBy("range").agg(F.max("norm").alias("norm")).collect()}
-    rows = asked.orderBy(F.xxhash64("key"), "key").limit(PILOTS).select("vector").collect()
+    many = min(PILOTS, max(LEAST_PILOTS, asked.count() // 16))
+    rows = asked.orderBy(F.xxhash64("key"), "key").limit(many).select("vector").collect()
     pilots = np.array([r[0] for r in rows], np.float64)
     reach = kth_products(vectors, pilots, k)
-    p = index.projections or min(8, max(4, round(math.log2(max(n, 2)) / 4)))
+    p = index.projections
     rng = np.random.default_rng(index.seed)
     a, b = rng.normal(size=(index.tables, pilots.shape[1] + 1, p)), rng.random((index.tables, p))
     top = norms[min(norms)]
-    last = float(reach.min())
+    # a few pilots may all lie near: their spread counts, too
+    last = float(min(reach.min(), reach.mean() - 2.5 * reach.std()))
     wide = last - 1.25 * max(0.0, top - last)  # 1.5 times the distance, in the first range
     out = []
-    for t in (float(np.quantile(reach, 0.25)), last, wide):
+    for t in (last, wide):
         # the range's vectors of that product lie at sqrt(2 M (M - t)); none does where t > M
         far = {r: math.sqrt(max(2 * m * (m - t), 1e-6 * m * m)) for r, m in norms.items() if m >= t}
         out.append(Level(norms, far, t, a, b, index))
@@ -327,14 +329,14 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, index: Index | Non
         scope.close()
         return spark.createDataFrame([], FOUND)
     vectors = scope.table(distinct_vectors(rows, k), "distinct")
-    n, top = vectors.agg(F.count("*"), F.max("norm")).first()
+    (top,) = vectors.agg(F.max("norm")).first()
     ranges = F.least(F.floor(4 * F.log2(F.lit(top) / F.col("norm"))), F.lit(RANGES - 1)).cast("int")
     vectors = vectors.withColumn("range", F.greatest(ranges, F.lit(0)))
     wanted = rows.join(queries.select(F.col("vec_id").cast("bigint").alias("vec_id")).distinct(), "vec_id", "left_semi")
     names = rows.groupBy("name").agg(F.min("vec_id").alias("key"))
     wanted = kept.table(wanted.join(names, "name").select("vec_id", "key"), "wanted")
     asked = scope.table(vectors.join(wanted.select("key").distinct(), "key", "left_semi"), "asked")
-    found = _searched(vectors, asked, n, min(k + 1, total), k, index, scope)
+    found = _searched(vectors, asked, min(k + 1, total), k, index, scope)
     best = kept.table(found, "found") if found is not None else None
     scope.close()
     if best is None:
@@ -344,14 +346,14 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, index: Index | Non
     return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "r.vec_id", "r.score")
 
 
-def _searched(vectors: DataFrame, asked: DataFrame, n: int, need: int, k: int, index: Index, scope: Scope) -> DataFrame | None:
+def _searched(vectors: DataFrame, asked: DataFrame, need: int, k: int, index: Index, scope: Scope) -> DataFrame | None:
     """(key, found): the best k + 1 (at, vec_id, score) of each query."""
     spark, done = vectors.sparkSession, None
     if asked.isEmpty():
         return None
     todo, before = asked, None
     order = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
-    for level in [*levels(vectors, asked, n, k, index), None]:
+    for level in [*levels(vectors, asked, k, index), None]:
         if level is not None:
             placed, probes = filed(vectors, level, spark), visits(todo, level, spark)
         else:  # all vectors in one bucket, that all these queries visit
