@@ -293,7 +293,7 @@ def keyed(docs: DataFrame, scope: Scope) -> DataFrame:
 
 def spans(docs: DataFrame, scope: Scope) -> DataFrame | None:
     """(doc, begin, length) of all repeated passages of (doc, text) rows; they may overlap."""
-    held = scope.table(cited(anchor_rows(docs)), "cited")
+    held = scope.table(cited(scope.table(anchor_rows(docs), "anchors")), "cited")
     if held.isEmpty():
         return None
     found = slices(docs.select("doc", "text"), blocks(held)).groupBy("block", "copy").applyInArrow(parsed, PARSED)
