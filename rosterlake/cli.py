@@ -108,13 +108,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         results = evaluate.evaluate(asked, _search(ctx, asked, a.limit, settings.search.work_limit)[0])
         print(export.as_json({"results": [r.asDict(recursive=True) for r in results.orderBy("query_id").collect()], "summary": evaluate.summarize(results).first().asDict()}))
     elif a.command == "inspect":
-        one = inspect.resolve_one(t["people"], a.id, a.name)
+        one = inspect.resolve_one(t["people"], a.id, a.name, pipeline.names_by_part(ctx))
         person = inspect.details(t["people"].where(f"professor_id = {one}"), t["universities"], t["matches"])
         print(export.as_json({"person": [r.asDict() for r in person.collect()], "works": [r.asDict() for r in inspect.recent_works(t["links"].where(f"professor_id = {one}"), t["works"], a.works).collect()]}))
     elif a.command == "review":
         print(export.as_json(inspect.review_queue(t["people"], t["universities"], t["matches"])))
     elif a.command == "resolve":
-        one = inspect.resolve_one(t["people"], a.id, a.name)
+        one = inspect.resolve_one(t["people"], a.id, a.name, pipeline.names_by_part(ctx))
         ctx.put("matches", resolve.apply_decision(t["matches"], one, a.status, a.author_id, a.reason))
         if a.status not in ("matched", "manual_override"):
             key = pipeline.KEYS["links"]

@@ -82,9 +82,13 @@ def ratios(cohort: DataFrame, people: DataFrame, works: DataFrame, links: DataFr
     off = theirs.where(~F.col("hit") & (F.col("title") != "")).select("owner", "work_id", "title").withColumn("at", F.row_number().over(first)).where(F.col("at") <= SHOWN_TITLES)
     off = off.groupBy("owner").agg(F.sort_array(F.collect_list(F.struct("work_id", "title"))).alias("off"))
     sums = sums.join(off, "owner", "left")
+    # terms are counted before the shuffle, and each task keeps an owner's first few only,
+    # so an owner of very many works is no heavier than others
     order = Window.partitionBy("owner").orderBy(F.desc("n"), "term")
-    seen = theirs.select("owner", F.explode("overlap").alias("term")).groupBy("owner", "term").agg(F.count("*").alias("n")).withColumn("at", F.row_number().over(order))
-    seen = seen.groupBy("owner").agg(F.count("*").alias("covered"), F.sort_array(F.collect_list(F.when(F.col("at") <= SHOWN_TERMS, F.struct("at", "term")))).alias("shown"))
+    counted = theirs.select("owner", F.explode("overlap").alias("term")).groupBy("owner", "term").agg(F.count("*").alias("n"))
+    top = counted.withColumn("at", F.row_number().over(order)).where(F.col("at") <= SHOWN_TERMS)
+    top = top.groupBy("owner").agg(F.sort_array(F.collect_list(F.struct("at", "term"))).alias("shown"))
+    seen = counted.groupBy("owner").agg(F.count("*").alias("covered")).join(top, "owner")
     out = sums.join(seen, "owner", "left")
     coverage = F.coalesce("covered", F.lit(0)) / F.size("terms")
     return out.select(

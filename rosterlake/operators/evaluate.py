@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import patterns
+
 EXPECTED = "query_id bigint, query string, notes string, expected_professors array<string>, expected_universities array<string>, minimum_professor_matches int, minimum_university_matches int"
 
 
@@ -24,21 +26,24 @@ def load_queries(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, EXPECTED)
 
 
-def matched(patterns: Column, values: Column) -> Column:
-    """Patterns that some value contains, in any case."""
-    low = F.transform(values, lambda v: F.lower(v))
-    return F.filter(patterns, lambda p: F.exists(low, lambda v: v.contains(F.lower(p))))
+def matched(queries: DataFrame, expected: str, hits: DataFrame, value: str) -> DataFrame:
+    """(query_id, matched): a query's patterns, in order, that a value of its hits contains,
+    in any case.  All patterns of all queries are looked for in one pass over the values."""
+    asked = queries.select("query_id", F.posexplode(expected).alias("pos", "as_given")).withColumn("pattern", F.lower("as_given"))
+    seen = hits.select("query_id", F.lower(value).alias("value")).where(F.col("value").isNotNull()).distinct()
+    found = patterns.pairs(seen.select("value").distinct(), "value", "value", asked.select("pattern"))
+    met = asked.join(found, "pattern").join(seen, ["query_id", "value"]).select("query_id", "pos", "as_given").distinct()
+    return met.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("pos", "as_given"))).alias("m")).select("query_id", F.transform("m", lambda m: m["as_given"]).alias("matched"))
 
 
 def evaluate(queries: DataFrame, hits: DataFrame) -> DataFrame:
     """A row for each query: matched and missing names, and hit_at_k (null without
     expectations)."""
-    found = hits.groupBy("query_id").agg(F.collect_list("professor_name").alias("people"), F.collect_list("university_name").alias("places"))
-    none = F.array().cast("array<string>")
-    rows = queries.join(found, "query_id", "left").withColumns({"people": F.coalesce("people", none), "places": F.coalesce("places", none)})
-    for kind, seen in (("professor", "people"), ("university", "places")):
+    none, rows = F.array().cast("array<string>"), queries
+    for kind in ("professor", "university"):
         name = {"professor": "professors", "university": "universities"}[kind]
-        rows = rows.withColumn(f"matched_{name}", matched(F.col(f"expected_{name}"), F.col(seen)))
+        own = matched(queries, f"expected_{name}", hits, f"{kind}_name").withColumnRenamed("matched", f"matched_{name}")
+        rows = rows.join(own, "query_id", "left").withColumn(f"matched_{name}", F.coalesce(f"matched_{name}", none))
         rows = rows.withColumn(f"missing_{name}", F.array_except(f"expected_{name}", f"matched_{name}"))
         least = F.greatest(F.col(f"minimum_{kind}_matches"), F.lit(0))
         rows = rows.withColumn(f"need_{kind}", F.coalesce(F.when(F.col(f"minimum_{kind}_matches").isNotNull(), least), F.when(F.size(f"expected_{name}") > 0, 1).otherwise(0)))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import contains_name
+from . import nameindex
 
 
 def recent_works(links: DataFrame, works: DataFrame, n: int | None = 8, by: str = "id") -> DataFrame:
@@ -42,13 +45,16 @@ def duplicates_of(people: DataFrame, universities: DataFrame) -> DataFrame:
     return people.where(F.col("duplicate_of").isNotNull()).select("professor_id", "name", "duplicate_of", "duplicate_reason").join(who, "duplicate_of")
 
 
-def by_name(people: DataFrame, part: str) -> DataFrame:
+def by_name(people: DataFrame, part: str, index: DataFrame | Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The people whose name contains a text, by ``nameindex`` if there is an index."""
+    if index is not None:
+        return nameindex.by_name(people, index, part)
     return people.where(contains_name(F.col("name"), part)).orderBy("professor_id")
 
 
-def resolve_one(people: DataFrame, professor_id: int | None = None, name: str | None = None) -> int:
+def resolve_one(people: DataFrame, professor_id: int | None = None, name: str | None = None, index: DataFrame | Callable[[DataFrame], DataFrame] | None = None) -> int:
     """The one person meant by id or part of a name; refuses none and several."""
-    rows = (people.where(F.col("professor_id") == professor_id) if professor_id is not None else by_name(people, name or "")).select("professor_id").take(2)
+    rows = (people.where(F.col("professor_id") == professor_id) if professor_id is not None else by_name(people, name or "", index)).select("professor_id").take(2)
     if len(rows) != 1:
         raise LookupError("no such person" if not rows else "several people match; give an id")
     return rows[0][0]

@@ -11,12 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import names, scoring, text, vectors
-from ..operators import audit, evaluate, funding, identity, inspect, resolve, search, works
+from ..functions import names, patterns, scoring, text, vectors
+from ..operators import audit, cosinetop, evaluate, funding, identity, inspect, nameindex, resolve, search, works
 from ..operators.audit import AUDIT_WORDS
 from ..sources import pages as page_source
 from ..sources import seed
-from ..scratch import cut
+from ..scratch import cut, scratch_path
 from . import store
 from .views import cte, view
 
@@ -253,6 +253,14 @@ def cosine_topk(spark, d):
     return rows.select("vec_id", score).orderBy(F.desc("cosine"), "vec_id").limit(20)
 
 
+@query(_found["cosine_topk"][1])
+def cosine_topk_by_pivots(spark, d):
+    """The same through an index of pivots: exact, of the vectors that can be near."""
+    rows = view(spark, d, "embeddings").select("vec_id", "embedding")
+    found = cosinetop.index(rows, "vec_id", scratch_path(spark, "pivots"))
+    return cosinetop.nearest(found, "vec_id", _vector(rows, 0), 20)[0]
+
+
 def _vector(rows: DataFrame, vec_id: int) -> list[float]:
     """A stored vector as a query; the empty one, which is like nothing, if it is missing."""
     found = rows.where(F.col("vec_id") == vec_id).select("embedding").take(1)
@@ -625,6 +633,24 @@ def ilike_lookup(spark, d):
     return inspect.by_name(view(spark, d, "customer").select(F.col("c_custkey").alias("professor_id"), F.col("c_name").alias("name")), "R#0000001_3")
 
 
+@query(_found["ilike_lookup"][1])
+def ilike_lookup_by_trigrams(spark, d):
+    people = view(spark, d, "customer").select(F.col("c_custkey").alias("professor_id"), F.col("c_name").alias("name"))
+    return inspect.by_name(people, "R#0000001_3", nameindex.write(people, scratch_path(spark, "postings")))
+
+
+_PATTERNS = "SELECT DISTINCT lower(w) AS pattern FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{3,}')) AS w FROM benchmark)"
+
+
+@query(f"WITH patterns AS ({_PATTERNS}) SELECT doc_id, count(*) AS n, min(pattern) AS first, max(pattern) AS last FROM documents JOIN patterns ON contains(lower(text), pattern) GROUP BY doc_id")
+def patterns_in_documents(spark, d):
+    """Which words of the benchmark stand in a document, within words too."""
+    words = view(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), 0)).alias("w")).select(F.lower("w").alias("pattern"))
+    docs = view(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
+    found = patterns.pairs(docs, "doc_id", "text", words)
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("pattern").alias("first"), F.max("pattern").alias("last"))
+
+
 @query(f"{cte('grants')} SELECT professor_id, round(coalesce(sum(amount), 0), 2) AS total_funding, count(*) AS grants, bool_or(coalesce(end_date >= '{TODAY}', false)) AS actively_funded FROM grants GROUP BY professor_id")
 def funding_summary(spark, d):
     return funding.funding_summary(view(spark, d, "grants"), TODAY).withColumn("total_funding", F.round("total_funding", 2))

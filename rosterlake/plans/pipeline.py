@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import names, text, vectors
-from ..operators import funding, identity, resolve, search, searchindex, works
+from ..operators import funding, identity, nameindex, resolve, search, searchindex, works
 from ..sources import fetch, pages, seed
 from ..scratch import shared_dir
 from .artifacts import Reporter
@@ -184,6 +184,7 @@ def verify(ctx: Context) -> dict:
     found = works.resume(ctx.table("candidates"), "candidate_id", None, ctx.limit)
     rows = _number(ctx, "people", verified(found, old).select(old.columns), "professor_id", ["candidate_id"])
     n = ctx.put("people", identity.same_name(upsert(old, rows, ["candidate_id"])))
+    name_index(ctx)
     return {"candidates_processed": n, "verified_professors": ctx.table("people").where("verification_status = 'verified'").count()}
 
 
@@ -243,6 +244,7 @@ def match(ctx: Context) -> dict:
     people, matches = identity.same_author(people, matches)
     ctx.put("people", people.checkpoint())
     ctx.put("matches", matches)
+    name_index(ctx)
     _mark_universities(ctx, todo.join(ctx.table("universities").select("university_id", F.col("name").alias("u")), "university_id").select(F.col("u").alias("name")), "matched")
     return {"professors_processed": todo.count(), "matched": ctx.table("matches").where("match_status = 'matched'").count()}
 
@@ -308,6 +310,20 @@ def index(ctx: Context) -> None:
         ctx.store.put_state("index", status="completed", checkpoint=now)
 
 
+def name_index(ctx: Context) -> None:
+    """Make the postings of people's names, if people have changed."""
+    now = {"people": max(ctx.store.versions("people"), default=0)}
+    if ctx.store.get_state("names")["checkpoint"] != now:
+        ctx.store.write("name_postings", nameindex.postings(ctx.table("people")).drop("bucket"), key=["trigram"])
+        ctx.store.put_state("names", status="completed", checkpoint=now)
+
+
+def names_by_part(ctx: Context) -> Callable[[DataFrame], DataFrame] | None:
+    """Postings for a table of trigrams, if they are as new as people."""
+    fresh = ctx.store.get_state("names")["checkpoint"] == {"people": max(ctx.store.versions("people"), default=0)}
+    return (lambda trigrams: ctx.store.get("name_postings", trigrams)) if fresh and ctx.store.exists("name_postings") else None
+
+
 def search_tables(ctx: Context) -> dict[str, DataFrame]:
     """All tables, and the search index if it is as new as what it was made of."""
     out = {n: ctx.table(n) for n in TABLES}
@@ -385,7 +401,7 @@ def run(ctx: Context, from_stage: str | None = None, through_stage: str | None =
                 ctx.reporter.failed(name, e)
             raise StageFailed(name, done, e) from e
         ctx.store.remove(f"{ctx.store.path}/journal/{name}")
-        for table in (*TABLES, "prepared", "profiles"):
+        for table in (*TABLES, "prepared", "profiles", "name_postings"):
             ctx.store.expire(table, VERSIONS)
         ctx.store.put_state(name, status="completed", processed_items=next(iter(outcome.values()), None))
         if ctx.reporter:
