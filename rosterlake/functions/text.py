@@ -67,6 +67,10 @@ def _decomposed(text: pd.Series) -> pd.Series:
     return text.map(_decompose)
 
 
+#: For SQL: any text, decomposed.
+unaccented = _decomposed
+
+
 def strip_accents(text: Column) -> Column:
     """Compatibility decomposition without its combining marks."""
     return F.when(text.rlike(r"^[\x00-\x7F]*$"), text).otherwise(_decomposed(F.when(~text.rlike(r"^[\x00-\x7F]*$"), text)))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import names, patterns, scoring, text, vectors
+from ..functions import names, patterns, scoring, sqlfun, text, vectors
 from ..operators import audit, cosinetop, evaluate, funding, identity, inspect, nameindex, resolve, search, works
 from ..operators.audit import AUDIT_WORDS
 from ..sources import pages as page_source
@@ -718,6 +718,38 @@ def evaluation_summary(spark, d):
     return evaluate.summarize(_evaluated(spark, d))
 
 
+# -- SQL alone
+
+
+def _sql(spark, d, text, *names):
+    sqlfun.register(spark)
+    return spark.sql(text, **{n: view(spark, d, n) for n in names})
+
+
+@query(f"{cte('people')} SELECT CASE WHEN contains(lower(title), 'professor') THEN 'verified' ELSE 'ambiguous' END AS status, count(*) AS n FROM people GROUP BY 1")
+def sql_title_status(spark, d):
+    return _sql(spark, d, "SELECT title_status(title) AS status, count(*) AS n FROM {people} GROUP BY 1", "people")
+
+
+@query(f"""{cte("works")}, t AS (SELECT work_id, {sql_tokens("title")} AS tt, {sql_tokens("abstract")} AS ta, {sql_tokens(sql_normal_query(chr(39) + QUERY + chr(39)))} AS q FROM works)
+SELECT work_id, round(0.2 * ({sql_keyword("q", "tt")}) + 0.1 * ({sql_keyword("q", "ta")}) + 0.05 * greatest({sql_phrase("q", "tt")}, 0.5 * ({sql_phrase("q", "ta")})), 6) AS score FROM t""")
+def sql_work_score(spark, d):
+    asked = text.normalize_query(F.lit(QUERY))
+    words = spark.range(1).select(asked.alias("q")).first()[0]
+    return _sql(spark, d, f"SELECT work_id, round(work_score(0D, search_terms('{words}'), search_terms(title), search_terms(abstract)), 6) AS score FROM {{works}}", "works")
+
+
+@query("""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
+SELECT v.label, round(sum(list_cosine_similarity(v.e, q.e)), 4) AS likeness, count(*) AS n FROM v, v q WHERE q.vec_id = 0 GROUP BY v.label""")
+def sql_cosine_by_label(spark, d):
+    return _sql(spark, d, "SELECT label, round(sum(cosine_of(CAST(embedding AS ARRAY<DOUBLE>), (SELECT CAST(first(embedding) AS ARRAY<DOUBLE>) FROM {embeddings} WHERE vec_id = 0))), 4) AS likeness, count(*) AS n FROM {embeddings} GROUP BY label", "embeddings")
+
+
+@query(f"{cte('grants')} SELECT professor_id, round(sum(amount), 2) AS active FROM grants WHERE coalesce(end_date >= '{TODAY}', false) GROUP BY professor_id")
+def sql_active_funding(spark, d):
+    return _sql(spark, d, f"SELECT professor_id, round(sum(amount), 2) AS active FROM {{grants}} WHERE active_grant(end_date, '{TODAY}') GROUP BY professor_id", "grants")
+
+
 # -- changes
 
 

@@ -165,3 +165,39 @@ def test_host_allowed(spark):
 def test_informative_terms(spark):
     got = values(spark, text.informative_terms(F.col("x")), ["Studies of the process class: batteries, lasers, x-rays and research"])
     assert got == [["process"[:-1], "class", "battery", "laser", "x-ray"]]
+
+
+def test_sql_functions_equal_the_columns(spark):
+    """Each temporary function against the column of the same meaning."""
+    from rosterlake.functions import scoring, sqlfun, text, vectors
+    from rosterlake.operators import funding
+
+    assert "cosine_of" in sqlfun.register(spark) and sqlfun.register(spark)
+    rows = [
+        ("  Assistant\u00a0 Professor ", "ann.lee@Example.edu x", "Jos\u00e9  N\u00fa\u00f1ez-Smith", ["quantum", "of", "noise"], ["noise", "quantum", "noise"], [1.0, 2.0], [2.0, 0.5], [0.3, 0.9, 0.1, 0.5, 0.2, 0.8], "arXiv x", None),
+        ("Postdoc", None, None, [], ["a"], [], [1.0], [], None, "10.48550/arXiv.7"),
+        (None, "none", "", ["series", "glass"], [], [0.0, 0.0], [1.0, 1.0], [0.5], "Journal", ""),
+        ("Visiting Professor of the studies", "", "Bo", ["studies", "series"], ["studies", "series"], [1.0], [1.0, 2.0], [1.0, 2.0], "", "2030-01-01"),
+    ]
+    df = spark.createDataFrame(rows, "t string, e string, n string, q array<string>, x array<string>, a array<double>, b array<double>, s array<double>, v string, d string")
+    both = {
+        "norm_space(t)": text.normalize_whitespace(F.col("t")),
+        "first_email(e)": text.normalize_email(F.col("e")),
+        "plain_name(n)": text.normalize_name(F.col("n")),
+        "title_status(t)": text.classify_title(F.col("t"))["status"],
+        "search_terms(t)": text.search_tokens(F.col("t")),
+        "is_preprint(v, d)": text.is_preprint(F.col("v"), F.col("d")),
+        "keyword_share(q, x)": scoring.keyword_overlap(F.col("q"), F.col("x")),
+        "phrase_share(q, x)": scoring.phrase_overlap(F.col("q"), F.col("x")),
+        "cosine_of(a, b)": vectors.cosine(F.col("a"), F.col("b")),
+        "best_sum(s, 3)": scoring.discounted_sum(F.col("s"), 3),
+        "best_sum(s, 9)": scoring.discounted_sum(F.col("s"), 9),
+        "work_score(0.5, q, x, x)": scoring.work_score(F.lit(0.5), *[scoring.keyword_overlap(F.col("q"), F.col("x"))] * 2, *[scoring.phrase_overlap(F.col("q"), F.col("x"))] * 2),
+        "active_grant(d, '2026-01-01')": funding.is_active(F.col("d"), "2026-01-01"),
+    }
+    for sql, column in both.items():
+        for r in df.select(F.expr(sql).alias("sql"), column.alias("column")).collect():
+            assert r["sql"] == r["column"] or abs(r["sql"] - r["column"]) < 1e-12, (sql, r)
+    # Spark sees through a function: its argument alone is read
+    plan = spark.sql("SELECT count(*) FROM {df} WHERE active_grant(d, '2026-01-01')", df=df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "active_grant" not in plan
