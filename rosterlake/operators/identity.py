@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import names
+
 SAME_NAME, SAME_AUTHOR = "same_university_name", "same_author"
 
 
@@ -72,3 +74,40 @@ def sync_duplicates(people: DataFrame, matches: DataFrame) -> DataFrame:
     hit = F.col("duplicate_of").isNotNull()
     evidence = F.to_json(F.struct("duplicate_of", F.col("duplicate_reason").alias("reason")))
     return after.withColumns({"evidence": F.when(hit, evidence).otherwise(F.col("evidence")), "match_status": F.when(hit, "duplicate").otherwise(F.col("match_status"))}).select(matches.columns)
+
+
+# Letters from rare to common in names.
+RARE_FIRST = "qxzjvfwpkbygmcudhtolsrniea"
+
+
+def _marks(name: str, least: float):
+    """The rarest letters of a name, each with how often it has occurred before: two names
+    whose letters reach the ratio ``least`` have one of these in common.  Of n letters the
+    other name has at least n * least / (2 - least)."""
+    letters = F.array_sort(F.split(name, ""), lambda a, b: _rarity(a) - _rarity(b))
+    numbered = F.transform(letters, lambda c, i: F.struct(c.alias("c"), F.size(F.filter(F.slice(letters, 1, i), lambda x: x == c)).alias("k")))
+    n = F.char_length(name)
+    return F.slice(numbered, 1, n - F.ceil(n * F.lit(least / (2 - least)) - 1e-9).cast("int") + 1)
+
+
+def _rarity(c):
+    """A letter's place in RARE_FIRST; what is no letter comes first, by its code."""
+    at = F.instr(F.lit(RARE_FIRST), c)
+    return F.when(at > 0, at + 2_000_000).otherwise(F.ascii(c))
+
+
+def similar_people(people: DataFrame, least: float = 0.84) -> DataFrame:
+    """(a, b, similarity): pairs of people of one university, a < b, whose names are similar
+    to at least ``least``.  Pairs are those that share a rare letter of the first few, or
+    last name and first initial; of these only such as may reach ``least`` by their letters
+    are compared by Python."""
+    rows = people.select("professor_id", "university_id", names.name_tokens(F.col("name")).alias("tokens")).where(F.size("tokens") > 0).withColumn("whole", F.array_join("tokens", " "))
+    first, last = F.substring(F.get("tokens", F.lit(0)), 1, 1), F.get("tokens", F.size("tokens") - 1)
+    keys = rows.select("professor_id", "university_id", F.explode(_marks("whole", least)).alias("m")).select("professor_id", "university_id", F.concat(F.lit("m"), "m.c", F.col("m.k").cast("string")).alias("key"))
+    keys = keys.unionByName(rows.select("professor_id", "university_id", F.concat(F.lit("k"), first, F.lit(" "), last).alias("key")))
+    other = keys.select(F.col("professor_id").alias("b"), "university_id", "key")
+    met = keys.withColumnRenamed("professor_id", "a").join(other, ["university_id", "key"]).where("a < b").select("a", "b").distinct()
+    side = lambda c: rows.select(F.col("professor_id").alias(c), F.col("tokens").alias(f"{c}_tokens"))
+    pairs = met.join(side("a"), "a").join(side("b"), "b")
+    out = pairs.withColumn("similarity", names.name_similarity(F.col("a_tokens"), F.col("b_tokens"), least))
+    return out.where(F.col("similarity") >= least).select("a", "b", "similarity")

@@ -362,6 +362,25 @@ def name_similarity_full(spark, d):
     return _pairs(spark, d).select("a", "b", F.round(names.name_similarity(F.col("l"), F.col("r")), 6).alias("similarity"))
 
 
+_LETTERS_IN_COMMON = "list_sum(list_transform(list_distinct(string_split(lj, '')), lambda c: least(length(lj) - length(replace(lj, c, '')), length(rj) - length(replace(rj, c, '')))))"
+
+
+@query(f"""WITH names AS (SELECT p_partkey AS id, p_name AS name, lower(p_name) AS nm FROM part), pairs AS (
+SELECT x.id AS a, y.id AS b, x.nm AS lj, y.nm AS rj FROM names x JOIN names y ON y.id = x.id + 1)
+SELECT a, b, round(2 * {_LETTERS_IN_COMMON} / (length(lj) + length(rj)), 6) AS bound FROM pairs""")
+def name_ratio_bound(spark, d):
+    """What the letters of two part names say of their ratio at most."""
+    rows = view(spark, d, "part").select(F.col("p_partkey").alias("a"), F.lower("p_name").alias("l"))
+    other = rows.select((F.col("a") - 1).alias("a"), F.col("a").alias("b"), F.col("l").alias("r"))
+    return rows.join(other, "a").select("a", "b", F.round(names.ratio_bound(F.col("l"), F.col("r")), 6).alias("bound"))
+
+
+@query(f"{cte('people')} SELECT x.professor_id AS a, y.professor_id AS b, 1.0 AS similarity FROM people x JOIN people y ON x.university_id = y.university_id AND x.professor_id < y.professor_id AND x.name = y.name")
+def similar_people_exact(spark, d):
+    """People of one university with the same name; at the greatest similarity only these."""
+    return identity.similar_people(view(spark, d, "people"), 1.0)
+
+
 # -- identity and matching
 
 

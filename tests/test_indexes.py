@@ -120,3 +120,35 @@ def test_an_owner_of_half_of_all_works(spark):
     assert [t for t in got[0]["profile_terms"]][:2] == ["noise", "optic"] or "noise" in got[0]["profile_terms"]
     plan = audit.ratios(cohort, people, works, links, 1)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 4
+
+
+def people_of(spark, seed=2, n=120):
+    rng = random.Random(seed)
+    first, last = ["ann", "anna", "bob", "bobby", "clara", "q", "zoë", "jean luc"], ["lee", "leed", "núñez", "nunes", "quartz", "smithson", "smithsen", "o'neil", "wu"]
+    rows = [(k, k % 3, f"{rng.choice(first)} {rng.choice(['', 'm ', 'maria '])}{rng.choice(last)}") for k in range(n)] + [(n, 0, None), (n + 1, 0, ""), (n + 2, 1, "x")]
+    return spark.createDataFrame(rows, "professor_id bigint, university_id int, name string")
+
+
+@pytest.mark.parametrize("least", [0.7, 0.84, 0.97])
+def test_similar_people_are_all_found(spark, least):
+    from rosterlake.operators import identity
+
+    people = people_of(spark)
+    t = people.select("professor_id", "university_id", names.name_tokens(F.col("name")).alias("t")).where("size(t) > 0")
+    other = t.select(F.col("professor_id").alias("b"), "university_id", F.col("t").alias("u"))
+    pairs = t.withColumnRenamed("professor_id", "a").join(other, "university_id").where("a < b")
+    want = sorted((r["a"], r["b"], round(r["s"], 9)) for r in pairs.select("a", "b", names.name_similarity(F.col("t"), F.col("u")).alias("s")).collect() if r["s"] >= least)
+    assert want and sorted((r["a"], r["b"], round(r["similarity"], 9)) for r in identity.similar_people(people, least).collect()) == want
+    # Python sees few of the pairs that the tiers leave open
+    some = pairs.select(names.left_open(F.col("t"), F.col("u")).cast("int").alias("x"), names.left_open(F.col("t"), F.col("u"), least).cast("int").alias("y")).agg(F.sum("x"), F.sum("y")).first()
+    assert some[1] < (0.75 if least < 0.8 else 0.5) * some[0], some
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("abc ", max_size=12), st.text("abc ", max_size=12))
+def test_the_bound_is_that_of_the_library(a, b):
+    from collections import Counter
+    from difflib import SequenceMatcher
+
+    common = sum((Counter(a) & Counter(b)).values())
+    assert (2 * common / (len(a) + len(b)) if a or b else 1.0) >= SequenceMatcher(None, a, b).ratio() - 1e-12
