@@ -322,7 +322,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, index: Index | Non
     found: query_id, rank from 1, vec_id, score."""
     index, spark = index or Index(), rows.sparkSession
     small_batches(spark)
-    scope, kept = Scope(spark), Scope(spark)
+    scope, kept = Scope(spark), Scope(spark, later=True)
     rows = scope.table(usable(rows), "vectors")
     total = rows.count()
     if not total:

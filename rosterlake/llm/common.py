@@ -37,16 +37,21 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Tables that results are still read from, in the order in which they were made.
+_waiting: list[str] = []
+
+
 class Scope:
     """Tables written on the way to a result; ``close`` removes them, once what was
-    made of them is written."""
+    made of them is written.  Those of a ``later`` scope are read when the result is: who
+    has written that removes them by ``sweep``."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+    def __init__(self, spark: SparkSession, later: bool = False):
+        self.spark, self.paths, self.later = spark, [], later
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         out, path = table(df, name)
-        self.paths.append(path)
+        (_waiting if self.later else self.paths).append(path)
         return out
 
     def close(self) -> None:
@@ -55,6 +60,19 @@ class Scope:
         self.paths = []
 
 
+def waiting() -> int:
+    """How many tables wait to be removed: what ``sweep`` is told not to touch."""
+    return len(_waiting)
+
+
+def sweep(spark: SparkSession, before: int = 0) -> None:
+    """Remove the tables that results made since ``before`` are read from; these have to
+    be written."""
+    for path in _waiting[before:]:
+        remove(spark, path)
+    del _waiting[before:]
+
+
 #: Rows of keys, some 100 bytes each, that may be broadcast.
 BROADCAST_ROWS = 100_000
 

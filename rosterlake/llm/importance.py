@@ -206,7 +206,7 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 5, least_words:
     highest score have a rank, from 1; the ``target`` texts tell what to draw towards."""
     spark = docs.sparkSession
     small_batches(spark)
-    scope, kept = Scope(spark), Scope(spark)
+    scope, kept = Scope(spark), Scope(spark, later=True)
     gain = gains(bucket_counts(docs, buckets=buckets), bucket_counts(target, buckets=buckets), buckets)
     scored = kept.table(weighed(docs, gain).withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed)), "scored")
     fits = F.col("n_words") >= least_words

@@ -287,7 +287,7 @@ def mine(rows: DataFrame, is_anchor: Column, positives: int = 5, negatives: int
     positive's.  ``rows``: vec_id, label (a whole number), embedding."""
     spark = rows.sparkSession
     small_batches(spark)
-    scope, kept = Scope(spark), Scope(spark)
+    scope, kept = Scope(spark), Scope(spark, later=True)
     plain = scope.table(usable(rows, scale), "whole")
     n = plain.count()
     if not n:

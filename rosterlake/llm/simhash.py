@@ -56,7 +56,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scope, fresh, hot_keys, looked_up, small, small_batches, table
+from .common import Scope, fresh, hot_keys, looked_up, small, small_batches
 from .graph import components
 
 #: Nodes of a bucket that are verified in one list, and on each side of a block of a larger
@@ -817,9 +817,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, search: Search | None = Non
     """(doc_id, text_key, fp, shingles, component_id, kept) of each row; a component is
     named by its smallest doc_id and keeps its first row."""
     search, spark = search or Search(), docs.sparkSession
-    marks, _ = table(fingerprints(docs, words, search.bits, distinct or search.radius is None), "marks")
+    kept_on = Scope(spark, later=True)
+    marks = kept_on.table(fingerprints(docs, words, search.bits, distinct or search.radius is None), "marks")
     nodes = marks.groupBy("fp").agg(_first(), F.max("shingles").alias("shingles"), F.count("*").alias("rows"))
-    nodes, _ = table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = kept_on.table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     n, total = nodes.agg(F.count("*"), F.sum("rows")).first()
     scope = Scope(spark)
     if not n:
@@ -835,7 +836,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, search: Search | None = Non
                 made = plan(own, count, lane)
                 each.append((scope.table(links(own, made, lane, scope), "links"), made, lane))
         found = _components(each, docs, nodes, words, scope)
-    named, _ = table(_named(nodes, found, n), "named")
+    named = kept_on.table(_named(nodes, found, n), "named")
     scope.close()
     hot = hot_keys(nodes.withColumnRenamed("rows", "n"), "fp", total)
     rows = looked_up(marks, named, "fp", hot)
@@ -859,4 +860,4 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int
     lost = found.where(~F.col("kept")).select(F.col("doc_id").isNull().alias(none), F.coalesce("doc_id", F.lit(0)).alias(key), F.col("text_key").alias(tk)).distinct()
     own = F.col("doc_id").cast("bigint")
     rows = docs.withColumns({none: own.isNull(), key: F.coalesce(own, F.lit(0)), tk: F.xxhash64("text")})
-    return rows.join(small(table(lost, "lost")[0]), [none, key, tk], "left_anti").select(docs.columns)
+    return rows.join(small(Scope(docs.sparkSession, later=True).table(lost, "lost")), [none, key, tk], "left_anti").select(docs.columns)

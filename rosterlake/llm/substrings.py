@@ -307,7 +307,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     words that stay, joined by one space."""
     spark = docs.sparkSession
     small_batches(spark)
-    scope, kept = Scope(spark), Scope(spark)
+    scope, kept = Scope(spark), Scope(spark, later=True)
     rows = keyed(docs, kept)
     found = spans(rows, scope)
     own = rows.withColumn("spans", F.lit(None).cast("array<struct<begin: int, length: int>>"))

@@ -1,3 +1,4 @@
+import os
 import re
 from collections import defaultdict
 
@@ -5,6 +6,7 @@ import numpy as np
 
 import corpus_pipeline
 from rosterlake.llm import quality
+from rosterlake.scratch import shared_dir
 
 
 def test_stages_each_on_its_own_input(spark):
@@ -34,7 +36,11 @@ def test_stages_each_on_its_own_input(spark):
 
 
 def test_run_ends_in_sequences(spark, tmp_path):
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    left = [n for n in set(os.listdir(folder)) - before if n.startswith("rosterlake-")]
+    assert len(left) == 1 and "packing" in left[0]  # the result's own files
     assert {"doc_id", "piece", "sequence_id", "offset", "ids"} <= set(out.columns) and out.count() > 0
     assert quality.CUT == 0.7 and corpus_pipeline.ORACLE_SQL is None
 
