@@ -45,11 +45,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; each stage's result is written and read again, and removed
-    once the next one's is written."""
-    rows, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    once the next one's is written, as is what a stage has left on its way."""
+    rows, before, others = spark.read.parquet(f"{sf_dir}/documents.parquet"), None, common.waiting()
     for name, stage in STAGES:
         path = common.scratch(spark, name.replace(" ", "-"))
         stage(spark, rows, sf_dir).write.parquet(path)
+        common.sweep(spark, others)
         rows = spark.read.parquet(path)
         if before:
             common.remove(spark, before)
