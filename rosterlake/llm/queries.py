@@ -137,6 +137,27 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=5)
 
 
+#: CRC-32 is spelt out: the table of its steps, and a fold over the bytes of a feature.
+OP11_SQL = r"""
+WITH steps AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS step),
+texts AS (SELECT 'd' AS kind, doc_id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+words AS (SELECT kind, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+runs AS (SELECT kind, doc_id, len(w) AS n_words, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS f FROM words),
+counted AS (SELECT kind, doc_id, feature, count(*) AS n FROM (SELECT kind, doc_id, unnest(f) AS feature FROM runs) GROUP BY ALL),
+bytes AS (SELECT feature, list_transform(range(strlen(feature)), lambda i: CAST('0x' || substr(hex(feature), 2 * i + 1, 2) AS BIGINT)) AS b FROM (SELECT DISTINCT feature FROM counted)),
+known AS (SELECT feature, xor(4294967295, list_reduce(list_prepend(4294967295, b), lambda c, x: xor(step[xor(c, x) % 256 + 1], c >> 8))) % 10000 AS bucket FROM bytes, steps),
+sums AS (SELECT bucket, sum(CASE kind WHEN 'd' THEN n ELSE 0 END) AS s, sum(CASE kind WHEN 'b' THEN n ELSE 0 END) AS t FROM counted JOIN known USING (feature) GROUP BY bucket),
+totals AS (SELECT CAST(sum(s) AS DOUBLE) AS s_all, CAST(sum(t) AS DOUBLE) AS t_all FROM sums),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * (s_all + 10000) / ((CAST(s AS DOUBLE) + 1) * (t_all + 10000)))) AS BIGINT) AS gain FROM sums, totals),
+weights AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM counted JOIN known USING (feature) JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY doc_id),
+scored AS (SELECT r.doc_id, n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || r.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM runs r LEFT JOIN weights w ON w.doc_id = r.doc_id WHERE r.kind = 'd'),
+placed AS (SELECT *, n_words >= 20 AS fits, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_words >= 20) OVER () AS many FROM scored)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN fits AND place <= many * 5 // 100 THEN place END AS rank FROM placed
+"""
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
@@ -168,10 +189,24 @@ def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP13_SQL = r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM texts),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS words FROM starts),
+repeated AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY words ORDER BY doc_id, i) AS nth FROM windows) WHERE nth > 1),
+gone AS (SELECT doc_id, list(DISTINCT p) AS places FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM repeated) GROUP BY doc_id),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM texts),
+cut AS (SELECT doc_id, p FROM (SELECT doc_id, unnest(places) AS p FROM gone)),
+stay AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM each ANTI JOIN cut USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts LEFT JOIN gone USING (doc_id) LEFT JOIN stay USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_best_fit_packing, op2_token_files, op3_sharding, op4_chat_formatting, op5_nearest_neighbours, op6_bpe, op7_exact_dedup, op8_html_extraction, op9_simhash, op10_quality, op11_importance_resampling, op12_hard_negatives, op13_substring_dedup)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": OP3_SQL, "op4_chat_formatting": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op12_hard_negatives": OP12_SQL}
+    return {"op3_sharding": OP3_SQL, "op4_chat_formatting": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op11_importance_resampling": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_substring_dedup": OP13_SQL}
