@@ -17,6 +17,7 @@ from ..operators.audit import AUDIT_WORDS
 from ..sources import pages as page_source
 from ..sources import seed
 from ..scratch import cut, scratch_path
+from ..streaming.latest import last_words
 from . import store
 from .views import cte, view
 
@@ -798,6 +799,40 @@ def upsert_two_keys(spark, d):
     return store.target_ids(entries, old, "id", ["source_id", "url"], ["source_id", "nm"]).select("source_id", "url", "nm", "id")
 
 
+@query("""SELECT c.c_custkey AS id, coalesce(o.last, -1) AS last, coalesce(o.status, 'none') AS status FROM customer c
+LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS last, arg_max(o_orderstatus, o_orderkey) AS status FROM orders WHERE o_orderkey % 3 > 0 GROUP BY 1) o ON o.o_custkey = c.c_custkey""")
+def upsert_in_a_store(spark, d):
+    """Last orders merged into a stored table of customers, as deltas by key."""
+    s = store.Store(spark, scratch_path(spark, "store"))
+    s.write("customers", view(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit(-1).cast("bigint").alias("last"), F.lit("none").alias("status")), key=["id"])
+    rows = view(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").cast("bigint").alias("last"), F.col("o_orderstatus").alias("status"))
+    known = s.read("customers").select("id")
+    for k in (1, 2):  # the second changes rows of the first where its orders are later
+        part = rows.where(F.col("last") % 3 == k).join(known, "id", "left_semi").groupBy("id").agg(F.max_by(F.struct("last", "status"), "last").alias("r")).select("id", "r.*")
+        before = s.read("customers").select("id", F.col("last").alias("had"))
+        s.merge("customers", part.join(before, "id").where(F.col("last") > F.col("had")).drop("had"), ["id"])
+    return s.read("customers")
+
+
+@query("""SELECT id, seq FROM (SELECT 'W' || (o_custkey % 50) AS id, max(o_orderkey) AS seq FROM orders WHERE o_orderkey % 7 > 0 GROUP BY 1)""")
+def stream_latest(spark, d):
+    """Payload files read as a stream, late ones after newer: what its state lets pass is
+    merged, and ends as the last of each key."""
+    folder, s = scratch_path(spark, "payloads"), store.Store(spark, scratch_path(spark, "store"))
+    line = F.to_json(F.struct(F.concat(F.lit("W"), (F.col("o_custkey") % 50).cast("string")).alias("id"), F.col("o_orderkey").cast("bigint").alias("seq")))
+    rows = view(spark, d, "orders").where("o_orderkey % 7 > 0")
+    # files in an order that has nothing to do with seq
+    rows.repartition(3, F.xxhash64("o_orderkey")).select(line.alias("value")).write.text(folder)
+
+    def batch(found, number):
+        told = found.where("new_work").select(F.from_json("payload", "id string, seq bigint").alias("p")).select("p.*")
+        s.merge("latest", cut(told), ["id"])
+
+    lines = spark.readStream.schema("value string").option("maxFilesPerTrigger", 1).text(folder)
+    last_words(lines).writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", scratch_path(spark, "seen")).trigger(availableNow=True).start().awaitTermination()
+    return s.read("latest")
+
+
 # -- pages
 
 

@@ -266,17 +266,23 @@ def ingest_works(ctx: Context) -> dict:
     return {"authors_processed": todo.count(), "works_processed": seen}
 
 
-def save_works(ctx: Context, payloads: DataFrame) -> int:
-    """Upsert works by their id and links by (person, work) from payload rows."""
+def save_works(ctx: Context, payloads: DataFrame, links: bool = True) -> int:
+    """Upsert works by their id and, if asked for, links by (person, work) from payload
+    rows."""
     old = ctx.table("works")
     new = works.parse_works(payloads.drop("professor_id", "author_id")).join(old.select("external_id", "work_id"), "external_id", "left")
     ctx.merge("works", _number(ctx, "works", new.select(old.columns), "work_id", ["external_id"]))
-    ids = ctx.table("works").select("external_id", "work_id")
-    links = works.author_links(payloads).join(ids, "external_id").drop("external_id")
-    ctx.merge("links", links)
+    if links:
+        save_links(ctx, payloads)
     return payloads.count()
 
 
+def save_links(ctx: Context, payloads: DataFrame) -> int:
+    """Upsert links by (person, work) from payload rows of works that are known."""
+    ids = ctx.table("works").select("external_id", "work_id")
+    return ctx.merge("links", works.author_links(payloads.where(F.col("professor_id").isNotNull())).join(ids, "external_id").drop("external_id"))
+
+
 def embed(ctx: Context) -> dict:
     e, old = ctx.settings.embeddings, ctx.table("vectors")
     if e.backend != "hash":

@@ -1,5 +1,6 @@
 import json
 import os
+import random
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
@@ -104,6 +105,33 @@ def test_stream_of_payload_files(spark, ctx, tmp_path):
     assert ctx.table("links").count() == 2
 
 
+def test_a_stream_ends_as_one_batch_would(spark, ctx, tmp_path):
+    """Late, repeated and stale arrivals over several files and restarts."""
+    rng = random.Random(4)
+    lines = [(f"W{rng.randrange(6)}", rng.choice([1, 2, 3, None]), s) for s in rng.sample(range(100), 60)]
+    row = lambda key, who, seq: {"professor_id": who, "author_id": "A", "seq": seq, "id": key, "title": f"{key} as of {seq}", "authorships": [{"author": {"id": "A"}, "author_position": f"p{seq}"}]}
+    folder, seen = tmp_path / "in", f"file://{tmp_path}/seen"
+    os.makedirs(folder)
+    for part in range(4):
+        some = lines[15 * part : 15 * part + 15] + (lines[:3] if part == 3 else [])
+        (folder / f"{part}.json").write_text("".join(json.dumps(row(*x)) + "\n" for x in some) + "not json\n")
+        ingest.ingest(ctx, str(folder), seen).awaitTermination()
+    titles = {k: max(s for key, _, s in lines if key == k) for k in {key for key, _, _ in lines}}
+    assert {r["external_id"]: r["title"] for r in ctx.table("works").collect()} == {k: f"{k} as of {s}" for k, s in titles.items()}
+    ids = {r["work_id"]: r["external_id"] for r in ctx.table("works").collect()}
+    links = {}
+    for key, who, seq in lines:
+        if who is not None:
+            links[who, key] = max(seq, links.get((who, key), -1))
+    assert {(r["professor_id"], ids[r["work_id"]]): r["authorship_position"] for r in ctx.table("links").collect()} == {k: f"p{s}" for k, s in links.items()}
+    # a stale arrival alone writes nothing
+    versions = ctx.store.versions("works")
+    old = min(lines, key=lambda x: x[2])
+    (folder / "9.json").write_text(json.dumps(row(old[0], old[1], -5)) + "\n")
+    ingest.ingest(ctx, str(folder), seen).awaitTermination()
+    assert ctx.store.versions("works") == versions
+
+
 # -- store
 
 
