@@ -187,8 +187,9 @@ def levels(vectors: DataFrame, asked: DataFrame, k: int, index: Index) -> list[L
     rng = np.random.default_rng(index.seed)
     a, b = rng.normal(size=(index.tables, pilots.shape[1] + 1, p)), rng.random((index.tables, p))
     top = norms[min(norms)]
-    # a few pilots may all lie near: their spread counts, too
-    last = float(min(reach.min(), reach.mean() - 2.5 * reach.std()))
+    # a few pilots may all lie near: their spread counts, too, by deviations from the median
+    middle = float(np.median(reach))
+    last = float(min(reach.min(), middle - 3.7 * np.median(np.abs(reach - middle))))
     wide = last - 1.25 * max(0.0, top - last)  # 1.5 times the distance, in the first range
     out = []
     for t in (last, wide):
