@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from ..functions import patterns
 
@@ -13,17 +12,22 @@ EXPECTED = "query_id bigint, query string, notes string, expected_professors arr
 
 
 def load_queries(spark: SparkSession, path: str) -> DataFrame:
-    """Queries of a JSON array file; an entry needs a query that is not empty."""
-    body = json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
-    if not isinstance(body, list):
-        raise ValueError("an evaluation file is a JSON array")
-    rows = []
-    for k, item in enumerate(body):
-        if not isinstance(item, dict) or not item.get("query"):
-            raise ValueError("an evaluation entry has a query that is not empty")
-        least = lambda name, item=item: None if item.get(name) is None else int(item[name])
-        rows.append((k, str(item["query"]), str(item.get("notes", "")), *([str(v) for v in item.get(n, [])] for n in ("expected_professors", "expected_universities")), least("minimum_professor_matches"), least("minimum_university_matches")))
-    return spark.createDataFrame(rows, EXPECTED)
+    """Queries of a JSON array file, numbered in its order, or of files of JSON lines, which
+    tell their number in ``pos`` and are read in as many tasks as they fill.  An entry needs
+    a query that is not empty."""
+    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+    body = EXPECTED.replace("query_id bigint, ", "")
+    if first and first[0][0].lstrip().startswith("["):
+        kind = StructType.fromDDL(body)
+        items = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", ArrayType(kind), {"mode": "FAILFAST"})).alias("query_id", "q")).select(F.col("query_id").cast("bigint").alias("query_id"), "q.*")
+    elif first and not first[0][0].lstrip().startswith("{"):
+        raise ValueError("an evaluation file is a JSON array, or JSON lines")
+    else:
+        items = spark.read.schema(f"pos bigint, {body}").option("mode", "FAILFAST").json(path).withColumnRenamed("pos", "query_id")
+    if not items.where(F.coalesce("query", F.lit("")) == "").limit(1).isEmpty():
+        raise ValueError("an evaluation entry has a query that is not empty")
+    none = F.array().cast("array<string>")
+    return items.select("query_id", "query", F.coalesce("notes", F.lit("")).alias("notes"), F.coalesce("expected_professors", none).alias("expected_professors"), F.coalesce("expected_universities", none).alias("expected_universities"), "minimum_professor_matches", "minimum_university_matches")
 
 
 def matched(queries: DataFrame, expected: str, hits: DataFrame, value: str) -> DataFrame:

@@ -191,6 +191,15 @@ def search_work_window(spark, d):
     return search.work_window(_search(spark, d)[1], 2, 3).select("professor_id", "work_id", "place")
 
 
+@query(sql_search(ONE_QUERY) + HITS + """ SELECT hits.* FROM hits JOIN people USING (professor_id) WHERE university_id = (SELECT s_nationkey FROM supplier WHERE s_suppkey = 3) AND department_type = 'materials_science' AND verification_status = 'verified'
+  AND professor_id IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 6 > 2 AND s_suppkey % 17 > 0)""")
+def search_all_facets(spark, d):
+    """All four facets at once, over all people: of the university of one of them."""
+    people = view(spark, d, "people")
+    one = people.where("professor_id = 3").select("university_id").first()
+    return search.facets(_search(spark, d, limit=None)[0], people, view(spark, d, "matches"), one[0] if one else -1, "materials_science", "verified", "matched")
+
+
 @query(sql_search(ONE_QUERY) + HITS + ", top AS (SELECT * FROM hits WHERE rank <= 25) SELECT top.* FROM top JOIN people USING (professor_id) WHERE department_type = 'physics'")
 def search_facets_after_limit(spark, d):
     return search.facets(_search(spark, d)[0], view(spark, d, "people"), department_type="physics")

@@ -83,15 +83,14 @@ _SEED = """SELECT n_nationkey AS pos, n_name AS name, 'n' || n_nationkey || '.ex
 
 
 def _seed_file(spark, d) -> str:
-    """A seed file of all nations: as many departments as their region's number; one of
-    region 4 is elsewhere."""
+    """Seed files of all nations, written by several tasks: as many departments as their
+    region's number; one of region 4 is elsewhere."""
     path = _scratch(spark, "seed")
     site = F.concat(F.lit("https://www.n"), F.col("n_nationkey").cast("string"), F.lit(".example.edu/"))
     page = lambda k: F.when((F.col("n_regionkey") == 4) & (k == 4), F.lit("https://elsewhere.example.com/x")).otherwise(F.concat(site, k.cast("string")))
     departments = F.when(F.col("n_regionkey") > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.col("n_regionkey"), F.lit(1)).cast("int")), lambda k: F.struct(F.concat(F.lit("d"), k.cast("string")).alias("department_type"), page(k).alias("roster_url"), F.concat(F.lit("h"), (k % 2).cast("string")).alias("parser_hint"))))
-    rows = view(spark, d, "nation").select("n_nationkey", F.struct(F.col("n_name").alias("name"), F.expr("CASE WHEN n_regionkey > 0 THEN CAST(100 + n_nationkey AS INT) END").alias("qs_rank_2026"), F.expr("'n' || n_nationkey || '.example.edu'").alias("domain"), departments.alias("departments")).alias("s"))
-    whole = rows.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "s"))), lambda r: r["s"])).alias("value"))
-    whole.coalesce(1).write.text(path)
+    rows = view(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("pos"), F.col("n_name").alias("name"), F.expr("CASE WHEN n_regionkey > 0 THEN CAST(100 + n_nationkey AS INT) END").alias("qs_rank_2026"), F.expr("'n' || n_nationkey || '.example.edu'").alias("domain"), departments.alias("departments"))
+    rows.repartition(4, "name").write.json(path)
     return path
 
 
@@ -382,9 +381,7 @@ def stage_states(spark, d):
 def evaluation_file(spark, d):
     path = _scratch(spark, "evaluation")
     some = F.transform(F.filter(F.array(F.lit(1), F.lit(2)), lambda k: k <= F.col("item_id") % 3), lambda k: F.concat(F.lit("p"), k.cast("string")))
-    item = F.struct(F.concat(F.lit("q "), F.col("item_id").cast("string")).alias("query"), F.when(F.col("item_id") % 2 == 0, 1).alias("minimum_professor_matches"), some.alias("expected_professors"))
-    whole = view(spark, d, "benchmark").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("item_id", item.alias("i")))), lambda r: r["i"])).alias("value"))
-    whole.coalesce(1).write.text(path)
+    view(spark, d, "benchmark").repartition(4, "item_id").select(F.col("item_id").alias("pos"), F.concat(F.lit("q "), F.col("item_id").cast("string")).alias("query"), F.when(F.col("item_id") % 2 == 0, 1).alias("minimum_professor_matches"), some.alias("expected_professors")).write.json(path)
     return evaluate.load_queries(spark, path).select(F.col("query_id").cast("int").alias("query_id"), "query", "minimum_professor_matches", F.size("expected_professors").alias("expected"))
 
 
@@ -393,8 +390,8 @@ SELECT p_partkey || ',"' || p_name || ', ""x"" ",' || p_brand || ',' || p_type |
 def shortlist_csv(spark, d):
     path = _scratch(spark, "shortlist")
     rows = view(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(', "x" ')).alias("name"), F.col("p_brand").alias("university"), F.col("p_type").alias("department"), F.lit(None).cast("string").alias("profile_url"), F.lit("2024-01-01").alias("added_at"))
-    export.write_shortlist(rows, path)
-    return spark.read.text(path).select(F.col("value").alias("line"))
+    export.write_shortlist(rows.repartition(4, "id"), path, one_file=False)
+    return spark.read.text(path).select(F.col("value").alias("line")).distinct()  # each file has the header
 
 
 _WHOLE = "regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')"

@@ -15,10 +15,11 @@ def as_json(rows: DataFrame | list | dict) -> str:
     return json.dumps(body, indent=2, sort_keys=True, default=str)
 
 
-def write_shortlist(rows: DataFrame, path: str) -> None:
+def write_shortlist(rows: DataFrame, path: str, one_file: bool = True) -> None:
     """CSV with a header; values with a comma, quote or line break are quoted, quotes
-    doubled; one file, as a shortlist is what a person picked by hand."""
-    rows.select(SHORTLIST).coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    doubled; one file, as a shortlist is what a person picked by hand, or one a task."""
+    rows = rows.select(SHORTLIST)
+    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def search_address(base: str, **parameters) -> str:

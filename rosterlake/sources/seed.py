@@ -12,10 +12,16 @@ ATTRIBUTES = ["short_name", "qs_rank_2026", "qs_score", "domain", "openalex_id",
 
 
 def read_seed(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Entries of a JSON array, in the order of the file (``pos``), the first few."""
-    text = spark.read.text(path, wholetext=True)
-    items = text.select(F.posexplode(F.from_json("value", f"array<struct<{_ddl(SEED)}>>")).alias("pos", "s")).select("pos", "s.*")
-    return items if limit is None else items.where(F.col("pos") < limit)
+    """Entries of a JSON array, in the order of the file (``pos``), or of files of JSON
+    lines, which tell their own ``pos`` and are read in as many tasks as they fill; the
+    first few."""
+    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+    if first and first[0][0].lstrip().startswith("["):
+        text = spark.read.text(path, wholetext=True)
+        items = text.select(F.posexplode(F.from_json("value", f"array<struct<{_ddl(SEED)}>>")).alias("pos", "s")).select("pos", "s.*")
+        return items if limit is None else items.where(F.col("pos") < limit)
+    items = spark.read.schema(f"pos int, {SEED}").json(path)
+    return items if limit is None else items.orderBy(F.asc_nulls_last("pos"), "name").limit(limit)
 
 
 def _ddl(schema: str) -> str:

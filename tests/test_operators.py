@@ -345,6 +345,11 @@ def test_evaluation(spark, tmp_path):
     assert [r["hit_at_k"] for r in rows] == [True, False, None] and rows[0]["missing_professors"] == ["Zed"] and rows[0]["minimum_professor_matches"] == 2
     assert evaluate.summarize(out).first().asDict() == {"total_queries": 3, "labeled_queries": 2, "queries_with_expected_hits": 1, "queries_with_expected_misses": 1, "expected_hit_rate": 0.5}
     assert evaluate.summarize(out.where("query_id = 2")).first()["expected_hit_rate"] is None
+    lines = tmp_path / "lines"
+    lines.mkdir()
+    (lines / "a.jsonl").write_text('{"pos": 1, "query": "b", "expected_universities": ["none"]}\n{"pos": 2, "query": "c"}\n')
+    (lines / "b.jsonl").write_text('{"pos": 0, "query": "a", "expected_professors": ["Ann", "BOB", "Zed"], "minimum_professor_matches": 2}\n')
+    assert sorted(map(str, evaluate.load_queries(spark, str(lines)).collect())) == sorted(map(str, q.collect()))
     for bad in ("{}", '[{"notes": "x"}]'):
         file.write_text(bad)
         with pytest.raises(ValueError):

@@ -401,6 +401,11 @@ def test_seed(spark, tmp_path):
     s = seed.read_seed(spark, str(file))
     assert s.count() == 2 and seed.read_seed(spark, str(file), 1).count() == 1
     assert [r["roster_url"] for r in seed.off_domain(seed.sources(s)).collect()] == ["https://b.org"]
+    (tmp_path / "lines").mkdir()
+    for k, item in enumerate(json.loads(file.read_text())):
+        (tmp_path / "lines" / f"{k}.jsonl").write_text(json.dumps({"pos": k} | item) + "\n")
+    both = seed.read_seed(spark, str(tmp_path / "lines"))
+    assert sorted(map(str, both.collect())) == sorted(map(str, s.collect())) and seed.read_seed(spark, str(tmp_path / "lines"), 1).first()["name"] == "A"
 
 
 def test_settings_in_order(tmp_path):
