@@ -7,9 +7,11 @@ form.  Services of model vendors are left to the caller, who passes an object wi
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,18 +82,42 @@ def context(professor_id: int, people: DataFrame, universities: DataFrame, links
     return who.select("professor_id", "name", "title", "university_name").withColumnRenamed("title", "job").join(newest, "professor_id", "left").orderBy("place")
 
 
-def draft(professor_id: int, applicant: Applicant, tables: dict[str, DataFrame], by: Backend, papers: int = PAPERS) -> Draft:
+def prompts(people: DataFrame, universities: DataFrame, links: DataFrame, works: DataFrame, applicant: Applicant, papers: int = PAPERS) -> DataFrame:
+    """(professor_id, professor_name, university_name, prompt, works) of all people who have
+    works: what a backend is told of each, their newest works first."""
     if not applicant.interest.strip():
         raise ValueError("an applicant states an interest")
-    rows = context(professor_id, tables["people"], tables["universities"], tables["links"], tables["works"], papers).collect()
-    if not rows:
-        raise LookupError("no such person")
-    found = [r for r in rows if r["work_id"] is not None]
+    newest = recent_works(links, works, papers, by="citations")
+    line = lambda what, c: F.concat(F.lit("Paper "), F.col("place").cast("string"), F.lit(f" {what}: "), c)
+    told = F.concat_ws("\n", line("title", F.coalesce("title", F.lit(""))), line("year", F.coalesce(F.nullif(F.col("publication_year"), F.lit(0)).cast("string"), F.lit("unknown"))), line("abstract", text.truncate(F.col("abstract"), ABSTRACT_CHARS)))
+    own = newest.groupBy("professor_id").agg(F.sort_array(F.collect_list(F.struct("place", "work_id", "title", told.alias("told")))).alias("w"))
+    who = people.select("professor_id", F.col("name").alias("professor_name"), "title", "university_id").join(universities.select("university_id", F.col("name").alias("university_name")), "university_id")
+    me = "\n".join([f"Applicant name: {applicant.name}", f"Applicant interest: {applicant.interest}", f"Applicant background: {applicant.background}", f"Applicant stage: {applicant.stage}"])
+    head = [F.concat(F.lit(label), F.coalesce(c, F.lit(""))) for label, c in (("Professor name: ", F.col("professor_name")), ("Professor title: ", F.col("title")), ("University: ", F.col("university_name")))]
+    prompt = F.concat_ws("\n", *head, F.array_join(F.transform("w", lambda w: w["told"]), "\n"), F.lit(me))
+    return who.join(own, "professor_id").select("professor_id", "professor_name", "university_name", prompt.alias("prompt"), F.transform("w", lambda w: F.struct(w["work_id"].alias("work_id"), w["title"].alias("title"))).alias("works"))
+
+
+def drafts(asked: DataFrame, make: Callable[[], Backend]) -> DataFrame:
+    """(professor_id, backend, body) for each row of ``prompts``; ``make`` gives a task its
+    backend."""
+    rules = "\n".join(RULES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = None
+        for batch in batches:
+            by = by or make()
+            bodies = [by.complete(rules, p) for p in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([by.name] * len(bodies), pa.string()), pa.array(bodies, pa.string())], names=["professor_id", "backend", "body"])
+
+    return asked.select(F.col("professor_id").cast("bigint").alias("professor_id"), "prompt").mapInArrow(run, "professor_id bigint, backend string, body string")
+
+
+def draft(professor_id: int, applicant: Applicant, tables: dict[str, DataFrame], by: Backend, papers: int = PAPERS) -> Draft:
+    """A draft for one person."""
+    one = lambda t: t.where(F.col("professor_id") == professor_id)
+    found = prompts(one(tables["people"]), tables["universities"], one(tables["links"]), tables["works"], applicant, papers).take(1)
     if not found:
-        raise LookupError("the person has no works to write about")
-    lines = [f"Professor name: {rows[0]['name']}", f"Professor title: {rows[0]['job'] or ''}", f"University: {rows[0]['university_name']}"]
-    for k, r in enumerate(found, 1):
-        lines += [f"Paper {k} title: {r['title']}", f"Paper {k} year: {r['publication_year'] or 'unknown'}", f"Paper {k} abstract: {r['abstract']}"]
-    lines += [f"Applicant name: {applicant.name}", f"Applicant interest: {applicant.interest}", f"Applicant background: {applicant.background}", f"Applicant stage: {applicant.stage}"]
-    body = by.complete("\n".join(RULES), "\n".join(lines))
-    return Draft(professor_id, rows[0]["name"], rows[0]["university_name"], by.name, body, [{"work_id": r["work_id"], "title": r["title"]} for r in found])
+        raise LookupError("no such person, or none with works to write about")
+    r = found[0]
+    return Draft(professor_id, r["professor_name"], r["university_name"], by.name, by.complete("\n".join(RULES), r["prompt"]), [w.asDict() for w in r["works"]])

@@ -413,3 +413,30 @@ SELECT p.name, u.name AS university_name, CAST(place AS INT) AS place, work_id,
 def email_works(spark, d):
     """What an e-mail to a person is written from."""
     return outreach.context(5, *[view(spark, d, n) for n in ("people", "universities", "links", "works")]).select("name", "university_name", "place", "work_id", "title")
+
+
+_ABSTRACT = "regexp_replace(coalesce(abstract, ''), '^\\s+|\\s+$', '', 'g')"
+_PROMPTS = f"""{cte("universities", "people", "works", "links")}, placed AS (
+SELECT professor_id, w.*, row_number() OVER (PARTITION BY professor_id ORDER BY publication_year DESC NULLS LAST, cited_by_count DESC NULLS LAST, work_id DESC) AS place FROM links JOIN works w USING (work_id)),
+told AS (SELECT professor_id, place, 'Paper ' || place || ' title: ' || coalesce(title, '') || chr(10) || 'Paper ' || place || ' year: ' || coalesce(CAST(publication_year AS VARCHAR), 'unknown') || chr(10) || 'Paper ' || place || ' abstract: ' ||
+  CASE WHEN length({_ABSTRACT}) <= 900 THEN {_ABSTRACT} ELSE regexp_replace(substr({_ABSTRACT}, 1, 900), ' [^ ]*$', '') || '…' END AS line FROM placed WHERE place <= 2),
+prompts AS (SELECT p.professor_id, p.name, 'Professor name: ' || p.name || chr(10) || 'Professor title: ' || p.title || chr(10) || 'University: ' || u.name || chr(10) || string_agg(line, chr(10) ORDER BY place) || chr(10)
+  || 'Applicant name: Kim' || chr(10) || 'Applicant interest: quantum noise' || chr(10) || 'Applicant background: ' || chr(10) || 'Applicant stage: PhD applicant' AS prompt
+  FROM people p JOIN universities u USING (university_id) JOIN told USING (professor_id) GROUP BY p.professor_id, p.name, p.title, u.name)"""
+
+
+def _prompts(spark, d):
+    return outreach.prompts(*[view(spark, d, n) for n in ("people", "universities", "links", "works")], outreach.Applicant("quantum noise", "Kim"))
+
+
+@query(_PROMPTS + " SELECT professor_id, prompt FROM prompts")
+def email_prompts(spark, d):
+    """What a backend is told of each person, for all people."""
+    return _prompts(spark, d).select("professor_id", "prompt")
+
+
+@query(_PROMPTS + " SELECT professor_id, 'echo' AS backend, length(prompt) AS told FROM prompts")
+def email_drafts(spark, d):
+    """Drafts for all people; the echo returns what it is told."""
+    out = outreach.drafts(_prompts(spark, d), outreach.Echo)
+    return out.select("professor_id", "backend", F.char_length(F.substring_index("body", "[user]\n", -1)).alias("told"))
