@@ -14,8 +14,8 @@ people.  A person may be among the best ``limit`` only if their upper bound reac
 ``limit``-th lower bound.  A task drops those that fail by its own people at once; what it
 gives is a few people a query, not a row for each query and work.
 
-The bounds do not decide a rank: works of the people found are scored exactly.  Terms are
-told apart by 64-bit hashes here.
+The bounds do not decide a rank: works of the people found are scored exactly.  Terms and
+title keys are told apart by 64-bit hashes here.
 """
 
 from __future__ import annotations

@@ -170,11 +170,7 @@ class Store:
         stream.write(bytearray(json.dumps({"base": asdict(v.base), "deltas": [asdict(d) for d in v.deltas], "key": v.key}).encode()))
         stream.close()
         try:
-            if self._fs.getScheme() == "file":  # where a rename replaces what is there, but a link does not
-                os.link(self._path(own).toUri().getPath(), self._path(final).toUri().getPath())
-            else:
-                context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.path).toUri(), self.spark._jsc.hadoopConfiguration())
-                context.rename(self._path(own), self._path(final), self.spark._sc._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+            self._named(own, final)
         except Exception as e:
             if isinstance(e, FileExistsError) or "FileAlreadyExists" in str(e) or "already exists" in str(e):
                 return False
@@ -184,6 +180,18 @@ class Store:
         self._seen[name] = v.number
         return True
 
+    def _named(self, own: str, final: str) -> None:
+        """Give a finished file its name, if no other has it."""
+        if self._fs.getScheme() == "file":  # where a rename replaces what is there, but a link does not
+            try:
+                return os.link(self._path(own).toUri().getPath(), self._path(final).toUri().getPath())
+            except FileExistsError:
+                raise
+            except OSError:  # a mount without links
+                pass
+        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.path).toUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(self._path(own), self._path(final), self.spark._sc._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+
     def _put(self, name: str, rows: DataFrame, buckets: int = 0, key: tuple[str, ...] = ()) -> Part:
         """Rows written below a folder of their own, and counted by that write."""
         folder, seen = uuid.uuid4().hex, Observation()
