@@ -385,10 +385,10 @@ def name_ratio_bound(spark, d):
     return rows.join(other, "a").select("a", "b", F.round(names.ratio_bound(F.col("l"), F.col("r")), 6).alias("bound"))
 
 
-@query(f"{cte('people')} SELECT x.professor_id AS a, y.professor_id AS b, 1.0 AS similarity FROM people x JOIN people y ON x.university_id = y.university_id AND x.professor_id < y.professor_id AND x.name = y.name")
+@query(f"{cte('members')} SELECT x.professor_id AS a, y.professor_id AS b, CAST(1 AS DOUBLE) AS similarity FROM members x JOIN members y ON x.university_id = y.university_id AND x.professor_id < y.professor_id AND x.name = y.name")
 def similar_people_exact(spark, d):
     """People of one university with the same name; at the greatest similarity only these."""
-    return identity.similar_people(view(spark, d, "people"), 1.0)
+    return identity.similar_people(view(spark, d, "members"), 1.0)
 
 
 # -- identity and matching
