@@ -11,10 +11,10 @@ batch is then one plan: prepared works scored against the batch (which is of bou
 and broadcast), people, two windows, top k.  Larger batches are searched in parts.  With an
 index (``searchindex``) only works of people who may be among the best are scored.
 
-Scoring: the JVM reduces a work's words to the query terms among them.  Python gets these
-and the vector, and scores a batch of works by three matrix products: works by terms, for
-titles and abstracts, and works by dimensions.  A phrase is looked for only in works that
-have all its terms.
+Scoring: a batch of works comes as Arrow lists of words and vectors, and is scored by three
+matrix products: works by terms, for titles and abstracts, and works by dimensions.  Words are
+looked up among the query terms all at once.  A phrase is looked for only in works that have
+all its terms.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ from . import searchindex
 
 #: Query rows that are broadcast to every work at once.
 QUERY_BATCH = 1000
+#: Scores that a task holds at once.
+SCORES = 1 << 21
 #: Scores that agree to this many places are ties; the last bits of a cosine depend
 #: on the order of a sum.
 TIE_PLACES = 12
@@ -102,11 +105,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
 
-def _incidence(lists: pa.ListArray, place: dict[str, int]) -> np.ndarray:
+def _incidence(lists: pa.ListArray, terms: pa.Array) -> np.ndarray:
     """Works x terms, 1 where a work has the term."""
-    out = np.zeros((len(lists), len(place)), np.float32)
+    out = np.zeros((len(lists), len(terms)), np.float32)
+    at = pc.fill_null(pc.index_in(lists.flatten(), value_set=terms), -1).to_numpy()
     row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-    out[row, [place[t] for t in lists.flatten().to_pylist()]] = 1
+    out[row[at >= 0], at[at >= 0]] = 1
     return out
 
 
@@ -138,38 +142,34 @@ SCORED = "query_id bigint, work_id bigint, work_score double"
 def _score_part(prepared: DataFrame, rows: list[Row]) -> DataFrame:
     asked = Asked.of(rows)
     shared = prepared.sparkSession.sparkContext.broadcast(asked)
-    known = F.array(*[F.lit(t) for t in asked.place]) if asked.place else F.array().cast("array<string>")
-    hits = {c: F.array_intersect(f"{c}_tokens", known).alias(c) for c in ("title", "abstract")}
-    # a phrase has two terms at least, which may be one twice
-    whole = lambda c: F.when(F.size(c) > int(all(len(set(p.split())) > 1 for p in asked.phrases if p)), F.array_join(f"{c}_tokens", " ")).alias(f"{c}_text")
-    found = prepared.select(F.col("work_id").cast("bigint").alias("work_id"), "embedding", *hits.values(), "title_tokens", "abstract_tokens", *(["asked_by"] if "asked_by" in prepared.columns else []))
     some = "asked_by" in prepared.columns
+    found = prepared.select(F.col("work_id").cast("bigint").alias("work_id"), "embedding", "title_tokens", "abstract_tokens", *(["asked_by"] if some else []))
     if some:
         found = found.withColumn("asked_by", F.array_intersect("asked_by", F.lit([int(i) for i in asked.ids]).cast("array<bigint>"))).where(F.size("asked_by") > 0)
-    found = found.select("work_id", "embedding", "title", "abstract", whole("title"), whole("abstract"), *(["asked_by"] if some else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
-        sizes = q.terms.sum(axis=1)
-        phrased = np.array([bool(p) for p in q.phrases])
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        sizes, terms = q.terms.sum(axis=1), pa.array(list(q.place), pa.string())
+        phrased, step = np.array([bool(p) for p in q.phrases]), max(1, SCORES // len(q.ids))
+        for batch in (whole.slice(lo, step) for whole in batches for lo in range(0, whole.num_rows, step)):
             score = 0.65 * _cosines(batch.column(1), q)
             best = np.zeros(score.shape)
             for k, (weight, part) in enumerate(((0.2, 1.0), (0.1, 0.5))):
-                common = (q.terms @ _incidence(batch.column(2 + k), q.place).T).astype(np.float64)
+                lists = batch.column(2 + k)
+                common = (q.terms @ _incidence(lists, terms).T).astype(np.float64)
                 score += weight * common / np.maximum(sizes, 1)[:, None]
-                texts = batch.column(4 + k).to_pylist()
+                texts: dict[int, str] = {}
                 for i, j in np.argwhere((common == sizes[:, None]) & phrased[:, None]).tolist():
+                    if j not in texts:
+                        texts[j] = " ".join(lists[j].as_py())
                     if q.phrases[i] in texts[j]:
                         best[i, j] = max(best[i, j], part)
             score = np.round(score + 0.05 * best, TIE_PLACES)
             n = batch.num_rows
             if some:
-                lists = batch.column(6)
-                j = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
-                ids = lists.flatten().to_numpy(zero_copy_only=False)
+                asking = batch.column(4)
+                j = np.repeat(np.arange(n), np.diff(asking.offsets.to_numpy()))
+                ids = asking.flatten().to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(0).take(pa.array(j)), pa.array(score[np.searchsorted(q.ids, ids), j])], names=["query_id", "work_id", "work_score"])
                 continue
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q.ids, n)), pa.array(np.tile(batch.column(0).to_numpy(), len(q.ids))), pa.array(score.ravel())], names=["query_id", "work_id", "work_score"])
