@@ -113,7 +113,8 @@ def _scrape(f: fetch.Fetcher, row: dict):
     """Entries of a source's pages, with what profile pages add; an error gives one
     row that says so.  No host outside the university's domain is asked."""
     hint = row["parser_hint"]
-    f = fetch.Within(f, {row["domain"]}) if row["domain"] else f
+    domain = row.get("domain")
+    f = fetch.Within(f, {domain}) if isinstance(domain, str) and domain else f
     follow = (lambda page, url: []) if hint in pages.SINGLE_PAGE else pages.further_pages
     try:
         found = [e for _, url, page in fetch.crawl(f, row["roster_url"], follow) for e in pages.roster_entries(page, url, hint)]
