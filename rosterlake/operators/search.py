@@ -184,7 +184,7 @@ def ranked_works(scored: DataFrame, prepared: DataFrame, people: DataFrame, link
     in (query_id, professor_id)."""
     who = searchable(people).select("professor_id")
     about = prepared.select("work_id", "title", "publication_year", "doi", "source_name", "title_key", "preprint")
-    theirs = links.select("professor_id", "work_id").distinct().join(who, "professor_id", "left_semi").join(about, "work_id").join(scored, "work_id")
+    theirs = links.select("professor_id", "work_id").distinct().join(who, "professor_id", "left_semi").join(about, "work_id").join(scored.hint("merge"), "work_id")  # its size is guessed from the works', and may be many times that
     if chosen is not None:
         theirs = theirs.join(chosen, ["query_id", "professor_id"], "left_semi")
     title = F.coalesce("title", F.lit(""))
