@@ -242,14 +242,15 @@ def visits(asked: DataFrame, level: Level, spark: SparkSession) -> DataFrame:
 
 def meet(placed: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(block, key) of vectors and of queries that meet in a bucket.  A bucket has blocks of
-    ``ROWS`` vectors by ``ASKED`` queries, each side told how many the other has."""
-    sizes = placed.groupBy(SPOT).agg(F.count("*").alias("n")).join(probes.groupBy(SPOT).agg(F.count("*").alias("m")), SPOT)
+    ``ROWS`` vectors by ``ASKED`` queries, each side told how many the other has.  Spark takes
+    the many probes of a query for as large as the query, so sizes do not choose these joins."""
+    sizes = placed.groupBy(SPOT).agg(F.count("*").alias("n")).join(probes.groupBy(SPOT).agg(F.count("*").alias("m")).hint("merge"), SPOT)
     sizes = sizes.select(*SPOT, F.ceil(F.col("n") / ROWS).cast("int").alias("rows"), F.ceil(F.col("m") / ASKED).cast("int").alias("cols"))
     own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     block = F.xxhash64(*SPOT, "row", "col").alias("block")
-    left = placed.join(sizes, SPOT).withColumn("row", own("rows")).withColumn("col", each("cols")).select(block, "key")
-    right = probes.join(sizes, SPOT).withColumn("col", own("cols")).withColumn("row", each("rows")).select(block, "key")
+    left = placed.join(sizes.hint("merge"), SPOT).withColumn("row", own("rows")).withColumn("col", each("cols")).select(block, "key")
+    right = probes.join(sizes.hint("merge"), SPOT).withColumn("col", own("cols")).withColumn("row", each("rows")).select(block, "key")
     return left, right
 
 
@@ -260,8 +261,9 @@ def ranked(placed: DataFrame, probes: DataFrame, vectors: DataFrame, asked: Data
     left, right = scope.table(left, "left"), scope.table(right, "right")
     tasks = max(2 * vectors.sparkSession.sparkContext.defaultParallelism, -(-left.count() // ROWS))
     task = F.pmod(F.xxhash64("block"), F.lit(tasks)).cast("int").alias("task")
-    left = left.groupBy(task, "key").agg(F.collect_list("block").alias("blocks")).join(vectors.select("key", "vector", "ids"), "key")
-    right = right.groupBy(task, "key").agg(F.collect_list("block").alias("blocks")).join(asked.select("key", "vector", "floor"), "key")
+    # files of keys are far smaller than their rows: by their size these would be broadcast
+    left = left.groupBy(task, "key").agg(F.collect_list("block").alias("blocks")).join(vectors.select("key", "vector", "ids").hint("merge"), "key")
+    right = right.groupBy(task, "key").agg(F.collect_list("block").alias("blocks")).join(asked.select("key", "vector", "floor").hint("merge"), "key")
 
     def rank(members: pa.Table, asking: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
@@ -277,8 +279,10 @@ def ranked(placed: DataFrame, probes: DataFrame, vectors: DataFrame, asked: Data
                 for c in range(a, b, 256):
                     who = q_row[c : min(b, c + 256)]
                     scores, edge = q[who] @ x[rows].T, floor[who][:, None]
-                    if len(rows) > k + 1 and np.isneginf(edge).any():
-                        edge = np.maximum(edge, -np.partition(-scores, k, axis=1)[:, k : k + 1])
+                    # where a floor lets many pass, no more than a block's best k + 1 can be of use
+                    over = np.flatnonzero((scores >= edge).sum(axis=1) > 4 * (k + 1))
+                    if len(over):
+                        edge[over] = np.maximum(edge[over], -np.partition(-scores[over], k, axis=1)[:, k : k + 1])
                     # near ties may round otherwise in a block product: keep them for now
                     i, j = np.nonzero((scores >= edge - 1e-12 * (1 + np.abs(edge))) | np.isneginf(edge))
                     found_q.append(who[i])

@@ -135,3 +135,27 @@ def test_repeated_ids_count_once_whatever_the_order(spark):
     rows = [(0, [1.0, 0.0], "n", 1), (1, [0.5, 0.5], "n", 1), (1, [0.0, 2.0], "n", 1), (2, [0.3, 0.1], "n", 1)]
     one, other = (by_query(ann.nearest(df, df, k=3)) for df in (spark.createDataFrame(rows, VECTORS), spark.createDataFrame(rows[::-1], VECTORS)))
     assert one == other and all(len(v) == 2 for v in one.values())
+
+
+def test_probes_are_not_broadcast_however_small_the_queries(spark, monkeypatch):
+    """A query has many probes: Spark takes them for as large as the query, and would gather them in the driver."""
+    plans, meet, ranked = [], ann.meet, ann.ranked
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def met(placed, probes):
+        left, right = meet(placed, probes)
+        plans.extend([plan(left), plan(right)])
+        return left, right
+
+    def scored(*args):
+        found = ranked(*args)
+        plans.append(plan(found))
+        return found
+
+    monkeypatch.setattr(ann, "meet", met)
+    monkeypatch.setattr(ann, "ranked", scored)
+    x = np.random.default_rng(4).normal(size=(400, 16))
+    df = spark.createDataFrame([(i, v.tolist(), None, None) for i, v in enumerate(x)], VECTORS)
+    got = by_query(ann.nearest(df, df.where("vec_id % 20 = 0")))
+    assert len(got) == 20 and all(len(v) == 20 for v in got.values()) and recall(x, got) >= 0.9
+    assert len(plans) >= 3 and not any("Broadcast" in p for p in plans)
