@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import importlib
-import math
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,32 +45,45 @@ def hash_components(rows: DataFrame, key: str, text: str, dim: int) -> DataFrame
     return sums.where("value != 0")
 
 
-#: Words whose parts a worker remembers.
-MEMO_WORDS = 200_000
-_memo: dict[tuple[str, int], np.ndarray] = {}
+#: Characters of text, about, whose words are hashed at once.
+AT_ONCE = 1 << 20
 
 
-def _word(token: str, dim: int) -> np.ndarray:
-    """2 x 8: buckets and signs of a word."""
-    found = _memo.get((token, dim))
-    if found is None:
-        if len(_memo) > MEMO_WORDS:
-            _memo.clear()
-        d = hashlib.sha256(token.encode()).digest()
-        found = _memo[token, dim] = np.array([[int.from_bytes(d[k : k + 4], "big") % dim for k in range(0, 32, 4)], [1 - 2 * (d[k] % 2) for k in range(0, 32, 4)]])
-    return found
+def hash_sums(words: pa.StringArray, row: np.ndarray, n: int, dim: int) -> np.ndarray:
+    """n x dim: the whole-number components of n texts, whose words, each with its row, come
+    in one list.  Different words are hashed once."""
+    coded = words.dictionary_encode()
+    digests = np.frombuffer(b"".join([hashlib.sha256(w.encode()).digest() for w in coded.dictionary.to_pylist()]), np.uint8).reshape(-1, 8, 4)
+    bucket = (digests.view(">u4")[:, :, 0] % dim).astype(np.int64)
+    sign = 1.0 - 2 * (digests[:, :, 0] % 2)
+    code = coded.indices.to_numpy()
+    at = row[:, None] * dim + bucket[code]
+    return np.bincount(at.ravel(), weights=sign[code].ravel(), minlength=n * dim).astype(np.float64, copy=False).reshape(n, dim)
 
 
-def hash_embed_text(text: str, dim: int) -> np.ndarray:
-    """A text's unit vector, zero without words.  Sums are of whole numbers, so their
+def _hash_embed_texts(texts: list[str], dim: int) -> np.ndarray:
+    """Texts' unit vectors, zero without words.  Sums are of whole numbers, so their
     order does not matter."""
-    parts = [_word(t, dim) for t in text.lower().split()]
-    if not parts:
-        return np.zeros(dim)
-    bucket, sign = np.concatenate(parts, axis=1)
-    sums = np.bincount(bucket, weights=sign, minlength=dim)
-    norm = math.sqrt(float((sums * sums).sum()))
-    return sums / norm if norm else sums
+    words = [t.lower().split() for t in texts]
+    row = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+    sums = hash_sums(pa.array(list(itertools.chain.from_iterable(words)), pa.large_string()), row, len(texts), dim)
+    size = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+    return np.divide(sums, size, out=np.zeros_like(sums), where=size > 0)
+
+
+def hash_embed_text(text: str, dim: int) -> np.ndarray:
+    return _hash_embed_texts([text], dim)[0]
+
+
+def pieces(lengths: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Where to cut rows of these lengths so that a piece has about ``most`` in all; a row
+    stays whole."""
+    ends, out, lo = np.cumsum(lengths), [], 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        out.append((lo, hi))
+        lo = hi
+    return out
 
 
 def hash_embed(rows: DataFrame, key: str, text: str, dim: int) -> DataFrame:
@@ -78,9 +92,10 @@ def hash_embed(rows: DataFrame, key: str, text: str, dim: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [hash_embed_text(t or "", dim) for t in batch.column(1).to_pylist()]
-            flat = pa.array(np.concatenate(x) if x else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * dim), flat)], names=[key, "embedding"])
+            lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
+            for lo, hi in pieces(lengths, AT_ONCE):
+                x = _hash_embed_texts([t or "" for t in batch.column(1)[lo:hi].to_pylist()], dim)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * dim), pa.array(x.ravel()))], names=[key, "embedding"])
 
     kind = rows.schema[key].dataType.simpleString()
     return rows.select(key, text).mapInArrow(run, f"`{key}` {kind}, embedding array<double>")

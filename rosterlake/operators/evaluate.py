@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from ..functions import patterns
+from ..scratch import cut
 
 EXPECTED = "query_id bigint, query string, notes string, expected_professors array<string>, expected_universities array<string>, minimum_professor_matches int, minimum_university_matches int"
 
@@ -42,8 +43,8 @@ def matched(queries: DataFrame, expected: str, hits: DataFrame, value: str) -> D
 
 def evaluate(queries: DataFrame, hits: DataFrame) -> DataFrame:
     """A row for each query: matched and missing names, and hit_at_k (null without
-    expectations)."""
-    none, rows = F.array().cast("array<string>"), queries
+    expectations).  The hits are searched for once."""
+    none, rows, hits = F.array().cast("array<string>"), queries, cut(hits.select("query_id", "professor_name", "university_name"))
     for kind in ("professor", "university"):
         name = {"professor": "professors", "university": "universities"}[kind]
         own = matched(queries, f"expected_{name}", hits, f"{kind}_name").withColumnRenamed("matched", f"matched_{name}")

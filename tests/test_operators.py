@@ -114,6 +114,52 @@ def test_an_index_gives_the_same_hits(spark, corpus, monkeypatch, limit):
     assert both[0] == both[1]
 
 
+def shuffled(spark, run) -> int:
+    """Rows that the shuffles of a run write."""
+    sc = spark.sparkContext
+    stages = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+
+    def total():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (found.apply(i) for found in [stages()] for i in range(found.size()))}
+
+    before = total()
+    run()
+    return sum(n for k, n in total().items() if k not in before)
+
+
+def batch_of(spark, asked):
+    return spark.createDataFrame([(k, asked[k % len(asked)][1]) for k in range(60)], "query_id bigint, query string")
+
+
+@pytest.mark.parametrize("limit", [1, 10, None])
+def test_hits_of_people_equal_those_of_ranked_works(spark, corpus, monkeypatch, limit):
+    """Whatever a task holds at once, and where a prolific person's works lie in parts."""
+    t, asked = library(corpus)
+    monkeypatch.setattr(searchindex, "ROW_WORKS", 40)
+    queries = spark.createDataFrame(asked, "query_id bigint, query string")
+    for scores in (50, 1 << 18):
+        monkeypatch.setattr(search, "SCORES", scores)
+        hits, ranked = search.search(t, queries, 64, limit, 3)
+        want = search.rank_people(ranked, t["people"], t["universities"], limit, 3)
+        assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, want.collect()))
+    assert hits.count()
+
+
+def test_an_evaluation_searches_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch
+
+    found = spark.createDataFrame([(0, "Ann Lee", "Alpha"), (1, "Bob", "Beta")], "query_id bigint, professor_name string, university_name string")
+    q = spark.createDataFrame([(0, "q", "", ["lee"], ["alpha"], None, None), (1, "r", "", ["ann"], [], None, None)], evaluate.EXPECTED)
+    out = evaluate.evaluate(q, found.mapInArrow(seen, found.schema)).collect()
+    assert {r["query_id"]: r["hit_at_k"] for r in out} == {0: True, 1: False} and runs.value == 2
+
+
 def test_an_index_spares_scoring(spark, corpus):
     """Works scored for a query: of people who may be among the best five, not of all."""
     t, asked = library(corpus, 400, prolific=False)
