@@ -146,6 +146,12 @@ def test_hits_of_people_equal_those_of_ranked_works(spark, corpus, monkeypatch,
     assert hits.count()
 
 
+def test_a_batch_shuffles_no_row_for_each_query_and_work(spark, corpus):
+    t, asked = library(corpus)
+    hits = search.search(t, batch_of(spark, asked), 64, 5)[0]
+    assert shuffled(spark, hits.collect) < 60 * t["works"].count() / 2
+
+
 def test_a_summary_shuffles_no_row_for_each_query_and_work(spark, corpus):
     t, asked = library(corpus)
     q = batch_of(spark, asked).select("query_id", "query", F.lit("").alias("notes"), F.array(F.lit("p")).alias("expected_professors"), F.array().cast("array<string>").alias("expected_universities"), F.lit(None).cast("int").alias("minimum_professor_matches"), F.lit(None).cast("int").alias("minimum_university_matches"))
