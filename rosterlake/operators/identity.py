@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..scratch import cut
 
 SAME_NAME, SAME_AUTHOR = "same_university_name", "same_author"
 
@@ -96,18 +97,38 @@ def _rarity(c):
     return F.when(at > 0, at + 2_000_000).otherwise(F.ascii(c))
 
 
+#: People of a name that are met with others at once; pairs of a task, about.
+BLOCK, TASK_PAIRS = 2048, 1 << 21
+
+
 def similar_people(people: DataFrame, least: float = 0.84) -> DataFrame:
     """(a, b, similarity): pairs of people of one university, a < b, whose names are similar
-    to at least ``least``.  Pairs are those that share a rare letter of the first few, or
-    last name and first initial; of these only such as may reach ``least`` by their letters
-    are compared by Python."""
-    rows = people.select("professor_id", "university_id", names.name_tokens(F.col("name")).alias("tokens")).where(F.size("tokens") > 0).withColumn("whole", F.array_join("tokens", " "))
-    first, last = F.substring(F.get("tokens", F.lit(0)), 1, 1), F.get("tokens", F.size("tokens") - 1)
-    keys = rows.select("professor_id", "university_id", F.explode(_marks("whole", least)).alias("m")).select("professor_id", "university_id", F.concat(F.lit("m"), "m.c", F.col("m.k").cast("string")).alias("key"))
-    keys = keys.unionByName(rows.select("professor_id", "university_id", F.concat(F.lit("k"), first, F.lit(" "), last).alias("key")))
-    other = keys.select(F.col("professor_id").alias("b"), "university_id", "key")
-    met = keys.withColumnRenamed("professor_id", "a").join(other, ["university_id", "key"]).where("a < b").select("a", "b").distinct()
-    side = lambda c: rows.select(F.col("professor_id").alias(c), F.col("tokens").alias(f"{c}_tokens"))
-    pairs = met.join(side("a"), "a").join(side("b"), "b")
-    out = pairs.withColumn("similarity", names.name_similarity(F.col("a_tokens"), F.col("b_tokens"), least))
-    return out.where(F.col("similarity") >= least).select("a", "b", "similarity")
+    to at least ``least``.  Names are compared once, however many people have them, in each
+    order that occurs; the pairs of people come from a last join, by blocks of a name's people."""
+    rows = people.select("professor_id", "university_id", F.array_join(names.name_tokens(F.col("name")), " ").alias("whole")).where("whole != ''")
+    counted = cut(rows.groupBy("university_id", "whole").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.count("*").alias("n"), F.min("professor_id").alias("lo"), F.max("professor_id").alias("hi")))
+    side = lambda l, r: [F.col(f"{l}.whole").alias("l"), F.col(f"{r}.whole").alias("r"), F.col(f"{l}.blocks").alias("l_blocks"), F.col(f"{r}.blocks").alias("r_blocks"), (F.col(f"{l}.n") * F.col(f"{r}.n")).alias("n"), (F.col(f"{l}.lo") < F.col(f"{r}.hi")).alias("occurs")]
+    pairs = counted.select("university_id", F.struct(counted.columns[1:]).alias("x")).where(F.lit(least <= 1)).select("university_id", *side("x", "x"), F.lit(1.0).alias("similarity"))
+    if least < 1:  # other names are alike to less than 1
+        met = _met(counted, least)
+        both = met.select("university_id", *side("x", "y")).unionByName(met.select("university_id", *side("y", "x"))).where("occurs")
+        pairs = pairs.unionByName(both.withColumn("similarity", names.name_similarity(F.split("l", " "), F.split("r", " "), least)))
+    found = cut(pairs.where("occurs").where(F.col("similarity") >= least))
+    tasks = max(1, -(-(found.agg(F.sum("n")).first()[0] or 0) // TASK_PAIRS))
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
+    dealt = rows.join(counted.select("university_id", "whole", "blocks"), ["university_id", "whole"]).select("university_id", "whole", "professor_id", F.pmod(F.xxhash64("professor_id"), "blocks").alias("block"))
+    left = found.select("university_id", "l", "r", "similarity", each("r_blocks").alias("j")).join(dealt.select("university_id", F.col("whole").alias("l"), F.col("block").alias("i"), F.col("professor_id").alias("a")), ["university_id", "l"])
+    right = found.select("university_id", "l", "r", each("l_blocks").alias("i")).join(dealt.select("university_id", F.col("whole").alias("r"), F.col("block").alias("j"), F.col("professor_id").alias("b")), ["university_id", "r"])
+    key = ["university_id", "l", "r", "i", "j"]
+    out = left.repartition(tasks, *key).hint("merge").join(right.repartition(tasks, *key), key).where("a < b")
+    return out.select("a", "b", "similarity")
+
+
+def _met(counted: DataFrame, least: float) -> DataFrame:
+    """(university_id, x, y): pairs of rows of different names that share a rare letter of the
+    first few, or last name and first initial.  Only such may reach ``least``."""
+    tokens = F.split("whole", " ")
+    initial = F.concat(F.lit("k"), F.substring("whole", 1, 1), F.lit(" "), F.get(tokens, F.size(tokens) - 1))
+    marks = F.transform(_marks("whole", least), lambda m: F.concat(F.lit("m"), m["c"], m["k"].cast("string")))
+    keys = counted.select("university_id", F.struct(counted.columns[1:]).alias("x"), F.explode(F.array_union(marks, F.array(initial))).alias("key"))
+    return keys.join(keys.withColumnRenamed("x", "y"), ["university_id", "key"]).where("x.whole < y.whole").select("university_id", "x", "y").distinct()

@@ -160,6 +160,18 @@ def test_a_summary_shuffles_no_row_for_each_query_and_work(spark, corpus):
     assert out[0]["total_queries"] == 60
 
 
+def test_people_of_one_name_meet_in_the_last_join_only(spark, monkeypatch):
+    """Many people of few names: the pairs go through no shuffle."""
+    people = spark.range(900).select(F.col("id").alias("professor_id"), F.lit(1).alias("university_id"), F.concat(F.lit("Ann "), F.element_at(F.array(*map(F.lit, ("Lee", "Leed", "Wu"))), (F.col("id") % 3 + 1).cast("int"))).alias("name"))
+    monkeypatch.setattr(identity, "BLOCK", 50, raising=False)
+    for least in (0.9, 1.0):
+        out = []
+        assert shuffled(spark, lambda least=least, out=out: out.extend(identity.similar_people(people, least).collect())) < 100_000
+        alike = {(0, 1), (1, 0)} if least < 1 else set()  # "ann lee" and "ann leed"
+        want = {(a, b) for a in range(900) for b in range(a + 1, 900) if a % 3 == b % 3 or (a % 3, b % 3) in alike}
+        assert len(out) == len(want) and {(r["a"], r["b"]) for r in out} == want
+
+
 def test_an_evaluation_searches_once(spark):
     runs = spark.sparkContext.accumulator(0)
 
