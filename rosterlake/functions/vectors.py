@@ -20,29 +20,27 @@ def embedding_text(title: Column, abstract: Column) -> Column:
     return F.trim(F.concat(F.coalesce(title, F.lit("")), F.lit(" [SEP] "), F.substring(F.coalesce(abstract, F.lit("")), 1, 1024)))
 
 
-def _parts(token: Column, dim: int) -> Column:
-    """The eight (bucket, sign) pairs of a token: SHA-256 as big-endian 32-bit words,
-    bucket by remainder, sign by whether a word's first byte is even."""
-    digest = F.sha2(token.cast("binary"), 256)
-    pair = lambda k: F.struct(
-        (F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("bigint") % dim).cast("int").alias("bucket"),
-        F.when(F.conv(F.substring(digest, 8 * k + 1, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1).alias("sign"),
-    )
-    return F.array(*[pair(k) for k in range(8)])
-
-
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+"), lambda w: w != "")
 
 
 def hash_components(rows: DataFrame, key: str, text: str, dim: int) -> DataFrame:
     """(key, bucket, value): the whole-number components, before scaling, that are
-    not zero.  A row's different words are hashed where the row lies, so no word's rows
-    meet in one task."""
-    bag = rows.select(key, F.explode(words(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
-    parts = bag.select(key, "n", F.explode(_parts(F.col("token"), dim)).alias("p"))
-    sums = parts.groupBy(key, F.col("p.bucket").alias("bucket")).agg(F.sum(F.col("n") * F.col("p.sign")).alias("value"))
-    return sums.where("value != 0")
+    not zero.  Words are hashed and added up where a row lies; what is shuffled is an array a
+    row at most, as rows of one key count together."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in pieces(np.diff(batch.column(1).offsets.to_numpy()), AT_ONCE // 8):
+                some, keys = batch.column(1)[lo:hi], batch.column(0)[lo:hi].dictionary_encode(null_encoding="encode")
+                x = hash_sums(some.flatten(), np.repeat(keys.indices.to_numpy(), np.diff(some.offsets.to_numpy())), len(keys.dictionary), dim)
+                yield pa.RecordBatch.from_arrays([keys.dictionary, pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * dim), pa.array(x.astype(np.int64).ravel()))], names=[key, "sums"])
+
+    own = rows.select(key, words(F.col(text)).alias("words")).where(F.size("words") > 0).mapInArrow(run, f"`{key}` {kind}, sums array<bigint>")
+    added = F.aggregate(F.slice("all", 2, F.size("all")), F.get("all", F.lit(0)), lambda a, x: F.zip_with(a, x, lambda u, v: u + v))
+    whole = own.groupBy(key).agg(F.collect_list("sums").alias("all")).select(key, F.posexplode(added).alias("bucket", "value"))
+    return whole.where("value != 0")
 
 
 #: Characters of text, about, whose words are hashed at once.
@@ -88,7 +86,7 @@ def pieces(lengths: np.ndarray, most: int) -> list[tuple[int, int]]:
 
 def hash_embed(rows: DataFrame, key: str, text: str, dim: int) -> DataFrame:
     """(key, embedding): unit vectors; a text without words has the zero vector.  One
-    pass in Arrow batches; ``hash_components`` is the same sums by DataFrame functions."""
+    pass in Arrow batches; ``hash_components`` is the same sums of words as Spark tells them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

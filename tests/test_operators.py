@@ -1,6 +1,8 @@
 import json
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,6 +174,24 @@ def test_people_of_one_name_meet_in_the_last_join_only(spark, monkeypatch):
         assert len(out) == len(want) and {(r["a"], r["b"]) for r in out} == want
 
 
+def test_components_shuffle_no_row_for_each_word(spark):
+    """Rows of one key count together, a null key too, and what adds up to zero has no row."""
+    rng = random.Random(1)
+    texts = [(None if k % 40 == 0 else k % 30 * 10, " ".join(rng.choice(["Ähre", "x", f"w{k}", "noise\u00a0of", "\t"]) for _ in range(50))) for k in range(200)] + [(1, None), (2, ""), (3, "one one")]
+    rows, out = spark.createDataFrame(texts, "k bigint, t string").repartition(3), []
+    rows = rows.localCheckpoint()
+    assert shuffled(spark, lambda: out.extend(vectors.hash_components(rows, "k", "t", 64).collect())) <= len(texts)
+    want: dict = {}
+    for k, t in texts:
+        if t:
+            sums = vectors._hash_embed_texts([t], 64)[0]
+            count = vectors.hash_sums(pa.array(t.lower().split()), np.zeros(len(t.split()), np.int64), 1, 64)[0]
+            assert np.allclose(sums * np.sqrt((count * count).sum()), count)
+            want[k] = want.get(k, 0) + count
+    assert {(r["k"], r["bucket"]): r["value"] for r in out} == {(k, b): v for k, x in want.items() for b, v in enumerate(x.tolist()) if v}
+    assert len(out) == len({(r["k"], r["bucket"]) for r in out})
+
+
 def test_an_evaluation_searches_once(spark):
     runs = spark.sparkContext.accumulator(0)
 
