@@ -16,7 +16,7 @@ from ..operators import audit, cosinetop, evaluate, funding, identity, inspect,
 from ..operators.audit import AUDIT_WORDS
 from ..sources import pages as page_source
 from ..sources import seed
-from ..scratch import cut, scratch_path
+from ..scratch import cut, filed, scratch_path
 from ..streaming.latest import last_words
 from . import store
 from .views import cte, view
@@ -154,9 +154,11 @@ def count_letters():
 
 @query(sql_search(MANY_QUERIES) + HITS + " SELECT * FROM hits WHERE rank <= 25")
 def search_people_indexed(spark, d):
-    """The batch, over an index."""
+    """The batch, over an index of prepared works: their words, title keys and vectors, made
+    once.  People's profiles, which hold each work's terms once more for each of its people,
+    pay for few queries only; ``search_dense_backend`` goes through them."""
     t = tables(spark, d)
-    t["prepared"], t["profiles"] = map(cut, search.index(t))
+    t["prepared"] = filed(search.index(t)[0], "prepared")
     asked = view(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return search.search(t, asked, DIM)[0]
 

@@ -36,3 +36,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably and cut its lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def filed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as compressed files in the shared folder, for tables that are large and read by
+    some of their columns; ``cut`` keeps rows as they are in memory."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,5 +1,6 @@
 import json
 import random
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -7,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from rosterlake.operators import audit, evaluate, funding, identity, inspect, outreach, resolve, search, searchindex, works
+from rosterlake import scratch
 from rosterlake.functions import vectors
+from rosterlake.plans import catalogue
 
 PEOPLE = "professor_id bigint, university_id bigint, name string, normalized_name string, department_type string, title string, profile_url string, profile_text string, source_snippet string, verification_status string, duplicate_of bigint, duplicate_reason string"
 WORKS = "work_id bigint, title string, abstract string, publication_year int, cited_by_count int, doi string, source_name string, topics_json string"
@@ -206,6 +209,15 @@ def test_an_evaluation_searches_once(spark):
     assert {r["query_id"]: r["hit_at_k"] for r in out} == {0: True, 1: False} and runs.value == 2
 
 
+def test_an_index_for_a_batch_takes_less_than_twice_the_texts(spark, sf):
+    """What the query leaves in the shared folder and among checkpoints."""
+    tops = {Path(x.removeprefix("file:")) for x in (scratch.shared_dir(spark), spark.sparkContext._jsc.sc().getCheckpointDir().get())}
+    size = lambda: sum(p.stat().st_size for top in tops for p in top.rglob("*") if p.is_file())
+    before = size()
+    assert catalogue.queries()["search_people_indexed"](spark, sf).count()
+    assert size() - before < 2 * Path(sf, "documents.parquet").stat().st_size
+
+
 def test_an_index_spares_scoring(spark, corpus):
     """Works scored for a query: of people who may be among the best five, not of all."""
     t, asked = library(corpus, 400, prolific=False)
